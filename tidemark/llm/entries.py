@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm.decontamination import contamination_report
+from tidemark.llm.mixing import mix
 from tidemark.llm.token_counts import count_tokens
 from tidemark.llm.token_output import encode_documents, read_tokens
+from tidemark.llm.topk_search import top_k
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +22,23 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
+
+
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), size=10)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op6_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_mixing, op3_topk_search, op4_decontamination, op6_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}
