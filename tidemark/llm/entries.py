@@ -7,7 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.decontamination import contamination_report
+from tidemark.llm.licenses import oracle as licenses_sql
+from tidemark.llm.licenses import scan_licenses
 from tidemark.llm.mixing import mix
+from tidemark.llm.near_duplicates import near_duplicate_report
+from tidemark.llm.pii import find_pii
+from tidemark.llm.quality import quality_report
 from tidemark.llm.token_counts import count_tokens
 from tidemark.llm.token_output import encode_documents, read_tokens
 from tidemark.llm.topk_search import top_k
@@ -35,10 +40,26 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), size=10)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_mixing, op3_topk_search, op4_decontamination, op6_token_counts)}
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_report(_table(spark, sf_dir, "documents"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_mixing, op3_topk_search, op4_decontamination, op5_quality, op6_token_counts, op7_licenses, op8_ngram_jaccard, op10_pii)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_licenses": licenses_sql()}
