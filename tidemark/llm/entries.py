@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.decontamination import contamination_report
 from tidemark.llm.licenses import oracle as licenses_sql
 from tidemark.llm.licenses import scan_licenses
+from tidemark.llm.lm_scoring import score_documents
 from tidemark.llm.mixing import mix
 from tidemark.llm.near_duplicates import near_duplicate_report
 from tidemark.llm.pii import find_pii
@@ -56,10 +57,14 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_report(_table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_mixing, op3_topk_search, op4_decontamination, op5_quality, op6_token_counts, op7_licenses, op8_ngram_jaccard, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_mixing, op3_topk_search, op4_decontamination, op5_quality, op6_token_counts, op7_licenses, op8_ngram_jaccard, op9_lm_scoring, op10_pii)}
 
 ORACLE_SQL: dict[str, str] = {"op7_licenses": licenses_sql()}
