@@ -68,12 +68,12 @@ def is_weekend(ms: Column) -> Column:
 
 def local_minute(ms: Column, zone: str = "America/New_York") -> Column:
     """Minute of the day on the clock of a zone, daylight saving included."""
-    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.timestampadd("MILLISECOND", ms, F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")))
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.timestamp_add("MILLISECOND", ms, F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")))
     return (F.hour(local) * 60 + F.minute(local)).cast("int")
 
 
 def in_session(ms: Column, opens: int = 570, closes: int = 960, zone: str = "America/New_York") -> Column:
     """Cash session on weekdays, [opens, closes) in local minutes; the weekday is the local one."""
-    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.timestampadd("MILLISECOND", ms, F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")))
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.timestamp_add("MILLISECOND", ms, F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")))
     m = F.hour(local) * 60 + F.minute(local)
     return (F.weekday(local) < 5) & (m >= opens) & (m < closes)

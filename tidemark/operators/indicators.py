@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.semantics import log_bps, safe_div
 from tidemark.operators.series import Series
@@ -107,7 +108,7 @@ def ema_paths(df: DataFrame, keys: list[str], order: list[str], value: str, span
     """
     import pandas as pd
 
-    schema = df.schema
+    schema = T.StructType(list(df.schema.fields))  # a copy: add() changes in place
     for name in spans:
         schema = schema.add(name, "double")
 

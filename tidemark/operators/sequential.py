@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.semantics import safe_div
 
@@ -39,7 +40,7 @@ def guarded(df: DataFrame, keys: Sequence[str], time: str, net: str, horizon: in
 
     Sequential by nature: one pass a key, one key a task.
     """
-    schema = df.schema.add("taken", "int").add("reason", "string")
+    schema = T.StructType(list(df.schema.fields)).add("taken", "int").add("reason", "string")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(time, kind="stable")

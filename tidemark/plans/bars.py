@@ -75,13 +75,13 @@ SELECT *, buy_volume - sell_volume AS signed_volume, CASE WHEN buy_volume + sell
  CASE WHEN buy_volume + sell_volume > 0 THEN quote / (buy_volume + sell_volume) END AS vwap, {lbps('high', 'low')} AS range_bps FROM g"""
 
 
-@query("A5_trade_flow", FLOW, l="user_id bucket trades buys", d="buy_volume sell_volume buy_quote sell_quote mean_size median_size max_size signed_volume imbalance vwap range_bps", digits=4)
+@query("A5_trade_flow", FLOW, l="user_id bucket trades buys", d="buy_volume sell_volume buy_quote sell_quote mean_size median_size max_size signed_volume imbalance vwap range_bps")
 def _(spark, d):
     e = events(spark, d).withColumn("k", F.col("k").cast("double"))
     return B.trade_flow(e, ["user_id"], DAY, "t", "value", "k", F.col("event_type").isin("purchase", "signup"), "event_id")
 
 
-@query("A6_realized_volatility", FLOW, l="user_id bucket trades", d="realized_bps", digits=4)
+@query("A6_realized_volatility", FLOW, l="user_id bucket trades", d="realized_bps")
 def _(spark, d):
     e = events(spark, d).withColumn("k", F.col("k").cast("double"))
     return B.trade_flow(e, ["user_id"], DAY, "t", "value", "k", F.col("event_type").isin("purchase", "signup"), "event_id")
@@ -89,7 +89,7 @@ def _(spark, d):
 
 @query("A7_large_trades", f"""WITH {EV}, q AS (SELECT *, t // {HOUR} * {HOUR} AS bucket, value * k AS q FROM ev), m AS (SELECT event_type, bucket, max(q) AS top FROM q GROUP BY ALL),
 th AS (SELECT event_type, bucket, CASE WHEN count(top) OVER w >= 2 THEN quantile_cont(top, 0.95) OVER w END AS threshold FROM m WINDOW w AS (PARTITION BY event_type ORDER BY bucket ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING))
-SELECT q.event_type, q.bucket, max(threshold) AS threshold, count(*) FILTER (q >= threshold) AS large_trades, coalesce(sum(q) FILTER (q >= threshold), 0) AS large_quote FROM q JOIN th USING (event_type, bucket) GROUP BY ALL""", l="bucket large_trades", d="threshold large_quote", s="event_type", digits=4)
+SELECT q.event_type, q.bucket, max(threshold) AS threshold, count(*) FILTER (q >= threshold) AS large_trades, coalesce(sum(q) FILTER (q >= threshold), 0) AS large_quote FROM q JOIN th USING (event_type, bucket) GROUP BY ALL""", l="bucket large_trades", d="threshold large_quote", s="event_type")
 def _(spark, d):
     return B.large_trades(events(spark, d), ["event_type"], HOUR, "t", F.col("value") * F.col("k"), 24)
 
@@ -100,7 +100,7 @@ def _(spark, d):
     return B.metric_summary(events(spark, d), ["event_type"], HOUR, "t", ["value", "k"], "event_id")
 
 
-@query("A34_daily_quote_volume", f"WITH {EV} SELECT event_type, t // {DAY} AS day, sum(CASE WHEN value > 5 THEN value * k END) AS quote FROM ev GROUP BY ALL", l="day", d="quote", s="event_type", digits=4)
+@query("A34_daily_quote_volume", f"WITH {EV} SELECT event_type, t // {DAY} AS day, sum(CASE WHEN value > 5 THEN value * k END) AS quote FROM ev GROUP BY ALL", l="day", d="quote", s="event_type")
 def _(spark, d):
     return events(spark, d).groupBy("event_type", F.floor(F.col("t") / DAY).alias("day")).agg(F.sum(F.when(F.col("value") > 5, F.col("value") * F.col("k"))).alias("quote"))
 
@@ -117,7 +117,7 @@ FLAG = f"""WITH {DENSE}, x AS (SELECT *, row_number() OVER o - 1 AS i, count(*)
 SELECT *, CASE WHEN i < floor(n * 0.6) THEN 'train' WHEN i < floor(n * 0.8) THEN 'validation' ELSE 'holdout' END AS split FROM x"""
 
 
-@query("flagship_feature_label_table", FLAG, l="bucket observed", d="price return_bps mean_24 std_24 mfe_3 mae_3", s="event_type split", digits=4)
+@query("flagship_feature_label_table", FLAG, l="bucket observed", d="price return_bps mean_24 std_24 mfe_3 mae_3", s="event_type split")
 def flagship(spark, d):
     """Buckets, gap fill, returns, rolling statistics, future excursions and a chronological split."""
     x = dense(spark, d)

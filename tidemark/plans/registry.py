@@ -16,7 +16,7 @@ from tidemark.operators.series import Series
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-EV = "ev AS (SELECT event_id, user_id, event_type, value, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k, epoch_ms(ts) AS t FROM events)"
+EV = "ev AS (SELECT event_id, user_id, event_type, value, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k, epoch_us(ts) // 1000 AS t FROM events)"
 USER = Series(("user_id",), ("t", "event_id"))
 TYPE = Series(("event_type",), ("t", "event_id"))
 BY_USER, BY_TYPE = "PARTITION BY user_id ORDER BY t, event_id", "PARTITION BY event_type ORDER BY t, event_id"
