@@ -58,5 +58,5 @@ def leave_out(df: DataFrame, symbol: str, block: Column, symbols: Sequence[str],
     df = df.withColumn("_c", F.explode(cases))
     same_s, same_b = F.col(symbol).cast("string") == F.col("_c.s"), F.col("_block") == F.col("_c.b")
     test = F.when(F.col("_c.kind") == "symbol", same_s).when(F.col("_c.kind") == "block", same_b).otherwise(same_s & same_b)
-    drop = (F.col("_c.kind") == "both") & (same_s ^ same_b)
+    drop = (F.col("_c.kind") == "both") & (same_s != same_b)
     return df.withColumn("scenario", F.col("_c.scenario")).withColumn("role", F.when(test, "test").when(drop, "dropped").otherwise("train")).drop("_c", "_block")
