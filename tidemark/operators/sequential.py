@@ -40,7 +40,7 @@ def guarded(df: DataFrame, keys: Sequence[str], time: str, net: str, horizon: in
 
     Sequential by nature: one pass a key, one key a task.
     """
-    schema = T.StructType(list(df.schema.fields)).add("taken", "int").add("reason", "string")
+    schema = T.StructType(list(df.schema.fields)).add("taken", T.IntegerType()).add("reason", T.StringType())
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(time, kind="stable")
