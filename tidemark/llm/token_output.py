@@ -19,9 +19,11 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +33,21 @@ from tidemark.llm.scratch import input_bytes, materialise, parts_for, shared_dir
 STEP = 128  # tokens between checkpoints
 BLOCK_TOKENS = 1 << 18
 MAX_BITS = 16
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 300_000
+#: A Latin letter before stops at the end of a chunk: letters and signs never share a pre-token.
+_LETTER_THEN_STOP = r"([a-z\x{DF}-\x{F6}\x{F8}-\x{FF}])([,.]+)([\x20\x09-\x0D]|$)"
+
+
+class _Index(dict):
+    """Chunk to number; a chunk seen for the first time gets the next one and is listed in `new`."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self.new.append(chunk)
+        self[chunk] = n = len(self)
+        return n
 
 
 class ChunkEncoder:
@@ -45,37 +61,56 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: Bytes that hold an id of this vocabulary.
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.lowers = '"Lowercase"' in self.tokenizer.to_str().split('"model"')[0]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Index()
         self.flat, self.starts, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64), 0
+        self.hits = np.zeros(0, np.int64)
 
-    def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
+    def _shrink(self) -> None:
+        """Keep the half of the chunks that was met most often."""
+        words, keep = list(self.index), np.sort(np.argsort(-self.hits, kind="stable")[: CACHE_CHUNKS // 2])
+        ids = [self.flat[self.starts[i] : self.starts[i + 1]] for i in keep.tolist()]
+        hits = self.hits[keep] // 2
+        self.clear()
+        self.index.update(zip((words[i] for i in keep.tolist()), range(len(keep))))
+        self.flat, self.starts, self.hits = np.concatenate(ids), np.r_[0, np.cumsum([len(x) for x in ids])], hits
+        self.used = len(self.flat)
+
+    def _chunks(self, texts: pa.Array) -> pa.Array:
+        """Texts cut at white space; where the tokenizer cuts anyway, also before , or . at a chunk's end."""
+        texts = pc.fill_null(texts, "")
+        if self.lowers and not any(pc.any(pc.match_substring(texts, s, ignore_case=True)).as_py() for s in self.special):
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), _LETTER_THEN_STOP, r"\1 \2\3")
+        return pc.ascii_split_whitespace(texts)
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids after one another, and the number of ids of each text, its end id included."""
         if len(self.index) > CACHE_CHUNKS:
-            self.clear()
-        words: list[str] = []
-        sizes = np.zeros(len(texts), dtype=np.int64)
-        for i, t in enumerate(texts):
-            for c in "\n\t\r\x0b\x0c":
-                if t and c in t:
-                    t = t.replace(c, " ")
-            ws = t.split(" ") if t else []
-            sizes[i] = len(ws)
-            words += ws
-        new = list(set(words) - self.index.keys())
-        if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            total = self.used + int(lens.sum())
+            self._shrink()
+        words = self._chunks(texts)
+        sizes = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        known = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))
+        self.hits = np.concatenate([self.hits, np.zeros(len(self.index) - len(self.hits), np.int64)])
+        self.hits[known] += 1
+        at = known[coded.indices.to_numpy(zero_copy_only=False)] if len(distinct) else np.zeros(0, np.int64)
+        for k in range(0, len(self.index.new), 4096):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(self.index.new[k : k + 4096], add_special_tokens=False)]
+            flat, lens = np.array(list(chain.from_iterable(ids)), np.uint32), np.array([len(x) for x in ids], np.int64)
+            total = self.used + len(flat)
             if total > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(total, np.uint32)])
-            self.flat[self.used : total] = np.fromiter((x for e in ids for x in e), np.uint32, total - self.used)
+            self.flat[self.used : total] = flat
             self.starts = np.concatenate([self.starts, self.used + np.cumsum(lens)])
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
             self.used = total
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        self.index.new.clear()
         begin, n = self.starts[at], self.starts[at + 1] - self.starts[at]
         before = np.cumsum(n) - n
         ids = self.flat[np.repeat(begin - before, n) + np.arange(int(n.sum()))]
@@ -84,7 +119,7 @@ class ChunkEncoder:
 
 
 def _slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
-    size = np.cumsum([len(x) if x else 0 for x in batch.column(column).to_pylist()])
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     start = 0
     while start < batch.num_rows:
         end = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + limit)))
@@ -96,21 +131,24 @@ _encoders: dict[str, ChunkEncoder] = {}
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_crc32, ids): ids packed as little-endian unsigned 32-bit integers."""
+    """(doc_id, n_tokens, ids_crc32, width, ids): ids packed as little-endian integers of `width` bytes."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, ChunkEncoder(tokenizer))
         for whole in batches:
             for batch in _slices(whole, 1, 4 << 20):
-                ids, n = encoder.encode(batch.column(1).to_pylist(), end_id)
+                ids, n = encoder.encode(batch.column(1), end_id)
                 edge = np.r_[0, np.cumsum(n)]
-                packed = [ids[a:b].astype("<u4").tobytes() for a, b in zip(edge[:-1], edge[1:])]
-                crc = pa.array([zlib.crc32(p) for p in packed], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), crc, pa.array(packed, pa.binary())], names=["doc_id", "n_tokens", "ids_crc32", "ids"])
+                wide, narrow = ids.astype("<u4"), ids.astype(f"<u{encoder.width}")
+                pairs = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
+                crc = pa.array([zlib.crc32(wide[a:b]) for a, b in pairs], pa.int64())
+                packed = pa.array([narrow[a:b].tobytes() for a, b in pairs], pa.binary())
+                width = pa.array(np.full(len(pairs), encoder.width, np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), crc, width, packed], names=["doc_id", "n_tokens", "ids_crc32", "width", "ids"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_crc32 long, ids binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_crc32 long, width int, ids binary")
 
 
 def id_counts(tokens: DataFrame) -> DataFrame:
@@ -119,14 +157,15 @@ def id_counts(tokens: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                n = np.bincount(np.frombuffer(ids, "<u4"), minlength=len(total))
+            if batch.num_rows:
+                ids = np.frombuffer(b"".join(batch.column(1).to_pylist()), f"<u{batch.column(0)[0].as_py()}")
+                n = np.bincount(ids, minlength=len(total))
                 n[: len(total)] += total
                 total = n
         have = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(have, pa.int64()), pa.array(total[have], pa.int64())], names=["id", "n"])
 
-    return tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.select("width", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def code_lengths(weights: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -217,24 +256,24 @@ def write_tokens(tokens: DataFrame, path: str, target_bytes: int = 32 << 20) ->
 
         def flush() -> pa.RecordBatch:
             nonlocal held, size, block, first
-            parts = [np.frombuffer(x, "<u4") for _, x in held]
+            parts = [np.frombuffer(x, f"<u{w}") for _, x, w in held]
             payload, checkpoints = coder.encode(np.concatenate(parts))
-            row = {"shard": shard, "block": block, "first_token": first, "n_tokens": size, "doc_ids": [d for d, _ in held], "doc_tokens": [len(p) for p in parts], "checkpoints": checkpoints, "payload": payload}
+            row = {"shard": shard, "block": block, "first_token": first, "n_tokens": size, "doc_ids": [d for d, _, _ in held], "doc_tokens": [len(p) for p in parts], "checkpoints": checkpoints, "payload": payload}
             held, block, first, size = [], block + 1, first + size, 0
             return row
 
         fields = None
         for batch in batches:
             fields = fields or pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("first_token", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(batch.schema.field(0).type)), ("doc_tokens", pa.list_(pa.int64())), ("checkpoints", pa.binary()), ("payload", pa.binary())])
-            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for row in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "ids", "width"))):
                 held.append(row)
-                size += len(row[1]) // 4
+                size += len(row[1]) // row[2]
                 if size >= BLOCK_TOKENS:
                     yield pa.RecordBatch.from_pylist([flush()], schema=fields)
         if held:
             yield pa.RecordBatch.from_pylist([flush()], schema=fields)
 
-    ordered.select("doc_id", "ids").mapInArrow(run, f"shard int, block long, first_token long, n_tokens long, doc_ids array<{kind.simpleString()}>, doc_tokens array<long>, checkpoints binary, payload binary").write.parquet(f"{path}/blocks")
+    ordered.select("doc_id", "ids", "width").mapInArrow(run, f"shard int, block long, first_token long, n_tokens long, doc_ids array<{kind.simpleString()}>, doc_tokens array<long>, checkpoints binary, payload binary").write.parquet(f"{path}/blocks")
     return path
 
 
@@ -256,11 +295,11 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                 ids = coder.decode(x["payload"].as_py(), x["checkpoints"].as_py(), x["n_tokens"].as_py()).astype("<u4")
                 n = x["doc_tokens"].values.to_numpy()
                 edge = np.r_[0, np.cumsum(n)]
-                packed = [ids[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]
-                columns = [x["doc_ids"].values, pa.array(edge[:-1] + x["first_token"].as_py() + base[x["shard"].as_py()]), pa.array(n), pa.array([zlib.crc32(p) for p in packed], pa.int64())]
+                parts = [ids[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+                columns = [x["doc_ids"].values, pa.array(edge[:-1] + x["first_token"].as_py() + base[x["shard"].as_py()]), pa.array(n), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
                 names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                 if with_ids:
-                    columns, names = [*columns, pa.array(packed, pa.binary())], [*names, "ids"]
+                    columns, names = [*columns, pa.array([p.tobytes() for p in parts], pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return blocks.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
