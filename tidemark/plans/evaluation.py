@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import DAY, HOUR
@@ -9,17 +10,31 @@ from tidemark.operators import diagnostics as G
 from tidemark.operators import metrics as M
 from tidemark.operators import sequential as Q
 from tidemark.plans.bars import BARS, hourly
-from tidemark.plans.features import barq, ev
+from tidemark.plans.features import BAR, barq, ev
 from tidemark.plans.labelling import placed
 from tidemark.plans.registry import BY_TYPE, BY_USER, EV, USER, events, query, table
 
-c, v = F.col, F.col("value")
+c = F.col
+
+
+def val():
+    return F.col("value")
+
 PRED = f"""{EV}, pr AS (SELECT * FROM (SELECT *, lag(value) OVER ({BY_USER}) - 35.0 AS pred, value - 35.0 AS actual FROM ev) WHERE pred IS NOT NULL)"""
 
 
+def next_3():
+    return BAR.next_n(3)
+
+
+def place_order():
+    """A leaderboard holds one row per candidate, so one task ranks it."""
+    return Window.orderBy((c("n") >= 50).desc(), c("mean").desc(), c("worst").desc(), "user_id")
+
+
 def preds(spark, d):
     """Prediction and outcome pairs: the value before, against the value, both around 35."""
-    return events(spark, d).withColumns({"pred": USER.lag(v) - 35.0, "actual": v - 35.0}).filter("pred is not null")
+    return events(spark, d).withColumns({"pred": USER.lag(val()) - 35.0, "actual": val() - 35.0}).filter("pred is not null")
 
 
 def pq(name, sql, fn, l="", d="", s="", b="", digits=6):  # noqa: E741
@@ -60,10 +75,7 @@ pq("A13_weighted_blocks", f", {NET}, " + BLOCKS.format(block=f"(t - 170406720000
 pq("A48_contract_survivors", f", {NET}, " + BLOCKS.format(block="day").replace("SELECT event_type,", "SELECT user_id AS event_type,", 1) + " WHERE positive_fraction >= 0.4", lambda p: M.window_blocks(net(p).withColumn("event_type", c("user_id").cast("string")), ["event_type"], c("day"), "net").filter("positive_fraction >= 0.4"), l="blocks passed", d="positive_fraction worst", s="event_type")
 ev("A15_quantile_battery", "SELECT event_type, " + ", ".join(f"quantile_cont(value, {q}) AS p{round(q * 100):02d}" for q in (0.1, 0.5, 0.75, 0.9, 0.95, 0.99)) + " FROM ev GROUP BY ALL", lambda e: M.quantile_battery(e, ["event_type"], "value"), l="", d="p10 p50 p75 p90 p95 p99", s="event_type")
 barq("A16_opportunity_report", ", m AS (SELECT event_type, (max(high) OVER w / close - 1) * 1e4 AS up, (lead(close, 3) OVER (PARTITION BY event_type ORDER BY bucket) / close - 1) * 1e4 AS fin, count(*) OVER w AS n FROM bars WINDOW w AS (PARTITION BY event_type ORDER BY bucket ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)) SELECT event_type, avg(up) AS mean_up, avg(fin) AS mean_end, avg(CASE WHEN up > 5000 THEN 1.0 ELSE 0.0 END) AS opportunity, count(*) AS n FROM m WHERE n = 3 GROUP BY ALL",
-     lambda b: b.withColumns({"up": (F.max("high").over(W3) / c("close") - 1) * 1e4, "fin": (F.lead("close", 3).over(WB) / c("close") - 1) * 1e4, "n": F.count("*").over(W3)}).filter("n = 3").groupBy("event_type").agg(F.avg("up").alias("mean_up"), F.avg("fin").alias("mean_end"), F.avg((c("up") > 5000).cast("double")).alias("opportunity"), F.count("*").alias("n")), l="n", d="mean_up mean_end opportunity")
-from tidemark.plans.features import BAR  # noqa: E402
-
-W3, WB = BAR.next_n(3), BAR.spec
+     lambda b: b.withColumns({"up": (F.max("high").over(next_3()) / c("close") - 1) * 1e4, "fin": (F.lead("close", 3).over(BAR.spec) / c("close") - 1) * 1e4, "n": F.count("*").over(next_3())}).filter("n = 3").groupBy("event_type").agg(F.avg("up").alias("mean_up"), F.avg("fin").alias("mean_end"), F.avg((c("up") > 5000).cast("double")).alias("opportunity"), F.count("*").alias("n")), l="n", d="mean_up mean_end opportunity")
 pq("A17_expectancy", f", {NET}, q AS (SELECT *, sum(net) OVER ({BY_USER} ROWS UNBOUNDED PRECEDING) AS cu FROM nt), r AS (SELECT *, cu - max(cu) OVER ({BY_USER} ROWS UNBOUNDED PRECEDING) AS dip FROM q) SELECT user_id, count(net) AS n, avg(net) AS mean, sum(net) AS total, avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, min(dip) AS max_dip, avg(CASE WHEN net > 0 THEN net END) / avg(CASE WHEN net < 0 THEN -net END) AS payoff FROM r GROUP BY ALL", lambda p: M.expectancy(net(p), ["user_id"], ["t", "event_id"], "net"), l="user_id n", d="mean total win_rate max_dip payoff")
 GRID = "g(threshold, cost) AS (SELECT a, b FROM (VALUES (0.0), (5.0), (10.0), (20.0)) x(a), (VALUES (0.0), (4.0)) y(b))"
 pq("A31_threshold_cost_sweep", f", {GRID} SELECT event_type, threshold, cost, count(*) AS n, avg(sign(pred) * actual - cost) AS mean_net, sum(sign(pred) * actual - cost) AS total_net, avg(CASE WHEN sign(pred) * actual - cost > 0 THEN 1.0 ELSE 0.0 END) AS win_rate FROM pr, g WHERE abs(pred) > threshold GROUP BY ALL", lambda p: M.threshold_sweep(p, ["event_type"], "pred", "actual", [0.0, 5.0, 10.0, 20.0], [0.0, 4.0]), l="n", d="threshold cost mean_net total_net win_rate", s="event_type")
@@ -112,11 +124,7 @@ def _(spark, d):
     return M.interval(M.bootstrap_means(net(preds(spark, d)), "net", c("day"), 200))
 
 
-pq("A32_leaderboard", f", {NET}, g AS (SELECT user_id, count(*) AS n, avg(net) AS mean, min(net) AS worst FROM nt GROUP BY ALL) SELECT *, row_number() OVER (ORDER BY n >= 50 DESC, mean DESC, worst DESC, user_id) AS place FROM g", lambda p: net(p).groupBy("user_id").agg(F.count("*").alias("n"), F.avg("net").alias("mean"), F.min("net").alias("worst")).withColumn("place", F.row_number().over(RANK)), l="user_id n place", d="mean worst")
-from pyspark.sql import Window  # noqa: E402
-
-#: A leaderboard holds one row per candidate, so one task ranks it.
-RANK = Window.orderBy((c("n") >= 50).desc(), c("mean").desc(), c("worst").desc(), "user_id")
+pq("A32_leaderboard", f", {NET}, g AS (SELECT user_id, count(*) AS n, avg(net) AS mean, min(net) AS worst FROM nt GROUP BY ALL) SELECT *, row_number() OVER (ORDER BY n >= 50 DESC, mean DESC, worst DESC, user_id) AS place FROM g", lambda p: net(p).groupBy("user_id").agg(F.count("*").alias("n"), F.avg("net").alias("mean"), F.min("net").alias("worst")).withColumn("place", F.row_number().over(place_order())), l="user_id n place", d="mean worst")
 ev("A33_group_transform", "SELECT event_id, count(*) OVER (PARTITION BY user_id) AS n, d.kinds FROM ev JOIN (SELECT user_id, count(DISTINCT k) AS kinds FROM ev GROUP BY user_id) d USING (user_id)", lambda e: e.join(e.groupBy("user_id").agg(F.count("*").alias("n"), F.countDistinct("k").alias("kinds")), "user_id"), l="event_id n kinds")
 ev("A35_lineage_strings", "SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type)), ';') AS lineage FROM ev GROUP BY user_id", lambda e: e.groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("event_type")), ";").alias("lineage")), l="user_id", s="lineage")
 FIT = f", {NET}, b AS (SELECT user_id, day, sum(net) AS x FROM nt GROUP BY ALL), g AS (SELECT user_id, quantile_cont(x, 0.5) AS med, min(x) AS worst, count(*) AS n FROM b GROUP BY ALL), f AS (SELECT *, med + 0.75 * worst - 0.1 * abs(n - 20) AS fitness FROM g)"
@@ -132,14 +140,14 @@ pq("A36_fitness_survivors", FIT + ", o AS (SELECT *, row_number() OVER (ORDER BY
 pq("A38_loss_attribution", f", {NET} SELECT CASE WHEN net >= 0 THEN 'win' WHEN actual > 20 THEN 'spike' WHEN net > -6 THEN 'cost' ELSE 'wrong_side' END AS reason, count(*) AS n, sum(net) AS total FROM nt GROUP BY ALL", lambda p: net(p).groupBy(F.when(c("net") >= 0, "win").when(c("actual") > 20, "spike").when(c("net") > -6, "cost").otherwise("wrong_side").alias("reason")).agg(F.count("*").alias("n"), F.sum("net").alias("total")), l="n", d="total", s="reason")
 pq("A39_adjusted_skewness", "SELECT event_type, skewness(pred) AS skew FROM pr GROUP BY ALL", lambda p: p.groupBy("event_type").agg((F.skewness("pred") * F.sqrt(F.count("pred") * (F.count("pred") - 1.0)) / (F.count("pred") - 2.0)).alias("skew")), d="skew", s="event_type")
 pq("A40_direction_baselines", "SELECT event_type, avg(CASE WHEN actual > 0 THEN 1.0 ELSE 0.0 END) AS always_long, avg(CASE WHEN actual < 0 THEN 1.0 ELSE 0.0 END) AS always_short, greatest(avg(CASE WHEN actual > 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN actual < 0 THEN 1.0 ELSE 0.0 END)) AS majority, avg(CASE WHEN sign(actual) = sign(pred) THEN 1.0 ELSE 0.0 END) AS momentum FROM pr GROUP BY ALL", lambda p: p.groupBy("event_type").agg(F.avg((c("actual") > 0).cast("double")).alias("always_long"), F.avg((c("actual") < 0).cast("double")).alias("always_short"), F.greatest(F.avg((c("actual") > 0).cast("double")), F.avg((c("actual") < 0).cast("double"))).alias("majority"), F.avg((F.signum("actual") == F.signum("pred")).cast("double")).alias("momentum")), d="always_long always_short majority momentum", s="event_type")
-ev("A41_fixed_buckets", ", m AS (SELECT CASE WHEN k % 7 <> 0 THEN value END AS x FROM ev) SELECT CASE WHEN x IS NULL THEN 'missing' WHEN x < 10 THEN '<10' WHEN x < 50 THEN '[10,50)' WHEN x < 100 THEN '[50,100)' ELSE '>=100' END AS bucket, count(*) AS n FROM m GROUP BY ALL", lambda e: e.groupBy(M.fixed_buckets(F.when(c("k") % 7 != 0, v), [10.0, 50.0, 100.0]).alias("bucket")).agg(F.count("*").alias("n")), l="n", s="bucket")
+ev("A41_fixed_buckets", ", m AS (SELECT CASE WHEN k % 7 <> 0 THEN value END AS x FROM ev) SELECT CASE WHEN x IS NULL THEN 'missing' WHEN x < 10 THEN '<10' WHEN x < 50 THEN '[10,50)' WHEN x < 100 THEN '[50,100)' ELSE '>=100' END AS bucket, count(*) AS n FROM m GROUP BY ALL", lambda e: e.groupBy(M.fixed_buckets(F.when(c("k") % 7 != 0, val()), [10.0, 50.0, 100.0]).alias("bucket")).agg(F.count("*").alias("n")), l="n", s="bucket")
 pq("A43_composite_score", FIT + " SELECT user_id, med + 0.5 * worst - CASE WHEN n < 18 THEN 10 ELSE 0 END AS score, array_to_string(list_filter([CASE WHEN n < 18 THEN 'few_days' END, CASE WHEN worst < -200 THEN 'deep_loss' END, CASE WHEN med < 0 THEN 'negative_median' END], lambda x: x IS NOT NULL), ';') AS reasons FROM f", lambda p: fitness(p).withColumns({"score": c("med") + 0.5 * c("worst") - F.when(c("n") < 18, 10).otherwise(0), "reasons": M.reasons({"few_days": c("n") < 18, "deep_loss": c("worst") < -200, "negative_median": c("med") < 0})}), l="user_id", d="score", s="reasons")
 ev("A45_series_eligibility", f", g AS (SELECT user_id, count(*) AS n, count(DISTINCT t // {DAY}) AS days, count(*) FILTER (event_type = 'purchase') AS p FROM ev GROUP BY ALL) SELECT user_id, array_to_string(list_filter([CASE WHEN n < 60 THEN 'rows' END, CASE WHEN days < 25 THEN 'days' END, CASE WHEN p < 10 THEN 'outcomes' END], lambda x: x IS NOT NULL), ';') AS reasons FROM g", lambda e: e.groupBy("user_id").agg(F.count("*").alias("n"), F.countDistinct(F.floor(c("t") / DAY)).alias("days"), F.count_if(c("event_type") == "purchase").alias("p")).withColumn("reasons", M.reasons({"rows": c("n") < 60, "days": c("days") < 25, "outcomes": c("p") < 10})), l="user_id", s="reasons")
 ev("A46_feature_drift", ", s AS (SELECT avg(value) AS m, stddev_pop(value) AS sd, avg(k) AS mk, stddev_pop(k) AS sk FROM ev WHERE event_id < 5000), z AS (SELECT 'value' AS feature, (value - m) / sd AS z FROM ev, s WHERE event_id >= 5000 UNION ALL SELECT 'k', (k - mk) / sk FROM ev, s WHERE event_id >= 5000) SELECT feature, avg(z) AS z_mean, stddev_pop(z) AS z_std, avg(CASE WHEN abs(z) > 3 THEN 1.0 ELSE 0.0 END) AS over_3, avg(CASE WHEN abs(z) > 5 THEN 1.0 ELSE 0.0 END) AS over_5 FROM z GROUP BY feature", lambda e: M.drift(e.filter("event_id >= 5000"), G.fit_scaler(e.filter("event_id < 5000"), ["value", "k"]), ["value", "k"]), l="", d="z_mean z_std over_3 over_5", s="feature")
 ev("A47_column_profile", ", g AS (SELECT event_type, k, count(*) AS n FROM ev GROUP BY ALL) SELECT event_type, arg_max(k, (n, k)) AS mode_k, max(n) AS mode_n, count(*) AS distinct_k FROM g GROUP BY event_type", lambda e: e.groupBy("event_type", "k").agg(F.count("*").alias("n")).groupBy("event_type").agg(F.max_by("k", F.struct("n", "k")).alias("mode_k"), F.max("n").alias("mode_n"), F.count("*").alias("distinct_k")), l="mode_k mode_n distinct_k", s="event_type")
 pq("A49_lexicographic_selection", f", {GRID}, sw AS (SELECT event_type, threshold, count(*) AS n, avg(sign(pred) * actual) AS mean FROM pr, (SELECT DISTINCT threshold FROM g) WHERE abs(pred) > threshold GROUP BY ALL) SELECT event_type, arg_max(threshold, (n >= 300, mean, -threshold)) AS threshold, max(n >= 300) AS enough FROM sw GROUP BY event_type", lambda p: M.best_row(M.threshold_sweep(p, ["event_type"], "pred", "actual", [0.0, 5.0, 10.0, 20.0]).withColumn("enough", c("n") >= 300), ["event_type"], [c("enough"), c("mean_net"), -c("threshold")]), d="threshold", s="event_type", b="enough")
 ev("A50_tertile_regime", ", q AS (SELECT event_type, quantile_cont(value, 1 / 3) AS a, quantile_cont(value, 2 / 3) AS b FROM ev GROUP BY ALL) SELECT event_id, CASE WHEN value <= a THEN 'low' WHEN value > b THEN 'high' ELSE 'mid' END AS bucket FROM ev JOIN q USING (event_type)", lambda e: M.tertile(e, ["event_type"], "value"), l="event_id", s="bucket")
-ev("A51_label_availability", f", m AS (SELECT event_id, lead(value, 1) OVER w AS a, lead(value, 5) OVER w AS b, lead(value, 10) OVER w AS c3 FROM ev WINDOW w AS ({BY_USER})) SELECT event_id, CASE WHEN a IS NULL AND b IS NULL AND c3 IS NULL THEN 'none' WHEN a IS NOT NULL AND b IS NOT NULL AND c3 IS NOT NULL THEN 'all' ELSE 'partial' END AS state FROM m", lambda e: e.withColumns({"a": USER.lead(v, 1), "b": USER.lead(v, 5), "c3": USER.lead(v, 10)}).withColumn("state", M.availability(["a", "b", "c3"])), l="event_id", s="state")
+ev("A51_label_availability", f", m AS (SELECT event_id, lead(value, 1) OVER w AS a, lead(value, 5) OVER w AS b, lead(value, 10) OVER w AS c3 FROM ev WINDOW w AS ({BY_USER})) SELECT event_id, CASE WHEN a IS NULL AND b IS NULL AND c3 IS NULL THEN 'none' WHEN a IS NOT NULL AND b IS NOT NULL AND c3 IS NOT NULL THEN 'all' ELSE 'partial' END AS state FROM m", lambda e: e.withColumns({"a": USER.lead(val(), 1), "b": USER.lead(val(), 5), "c3": USER.lead(val(), 10)}).withColumn("state", M.availability(["a", "b", "c3"])), l="event_id", s="state")
 ev("S_quantile_bins", ", q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS b, quantile_cont(value, 0.75) AS c3 FROM ev) SELECT event_id, CAST(value > a AS INT) + CAST(value > b AS INT) + CAST(value > c3 AS INT) AS bin FROM ev, q", lambda e: M.quantile_bins(e, "value", 4), l="event_id bin")
 
 # ---- sequential, costs, diagnostics, models ---------------------------------------------------------
@@ -156,7 +164,7 @@ def _(spark, d):
 def _(spark, d):
     e = events(spark, d)
     taken = Q.non_overlapping(e, ["user_id"], "t", "event_id", 2 * DAY).select("event_id")
-    return e.join(taken, "event_id").groupBy("user_id").agg(F.count("*").alias("trades"), F.sum(v - 35.0).alias("pnl"))
+    return e.join(taken, "event_id").groupBy("user_id").agg(F.count("*").alias("trades"), F.sum(val() - 35.0).alias("pnl"))
 
 
 @query("D2_cooldown_after_loss", l="event_id taken", s="reason")
@@ -169,7 +177,7 @@ def _(spark, d):
     return Q.guarded(net(preds(spark, d)).select("user_id", "event_id", "t", "net"), ["user_id"], "t", "net", HOUR, 0, 150.0)
 
 
-ev("D3_density_limit", f", m AS (SELECT *, CASE WHEN value > 40 THEN 1 ELSE 0 END AS sig FROM ev) SELECT event_id, CASE WHEN sig = 1 AND coalesce(sum(sig) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING), 0) < 4 THEN 1 ELSE 0 END AS kept FROM m", lambda e: Q.density_limited(e, ["user_id"], ["t", "event_id"], v > 40, 10, 4), l="event_id kept")
+ev("D3_density_limit", f", m AS (SELECT *, CASE WHEN value > 40 THEN 1 ELSE 0 END AS sig FROM ev) SELECT event_id, CASE WHEN sig = 1 AND coalesce(sum(sig) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING), 0) < 4 THEN 1 ELSE 0 END AS kept FROM m", lambda e: Q.density_limited(e, ["user_id"], ["t", "event_id"], val() > 40, 10, 4), l="event_id kept")
 
 
 @query("D6_ladder_sweep", l="config_id fills profits stops timeouts rebalances halted open", d="net_bps max_drawdown_bps", s="event_type")
@@ -178,12 +186,12 @@ def _(spark, d):
     return Q.ladder_sweep(events(spark, d), ["event_type"], "t", "event_id", "value", grid)
 
 
-ev("D8_dynamic_costs", "SELECT event_id, 1.5 + value / 100 + CASE WHEN k < 20 THEN 1.0 ELSE 0.0 END + CASE WHEN abs((k - 50) / 50.0) > 0.6 THEN 0.5 ELSE 0.0 END + CASE WHEN event_type <> 'error' THEN 0.0 ELSE 2.0 END AS cost FROM ev", lambda e: e.withColumn("cost", Q.dynamic_cost(1.5, v / 100, c("k").cast("double"), (c("k") - 50) / 50.0, c("event_type") != "error", 20.0)), l="event_id", d="cost")
+ev("D8_dynamic_costs", "SELECT event_id, 1.5 + value / 100 + CASE WHEN k < 20 THEN 1.0 ELSE 0.0 END + CASE WHEN abs((k - 50) / 50.0) > 0.6 THEN 0.5 ELSE 0.0 END + CASE WHEN event_type <> 'error' THEN 0.0 ELSE 2.0 END AS cost FROM ev", lambda e: e.withColumn("cost", Q.dynamic_cost(1.5, val() / 100, c("k").cast("double"), (c("k") - 50) / 50.0, c("event_type") != "error", 20.0)), l="event_id", d="cost")
 F4 = ["value", "k", "m5", "l1"]
 
 
 def four(e):
-    return e.withColumns({"m5": USER.mean(v, 5), "l1": USER.lag(v)}).withColumn("k", c("k").cast("double"))
+    return e.withColumns({"m5": USER.mean(val(), 5), "l1": USER.lag(val())}).withColumn("k", c("k").cast("double"))
 
 
 M4 = f", m AS (SELECT *, CASE WHEN count(value) OVER w = 5 THEN avg(value) OVER w END AS m5, lag(value) OVER ({BY_USER}) AS l1 FROM ev WINDOW w AS ({BY_USER} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))"
@@ -203,7 +211,7 @@ def _(spark, d):
     return G.block_stability(e, "i", n, "value", "k")
 
 
-ev("D11_keep_decision", "SELECT event_id, CASE WHEN k % 11 = 0 THEN 'invalid' WHEN value > 100 THEN 'redundant' WHEN value < 2 THEN 'unstable' ELSE 'keep' END AS decision FROM ev", lambda e: e.withColumn("decision", G.decision(c("k") % 11 == 0, v > 100, v < 2)), l="event_id", s="decision")
+ev("D11_keep_decision", "SELECT event_id, CASE WHEN k % 11 = 0 THEN 'invalid' WHEN value > 100 THEN 'redundant' WHEN value < 2 THEN 'unstable' ELSE 'keep' END AS decision FROM ev", lambda e: e.withColumn("decision", G.decision(c("k") % 11 == 0, val() > 100, val() < 2)), l="event_id", s="decision")
 ev("D12_weighted_ensemble", f"{M4} SELECT event_id, (coalesce(value * 0.5, 0) + coalesce(m5 * 0.3, 0) + coalesce(l1 * 0.2, 0)) / (0.5 + CASE WHEN m5 IS NOT NULL THEN 0.3 ELSE 0 END + CASE WHEN l1 IS NOT NULL THEN 0.2 ELSE 0 END) AS blend FROM m", lambda e: four(e).withColumn("blend", G.ensemble({"value": 0.5, "m5": 0.3, "l1": 0.2})), l="event_id", d="blend")
 ev("D13_train_scaler", ", s AS (SELECT avg(value) AS m, stddev_pop(value) AS sd FROM ev WHERE event_id < 6000) SELECT event_id, (value - m) / sd AS value_z FROM ev, s", lambda e: G.scale(e, ["value"], c("event_id") < 6000), l="event_id", d="value_z")
 ev("D14_baselines", f", s AS (SELECT event_type, avg(value) AS m, quantile_cont(value, 0.5) AS md FROM ev WHERE event_id < 6000 GROUP BY ALL), x AS (SELECT *, lag(value) OVER ({BY_TYPE}) AS b FROM ev) SELECT event_type, avg(abs(value)) AS zero, avg(abs(value - m)) AS train_mean, avg(abs(value - md)) AS train_median, avg(abs(value - b)) AS persistence FROM x JOIN s USING (event_type) WHERE event_id >= 6000 GROUP BY event_type", lambda e: G.baselines(e, ["event_type"], ["t", "event_id"], "value", c("event_id") < 6000), l="", d="zero train_mean train_median persistence", s="event_type")

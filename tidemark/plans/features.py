@@ -14,11 +14,20 @@ from tidemark.operators.series import Series
 from tidemark.plans.bars import BARS, hourly
 from tidemark.plans.registry import BY_TYPE, BY_USER, EV, USER, events, lbps, query, roll
 
-c, v = F.col, F.col("value")
+c = F.col
+
+
+def val():
+    return F.col("value")
+
 BAR = Series(("event_type",), ("bucket",))
 BY_BAR = "PARTITION BY event_type ORDER BY bucket"
 
 
+def type_all():
+    return Series(("event_type",), ()).all()
+
+
 def ev(name: str, sql: str, cols, l: str = "user_id event_id", d: str = "", s: str = "", b: str = ""):  # noqa: E741
     """A query that adds columns to events."""
 
@@ -37,36 +46,35 @@ R = f"r AS (SELECT *, {lbps('value', f'lag(value) OVER ({BY_USER})')} AS ret FRO
 
 
 def with_ret(e):
-    return e.withColumn("ret", USER.returns(v))
+    return e.withColumn("ret", USER.returns(val()))
 
 
-ev("W2_moving_average_distance", f"SELECT *, {lbps('value', roll('avg({x})', 'value', 10))} AS ma_distance FROM ev", lambda e: e.withColumn("ma_distance", I.ma_distance(USER, v, 10)), d="ma_distance")
-ev("W3_range_features", f", m AS (SELECT *, {roll('max({x})', 'value', 10)} AS hi, {roll('min({x})', 'value', 10)} AS lo FROM ev) SELECT *, {lbps('hi', 'lo')} AS range_10, {lbps('value', 'hi')} AS to_high_10, {lbps('value', 'lo')} AS to_low_10 FROM m", lambda e: e.withColumns(I.range_features(USER, v, v, v, 10)), d="range_10 to_high_10 to_low_10")
+ev("W2_moving_average_distance", f"SELECT *, {lbps('value', roll('avg({x})', 'value', 10))} AS ma_distance FROM ev", lambda e: e.withColumn("ma_distance", I.ma_distance(USER, val(), 10)), d="ma_distance")
+ev("W3_range_features", f", m AS (SELECT *, {roll('max({x})', 'value', 10)} AS hi, {roll('min({x})', 'value', 10)} AS lo FROM ev) SELECT *, {lbps('hi', 'lo')} AS range_10, {lbps('value', 'hi')} AS to_high_10, {lbps('value', 'lo')} AS to_low_10 FROM m", lambda e: e.withColumns(I.range_features(USER, val(), val(), val(), 10)), d="range_10 to_high_10 to_low_10")
 ev("W4_rolling_volatility", f", {R} SELECT *, {roll('stddev_pop({x})', 'ret', 10)} AS vol0, {roll('stddev_samp({x})', 'ret', 10)} AS vol1, sqrt(10.0) * {roll('stddev_pop({x})', 'ret', 10)} AS realized FROM r", lambda e: with_ret(e).withColumns({"vol0": USER.std(c("ret"), 10), "vol1": USER.std(c("ret"), 10, 1), "realized": 10**0.5 * USER.std(c("ret"), 10)}), d="vol0 vol1 realized")
 barq("W4b_parkinson", f", x AS (SELECT *, pow({lbps('high', 'low')}, 2) AS h2 FROM bars) SELECT *, sqrt(({roll('avg({x})', 'h2', 6, BY_BAR)}) / (4 * 0.6931471805599453)) AS parkinson FROM x", lambda b: b.withColumn("parkinson", I.parkinson(BAR, c("high"), c("low"), 6)), d="parkinson")
-ev("W5_zscore", f", m AS (SELECT *, {roll('avg({x})', 'value', 10)} AS m, {roll('stddev_pop({x})', 'value', 10)} AS sd FROM ev) SELECT *, CASE WHEN m IS NULL THEN NULL WHEN sd = 0 THEN 0 ELSE (value - m) / sd END AS z FROM m", lambda e: e.withColumn("z", USER.zscore(v, 10)), d="z")
-ev("W6_shifted_zscore", f"SELECT *, CASE WHEN count(value) OVER w = 10 THEN (value - avg(value) OVER w) / stddev_pop(value) OVER w END AS z FROM ev WINDOW w AS ({BY_USER} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)", lambda e: e.withColumn("z", USER.shifted_zscore(v, 10)), d="z")
+ev("W5_zscore", f", m AS (SELECT *, {roll('avg({x})', 'value', 10)} AS m, {roll('stddev_pop({x})', 'value', 10)} AS sd FROM ev) SELECT *, CASE WHEN m IS NULL THEN NULL WHEN sd = 0 THEN 0 ELSE (value - m) / sd END AS z FROM m", lambda e: e.withColumn("z", USER.zscore(val(), 10)), d="z")
+ev("W6_shifted_zscore", f"SELECT *, CASE WHEN count(value) OVER w = 10 THEN (value - avg(value) OVER w) / stddev_pop(value) OVER w END AS z FROM ev WINDOW w AS ({BY_USER} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)", lambda e: e.withColumn("z", USER.shifted_zscore(val(), 10)), d="z")
 SIGNED = "f AS (SELECT *, CASE WHEN event_type IN ('purchase', 'signup') THEN value ELSE -value END AS flow FROM ev)"
 
 
 def signed(e):
-    return e.withColumn("flow", F.when(c("event_type").isin("purchase", "signup"), v).otherwise(-v))
+    return e.withColumn("flow", F.when(c("event_type").isin("purchase", "signup"), val()).otherwise(-val()))
 
 
 ev("W7_flow_persistence", f", {SIGNED}, g AS (SELECT *, flow - lag(flow) OVER ({BY_USER}) AS df, CASE WHEN flow > 0 THEN 1.0 ELSE 0.0 END AS up FROM f) SELECT *, {roll('sum({x})', 'flow', 8)} AS flow_8, {roll('avg({x})', 'up', 8)} AS persistence, {roll('avg({x})', 'df', 8)} AS acceleration, sum(flow) OVER ({BY_USER} ROWS UNBOUNDED PRECEDING) AS delta FROM g",
    lambda e: signed(e).withColumn("df", USER.diff(c("flow"))).withColumns({"flow_8": USER.sum(c("flow"), 8), "persistence": USER.mean(flag(c("flow") > 0), 8), "acceleration": USER.mean(c("df"), 8), "delta": F.sum("flow").over(USER.so_far())}), d="flow_8 persistence acceleration delta")
-ev("W8_rolling_quantiles", f"SELECT *, {roll('quantile_cont({x}, 0.5)', 'value', 12)} AS median, {roll('quantile_cont({x}, 0.9)', 'value', 12)} AS q90 FROM ev", lambda e: e.withColumns({"median": USER.quantile(v, 12, 0.5), "q90": USER.quantile(v, 12, 0.9)}), d="median q90")
-ev("W9_rolling_percent_rank", f", m AS (SELECT *, list(value) OVER ({BY_USER} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS vs FROM ev) SELECT *, CASE WHEN len(vs) >= 5 THEN (len(list_filter(vs, lambda x: x < value)) + (len(list_filter(vs, lambda x: x = value)) + 1) / 2.0) / len(vs) END AS pct FROM m", lambda e: e.withColumn("pct", USER.percent_rank(v, 20, 5)), d="pct")
+ev("W8_rolling_quantiles", f"SELECT *, {roll('quantile_cont({x}, 0.5)', 'value', 12)} AS median, {roll('quantile_cont({x}, 0.9)', 'value', 12)} AS q90 FROM ev", lambda e: e.withColumns({"median": USER.quantile(val(), 12, 0.5), "q90": USER.quantile(val(), 12, 0.9)}), d="median q90")
+ev("W9_rolling_percent_rank", f", m AS (SELECT *, list(value) OVER ({BY_USER} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS vs FROM ev) SELECT *, CASE WHEN len(vs) >= 5 THEN (len(list_filter(vs, lambda x: x < value)) + (len(list_filter(vs, lambda x: x = value)) + 1) / 2.0) / len(vs) END AS pct FROM m", lambda e: e.withColumn("pct", USER.percent_rank(val(), 20, 5)), d="pct")
 ev("W10_percent_rank_fullsample", "SELECT *, (rank() OVER (PARTITION BY event_type ORDER BY value) + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2.0) / count(*) OVER (PARTITION BY event_type) AS pct FROM ev",
-   lambda e: e.withColumn("pct", (F.rank().over(Series(("event_type",), ("value",)).spec) + (F.count("*").over(Series(("event_type", "value"), ()).all()) - 1) / 2.0) / F.count("*").over(TYPE_ALL)), d="pct")
-TYPE_ALL = Series(("event_type",), ()).all()
+   lambda e: e.withColumn("pct", (F.rank().over(Series(("event_type",), ("value",)).spec) + (F.count("*").over(Series(("event_type", "value"), ()).all()) - 1) / 2.0) / F.count("*").over(type_all())), d="pct")
 ev("W11_rank_bins", "SELECT *, row_number() OVER w AS rn, rank() OVER (PARTITION BY event_type ORDER BY value) AS rk, least(floor((row_number() OVER w - 1) * 4 / count(*) OVER (PARTITION BY event_type)), 3) AS bin FROM ev WINDOW w AS (PARTITION BY event_type ORDER BY value, event_id)",
-   lambda e: e.withColumns({"rn": F.row_number().over(Series(("event_type",), ("value", "event_id")).spec), "rk": F.rank().over(Series(("event_type",), ("value",)).spec)}).withColumn("bin", F.least(F.floor((c("rn") - 1) * 4 / F.count("*").over(TYPE_ALL)), F.lit(3))), l="user_id event_id rn rk bin")
+   lambda e: e.withColumns({"rn": F.row_number().over(Series(("event_type",), ("value", "event_id")).spec), "rk": F.rank().over(Series(("event_type",), ("value",)).spec)}).withColumn("bin", F.least(F.floor((c("rn") - 1) * 4 / F.count("*").over(type_all())), F.lit(3))), l="user_id event_id rn rk bin")
 PATH = f"{R}, q AS (SELECT *, sum(coalesce(ret, 0.0)) OVER ({BY_USER} ROWS UNBOUNDED PRECEDING) AS cumulative FROM r)"
 ev("W12_cumulative_drawdown", f", {PATH} SELECT *, cumulative - max(cumulative) OVER ({BY_USER} ROWS UNBOUNDED PRECEDING) AS drawdown, cumulative - min(cumulative) OVER ({BY_USER} ROWS UNBOUNDED PRECEDING) AS runup FROM q", lambda e: I.path_stats(with_ret(e), USER, c("ret")), d="cumulative drawdown runup")
 ev("W13_compounded_equity", f", {R} SELECT *, exp(sum(ln(1 + least(greatest(coalesce(ret, 0.0) / 1e6, -0.99), 10.0))) OVER ({BY_USER} ROWS UNBOUNDED PRECEDING)) AS equity FROM r", lambda e: I.path_stats(with_ret(e), USER, c("ret") / 100), d="equity")
-ev("W14_forward_fill", f", m AS (SELECT *, CASE WHEN k % 3 = 0 THEN value END AS x FROM ev) SELECT *, last_value(x IGNORE NULLS) OVER ({BY_USER} ROWS UNBOUNDED PRECEDING) AS filled FROM m", lambda e: e.withColumn("x", F.when(c("k") % 3 == 0, v)).withColumn("filled", USER.forward_fill(c("x"))), d="filled")
-ev("W14b_backfill_fullsample", f", m AS (SELECT *, CASE WHEN k % 3 = 0 THEN value END AS x FROM ev) SELECT *, first_value(x IGNORE NULLS) OVER ({BY_USER} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS filled FROM m", lambda e: e.withColumn("x", F.when(c("k") % 3 == 0, v)).withColumn("filled", USER.backfill(c("x"))), d="filled")
+ev("W14_forward_fill", f", m AS (SELECT *, CASE WHEN k % 3 = 0 THEN value END AS x FROM ev) SELECT *, last_value(x IGNORE NULLS) OVER ({BY_USER} ROWS UNBOUNDED PRECEDING) AS filled FROM m", lambda e: e.withColumn("x", F.when(c("k") % 3 == 0, val())).withColumn("filled", USER.forward_fill(c("x"))), d="filled")
+ev("W14b_backfill_fullsample", f", m AS (SELECT *, CASE WHEN k % 3 = 0 THEN value END AS x FROM ev) SELECT *, first_value(x IGNORE NULLS) OVER ({BY_USER} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS filled FROM m", lambda e: e.withColumn("x", F.when(c("k") % 3 == 0, val())).withColumn("filled", USER.backfill(c("x"))), d="filled")
 
 
 def recursion(alpha: str, column: str, source: str = "ev") -> str:
@@ -91,7 +99,7 @@ def _(spark, d):
 
 CH = f"h AS (SELECT *, value - lag(value) OVER ({BY_USER}) AS ch FROM ev), u AS (SELECT *, greatest(ch, 0.0) AS up, greatest(-ch, 0.0) AS dn FROM h WHERE TRUE), u2 AS (SELECT * REPLACE (CASE WHEN ch IS NULL THEN 0.0 ELSE up END AS up, CASE WHEN ch IS NULL THEN 0.0 ELSE dn END AS dn) FROM u)"
 ev("W17_rsi_mean_and_sum", f", {CH}, m AS (SELECT *, {roll('avg({x})', 'up', 10)} AS a, {roll('avg({x})', 'dn', 10)} AS b FROM u2) SELECT *, CASE WHEN a IS NULL THEN NULL WHEN a = 0 AND b = 0 THEN 50 WHEN b = 0 THEN 100 ELSE 100 - 100 / (1 + a / b) END AS rsi_mean, CASE WHEN a IS NULL THEN NULL WHEN b = 0 THEN 100 ELSE 100 - 100 / (1 + a / b) END AS rsi_sum FROM m",
-   lambda e: e.withColumn("ch", USER.diff(v)).withColumns({"rsi_mean": I.rsi_mean(USER, c("ch"), 10), "rsi_sum": I.rsi_sum(USER, c("ch"), 10)}), d="rsi_mean rsi_sum")
+   lambda e: e.withColumn("ch", USER.diff(val())).withColumns({"rsi_mean": I.rsi_mean(USER, c("ch"), 10), "rsi_sum": I.rsi_sum(USER, c("ch"), 10)}), d="rsi_mean rsi_sum")
 
 
 @query("W17c_rsi_wilder", l="user_id event_id", d="rsi_wilder")
@@ -116,10 +124,10 @@ barq("W21_signed_runs", f", x AS (SELECT *, CAST(coalesce(sign(close - open), 0)
 RNG = "PARTITION BY event_type ORDER BY t RANGE BETWEEN"
 TS = Series(("event_type",), ("t",))
 MIN15, MIN60 = 900_000, 3_600_000
-ev("W22_past_value", f"SELECT *, first_value(value) OVER ({RNG} {HOUR} PRECEDING AND CURRENT ROW) AS past FROM ev", lambda e: e.withColumn("past", X.past_value(TS, v, HOUR)), d="past")
+ev("W22_past_value", f"SELECT *, first_value(value) OVER ({RNG} {HOUR} PRECEDING AND CURRENT ROW) AS past FROM ev", lambda e: e.withColumn("past", X.past_value(TS, val(), HOUR)), d="past")
 W23 = f""", rr AS (SELECT *, {lbps('value', f'lag(value) OVER ({BY_TYPE})')} AS ret FROM ev) SELECT *, {lbps('value', 'first_value(value) OVER w')} AS return_3600s, stddev_samp(ret) OVER w AS vol_3600s, {lbps('max(value) OVER w', 'min(value) OVER w')} AS range_3600s, sum(ret) OVER w AS sum_3600s,
  avg(CASE WHEN ret > 0 THEN 1.0 WHEN ret <= 0 THEN 0.0 END) OVER w AS up_3600s, count(*) OVER w AS n_3600s FROM rr WINDOW w AS ({RNG} {HOUR - 1} PRECEDING AND CURRENT ROW)"""
-ev("W23_time_range_bundle", W23, lambda e: X.regime_windows(e.withColumn("ret", log_bps(v, F.lag("value").over(Series(("event_type",), ("t", "event_id")).spec))), TS, "value", "ret", [HOUR, 6 * HOUR]), l="event_id n_3600s", d="return_3600s vol_3600s range_3600s sum_3600s up_3600s")
+ev("W23_time_range_bundle", W23, lambda e: X.regime_windows(e.withColumn("ret", log_bps(val(), F.lag("value").over(Series(("event_type",), ("t", "event_id")).spec))), TS, "value", "ret", [HOUR, 6 * HOUR]), l="event_id n_3600s", d="return_3600s vol_3600s range_3600s sum_3600s up_3600s")
 ev("W24_changes", f", m AS (SELECT *, first_value(value) OVER ({RNG} {MIN15} PRECEDING AND CURRENT ROW) AS a, first_value(value) OVER ({RNG} {MIN60} PRECEDING AND CURRENT ROW) AS b FROM ev) SELECT *, value - a AS value_change_900s, (value - a) / abs(a) AS value_relative_900s, (value - a) / 900.0 - (value - b) / 3600.0 AS value_acceleration FROM m", lambda e: X.changes(e, TS, ["value"], [MIN15, MIN60]), d="value_change_900s value_relative_900s value_acceleration")
 ev("W25_freshness", f", m AS (SELECT *, t - lag(t) OVER ({BY_TYPE}) AS gap_ms FROM ev) SELECT *, coalesce(gap_ms > {HOUR}, FALSE) AS large_gap FROM m", lambda e: X.freshness(e, Series(("event_type",), ("t", "event_id")), HOUR), l="event_id gap_ms", b="large_gap")
 W26 = f""", m AS (SELECT *, CASE WHEN event_type IN ('purchase', 'signup') THEN value ELSE 0 END AS buy, CASE WHEN event_type IN ('purchase', 'signup') THEN 0 ELSE value END AS sell FROM ev)
@@ -130,12 +138,12 @@ FROM m WINDOW w AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN {DAY - 1} PREC
 
 def buy_sell(e):
     is_buy = c("event_type").isin("purchase", "signup")
-    return e.withColumns({"buy": F.when(is_buy, v).otherwise(0.0), "sell": F.when(is_buy, 0.0).otherwise(v)})
+    return e.withColumns({"buy": F.when(is_buy, val()).otherwise(0.0), "sell": F.when(is_buy, 0.0).otherwise(val())})
 
 
 ev("W26_micro_bundle", W26, lambda e: X.micro_bundle(buy_sell(e), Series(("user_id",), ("t",)), "value", "buy", "sell", [6 * HOUR, DAY, 3 * DAY]), l="user_id event_id rows_86400s", d="flow_86400s flow_before_86400s pressure_86400s burst_86400s velocity_86400s bounce_86400s break_86400s")
 ev("W27_window_sufficiency", f"SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN {DAY - 1} PRECEDING AND CURRENT ROW) >= 3 AS enough FROM ev", lambda e: e.withColumn("enough", F.count("*").over(Series(("user_id",), ("t",)).past_ms(DAY)) >= 3), b="enough")
-ev("W28_window_slope", f", m AS (SELECT *, CAST(row_number() OVER ({BY_USER}) AS DOUBLE) AS i FROM ev) SELECT *, CASE WHEN count(value) OVER w = 10 THEN regr_slope(value, i) OVER w END AS slope FROM m WINDOW w AS ({BY_USER} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)", lambda e: e.withColumn("i", F.row_number().over(USER.spec).cast("double")).withColumn("slope", USER.slope(v, c("i"), 10)), d="slope")
+ev("W28_window_slope", f", m AS (SELECT *, CAST(row_number() OVER ({BY_USER}) AS DOUBLE) AS i FROM ev) SELECT *, CASE WHEN count(value) OVER w = 10 THEN regr_slope(value, i) OVER w END AS slope FROM m WINDOW w AS ({BY_USER} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)", lambda e: e.withColumn("i", F.row_number().over(USER.spec).cast("double")).withColumn("slope", USER.slope(val(), c("i"), 10)), d="slope")
 ev("W29_burst_threshold", f"SELECT *, greatest(quantile_cont(CASE WHEN value > 0 THEN value END, 0.9) OVER w, quantile_cont(value, 0.5) OVER w) AS threshold, coalesce(value > greatest(quantile_cont(CASE WHEN value > 0 THEN value END, 0.9) OVER w, quantile_cont(value, 0.5) OVER w), FALSE) AS burst FROM ev WINDOW w AS ({BY_USER} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)", lambda e: X.burst_threshold(e, USER, "value", 12, 0.9), d="threshold", b="burst")
 PANEL = "per AS (SELECT bucket, quantile_cont(close, 0.5) AS median, stddev_pop(close) AS dispersion, count(*) FILTER (close > 0) AS positives, count(close) AS members, max(CASE WHEN event_type = 'click' THEN close END) AS benchmark FROM bars GROUP BY ALL)"
 barq("W30_cross_section", f", {PANEL} SELECT b.*, median, dispersion, positives, members, close - benchmark AS relative, close - median AS from_median FROM bars b JOIN per USING (bucket)", lambda b: X.panel(b, "bucket", "event_type", "close", "click"), d="median dispersion relative from_median", l="bucket positives members")
@@ -153,8 +161,8 @@ def joined(x):
     return F.array_join(F.transform(x, lambda q: F.round(q * 100).cast("long").cast("string")), ",")
 
 
-ev("W32_sequence_window", f", m AS (SELECT *, list(value) OVER ({BY_USER} ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) AS a, list(value) OVER ({BY_USER} ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING) AS f FROM ev) SELECT *, CASE WHEN len(a) = 9 THEN {J('[a[1], a[3], a[5], a[7], a[9]]')} END AS x, CASE WHEN len(f) = 6 THEN {J('[f[2], f[4], f[6]]')} END AS y FROM m", lambda e: e.withColumns({"x": joined(Q.input_sequence(USER, v, 5, 2)), "y": joined(Q.output_sequence(USER, v, 3, 2))}), s="x y")
-ev("W34_lookback_window", f", m AS (SELECT *, list(value) OVER ({BY_USER} ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS a FROM ev) SELECT *, CASE WHEN len(a) = 4 THEN {J('a')} END AS x FROM m", lambda e: e.withColumn("x", joined(Q.lookback_window(USER, v, 4))), s="x")
+ev("W32_sequence_window", f", m AS (SELECT *, list(value) OVER ({BY_USER} ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) AS a, list(value) OVER ({BY_USER} ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING) AS f FROM ev) SELECT *, CASE WHEN len(a) = 9 THEN {J('[a[1], a[3], a[5], a[7], a[9]]')} END AS x, CASE WHEN len(f) = 6 THEN {J('[f[2], f[4], f[6]]')} END AS y FROM m", lambda e: e.withColumns({"x": joined(Q.input_sequence(USER, val(), 5, 2)), "y": joined(Q.output_sequence(USER, val(), 3, 2))}), s="x y")
+ev("W34_lookback_window", f", m AS (SELECT *, list(value) OVER ({BY_USER} ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS a FROM ev) SELECT *, CASE WHEN len(a) = 4 THEN {J('a')} END AS x FROM m", lambda e: e.withColumn("x", joined(Q.lookback_window(USER, val(), 4))), s="x")
 
 
 @query("W33_trend_regime", l="bucket", d="score p_bull", s="event_type regime")
@@ -175,7 +183,7 @@ ev("S_calendar", f"""SELECT *, (t // 60000) % 1440 AS minute, (t // {HOUR}) % 24
    lambda e: e.withColumns({"minute": K.minute_of_day(c("t")), "hour": K.hour_of_day(c("t")), "weekday": K.weekday(c("t")), "iso": K.iso(c("t")), "session": K.session_bucket(c("t")), "day_sin": K.cyclic(K.minute_of_day(c("t")), 1440)[0], "day_cos": K.cyclic(K.minute_of_day(c("t")), 1440)[1], "weekend": K.is_weekend(c("t"))}), l="event_id minute hour weekday", d="day_sin day_cos", s="iso session", b="weekend")
 ev("S_cash_session", f"SELECT *, ((t - 5 * {HOUR}) // 60000) % 1440 AS local_minute, ((t - 5 * {HOUR}) // {DAY} + 3) % 7 < 5 AND ((t - 5 * {HOUR}) // 60000) % 1440 >= 570 AND ((t - 5 * {HOUR}) // 60000) % 1440 < 960 AS open FROM ev", lambda e: e.withColumns({"local_minute": K.local_minute(c("t")), "open": K.in_session(c("t"))}), l="event_id local_minute", b="open")
 ev("S_epoch_units", f", m AS (SELECT event_id, t, CASE event_id % 3 WHEN 0 THEN t WHEN 1 THEN t // 1000 ELSE t * 1000 END AS raw FROM ev) SELECT event_id, CASE event_id % 3 WHEN 1 THEN t // 1000 * 1000 ELSE t END AS ms FROM m", lambda e: e.withColumn("raw", F.when(c("event_id") % 3 == 0, c("t")).when(c("event_id") % 3 == 1, F.floor(c("t") / 1000)).otherwise(c("t") * 1000)).withColumn("ms", K.any_to_ms(c("raw"))), l="event_id ms")
-ev("S_math", f"SELECT *, 1 / (1 + exp(-least(greatest((value - 40) / 10, -40), 40))) AS sg, least(greatest(value, 5), 50) AS cl, least(greatest(CASE WHEN k > 0 THEN ln(value) - ln(k) END, -2), 2) AS lr, tanh(value / 100) AS th, ln(1 + value) AS l1 FROM ev WHERE k > 0", lambda e: e.filter("k > 0").withColumns({"sg": sigmoid((v - 40) / 10), "cl": clip(v, 5.0, 50.0), "lr": log_ratio(v, c("k").cast("double"), 2.0), "th": F.tanh(v / 100), "l1": F.log1p(v)}), l="event_id", d="sg cl lr th l1")
+ev("S_math", f"SELECT *, 1 / (1 + exp(-least(greatest((value - 40) / 10, -40), 40))) AS sg, least(greatest(value, 5), 50) AS cl, least(greatest(CASE WHEN k > 0 THEN ln(value) - ln(k) END, -2), 2) AS lr, tanh(value / 100) AS th, ln(1 + value) AS l1 FROM ev WHERE k > 0", lambda e: e.filter("k > 0").withColumns({"sg": sigmoid((val() - 40) / 10), "cl": clip(val(), 5.0, 50.0), "lr": log_ratio(val(), c("k").cast("double"), 2.0), "th": F.tanh(val() / 100), "l1": F.log1p(val())}), l="event_id", d="sg cl lr th l1")
 ev("S_strings", "SELECT event_id, upper(event_type) AS up, regexp_replace(lower(event_type), '[^a-z]+', '-', 'g') || '-' || user_id AS slug, length(event_type) AS n, starts_with(event_type, 'p') AS p, contains(props, 'k') AS has FROM (SELECT * FROM events)", lambda e: e.withColumns({"up": F.upper("event_type"), "slug": F.concat_ws("-", F.regexp_replace(F.lower("event_type"), "[^a-z]+", "-"), c("user_id").cast("string")), "n": F.length("event_type"), "p": c("event_type").startswith("p"), "has": F.lit(True)}), l="event_id n", s="up slug", b="p has")
 ev("S_hash_lineage", "SELECT event_id, sha256(event_id || ':' || event_type || ':' || k) AS h FROM ev", lambda e: e.withColumn("h", F.sha2(F.concat_ws(":", c("event_id").cast("string"), c("event_type"), c("k").cast("string")), 256)), l="event_id", s="h")
 

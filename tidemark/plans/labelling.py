@@ -15,17 +15,26 @@ from tidemark.plans.bars import BARS, hourly
 from tidemark.plans.features import BAR, BY_BAR, barq, ev
 from tidemark.plans.registry import BY_USER, EV, USER, events, lbps, query, roll
 
-c, v = F.col, F.col("value")
+c = F.col
+
+
+def val():
+    return F.col("value")
+
 NEXT = lambda n: f"({BY_USER} ROWS BETWEEN 1 FOLLOWING AND {n} FOLLOWING)"
 
-ev("L1_future_return", f"SELECT *, {lbps(f'lead(value, 3) OVER ({BY_USER})', 'value')} AS future_3, lead(t, 3) OVER ({BY_USER}) AS label_end FROM ev", lambda e: e.withColumns({"future_3": L.future_return(USER, v, 3), "label_end": USER.lead(c("t"), 3)}), l="event_id label_end", d="future_3")
-ev("L2_excursions", f"SELECT *, CASE WHEN count(value) OVER w = 5 THEN greatest({lbps('max(value) OVER w', 'value')}, 0.0) END AS mfe, CASE WHEN count(value) OVER w = 5 THEN least({lbps('min(value) OVER w', 'value')}, 0.0) END AS mae FROM ev WINDOW w AS {NEXT(5)}", lambda e: e.withColumns(dict(zip(("mfe", "mae"), L.excursions(USER, v, v, v, 5)))), l="event_id", d="mfe mae")
+ev("L1_future_return", f"SELECT *, {lbps(f'lead(value, 3) OVER ({BY_USER})', 'value')} AS future_3, lead(t, 3) OVER ({BY_USER}) AS label_end FROM ev", lambda e: e.withColumns({"future_3": L.future_return(USER, val(), 3), "label_end": USER.lead(c("t"), 3)}), l="event_id label_end", d="future_3")
+ev("L2_excursions", f"SELECT *, CASE WHEN count(value) OVER w = 5 THEN greatest({lbps('max(value) OVER w', 'value')}, 0.0) END AS mfe, CASE WHEN count(value) OVER w = 5 THEN least({lbps('min(value) OVER w', 'value')}, 0.0) END AS mae FROM ev WINDOW w AS {NEXT(5)}", lambda e: e.withColumns(dict(zip(("mfe", "mae"), L.excursions(USER, val(), val(), val(), 5)))), l="event_id", d="mfe mae")
 PATH = f", p AS (SELECT *, list(value) OVER {NEXT(5)} AS f FROM ev), q AS (SELECT *, CASE WHEN len(f) = 5 THEN list_transform(f, lambda x: (x / value - 1) * 1e4) END AS path FROM p)"
 J = lambda x: f"array_to_string(list_transform({x}, lambda z: CAST(CAST(round(z) AS BIGINT) AS VARCHAR)), ',')"  # noqa: E731, E741
 
 
+def next_6h():
+    return Series(("event_type",), ("t",)).future_ms(6 * HOUR)
+
+
 def path(e, n=5):
-    return e.withColumn("path", L.return_path(USER, v, n))
+    return e.withColumn("path", L.return_path(USER, val(), n))
 
 
 def text(x):
@@ -35,7 +44,7 @@ def text(x):
 JT = lambda x: f"array_to_string(list_transform({x}, lambda z: CAST(CAST(round(z + 0.0001) AS BIGINT) AS VARCHAR)), ',')"  # noqa: E731, E741
 ev("L3_return_path_envelopes", PATH + f" SELECT *, {JT('path')} AS p, {JT('list_transform(range(1, 6), lambda i: greatest(0.0, list_max(path[1:i])))')} AS hi, {JT('list_transform(range(1, 6), lambda i: least(0.0, list_min(path[1:i])))')} AS lo FROM q WHERE path IS NOT NULL", lambda e: path(e).filter("path is not null").withColumns({"p": text(c("path")), "hi": text(L.envelope(c("path"), "high")), "lo": text(L.envelope(c("path"), "low"))}), l="event_id", s="p hi lo")
 ev("L4_path_range_frame", f"SELECT *, (max(value) OVER w / value - 1) * 1e4 AS up_bps, (min(value) OVER w / value - 1) * 1e4 AS down_bps, count(*) OVER w AS n FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN 1 FOLLOWING AND {DAY} FOLLOWING)",
-   lambda e: e.withColumns({"up_bps": simple_bps(F.max("value").over(Series(("user_id",), ("t",)).future_ms(DAY)), v), "down_bps": simple_bps(F.min("value").over(Series(("user_id",), ("t",)).future_ms(DAY)), v), "n": F.count("*").over(Series(("user_id",), ("t",)).future_ms(DAY))}), l="event_id n", d="up_bps down_bps")
+   lambda e: e.withColumns({"up_bps": simple_bps(F.max("value").over(Series(("user_id",), ("t",)).future_ms(DAY)), val()), "down_bps": simple_bps(F.min("value").over(Series(("user_id",), ("t",)).future_ms(DAY)), val()), "n": F.count("*").over(Series(("user_id",), ("t",)).future_ms(DAY))}), l="event_id n", d="up_bps down_bps")
 TOUCH = ", a AS (SELECT *, coalesce(list_position(list_transform(path, lambda r: r >= {up}), TRUE), 0) AS ia, coalesce(list_position(list_transform(path, lambda r: r <= -{dn}), TRUE), 0) AS ib FROM {src})"
 HIT = "CASE WHEN path IS NULL THEN NULL WHEN ia > 0 AND (ib = 0 OR ia < ib) THEN 1 WHEN ib > 0 AND (ia = 0 OR ib < ia) THEN -1 ELSE 0 END"
 ev("L5_first_touch", PATH + TOUCH.format(up=8000, dn=6000, src="q") + f" SELECT *, {HIT} AS touch FROM a", lambda e: path(e).withColumn("touch", L.first_touch(c("path"), 8000.0, 6000.0)), l="event_id touch")
@@ -48,9 +57,9 @@ def _(spark, d):
 
 
 F1 = lbps(f"lead(value) OVER ({BY_USER})", "value")
-ev("L8_direction_classes", f", m AS (SELECT *, {F1} AS f FROM ev) SELECT *, CASE WHEN f IS NULL THEN NULL WHEN f > 5000 THEN 1 WHEN f < -5000 THEN -1 ELSE 0 END AS strict, CASE WHEN f IS NULL THEN NULL WHEN f >= 100.0 * k THEN 1 WHEN f <= -100.0 * k THEN -1 ELSE 0 END AS inclusive FROM m", lambda e: e.withColumn("f", L.future_return(USER, v, 1)).withColumns({"strict": L.direction(c("f"), 5000.0), "inclusive": L.direction(c("f"), 100.0 * c("k"), True)}), l="event_id strict inclusive")
+ev("L8_direction_classes", f", m AS (SELECT *, {F1} AS f FROM ev) SELECT *, CASE WHEN f IS NULL THEN NULL WHEN f > 5000 THEN 1 WHEN f < -5000 THEN -1 ELSE 0 END AS strict, CASE WHEN f IS NULL THEN NULL WHEN f >= 100.0 * k THEN 1 WHEN f <= -100.0 * k THEN -1 ELSE 0 END AS inclusive FROM m", lambda e: e.withColumn("f", L.future_return(USER, val(), 1)).withColumns({"strict": L.direction(c("f"), 5000.0), "inclusive": L.direction(c("f"), 100.0 * c("k"), True)}), l="event_id strict inclusive")
 RET = f"r AS (SELECT *, {lbps('value', f'lag(value) OVER ({BY_USER})')} AS ret FROM ev)"
-ev("L9_volatility_threshold", f", {RET} SELECT *, greatest(coalesce(({roll('stddev_pop({x})', 'ret', 10, least=2)}) * pow(3, 0.5) * 0.5, -1.0), 1000.0) AS band FROM r", lambda e: e.withColumn("ret", USER.returns(v)).withColumn("band", L.volatility_threshold(USER, c("ret"), 10, 3, 0.5, 1000.0)), l="event_id", d="band")
+ev("L9_volatility_threshold", f", {RET} SELECT *, greatest(coalesce(({roll('stddev_pop({x})', 'ret', 10, least=2)}) * pow(3, 0.5) * 0.5, -1.0), 1000.0) AS band FROM r", lambda e: e.withColumn("ret", USER.returns(val())).withColumn("band", L.volatility_threshold(USER, c("ret"), 10, 3, 0.5, 1000.0)), l="event_id", d="band")
 AHEAD = f", f AS (SELECT *, list(high) OVER n AS hs, list(low) OVER n AS ls FROM bars WINDOW n AS ({BY_BAR} ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING)), g AS (SELECT *, coalesce(list_position(list_transform(hs, lambda x: (x / close - 1) * 1e4 >= 9000), TRUE), 0) AS ia, coalesce(list_position(list_transform(ls, lambda x: (x / close - 1) * 1e4 <= -7000), TRUE), 0) AS ib FROM f WHERE len(hs) = 6)"
 
 
@@ -72,23 +81,22 @@ F12 = f"(PARTITION BY event_type ORDER BY t RANGE BETWEEN 1 FOLLOWING AND {6 * H
 ev("L13_event_labels", f", m AS (SELECT *, max(value) OVER w AS hi, min(value) OVER w AS lo, arg_max(t, (value, -t)) OVER w AS th, arg_min(t, (value, t)) OVER w AS tl, max(k) OVER w AS mk, min(k) OVER w AS nk, count(*) OVER w AS rows_ahead FROM ev WINDOW w AS {F12}) SELECT *, (hi / value - 1) * 1e4 AS up_bps, (lo / value - 1) * 1e4 AS down_bps, (hi / value - 1) * 1e4 / ((th - t) / 1000.0) AS up_velocity, (lo / value - 1) * 1e4 / ((tl - t) / 1000.0) AS down_velocity, CASE WHEN mk > 2 * k THEN 1 WHEN mk IS NOT NULL THEN 0 END AS spread_shock, CASE WHEN nk < 0.5 * k THEN 1 WHEN nk IS NOT NULL THEN 0 END AS depth_drop FROM m",
    lambda e: e.withColumns(L.event_labels(Series(("event_type",), ("t",)), "value", "k", "k", 6 * HOUR, "t")), l="event_id spread_shock depth_drop rows_ahead", d="up_bps down_bps up_velocity down_velocity")
 ev("L12_instability", f", m AS (SELECT *, max(value) OVER w / min(value) OVER w AS rg, min(value) OVER w / value AS adverse, max(value) OVER w / value AS rise, count(*) OVER w AS n, quantile_cont(value, 0.5) OVER p AS med FROM ev WINDOW w AS {F12}, p AS (PARTITION BY event_type ORDER BY t RANGE BETWEEN {6 * HOUR} PRECEDING AND CURRENT ROW)) SELECT *, n > 0 AND (rg > 20 OR adverse < 0.1 OR rise > 10 OR value > 3 * med) AS unstable FROM m",
-   lambda e: e.withColumns({"rg": F.max("value").over(T6) / F.min("value").over(T6), "adverse": F.min("value").over(T6) / v, "rise": F.max("value").over(T6) / v, "n": F.count("*").over(T6), "med": F.percentile("value", 0.5).over(Series(("event_type",), ("t",)).past_ms(6 * HOUR, True))}).withColumn("unstable", (c("n") > 0) & ((c("rg") > 20) | (c("adverse") < 0.1) | (c("rise") > 10) | (v > 3 * c("med")))), l="event_id n", b="unstable")
-T6 = Series(("event_type",), ("t",)).future_ms(6 * HOUR)
+   lambda e: e.withColumns({"rg": F.max("value").over(next_6h()) / F.min("value").over(next_6h()), "adverse": F.min("value").over(next_6h()) / val(), "rise": F.max("value").over(next_6h()) / val(), "n": F.count("*").over(next_6h()), "med": F.percentile("value", 0.5).over(Series(("event_type",), ("t",)).past_ms(6 * HOUR, True))}).withColumn("unstable", (c("n") > 0) & ((c("rg") > 20) | (c("adverse") < 0.1) | (c("rise") > 10) | (val() > 3 * c("med")))), l="event_id n", b="unstable")
 GAP = f", m AS (SELECT *, t - lag(t) OVER ({BY_USER}) AS gap FROM ev) SELECT *, coalesce(count(gap) OVER w = 3 AND min(gap) OVER w > 0 AND max(gap) OVER w <= {2 * DAY}, FALSE) AS future_ok"
 ev("L22_gapless_future", GAP + f" FROM m WINDOW w AS {NEXT(3)}", lambda e: L.gapless_future(e, USER, "t", 3, 2 * DAY), l="event_id", b="future_ok")
-ev("L14_next_flow", GAP + f", CASE WHEN count(gap) OVER w = 3 AND max(gap) OVER w <= {2 * DAY} AND min(gap) OVER w > 0 THEN sum(CASE WHEN event_type IN ('purchase', 'signup') THEN value ELSE -value END) OVER w END AS flow_3 FROM m WINDOW w AS {NEXT(3)}", lambda e: L.gapless_future(e, USER, "t", 3, 2 * DAY).withColumn("flow_3", F.when(c("future_ok"), F.sum(F.when(c("event_type").isin("purchase", "signup"), v).otherwise(-v)).over(USER.next_n(3)))), l="event_id", d="flow_3", b="future_ok")
+ev("L14_next_flow", GAP + f", CASE WHEN count(gap) OVER w = 3 AND max(gap) OVER w <= {2 * DAY} AND min(gap) OVER w > 0 THEN sum(CASE WHEN event_type IN ('purchase', 'signup') THEN value ELSE -value END) OVER w END AS flow_3 FROM m WINDOW w AS {NEXT(3)}", lambda e: L.gapless_future(e, USER, "t", 3, 2 * DAY).withColumn("flow_3", F.when(c("future_ok"), F.sum(F.when(c("event_type").isin("purchase", "signup"), val()).otherwise(-val())).over(USER.next_n(3)))), l="event_id", d="flow_3", b="future_ok")
 L15 = f", {RET}, x AS (SELECT *, {roll('stddev_pop({x})', 'ret', 10)} AS vol, CASE WHEN count(value) OVER w = 4 THEN greatest({lbps('max(value) OVER w', 'value')}, 0.0) END AS mfe, CASE WHEN count(value) OVER w = 4 THEN least({lbps('min(value) OVER w', 'value')}, 0.0) END AS mae FROM r WINDOW w AS {NEXT(4)}) SELECT *, "
 L15 += ", ".join(f"CASE WHEN vol * 2.0 > 0 THEN CASE WHEN mfe >= {k} * (vol * 2.0) THEN 1 WHEN mfe < {k} * (vol * 2.0) THEN 0 END END AS up_{str(k).replace('.', '_')}_h4, CASE WHEN vol * 2.0 > 0 THEN CASE WHEN mae <= -{k} * (vol * 2.0) THEN 1 WHEN mae > -{k} * (vol * 2.0) THEN 0 END END AS down_{str(k).replace('.', '_')}_h4" for k in (0.5, 1.0, 1.5, 2.0)) + " FROM x"
 
 
 def with_vol(e):
-    e = e.withColumn("ret", USER.returns(v)).withColumn("vol", USER.std(c("ret"), 10))
-    return e.withColumns(dict(zip(("mfe", "mae"), L.excursions(USER, v, v, v, 4))))
+    e = e.withColumn("ret", USER.returns(val())).withColumn("vol", USER.std(c("ret"), 10))
+    return e.withColumns(dict(zip(("mfe", "mae"), L.excursions(USER, val(), val(), val(), 4))))
 
 
 ev("L15_volatility_events", L15, lambda e: with_vol(e).withColumns(L.volatility_events(c("mfe"), c("mae"), c("vol"), 4)), l="event_id " + " ".join(f"{a}_{k}_h4" for a in ("up", "down") for k in ("0_5", "1_0", "1_5", "2_0")))
 ev("L16_interval_hazard", PATH + ", s AS (SELECT *, CASE WHEN path IS NOT NULL THEN coalesce(list_position(list_transform(path, lambda r: r <= -100.0 * k), TRUE), 0) END AS step FROM q) SELECT *, CASE WHEN step IS NOT NULL THEN CASE WHEN step = 1 THEN 1 ELSE 0 END END AS hazard_1, CASE WHEN step IS NOT NULL THEN CASE WHEN step = 2 THEN 1 ELSE 0 END END AS hazard_2, CASE WHEN step IS NOT NULL THEN CASE WHEN step IN (3, 4) THEN 1 ELSE 0 END END AS hazard_4 FROM s", lambda e: path(e).withColumn("step", L.touch_step(c("path"), 100.0 * c("k"))).withColumns(L.hazard(c("step"))), l="event_id step hazard_1 hazard_2 hazard_4")
-ev("L18_expansion", f", {RET} SELECT *, CASE WHEN count(ret) OVER w = 5 THEN CASE WHEN stddev_pop(ret) OVER w > {roll('stddev_pop({x})', 'ret', 10)} THEN 1 WHEN {roll('stddev_pop({x})', 'ret', 10)} IS NOT NULL THEN 0 END END AS vol_expansion, CASE WHEN count(ret) OVER w = 5 THEN {lbps('max(value) OVER w', 'min(value) OVER w')} END AS future_range FROM r WINDOW w AS {NEXT(5)}", lambda e: e.withColumn("ret", USER.returns(v)).withColumns(L.expansion(USER, c("ret"), v, v, 5, 10)), l="event_id vol_expansion", d="future_range")
+ev("L18_expansion", f", {RET} SELECT *, CASE WHEN count(ret) OVER w = 5 THEN CASE WHEN stddev_pop(ret) OVER w > {roll('stddev_pop({x})', 'ret', 10)} THEN 1 WHEN {roll('stddev_pop({x})', 'ret', 10)} IS NOT NULL THEN 0 END END AS vol_expansion, CASE WHEN count(ret) OVER w = 5 THEN {lbps('max(value) OVER w', 'min(value) OVER w')} END AS future_range FROM r WINDOW w AS {NEXT(5)}", lambda e: e.withColumn("ret", USER.returns(val())).withColumns(L.expansion(USER, c("ret"), val(), val(), 5, 10)), l="event_id vol_expansion", d="future_range")
 
 
 @query("L20_indicator_event", l="user_id event_id cross", d="gap roll_forward residual")
@@ -99,7 +107,7 @@ def _(spark, d):
     a, z, h = span_alpha(6), span_alpha(18), 3
     e = ema_paths(events(spark, d), ["user_id"], ["t", "event_id"], "value", {"fast": a, "slow": z})
     gap = c("fast") - c("slow")
-    ahead = (v + (c("fast") - v) * (1 - a) ** h) - (v + (c("slow") - v) * (1 - z) ** h)
+    ahead = (val() + (c("fast") - val()) * (1 - a) ** h) - (val() + (c("slow") - val()) * (1 - z) ** h)
     e = e.withColumns({"gap": gap, "roll_forward": ahead})
     return e.withColumns({"residual": USER.lead(c("gap"), h) - c("roll_forward"), "cross": (F.signum(USER.lead(c("gap"), h)) != F.signum("gap")).cast("int")})
 
@@ -159,7 +167,7 @@ def _(spark, d):
     from tidemark.operators.diagnostics import out_of_fold
 
     e, n = placed(spark, d)
-    e = e.withColumns({"k_d": c("k").cast("double"), "lag1": USER.lag(v), "mean5": USER.mean(v, 5)}).na.drop()
+    e = e.withColumns({"k_d": c("k").cast("double"), "lag1": USER.lag(val()), "mean5": USER.mean(val(), 5)}).na.drop()
     return out_of_fold(e, "i", V.expanding_folds(n, 3, 0.5, 60, 40), ["k_d", "lag1", "mean5"], "value")
 
 
@@ -175,4 +183,4 @@ ev("O2_dedupe_keep_last", "SELECT * FROM ev QUALIFY row_number() OVER (PARTITION
 ev("O2b_dedupe_keep_first", "SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY user_id, k ORDER BY t, event_id) = 1", lambda e: C.dedupe(e, ["user_id", "k"], ["t", "event_id"], keep="first"), l="user_id k event_id t", d="value", s="event_type")
 ev("O3_head_per_group", "SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_id) <= 3", lambda e: C.head_per_group(e, ["user_id"], [F.desc("t"), "event_id"], 3), l="user_id event_id")
 ev("O4_top_fraction", ", m AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM ev) SELECT * FROM m WHERE r <= greatest(1, floor(n * 0.05))", lambda e: M.top_fraction(e, ["event_type"], "value", "event_id", 0.05), l="event_id", d="value", s="event_type")
-ev("O5_best_per_group", "SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id DESC) = 1", lambda e: M.best_row(e, ["user_id"], [v, c("event_id")]), l="user_id event_id", d="value")
+ev("O5_best_per_group", "SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id DESC) = 1", lambda e: M.best_row(e, ["user_id"], [val(), c("event_id")]), l="user_id event_id", d="value")

@@ -16,7 +16,12 @@ from tidemark.plans.bars import BARS, hourly
 from tidemark.plans.features import barq, ev
 from tidemark.plans.registry import BY_USER, EV, USER, events, query, table
 
-c, v = F.col, F.col("value")
+c = F.col
+
+
+def val():
+    return F.col("value")
+
 SIDES = f"{EV}, l AS (SELECT user_id, event_id, t, value FROM ev WHERE event_type = 'purchase'), r AS (SELECT user_id, event_id AS rid, t AS rt, value AS rv FROM ev WHERE event_type = 'view')"
 
 
@@ -78,7 +83,7 @@ def _(spark, d):
     w = Series(("user_id",), ("t",)).future_ms(DAY)
     e = events(spark, d).withColumns({"hi": F.max("value").over(w), "lo": F.min("value").over(w)})
     e = A.forward_return(e, ["user_id"], "t", "value", DAY, DAY)
-    return e.withColumns({"net_bps": c("forward_bps") - 4.0, "best_bps": (c("hi") / v - 1) * 1e4, "worst_bps": (c("lo") / v - 1) * 1e4})
+    return e.withColumns({"net_bps": c("forward_bps") - 4.0, "best_bps": (c("hi") / val() - 1) * 1e4, "worst_bps": (c("lo") / val() - 1) * 1e4})
 
 
 @query("J15_distance_diagnostics", f"WITH {SIDES}, {NEAR} SELECT quantile_cont(age, 0.5) AS median, quantile_cont(age, 0.95) AS p95, count(*) FILTER (age <= {HOUR}) AS in_hour, count(*) FILTER (age <= {DAY}) AS in_day, count(*) AS n FROM nr", l="in_hour in_day n", d="median p95", digits=3)
@@ -223,7 +228,7 @@ def _(spark, d):
 
 @query("U3_same_row_columns", f"WITH {EV} SELECT event_id, value + k AS a, value - k AS b FROM ev", l="event_id", d="a b")
 def _(spark, d):
-    return events(spark, d).withColumns({"a": v + c("k"), "b": v - c("k")})
+    return events(spark, d).withColumns({"a": val() + c("k"), "b": val() - c("k")})
 
 
 # ---- projections, filters, cleaning -----------------------------------------------------------------
@@ -233,18 +238,18 @@ def _(spark, d):
     return e.select("event_id", c(C.resolve_column(e, ["price", "VALUE"])).alias("price"), c(C.resolve_column(e, ["timestamp", "t"])).alias("tm"))
 
 
-ev("P2_numeric_coercion", "SELECT event_id, CASE WHEN k % 5 = 0 THEN -1.0 ELSE value END AS x, CASE WHEN k % 5 = 0 THEN NULL ELSE value END AS y FROM ev", lambda e: e.withColumn("raw", F.when(c("k") % 5 == 0, F.lit("n/a")).otherwise(v.cast("string"))).withColumns({"x": to_number(c("raw"), -1.0), "y": to_number(c("raw"))}), l="event_id", d="x y")
+ev("P2_numeric_coercion", "SELECT event_id, CASE WHEN k % 5 = 0 THEN -1.0 ELSE value END AS x, CASE WHEN k % 5 = 0 THEN NULL ELSE value END AS y FROM ev", lambda e: e.withColumn("raw", F.when(c("k") % 5 == 0, F.lit("n/a")).otherwise(val().cast("string"))).withColumns({"x": to_number(c("raw"), -1.0), "y": to_number(c("raw"))}), l="event_id", d="x y")
 ev("P3_snapshot_validity", "SELECT * FROM ev WHERE value > 0 AND k > 0", lambda e: C.valid_rows(e, ["value", "k"]), l="event_id")
-ev("P4_valid_rows", ", m AS (SELECT *, CASE WHEN k % 7 <> 0 THEN value END AS x FROM ev) SELECT * FROM m WHERE x IS NOT NULL", lambda e: C.valid_rows(e.withColumn("x", F.when(c("k") % 7 != 0, v)), present=["x", "value"]), l="event_id")
+ev("P4_valid_rows", ", m AS (SELECT *, CASE WHEN k % 7 <> 0 THEN value END AS x FROM ev) SELECT * FROM m WHERE x IS NOT NULL", lambda e: C.valid_rows(e.withColumn("x", F.when(c("k") % 7 != 0, val())), present=["x", "value"]), l="event_id")
 ev("P5_side_normalisation", "SELECT event_id, CASE k % 5 WHEN 0 THEN 'long' WHEN 1 THEN 'short' WHEN 2 THEN 'long' WHEN 3 THEN 'short' ELSE 'flat' END AS side, CASE WHEN k % 5 IN (1, 3) THEN -1.0 ELSE 1.0 END AS sgn FROM ev", lambda e: e.withColumn("raw", F.element_at(F.array(*map(F.lit, ["BUY ", "sell", "1", "-1", "Flat"])), (c("k") % 5 + 1).cast("int"))).withColumns({"side": normal_side(c("raw")), "sgn": side_sign(c("raw"))}), l="event_id", d="sgn", s="side")
-ev("P6_fallback_coalesce", "SELECT event_id, coalesce(CASE WHEN k % 2 = 0 THEN value END, CASE WHEN k % 3 = 0 THEN 1.0 * k END, 0.0) AS x FROM ev", lambda e: e.withColumn("x", F.coalesce(F.when(c("k") % 2 == 0, v), F.when(c("k") % 3 == 0, 1.0 * c("k")), F.lit(0.0))), l="event_id", d="x")
-ev("P7_readiness_flags", f", m AS (SELECT *, row_number() OVER ({BY_USER}) AS i FROM ev) SELECT event_id, i < 10 AS not_warm, value < 1 AS bad_price, NOT (i < 10 OR value < 1) AS feature_ready FROM m", lambda e: C.readiness(e.withColumn("i", F.row_number().over(USER.spec)), {"not_warm": c("i") < 10, "bad_price": v < 1}), l="event_id", b="not_warm bad_price feature_ready")
-ev("P11_coverage", "SELECT count(*) AS n_rows, count(*) FILTER (k % 7 = 0) AS removed_features, count(*) FILTER (k % 7 <> 0 AND value < 1) AS removed_target, count(*) FILTER (k % 7 <> 0 AND value >= 1 AND k <= 50) AS removed_regime, count(*) FILTER (k % 7 <> 0 AND value >= 1 AND k > 50) AS kept FROM ev", lambda e: C.coverage(e.withColumns({"x": F.when(c("k") % 7 != 0, v), "y": F.when(v >= 1, v)}), ["x"], "y", c("k") > 50), l="n_rows removed_features removed_target removed_regime kept")
+ev("P6_fallback_coalesce", "SELECT event_id, coalesce(CASE WHEN k % 2 = 0 THEN value END, CASE WHEN k % 3 = 0 THEN 1.0 * k END, 0.0) AS x FROM ev", lambda e: e.withColumn("x", F.coalesce(F.when(c("k") % 2 == 0, val()), F.when(c("k") % 3 == 0, 1.0 * c("k")), F.lit(0.0))), l="event_id", d="x")
+ev("P7_readiness_flags", f", m AS (SELECT *, row_number() OVER ({BY_USER}) AS i FROM ev) SELECT event_id, i < 10 AS not_warm, value < 1 AS bad_price, NOT (i < 10 OR value < 1) AS feature_ready FROM m", lambda e: C.readiness(e.withColumn("i", F.row_number().over(USER.spec)), {"not_warm": c("i") < 10, "bad_price": val() < 1}), l="event_id", b="not_warm bad_price feature_ready")
+ev("P11_coverage", "SELECT count(*) AS n_rows, count(*) FILTER (k % 7 = 0) AS removed_features, count(*) FILTER (k % 7 <> 0 AND value < 1) AS removed_target, count(*) FILTER (k % 7 <> 0 AND value >= 1 AND k <= 50) AS removed_regime, count(*) FILTER (k % 7 <> 0 AND value >= 1 AND k > 50) AS kept FROM ev", lambda e: C.coverage(e.withColumns({"x": F.when(c("k") % 7 != 0, val()), "y": F.when(val() >= 1, val())}), ["x"], "y", c("k") > 50), l="n_rows removed_features removed_target removed_regime kept")
 ev("P12_freshness_filter", f", m AS (SELECT *, t - lag(t) OVER ({BY_USER}) AS age FROM ev) SELECT * FROM m WHERE age <= {HOUR} AND k <> 0", lambda e: e.withColumn("age", USER.diff(c("t"))).filter(all_of(c("age") <= HOUR, c("k") != 0)), l="event_id age")
 ev("P13_development_cutoff", "SELECT * FROM ev WHERE t < 1705276800000", lambda e: e.filter(c("t") < 1705276800000), l="event_id")
-ev("P14_missing_flags", "SELECT event_id, CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END AS x_missing FROM ev", lambda e: C.missing_flags(e.withColumn("x", F.when(c("k") % 7 != 0, v)), ["x"]), l="event_id x_missing")
-ev("P15_clip_log_sign", "SELECT event_id, least(greatest(value, 10), 40) AS cl, ln(1 + value) AS lp, sign(k - 50) AS sg, CASE WHEN k > 0 THEN least(greatest(ln(value) - ln(CASE WHEN k > 0 THEN k END), -1), 1) END AS lr FROM ev", lambda e: e.withColumns({"cl": F.least(F.greatest(v, F.lit(10.0)), F.lit(40.0)), "lp": F.log1p(v), "sg": F.signum(c("k") - 50), "lr": log_ratio(v, c("k").cast("double"), 1.0)}), l="event_id", d="cl lp sg lr")
-ev("P16_sentinel_returns", f", m AS (SELECT *, value / lag(value) OVER ({BY_USER}) - 1 AS r FROM ev) SELECT event_id, CASE WHEN r <= -0.999 THEN 0.0 ELSE r END AS r FROM m", lambda e: e.withColumn("r", C.clean_return(F.try_divide(v, USER.lag(v)) - 1)), l="event_id", d="r")
+ev("P14_missing_flags", "SELECT event_id, CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END AS x_missing FROM ev", lambda e: C.missing_flags(e.withColumn("x", F.when(c("k") % 7 != 0, val())), ["x"]), l="event_id x_missing")
+ev("P15_clip_log_sign", "SELECT event_id, least(greatest(value, 10), 40) AS cl, ln(1 + value) AS lp, sign(k - 50) AS sg, CASE WHEN k > 0 THEN least(greatest(ln(value) - ln(CASE WHEN k > 0 THEN k END), -1), 1) END AS lr FROM ev", lambda e: e.withColumns({"cl": F.least(F.greatest(val(), F.lit(10.0)), F.lit(40.0)), "lp": F.log1p(val()), "sg": F.signum(c("k") - 50), "lr": log_ratio(val(), c("k").cast("double"), 1.0)}), l="event_id", d="cl lp sg lr")
+ev("P16_sentinel_returns", f", m AS (SELECT *, value / lag(value) OVER ({BY_USER}) - 1 AS r FROM ev) SELECT event_id, CASE WHEN r <= -0.999 THEN 0.0 ELSE r END AS r FROM m", lambda e: e.withColumn("r", C.clean_return(F.try_divide(val(), USER.lag(val())) - 1)), l="event_id", d="r")
 ev("P18_one_hot", "SELECT event_id, " + ", ".join(f"CASE WHEN event_type = '{k}' THEN 1 ELSE 0 END AS event_type_{k}" for k in ("click", "view", "error")) + " FROM ev", lambda e: C.one_hot(e, "event_type", ["click", "view", "error"]), l="event_id event_type_click event_type_view event_type_error")
 
 
@@ -254,4 +259,4 @@ def _(spark, d):
     return x.select("l_orderkey", "l_linenumber", *C.columns_by_tokens(x, ["price", "discount"]))
 
 
-ev("P_finite", "SELECT event_id, value AS x FROM ev", lambda e: e.withColumn("x", finite(v)), l="event_id", d="x")
+ev("P_finite", "SELECT event_id, value AS x FROM ev", lambda e: e.withColumn("x", finite(val())), l="event_id", d="x")
