@@ -1,9 +1,10 @@
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.quality import keep_good, quality_report
+from tidemark.llm.quality import _logistic, keep_good, quality_report
 
 
 @pytest.fixture(scope="module")
@@ -40,3 +41,24 @@ def test_odd_rows(spark, tables):
     assert quality_report(docs.filter(F.lit(False)), labels).count() == 0
     kept = keep_good(docs, labels)
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+
+
+def test_fit_converges_on_nearly_separable_samples():
+    """Undamped Newton steps diverge here (weights of 1e5) and reject good documents."""
+    rng = np.random.default_rng(8)
+    for n, noise in ((3000, 0.002), (200, 0.0), (50, 0.1)):
+        y = (np.arange(2 * n) < n).astype(float)
+        ratio = np.where(y == 1, -0.63, -1.69) + rng.normal(0, 0.1, 2 * n) * np.where(y == 1, 1, 9)
+        x = np.stack([np.ones(2 * n), np.where(y == 1, 0.81, -1.1) + rng.normal(0, 0.25, 2 * n), ratio, ratio**2], axis=1)
+        flip = rng.random(2 * n) < noise
+        w = _logistic(x, np.where(flip, 1 - y, y))
+        assert np.isfinite(w).all() and np.abs(w).max() < 1e3
+        assert (((x @ w) > 0) == (y == 1)).mean() > 0.97
+
+
+def test_clean_documents_are_kept(tables):
+    docs, labels = tables
+    held = labels.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1)
+    kept = keep_good(docs, labels).select("doc_id")
+    good = held.filter("quality = 1")
+    assert good.join(kept, "doc_id").count() >= 0.97 * good.count()

@@ -34,8 +34,8 @@ STEP = 128  # tokens between checkpoints
 BLOCK_TOKENS = 1 << 18
 MAX_BITS = 16
 CACHE_CHUNKS = 300_000
-#: A Latin letter before stops at the end of a chunk: letters and signs never share a pre-token.
-_LETTER_THEN_STOP = r"([a-z\x{DF}-\x{F6}\x{F8}-\x{FF}])([,.]+)([\x20\x09-\x0D]|$)"
+#: A Latin letter before signs at the end of a chunk: letters and signs never share a pre-token.
+_LETTER_THEN_STOP = r"([a-z\x{DF}-\x{F6}\x{F8}-\x{FF}])([!#$%&*,.]+)([\x20\x09-\x0D]|$)"
 
 
 class _Index(dict):
@@ -82,8 +82,21 @@ class ChunkEncoder:
         self.flat, self.starts, self.hits = np.concatenate(ids), np.r_[0, np.cumsum([len(x) for x in ids])], hits
         self.used = len(self.flat)
 
+    def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks after one another, and their numbers.
+
+        One call encodes them as the words of one sequence and says which word each id comes from. A
+        chunk with a special token has ids of no word; then each chunk is encoded alone.
+        """
+        whole = self.tokenizer.encode(chunks, is_pretokenized=True, add_special_tokens=False)
+        words = whole.word_ids
+        if None not in words:
+            return np.array(whole.ids, np.uint32), np.bincount(np.array(words, np.int64), minlength=len(chunks))
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(ids)), np.uint32), np.array([len(x) for x in ids], np.int64)
+
     def _chunks(self, texts: pa.Array) -> pa.Array:
-        """Texts cut at white space; where the tokenizer cuts anyway, also before , or . at a chunk's end."""
+        """Texts cut at white space; where the tokenizer cuts anyway, also before signs at a chunk's end."""
         texts = pc.fill_null(texts, "")
         if self.lowers and not any(pc.any(pc.match_substring(texts, s, ignore_case=True)).as_py() for s in self.special):
             texts = pc.replace_substring_regex(pc.ascii_lower(texts), _LETTER_THEN_STOP, r"\1 \2\3")
@@ -101,9 +114,8 @@ class ChunkEncoder:
         self.hits = np.concatenate([self.hits, np.zeros(len(self.index) - len(self.hits), np.int64)])
         self.hits[known] += 1
         at = known[coded.indices.to_numpy(zero_copy_only=False)] if len(distinct) else np.zeros(0, np.int64)
-        for k in range(0, len(self.index.new), 4096):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(self.index.new[k : k + 4096], add_special_tokens=False)]
-            flat, lens = np.array(list(chain.from_iterable(ids)), np.uint32), np.array([len(x) for x in ids], np.int64)
+        for k in range(0, len(self.index.new), 1024):
+            flat, lens = self._encode_chunks(self.index.new[k : k + 1024])
             total = self.used + len(flat)
             if total > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(total, np.uint32)])
