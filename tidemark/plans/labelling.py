@@ -171,7 +171,7 @@ def _(spark, d):
     return out_of_fold(e, "i", V.expanding_folds(n, 3, 0.5, 60, 40), ["k_d", "lag1", "mean5"], "value")
 
 
-@query("O6_block_sample", f"WITH {EV}, {POS}, b AS (SELECT unnest(range(0, 4)) AS w, max(n) AS n FROM p) SELECT w AS win, count(*) AS rows_in, min(i) AS first_i, max(i) AS last_i FROM p JOIN b ON i >= floor(w * (b.n - 300) / 3) AND i < floor(w * (b.n - 300) / 3) + 300 GROUP BY w", l="win rows_in first_i last_i")
+@query("O6_block_sample", f"WITH {EV}, {POS}, k AS (SELECT unnest(range(0, 4)) AS w, max(n) AS n FROM p), b AS (SELECT w, max(floor(w * (n - 300) / 3) - 300 * w) OVER (ORDER BY w) + 300 * w AS s FROM k) SELECT w AS win, count(*) AS rows_in, min(i) AS first_i, max(i) AS last_i FROM p JOIN b ON i >= s AND i < s + 300 GROUP BY w", l="win rows_in first_i last_i")
 def _(spark, d):
     e, n = placed(spark, d)
     blocks = [(k, a, b) for k, (a, b) in enumerate(C.block_sample(n, 300, 4))]
