@@ -44,8 +44,8 @@ def sliding_time(first: int, last: int, train_ms: int, test_ms: int, step_ms: in
 
 
 def in_windows(df: DataFrame, position: str, windows: Sequence[tuple[int, int, int]]) -> DataFrame:
-    """Rows repeated for every window [start, end) that holds them: an array filter, no join (V3-V5)."""
-    table = F.array(*[F.struct(F.lit(k).alias("window"), F.lit(int(a)).cast("long").alias("a"), F.lit(int(b)).cast("long").alias("b")) for k, a, b in windows])
+    """Rows repeated for every window [start, end) that holds them: an array filter, no join (V3-V5). Without windows, no rows."""
+    table = F.array(*[F.struct(F.lit(k).alias("window"), F.lit(int(a)).cast("long").alias("a"), F.lit(int(b)).cast("long").alias("b")) for k, a, b in windows]).cast("array<struct<window:int,a:bigint,b:bigint>>")
     hits = F.filter(table, lambda w: (F.col(position) >= w["a"]) & (F.col(position) < w["b"]))
     return df.withColumn("_w", F.explode(hits)).withColumn("window", F.col("_w.window")).drop("_w")
 
