@@ -151,3 +151,11 @@ def test_resolve_column(spark):
     assert C.resolve_column(df, ["mid_price"]) == "Mid_Price" and C.resolve_column(df, ["price"]) == "Mid_Price"
     with pytest.raises(ValueError):
         C.resolve_column(df, ["nothing"])
+
+
+def test_table_shorter_than_a_window(spark):
+    assert V.sliding(3, 5, 1) == []
+    rows = spark.range(3).withColumnRenamed("id", "i")
+    assert V.in_windows(rows, "i", []).columns == ["i", "window"]
+    assert V.in_windows(rows, "i", []).count() == 0
+    assert V.in_windows(rows, "i", [(0, 0, 2), (1, 1, 3)]).count() == 4
