@@ -40,6 +40,24 @@ def test_cases(spark):
     assert scan_licenses(docs.filter(F.lit(False))).count() == 0
 
 
+LINES = [
+    ("EINEIN!! GEACH!! SCHENSS!!\nLicensed under the Apache License, Version 2.0.", "Apache-2.0"),
+    ("| haanananes |\nLicensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("from from from\nReleased under the MIT License.", "MIT"),
+    ("// Copyright X\n// Licensed under the Apache\n// License, Version 2.0\nint main", "Apache-2.0"),
+    ("# Copyright X\r\n# Released under the MIT License\r\nimport os", "MIT"),
+    ("Free? Licensed under the ISC License! More", "ISC"), ("Yes! Released under the MIT License? More", "MIT"),
+    ("it is not\nlicensed under the MIT License but\nreleased under the MIT Licenses", ""),
+    ("one licensed under the MIT License.", ""), ("a\nLicensed under the MIT.\nLicense", ""),
+    ("a\nThis work is licensed under the GNU General Public License,\nversion 3\nb", "GPL-3.0-only"),
+]
+
+
+def test_registry_lines_without_a_full_stop_before_or_after(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(LINES)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in scan_licenses(docs).collect()}
+    assert [got[i] for i in range(len(LINES))] == [x for _, x in LINES]
+
+
 def test_oracle(spark):
     path = "/root/testdata/sf0.01/documents.parquet"
     db = duckdb.connect()

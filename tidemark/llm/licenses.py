@@ -1,9 +1,11 @@
 """Licence scans by sentence rules, with DataFrame functions only.
 
 A text is cleaned of layout signs and cut into sentences after . ; : and at blank lines; a sentence is
-folded to lower-case ASCII words. Sentences of the registry have an identifier; a document becomes the
-sequence of identifiers of its known sentences, in order. Rules are identifier sequences, tried in
-order (longer, more specific ones first): a match names its licence and uses up its sentences.
+folded to lower-case ASCII words. A sentence of the registry is also cut out where its words begin at a
+line start or after ! or ? and end at a line end, ! or ?, over line joins too, whatever stands around
+it. Sentences of the registry have an identifier; a document becomes the sequence of identifiers of its
+known sentences, in order. Rules are identifier sequences, tried in order (longer, more specific ones
+first): a match names its licence and uses up its sentences.
 
 Defined results: null or empty texts and texts without a known sentence have no licence (empty
 strings, 0); a licence is listed once; repeated rows stay; other columns are dropped.
@@ -93,7 +95,11 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
 ]
 #: Every sentence of the registry holds one of these words, so a text without any has no known sentence.
 ANCHORS = ("licens", "copyright", "warrant", "redistribut", "permission", "software")
-_LAYOUT, _BREAK, _BLANK = r"[*#$%&|!]+", r"([.;:])[\x20\x09-\x0D]+", r"\n[\x20\x09\x0D]*\n"
+# ! is layout as well, but stays until the registry's sentences are cut out.
+_LAYOUT, _BREAK, _BLANK = r"[*#$%&|]+", r"([.;:])[!\x20\x09-\x0D]+", r"\n[!\x20\x09\x0D]*\n"
+_EDGE = r"\n\r\x01!?"
+_KNOWN = "|".join(s.replace(" ", r"[^a-z0-9\x01]++") for s in sorted(SENTENCES.values(), key=len, reverse=True))
+_CUT_OUT = rf"(?:^|(?<=[{_EDGE}]))[^a-z0-9{_EDGE}]*+({_KNOWN})(?=[^a-z0-9{_EDGE}]*+(?:[{_EDGE}]|\z))"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -101,6 +107,7 @@ def sentences(text: Column) -> Column:
     """Folded sentences of a text, in order."""
     lower = F.translate(F.regexp_replace(text, _LAYOUT, " "), _UPPER, _LOWER)
     cut = F.regexp_replace(F.regexp_replace(lower, _BLANK, "\x01"), _BREAK, "$1\x01")
+    cut = F.regexp_replace(cut, _CUT_OUT, "\x01$1\x01")
     return F.transform(F.split(cut, "\x01"), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
 
 
