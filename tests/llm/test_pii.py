@@ -63,3 +63,19 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     assert by[20].spans == "phone:25:36" and by[20].n_phone == 0 and by[24].n_added == 1
     assert by[21].spans == "" and by[22].spans == "" and by[0].n_phone == 1
     assert find_pii(docs.filter(F.lit(False))).count() == 0
+
+
+def test_a_value_in_many_strong_patterns_is_found(spark):
+    words = [f"{a}{b}line" for a in "abcde" for b in "abcd"]
+    rows = [(100 * i + j, f"{w} number +1 202 555 {i:02d}{j:02d} now") for i, w in enumerate(words) for j in range(10)]
+    rows += [(9000 + i, f"{w} number 2025550199x now") for i, w in enumerate(words)]
+    got = {r.doc_id: r.spans for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[9000 + i] for i in range(len(words))] == ["phone:14:25"] * len(words)
+
+
+def test_a_seed_is_added_outside_base_spans_in_confident_contexts(spark):
+    rows = [(i, f"some words call me at number +1 202 555 01{i:02d} now") for i in range(10)]
+    rows += [(20, "please call me at number 1-202-555-0101 today"), (21, "unrelated part code 1-202-555-0102 here")]
+    got = {r.doc_id: r for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[20].spans == "phone:25:39" and got[20].n_phone == 0 and got[20].n_added == 1
+    assert got[21].spans == "" and got[1].n_phone == 1 and got[1].n_added == 0

@@ -5,7 +5,8 @@ words to the left of each seed are lexical patterns, and tokens that look like i
 the same patterns. Spark holds this as a graph of distinct (pattern, value) edges and scores it in
 rounds: a pattern's confidence in a kind is the share of known values of that kind among all its
 values; a value's score is the noisy-or of its confident patterns; values above a limit become known
-and support patterns in the next round. Every occurrence of a value found so is an added span.
+and support patterns in the next round. Every occurrence of a value found so is an added span. A seed's
+value is found so too if it stands outside base spans beside confident patterns.
 
 Defined results: null or empty texts have no spans; repeated rows stay; an empty table gives none;
 other columns are dropped. Offsets are code points, the end is exclusive.
@@ -133,28 +134,34 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def bootstrap(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_score: float = MIN_SCORE) -> DataFrame:
-    """(value, kind, score) of values that are no seeds. edges: distinct (pattern, value); seeds: (value, kind)."""
+    """(value, kind, score) of values found outside base spans. edges: distinct (pattern, value) and whether it is open, seen outside a base span; seeds: (value, kind)."""
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-    known = seeds.select("value", "kind", F.lit(1.0).alias("score"))
-    fresh = known
+    known = seeds.select("value", "kind")
+    found = None
     for n in range(rounds):
-        votes = edges.join(known.select("value", "kind"), "value").groupBy("pattern", "kind").agg(F.count("*").alias("k"))
+        votes = edges.join(known, "value").groupBy("pattern", "kind").agg(F.count("*").alias("k"))
         good = votes.filter(F.col("k") >= min_support).join(sizes, "pattern").withColumn("confidence", F.col("k") / F.col("n")).filter(F.col("confidence") >= min_confidence)
-        reached = edges.join(good.select("pattern", "kind", "confidence"), "pattern").join(known.select("value"), "value", "left_anti")
-        scored = reached.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1.0000001 - F.col("confidence"))))).alias("score")).filter(F.col("score") >= min_score)
-        best = scored.groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("score"))
-        fresh = materialise(best, f"round{n}")
-        if fresh.isEmpty():
+        reached = edges.filter("open").join(good.select("pattern", "kind", "confidence"), "pattern")
+        if found is not None:
+            reached = reached.join(found.select("value"), "value", "left_anti")
+        # The score rounds to 1 for many patterns; the sum of logarithms still tells kinds apart.
+        scored = reached.groupBy("value", "kind").agg((-F.sum(F.log(1.0000001 - F.col("confidence")))).alias("weight")).withColumn("score", 1 - F.exp(-F.col("weight"))).filter(F.col("score") >= min_score)
+        best = scored.groupBy("value").agg(F.max_by("kind", F.struct("weight", "kind")).alias("kind"), F.max("score").alias("score"))
+        fresh = materialise(best.join(seeds.select("value", F.lit(True).alias("seed")), "value", "left"), f"round{n}")
+        found = fresh if found is None else found.unionByName(fresh)
+        new = fresh.filter("seed is null").select("value", "kind")  # a seed keeps its own kind as support
+        if new.isEmpty():
             break
-        known = known.unionByName(fresh)
-    return known.filter("score < 1.0")
+        known = known.unionByName(new)
+    return found.select("value", "kind", "score") if found is not None else seeds.select("value", "kind", F.lit(1.0).alias("score")).limit(0)
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) of every document."""
     rows = materialise(occurrences(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "occurrences")
     seen = rows.select("row", F.explode("occ").alias("o")).select("row", "o.*")
-    edges = materialise(seen.select(F.explode("contexts").alias("pattern"), "value").distinct(), "edges")
+    beside = seen.select(F.explode("contexts").alias("pattern"), "value", F.col("kind").isNull().alias("open"))
+    edges = materialise(beside.groupBy("pattern", "value").agg(F.max("open").alias("open")), "edges")
     seeds = seen.filter("kind is not null").groupBy("value").agg(F.min("kind").alias("kind"))
     added = bootstrap(edges, seeds, **options).select("value", F.col("kind").alias("found"))
     more = seen.filter("kind is null").join(added, "value").groupBy("row").agg(F.collect_list(F.struct("start", "end", F.col("found").alias("kind"))).alias("more"))
