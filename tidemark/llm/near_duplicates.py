@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
@@ -176,7 +176,7 @@ def _verify(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, block_reps: int = BLOCK_REPS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """(doc_id, text_hash, class_id, n_links): links are other documents with Jaccard >= threshold."""
+    """(doc_id, text_hash, root, class_id, n_links, alone): root tells classes apart, links are other documents with Jaccard >= threshold."""
     spark = docs.sparkSession
     bands = band_count(threshold, recall, rows)
     signed = materialise(signatures(docs, size, bands, rows), "signatures")
@@ -224,10 +224,10 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, threshold: float = THRESH
     reps = reps.select("rep", "copies", "first_id").join(links, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     reps = materialise(reps.withColumn("root", F.coalesce("root", "rep")), "classes")
     names = reps.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    facts = materialise(reps.join(names, "root").select("rep", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "facts")
+    facts = materialise(reps.join(names, "root").select("rep", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "facts")
     out = signed.select("doc_id", "text_hash", "rep").join(facts, "rep", "left")
     alone = F.col("rep").isNull()
-    return out.select("doc_id", "text_hash", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"), alone.alias("alone"))
+    return out.select("doc_id", "text_hash", "root", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"), alone.alias("alone"))
 
 
 def near_duplicate_report(docs: DataFrame, **options) -> DataFrame:
@@ -236,10 +236,27 @@ def near_duplicate_report(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each class: the one with the smallest id (ties: the smallest text hash)."""
+    """docs with one row of each class: one with the smallest id (ties: the smallest text hash; null ids last).
+
+    Rows that repeat its id and text go too; if their other columns differ, any one of them stays.
+    """
     found = near_duplicates(docs, **options).filter(~F.col("alone"))
-    kept = found.groupBy("class_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.doc_id", "k.text_hash")
-    gone = found.select("doc_id", "text_hash").distinct().exceptAll(kept).withColumnRenamed("doc_id", "id_").withColumnRenamed("text_hash", "hash_")
+    pairs = materialise(found.groupBy("doc_id", "text_hash").agg(F.first("root").alias("root"), F.count("*").alias("c")), "pairs")
+    # Classes are told apart by root: names are shared by classes of null ids and of repeated ids.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "c")).alias("k")
+    kept = materialise(pairs.groupBy("root").agg(first).select("k.doc_id", "k.text_hash", "k.c"), "kept")
+    # Of kept pairs, those of a single row are not touched by what follows.
+    gone = pairs.select("doc_id", "text_hash").exceptAll(kept.filter("c = 1").select("doc_id", "text_hash"))
     keyed = docs.withColumn("hash__", F.xxhash64("text"))
-    left = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["id_"]) & (keyed["hash__"] == gone["hash_"]), "left_anti")
+
+    def same(pair: DataFrame) -> Column:
+        return keyed["doc_id"].eqNullSafe(pair["id_"]) & (keyed["hash__"] == pair["hash_"])
+
+    gone = gone.select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"))
+    left = keyed.join(gone, same(gone), "left_anti")
+    repeated = kept.filter("c > 1").select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"))
+    n = repeated.count()
+    if n:
+        few = F.broadcast(repeated) if n <= _BROADCAST_ROWS else repeated
+        left = left.unionByName(keyed.join(few, same(repeated), "left_semi").dropDuplicates(["doc_id", "hash__"]))
     return left.drop("hash__")
