@@ -6,7 +6,7 @@ import public_tokenizers as P
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from tidemark.llm.token_output import Code, ChunkEncoder, code_lengths, encode_documents, read_tokens
+from tidemark.llm.token_output import BLOCK_TOKENS, Code, ChunkEncoder, code_lengths, encode_documents, read_tokens
 
 PATH = P.path("word_bpe_49k.json")
 ODD = [None, "", "  ", "a", "Hello, World's  end.\n\nTab\tx", "É é ÀÇ Σς", "x<|endoftext|>y <|startoftext|>", "a\x1cb\x85c d", "日本語 🎉 12345 don't", "word " * 3000]
@@ -22,6 +22,23 @@ def test_encoder_matches_library():
     assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == library(ODD)
 
 
+def test_tokenizers_that_keep_white_space_are_given_whole_texts(spark):
+    path, texts = P.path("byte_bpe_50k.json"), ["hello world  two", " a\n b\t", "", "x<|endoftext|>y z", "caf\u00e9 \u65e5\u672c 12"]
+    encoder, t = ChunkEncoder(path), Tokenizer.from_file(path)
+    assert ChunkEncoder(PATH).cuts and not encoder.cuts
+    ids, n = encoder.encode(pa.array(texts), 2)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in read_tokens(spark, encode_documents(docs, path), with_ids=True).collect()}
+    assert [got[i] for i in range(len(texts))] == [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+
+
+def test_chunks_that_hold_the_mark_and_many_chunks():
+    texts = ["\x01", "a\x01b \x01 \x01\x01.", " ".join(f"w{i}x" for i in range(3000)), "\x01 end"]
+    ids, n = ChunkEncoder(PATH).encode(pa.array(texts), 2)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == library(texts)
+
+
 def huffman_cost(w):
     h, total = list(map(int, w)), 0
     heapq.heapify(h)
@@ -72,6 +89,10 @@ def test_files_against_brute_force(spark):
     check(spark, [])
 
 
+def test_a_document_above_a_block(spark):
+    check(spark, [(2, "a b " * (BLOCK_TOKENS // 2 + 5), 0), (1, "c", 0), (3, "d e", 0)])
+
+
 def test_documents(spark):
     rows = [(r.doc_id, r.text, 0) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     check(spark, rows)

@@ -33,7 +33,8 @@ from tidemark.llm.scratch import input_bytes, materialise, parts_for, shared_dir
 STEP = 128  # tokens between checkpoints
 BLOCK_TOKENS = 1 << 18
 MAX_BITS = 16
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 500_000
+_MARK = "\x01"
 #: A Latin letter before signs at the end of a chunk: letters and signs never share a pre-token.
 _LETTER_THEN_STOP = r"([a-z\x{DF}-\x{F6}\x{F8}-\x{FF}])([!#$%&*,.]+)([\x20\x09-\x0D]|$)"
 
@@ -53,8 +54,8 @@ class _Index(dict):
 class ChunkEncoder:
     """Ids of whole texts; encodes every distinct chunk between white space once and remembers it.
 
-    For tokenizers whose pre-tokens never hold white space (it is dropped), cutting at ASCII white
-    space changes nothing.
+    Cutting at ASCII white space changes nothing for tokenizers whose pre-tokens never hold white space
+    (it is dropped). Others keep it; probes tell, and their texts are encoded whole, one by one.
     """
 
     def __init__(self, path: str):
@@ -65,69 +66,93 @@ class ChunkEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.lowers = '"Lowercase"' in self.tokenizer.to_str().split('"model"')[0]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        words = ["ab", "c1", "7", "..", "\u00e9x", "\u65e5\u672c", _MARK]
+        alone = [self._ids(w) for w in words]
+        self.cuts = all(self._ids(f"{x}{x.join(words)}{x}") == list(chain.from_iterable(alone)) for x in (*"\x20\t\n\x0b\x0c\r", "\x20\n\x20"))
+        self.mark = alone[-1]
         self.clear()
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def clear(self) -> None:
+        """Forget all chunks; number 0 is the end id."""
         self.index = _Index()
-        self.flat, self.starts, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64), 0
-        self.hits = np.zeros(0, np.int64)
+        self.index["\x20"] = 0
+        self.flat, self.starts, self.used = np.zeros(1 << 16, f"<u{self.width}"), np.array([0, 1], np.int64), 1
+        self.hits = np.zeros(1, np.int64)
 
     def _shrink(self) -> None:
         """Keep the half of the chunks that was met most often."""
-        words, keep = list(self.index), np.sort(np.argsort(-self.hits, kind="stable")[: CACHE_CHUNKS // 2])
+        words, keep = list(self.index), 1 + np.sort(np.argsort(-self.hits[1:], kind="stable")[: CACHE_CHUNKS // 2])
         ids = [self.flat[self.starts[i] : self.starts[i + 1]] for i in keep.tolist()]
         hits = self.hits[keep] // 2
         self.clear()
-        self.index.update(zip((words[i] for i in keep.tolist()), range(len(keep))))
-        self.flat, self.starts, self.hits = np.concatenate(ids), np.r_[0, np.cumsum([len(x) for x in ids])], hits
+        self.index.update(zip((words[i] for i in keep.tolist()), range(1, len(keep) + 1)))
+        self.flat, self.hits = np.concatenate([self.flat[:1], *ids]), np.r_[0, hits]
+        self.starts = np.r_[0, 1, 1 + np.cumsum([len(x) for x in ids])]
         self.used = len(self.flat)
 
     def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the chunks after one another, and their numbers.
 
-        One call encodes them as the words of one sequence and says which word each id comes from. A
-        chunk with a special token has ids of no word; then each chunk is encoded alone.
+        One call encodes them with a mark between; if the mark's id stands anywhere else too, each chunk
+        is encoded alone.
         """
-        whole = self.tokenizer.encode(chunks, is_pretokenized=True, add_special_tokens=False)
-        words = whole.word_ids
-        if None not in words:
-            return np.array(whole.ids, np.uint32), np.bincount(np.array(words, np.int64), minlength=len(chunks))
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        return np.array(list(chain.from_iterable(ids)), np.uint32), np.array([len(x) for x in ids], np.int64)
+        if len(self.mark) == 1:
+            ids = np.array(self._ids(f"\x20{_MARK}\x20".join(chunks)), np.int64)
+            at = np.flatnonzero(ids == self.mark[0])
+            if len(at) == len(chunks) - 1:
+                return np.delete(ids, at), np.diff(np.r_[-1, at, len(ids)]) - 1
+        some = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(some)), np.int64), np.array([len(x) for x in some], np.int64)
 
     def _chunks(self, texts: pa.Array) -> pa.Array:
         """Texts cut at white space; where the tokenizer cuts anyway, also before signs at a chunk's end."""
-        texts = pc.fill_null(texts, "")
         if self.lowers and not any(pc.any(pc.match_substring(texts, s, ignore_case=True)).as_py() for s in self.special):
             texts = pc.replace_substring_regex(pc.ascii_lower(texts), _LETTER_THEN_STOP, r"\1 \2\3")
         return pc.ascii_split_whitespace(texts)
 
+    def _learn(self) -> None:
+        for k in range(0, len(self.index.new), 1024):
+            ids, lens = self._encode_chunks(self.index.new[k : k + 1024])
+            total = self.used + len(ids)
+            if total > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(total, self.flat.dtype)])
+            self.flat[self.used : total] = ids
+            self.starts = np.concatenate([self.starts, self.used + np.cumsum(lens)])
+            self.used = total
+        self.index.new.clear()
+        self.hits = np.concatenate([self.hits, np.zeros(len(self.index) - len(self.hits), np.int64)])
+
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids after one another, and the number of ids of each text, its end id included."""
+        texts = pc.fill_null(texts, "")
+        if not self.cuts:
+            some = [[*e.ids, end] for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.array(list(chain.from_iterable(some)), self.flat.dtype), np.array([len(x) for x in some], np.int64)
         if len(self.index) > CACHE_CHUNKS:
             self._shrink()
+        self.flat[0] = end
         words = self._chunks(texts)
-        sizes = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)
         coded = words.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        known = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))
-        self.hits = np.concatenate([self.hits, np.zeros(len(self.index) - len(self.hits), np.int64)])
+        known = np.fromiter(map(self.index.__getitem__, distinct), np.int32, len(distinct))
+        self._learn()
         self.hits[known] += 1
-        at = known[coded.indices.to_numpy(zero_copy_only=False)] if len(distinct) else np.zeros(0, np.int64)
-        for k in range(0, len(self.index.new), 1024):
-            flat, lens = self._encode_chunks(self.index.new[k : k + 1024])
-            total = self.used + len(flat)
-            if total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(total, np.uint32)])
-            self.flat[self.used : total] = flat
-            self.starts = np.concatenate([self.starts, self.used + np.cumsum(lens)])
-            self.used = total
-        self.index.new.clear()
-        begin, n = self.starts[at], self.starts[at + 1] - self.starts[at]
-        before = np.cumsum(n) - n
-        ids = self.flat[np.repeat(begin - before, n) + np.arange(int(n.sum()))]
-        of_text = np.r_[0, np.cumsum(n)][np.r_[0, np.cumsum(sizes)]]
-        return np.insert(ids, of_text[1:], end), np.diff(of_text) + 1
+        # Chunk numbers of all texts, a 0 after each; the ids are then copied chunk by chunk.
+        last = np.cumsum(sizes + 1) - 1
+        at = np.zeros(len(coded) + len(sizes), np.int32)
+        inner = np.ones(len(at), bool)
+        inner[last] = False
+        if len(distinct):
+            at[inner] = known[coded.indices.to_numpy(zero_copy_only=False)]
+        book = pa.Array.from_buffers(pa.large_binary(), len(self.starts) - 1, [None, pa.py_buffer(self.starts * self.width), pa.py_buffer(self.flat)])
+        taken = book.take(pa.array(at))
+        edge = np.frombuffer(taken.buffers()[1], np.int64)[: len(at) + 1] // self.width
+        ids = np.frombuffer(taken.buffers()[2], self.flat.dtype)[: int(edge[-1])] if len(at) else np.zeros(0, self.flat.dtype)
+        return ids, np.diff(edge[np.r_[0, last + 1]]) if len(sizes) else np.zeros(0, np.int64)
 
 
 def _slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
@@ -139,6 +164,12 @@ def _slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.Recor
         start = end
 
 
+def _crcs(ids: np.ndarray, edge: np.ndarray) -> list[int]:
+    """crc32 of each stretch of ids between two edges."""
+    view, at = memoryview(ids).cast("B"), (edge * ids.itemsize).tolist()
+    return [zlib.crc32(view[a:b]) for a, b in zip(at[:-1], at[1:])]
+
+
 _encoders: dict[str, ChunkEncoder] = {}
 
 
@@ -149,14 +180,12 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, ChunkEncoder(tokenizer))
         for whole in batches:
-            for batch in _slices(whole, 1, 4 << 20):
+            for batch in _slices(whole, 1, 8 << 20):
                 ids, n = encoder.encode(batch.column(1), end_id)
                 edge = np.r_[0, np.cumsum(n)]
-                wide, narrow = ids.astype("<u4"), ids.astype(f"<u{encoder.width}")
-                pairs = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
-                crc = pa.array([zlib.crc32(wide[a:b]) for a, b in pairs], pa.int64())
-                packed = pa.array([narrow[a:b].tobytes() for a, b in pairs], pa.binary())
-                width = pa.array(np.full(len(pairs), encoder.width, np.int32))
+                crc = pa.array(_crcs(ids.astype("<u4"), edge), pa.int64())
+                packed = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(edge * ids.itemsize), pa.py_buffer(ids)]).cast(pa.binary())
+                width = pa.array(np.full(len(n), encoder.width, np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), crc, width, packed], names=["doc_id", "n_tokens", "ids_crc32", "width", "ids"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
