@@ -1,7 +1,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from tidemark.llm.licenses import ANCHORS, RULES, SENTENCES, oracle, scan_licenses
+from tidemark.llm.licenses import ANCHORS, CORES, LEADS, NAMES, RULES, SENTENCES, TEXTS, TITLES, oracle, scan_licenses
 
 MIT = """The MIT License (MIT)
 
@@ -28,9 +28,24 @@ CASES = [
 
 def test_registry():
     assert len(set(SENTENCES.values())) == len(SENTENCES)
-    missing = [n for n, s in SENTENCES.items() if not any(a in s for a in ANCHORS)]
+    notices = [f"released under {t}" for t in TITLES if not t.startswith("spdx")]
+    missing = [x for x in [*SENTENCES, *notices] if not any(a in x.replace("4 0", "4.0") for a in ANCHORS)]
     assert not missing, missing
-    assert all(i in SENTENCES for _, r in RULES for i in r)
+    assert all(i in {*SENTENCES.values(), *TITLES.values()} for _, r in RULES for i in r)
+    assert all(r for _, r in RULES) and len(CORES) > 10
+
+
+def test_every_text_and_notice_names_its_licence(spark):
+    rows = [(n, t) for n, t in TEXTS if n not in ("BSD-4-Clause",)]
+    rows += [(n, f"Foo bar.\n// {LEADS[i % len(LEADS)].capitalize()} {('', 'the ', 'an ')[i % 3]}{t}.\nx") for i, (n, ts) in enumerate(NAMES.items()) for t in ts]
+    rows += [(n, f"# SPDX-License-Identifier: {n}\nimport os") for n in NAMES]
+    wrapped = [(n, "\n".join(t.replace(" ", "\n * ", 400).replace("\n * ", " ", 7).splitlines())) for n, t in rows if "\n" not in t]
+    rows += wrapped
+    got = {r.doc_id: r.licenses for r in scan_licenses(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()}
+    wrong = [(n, got[i], t[:90]) for i, (n, t) in enumerate(rows) if n not in got[i].split(",")]
+    assert not wrong, wrong
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy"
+    assert scan_licenses(spark.createDataFrame([(1, mpl), (1, mpl), (None, mpl)], "doc_id long, text string")).filter("licenses = 'MPL-2.0'").count() == 3
 
 
 def test_cases(spark):
@@ -60,8 +75,11 @@ def test_registry_lines_without_a_full_stop_before_or_after(spark):
 
 def test_oracle(spark):
     path = "/root/testdata/sf0.01/documents.parquet"
+    texts = [t for _, t in [*TEXTS, *CASES, *LINES]]
+    odd = spark.createDataFrame([(-i, t) for i, t in enumerate(t if t and len(t) < 5000 else None for t in texts)], "doc_id long, text string")
+    docs = spark.read.parquet(path).select("doc_id", "text").unionByName(odd)
     db = duckdb.connect()
-    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
+    db.register("documents", docs.toPandas())
     want = sorted(db.execute(oracle()).fetchall())
-    got = sorted(tuple(r) for r in scan_licenses(spark.read.parquet(path)).collect())
-    assert got == want and sum(bool(r[1]) for r in got) > 20
+    got = sorted(tuple(r) for r in scan_licenses(docs).collect())
+    assert got == want and sum(bool(r[1]) for r in got) > 50
