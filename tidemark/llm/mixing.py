@@ -20,7 +20,7 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import materialise
@@ -103,16 +103,28 @@ def _round(rows: DataFrame, n: int) -> DataFrame:
     return rows.groupBy("source", "chunk").applyInPandas(run, rows.schema)
 
 
+def _key() -> Column:
+    """Tells texts and sources apart; their null flags keep (text, null) from (null, text)."""
+    return F.xxhash64(F.col("text").isNull(), F.col("text"), F.col("source").isNull(), F.col("source"))
+
+
+def _each(n: Column) -> Column:
+    """1 to n as two nested lists, so that no list grows with a large n."""
+    return F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 4096)), lambda k: F.struct((k * 4096 + 1).alias("a"), F.least(k * 4096 + 4096, n).alias("b")))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, source, key, seq, size, source_size, target, copies) of every document.
 
-    (doc_id, key, seq) tells rows apart: key hashes the text, seq numbers exact repetitions.
+    (doc_id, key, seq) tells rows apart: key hashes text and source, seq numbers exact repetitions.
     """
     spark = docs.sparkSession
-    same = Window.partitionBy("doc_id", "key").orderBy("size")
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select("doc_id", "source", F.xxhash64("text", "source").alias("key"), size.alias("size"))
-    rows = materialise(rows.withColumn("seq", F.row_number().over(same)), "sizes")
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), _key().alias("key"), size.alias("size"))
+    # Repetitions are counted before they are numbered: a row repeated at will is one row of the shuffle.
+    rows = rows.groupBy("doc_id", "source", "key", "size").agg(F.count("*").alias("c"))
+    rows = rows.withColumn("part", F.explode(_each(F.col("c")))).withColumn("seq", F.explode(F.sequence("part.a", "part.b")))
+    rows = materialise(rows.drop("c", "part"), "sizes")
     # One row per source: bounded by the number of sources, not by documents.
     totals = {r.source: (r.n, r.m) for r in rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("m")).collect()}
     targets = source_targets([(s, n) for s, (n, _) in totals.items()], weights, cap)
@@ -143,9 +155,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, chunk
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """docs with every document repeated as often as the mix takes it (0 to cap times)."""
-    kept = mix(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("id_"), F.col("key").alias("key_"), F.col("seq").alias("seq_"), "copies")
-    keyed = docs.withColumn("key__", F.xxhash64("text", "source"))
-    keyed = keyed.withColumn("seq__", F.row_number().over(Window.partitionBy("doc_id", "key__").orderBy("key__")))
-    joined = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["id_"]) & (keyed["key__"] == kept["key_"]) & (keyed["seq__"] == kept["seq_"]))
-    return joined.withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """docs with every document repeated as often as the mix takes it (0 to cap times).
+
+    Texts are shuffled once at most, and only those that the mix takes. Rows that repeat each other's id,
+    text and source share their copies; where their other columns differ, the first of these take more.
+    """
+    taken = mix(docs, **options).groupBy("doc_id", "key").agg(F.sum("copies").alias("t"), F.count("*").alias("c")).filter("t > 0")
+    taken = materialise(taken.select(F.col("doc_id").alias("id_"), F.col("key").alias("key_"), "t", "c"), "taken")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), _key().alias("key"))
+    joined = rows.join(taken, F.col("id").eqNullSafe(F.col("id_")) & (F.col("key") == F.col("key_")))
+    out = joined.filter("c = 1").select("row", F.col("t").alias("n"))
+    if not taken.filter("c > 1").isEmpty():
+        # Equal rows become one with a count before the running numbers of their variants are made.
+        text = F.to_json("row", {"ignoreNullFields": "false"})
+        same = joined.filter("c > 1").groupBy("id", "key", F.xxhash64(text).alias("variant")).agg(F.first("row").alias("row"), F.count("*").alias("m"), F.first("t").alias("t"), F.first("c").alias("c"))
+        before = F.sum("m").over(Window.partitionBy("id", "key").orderBy("variant")) - F.col("m")
+        share = lambda at: F.col("t").cast("decimal(38,0)") * at / F.col("c")
+        spread = same.withColumn("before", before).select("row", (F.ceil(share(F.col("before") + F.col("m"))) - F.ceil(share(F.col("before")))).cast("long").alias("n"))
+        out = out.unionByName(spread.filter("n > 0"))
+    parts = out.withColumn("part", F.explode(_each(F.col("n"))))
+    return parts.withColumn("copy", F.explode(F.sequence("part.a", "part.b"))).select("row.*")
