@@ -2,9 +2,10 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
-from tidemark.llm.quality import _logistic, keep_good, quality_report
+from tidemark.llm.quality import _dictionary, _logistic, fit, keep_good, quality_report
 
 
 @pytest.fixture(scope="module")
@@ -62,3 +63,33 @@ def test_clean_documents_are_kept(tables):
     kept = keep_good(docs, labels).select("doc_id")
     good = held.filter("quality = 1")
     assert good.join(kept, "doc_id").count() >= 0.97 * good.count()
+
+
+def test_scores_against_plain_compression(tables):
+    docs, labels = tables
+    model = fit(docs, labels)
+
+    def size(block, dictionary):
+        options = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
+        return len(zstandard.ZstdCompressor(level=3, write_content_size=False, write_dict_id=False, **options).compress(block))
+
+    got = {r.doc_id: r.score for r in quality_report(docs, labels).collect()}
+    for r in docs.filter("doc_id % 7 = 0 or length(text) > 20000").collect():
+        raw, x = r.text.encode(), np.array([1.0, 0, 0, 0])
+        if raw:
+            good, bad, plain = (sum(size(raw[i : i + 4096], d) for i in range(0, len(raw), 4096)) for d in (model.good, model.bad, b""))
+            ratio = np.log(plain / len(raw))
+            x[1:] = 10 * (bad - good) / (bad + good), ratio, ratio**2
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-x @ np.array(model.weights)))) < 1e-9
+
+
+def test_small_and_conflicting_samples(spark, tables):
+    docs, labels = tables
+    assert _dictionary([]) == b"" and len(_dictionary([b"abc"])) == 0
+    assert 256 <= len(_dictionary([f"some words {i} and {i * 7} more".encode() for i in range(300)])) <= 112 << 10
+    both = labels.unionByName(labels.filter("doc_id < 20").withColumn("quality", 1 - F.col("quality")))
+    many = docs.unionByName(docs.filter("doc_id = 3").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(7000)))).drop("n"))
+    got = {r.doc_id: r.score for r in quality_report(many, both).collect()}
+    assert got == {r.doc_id: r.score for r in quality_report(docs, both).collect()}
+    few = labels.filter("doc_id < 12")
+    assert all(0 <= r.score <= 1 for r in quality_report(docs, few).collect())

@@ -6,12 +6,14 @@ the normalised difference (bad - good) / (bad + good) and the logarithm of the p
 the whole text; a logistic fit on labelled documents that the dictionaries have not seen turns them
 into a calibrated score.
 
-The fit reads a bounded sample (a parameter): per label the `sample_docs` documents of smallest hash,
-half for the dictionaries and half for the calibration, and at most `blocks_per_doc` blocks of each for
-the dictionaries. Scores read whole texts and nothing but the text.
+The fit reads a bounded sample (a parameter): per label the `sample_docs` ids of smallest hash, whole
+texts, half for the dictionaries and half for the calibration. Where an id has several texts, the one of
+smallest hash is read. Scores read whole texts and nothing but the text.
 
 Defined results: null and empty texts get the score of neutral features; without labels of both
-kinds every score is the smoothed share of label 1. Null ids are never training rows and not held out.
+kinds every score is the smoothed share of label 1. Null ids are never training rows and not held out;
+an id with both labels is a row of either. Where a label has too little text for a dictionary of
+DICTIONARY_BYTES, it gets a smaller one, and none below 256 bytes: texts are then compressed plainly.
 """
 
 from __future__ import annotations
@@ -39,10 +41,14 @@ class QualityModel:
 
 
 def _dictionary(samples: list[bytes]) -> bytes:
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=512, d=8).as_bytes()
-    except zstandard.ZstdError:  # too few samples: their raw bytes are the dictionary
-        return b"".join(samples)[-DICTIONARY_BYTES:]
+    """A dictionary from all samples: the largest of DICTIONARY_BYTES, a half, a quarter ... that they allow."""
+    size = DICTIONARY_BYTES
+    while samples and size >= 256:
+        try:
+            return zstandard.train_dictionary(size, samples, k=min(512, size // 4), d=8).as_bytes()
+        except zstandard.ZstdError:
+            size //= 2
+    return b""
 
 
 def _blocks(text: str | None) -> list[bytes]:
@@ -108,7 +114,7 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, blocks_per_doc: int = 4) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> QualityModel:
     """Learn from labelled documents that are not held out."""
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("quality").alias("y"))
     by = F.xxhash64(F.col("doc_id").cast("string"))
@@ -117,10 +123,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, bloc
         part = usable.filter(F.col("y") == y).distinct().orderBy(by, "doc_id").limit(sample_docs)
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    # Documents repeat their ids at will: the number of rows that reach the driver is bounded again.
-    rows = rows.select("y", by.alias("h"), F.xxhash64("text").alias("g"), "text").orderBy("h", "g", "y").limit(2 * sample_docs).collect()
+    # One text of every id, so copies of one id neither fill the sample nor pass its bound.
+    rows = rows.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = sorted(rows.select(by.alias("h"), "y", "text").collect(), key=lambda r: (r.h, r.y, r.text or ""))
     dictionary = [r for r in rows if r.h % 2 == 0]
-    samples = {y: [b for r in dictionary if r.y == y for b in _spread(_blocks(r.text), blocks_per_doc)] for y in (0, 1)}
+    samples = {y: [b for r in dictionary if r.y == y for b in _blocks(r.text)] for y in (0, 1)}
     rest = [r for r in rows if r.h % 2]
     if len({r.y for r in rest}) < 2:
         rest = rows
@@ -133,10 +140,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, bloc
     return QualityModel(good, bad, tuple(_logistic(x, y).tolist()))
 
 
-def _spread(blocks: list[bytes], most: int) -> list[bytes]:
-    return blocks if len(blocks) <= most else [blocks[i * len(blocks) // most] for i in range(most)]
-
-
 def with_score(docs: DataFrame, model: QualityModel) -> DataFrame:
     """(row, score): the document as a struct and its score; a map without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of at most 112 KiB
