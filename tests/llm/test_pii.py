@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tidemark.llm.pii import base_spans, find_pii
+from tidemark.llm.pii import _after, _before, base_spans, candidates, find_pii
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -79,3 +79,70 @@ def test_a_seed_is_added_outside_base_spans_in_confident_contexts(spark):
     got = {r.doc_id: r for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[20].spans == "phone:25:39" and got[20].n_phone == 0 and got[20].n_added == 1
     assert got[21].spans == "" and got[1].n_phone == 1 and got[1].n_added == 0
+
+
+def test_candidates_are_whole_tokens():
+    long = "x" * 5000
+    found = lambda t: [t[a:b] for a, b in candidates(t, base_spans(t))]
+    assert found(f"see {long}123{long} end") == [f"{long}123{long}"]
+    assert found("call (743) 555 3824 or 12-34-56-78 or id7 ab@b, no 12") == ["743) 555 3824", "12-34-56-78", "ab@b"]
+    assert found("http://x.y/page/1234567 ref 999") == ["http://x.y/page/1234567"]
+    assert found("mail a.b@c.de 10.0.0.1") == [] and found("") == []
+    assert found("1" * 9000 + "x " + "@" * 3000) == ["1" * 9000 + "x"]
+    assert found("1 2 3 4 5 6 7x " * 5000) == [] and found("12 34 56 78 " * 3) == ["12 34 56 78 12 34 56 78 12 34 56 78"]
+    assert _before("one two " + long, 8 + 5000, 2) == ["two", long] and _after(long + " z", 0) == long
+
+
+def test_bootstrap_against_a_plain_graph(spark):
+    """Three rounds over the graph of the whole test table, by dictionaries."""
+    from collections import defaultdict
+    from math import exp, log
+
+    from tidemark.llm.pii import KINDS, occurrences
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    extra = [(10_000 + i, f"please reach us under line {i}: (743) 555 38{i:02d} today, or +1 202 555 01{i:02d} today") for i in range(20)]
+    extra += [(11_000 + i, f"please reach us, or +49 30 12345{i:02d} today; ref 12-34-56-{i:02d} kept") for i in range(20)]
+    extra += [(12_000 + i, f"we wrote, or 88-77-66-5{i} today and 88-77-66-5{i} again") for i in range(8)]
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    rows = [(r.doc_id, o) for r in occurrences(docs).collect() for o in r.occ]
+    values, open_, known, score = defaultdict(set), set(), {}, {}
+    for _, o in rows:
+        for c in o.contexts:
+            values[c].add(o.value)
+            if o.kind is None:
+                open_.add((c, o.value))
+        if o.kind is not None:
+            known[o.value] = min(known.get(o.value, o.kind), o.kind)
+    seeds = set(known)
+    for _ in range(3):
+        weight = defaultdict(float)
+        for c, vs in values.items():
+            for kind in KINDS:
+                k = sum(known.get(v) == kind for v in vs)
+                if k >= 3 and k / len(vs) >= 0.6:
+                    for v in vs:
+                        if (c, v) in open_ and v not in score:
+                            weight[v, kind] -= log(1.0000001 - k / len(vs))
+        fresh = {}
+        for (v, kind), x in weight.items():
+            if 1 - exp(-x) >= 0.6:
+                fresh[v] = max(fresh.get(v, (0, "")), (x, kind))
+        score |= fresh
+        new = {v: kind for v, (_, kind) in fresh.items() if v not in seeds}
+        known |= new
+        if not new:
+            break
+    want = defaultdict(set)
+    for d, o in rows:
+        kind = o.kind or (score[o.value][1] if o.value in score else None)
+        if kind:
+            want[d].add(f"{kind}:{o.start}:{o.end}")
+    got = {r.doc_id: {x for x in r.spans.split(",") if x} for r in find_pii(docs).collect()}
+    assert got == {d: want[d] for d in got} and score
+
+
+def test_very_long_texts_and_repeated_contexts(spark):
+    rows = [(i, f"call line +1 202 555 01{i:02d} now") for i in range(9)] * 3 + [(99, "call line 5550199x now " * 4000)]
+    got = {r.doc_id: r for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[99].n_added == 4000 and got[99].n_phone == 0 and got[0].n_added == 0

@@ -1,8 +1,9 @@
 """Personal data: fixed patterns, then bootstrapped contextual extraction.
 
 Base spans come from four patterns (email, ip, card, phone) with checks. They are also the seeds: the
-words to the left of each seed are lexical patterns, and tokens that look like identifiers stand beside
-the same patterns. Spark holds this as a graph of distinct (pattern, value) edges and scores it in
+words beside each seed (one or two on the left, one on either side) are lexical patterns, and tokens that
+look like identifiers stand beside the same patterns: those with three digits in a row or an @, and
+groups of seven digits or more with single signs or spaces between. Spark holds this as a graph of distinct (pattern, value) edges and scores it in
 rounds: a pattern's confidence in a kind is the share of known values of that kind among all its
 values; a value's score is the noisy-or of its confident patterns; values above a limit become known
 and support patterns in the next round. Every occurrence of a value found so is an added span. A seed's
@@ -26,7 +27,7 @@ from tidemark.llm.scratch import materialise
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_SCORE, ROUNDS = 3, 0.6, 0.6, 3
-_REACH = 64  # code points searched around a trigger for a token's ends, and for its context
+_REACH = 64  # code points first looked at beside a place; doubled until the words sought are whole
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 # A match cannot start inside a run of digits that has failed as a whole, so each run is read once.
@@ -34,6 +35,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9]{3,}|@")
+_GROUPS = re.compile(r"(?<![\w.,/-])\(?[0-9]++(?:[)./-]{0,2}\x20?[(./-]?[0-9]++)++")
 _NOT_WORD = re.compile(r"[\W_]+")
 
 
@@ -73,35 +75,65 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _context(text: str, start: int) -> list[str]:
-    """The last word, and the last two words, before start."""
-    words = [w for w in (_NOT_WORD.sub("", x).lower() for x in text[max(0, start - _REACH) : start].split()[-4:]) if w]
-    return [" ".join(words[-n:]) for n in (1, 2) if len(words) >= n]
+def _before(text: str, at: int, n: int) -> list[str]:
+    """At least the n last white-space tokens that end before `at`, all whole."""
+    reach = _REACH
+    while len(words := text[max(0, at - reach) : at].split()) <= n and reach < at:
+        reach *= 2
+    return words[-n:]
+
+
+def _after(text: str, at: int) -> str:
+    reach = _REACH
+    while len(words := text[at : at + reach].split(None, 1)) < 2 and at + reach < len(text):
+        reach *= 2
+    return words[0] if words else ""
+
+
+def _plain(word: str) -> str:
+    return _NOT_WORD.sub("", word).lower()
+
+
+def _context(text: str, start: int, end: int) -> list[str]:
+    """The last word, the last two words before start, and the words on either side."""
+    words = [w for w in map(_plain, _before(text, start, 4)) if w]
+    out = [" ".join(words[-n:]) for n in (1, 2) if len(words) >= n]
+    right = _plain(_after(text, end)) if words else ""
+    return out + ([f"{words[-1]} _ {right}"] if right else [])
 
 
 def _value(text: str) -> str:
-    return _NOT_WORD.sub("", text).lower()
+    plain = _NOT_WORD.sub("", text).lower()
+    return plain if len(plain) <= 64 else hashlib.sha256(plain.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Tokens with three digits in a row or an @, outside base spans; longer tokens are no identifiers."""
-    out, last, k, ends = [], 0, 0, sorted((s, e) for s, _, e in base)
+    """Groups of digits, and white-space tokens with three digits in a row or an @, outside base spans."""
+    found, last = [m.span() for m in _GROUPS.finditer(text) if sum(c.isdigit() for c in m.group()) >= 7 and not text[m.end() : m.end() + 1].isalnum()], 0
+    groups = iter([*found, (len(text) + 1, len(text) + 1)])
+    group = next(groups)
     for m in _TRIGGER.finditer(text):
-        if m.start() < last:
+        while group[1] <= m.start():
+            group = next(groups)
+        if m.start() < last or group[0] < m.end():
             continue
-        left = text[max(0, m.start() - _REACH) : m.start()]
-        right = text[m.end() : m.end() + _REACH]
-        a, b = m.start() - len(left.rsplit(None, 1)[-1] if left and not left[-1].isspace() else ""), m.end() + len(right.split(None, 1)[0] if right and not right[0].isspace() else "")
+        a, b = m.start(), m.end()
+        if a and not text[a - 1].isspace():
+            a -= len(_before(text, a, 1)[0])
+        if b < len(text) and not text[b].isspace():
+            b += len(_after(text, b))
         last = b
+        found.append((a, b))
+    out, k, taken = [], 0, sorted((s, e) for s, _, e in base)
+    for a, b in sorted(found):
         while a < b and not text[a].isalnum():
             a += 1
         while b > a and not text[b - 1].isalnum():
             b -= 1
-        while k < len(ends) and ends[k][1] <= a:
+        while k < len(taken) and taken[k][1] <= a:
             k += 1
-        if b - a < 4 or b - a > _REACH or any(s < b and a < e for s, e in ends[k : k + 4]):
-            continue
-        out.append((a, b))
+        if b - a >= 4 and not any(s < b and a < e for s, e in taken[k : k + 4]) and not (out and a < out[-1][1]):
+            out.append((a, b))
     return out
 
 
@@ -121,7 +153,7 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 base = base_spans(text)
                 joined = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in base)
                 seen = [(s, e, KINDS[k]) for s, k, e in base] + [(a, b, None) for a, b in candidates(text, base)]
-                occ = [{"start": a, "end": b, "kind": k, "value": _value(text[a:b]), "contexts": _context(text, a)} for a, b, k in seen]
+                occ = [{"start": a, "end": b, "kind": k, "value": _value(text[a:b]), "contexts": _context(text, a, b)} for a, b, k in seen]
                 row = {f"n_{k}": sum(x[1] == i for x in base) for i, k in enumerate(KINDS)}
                 found.append(row | {"base_sha256": hashlib.sha256(joined.encode()).hexdigest(), "occ": occ})
             occ_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("value", pa.string()), ("contexts", pa.list_(pa.string()))]))
