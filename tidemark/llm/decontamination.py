@@ -4,8 +4,8 @@ A word is a run of characters other than ASCII signs, after A-Z are lowered. A w
 consecutive words of a benchmark item, or the whole item if it is shorter (but not empty). Documents
 are scanned once per block of the benchmark: a block's distinct windows are broadcast as hashes plus
 the words themselves, every hash hit is verified word for word, and all words inside a hit are marked.
-A block holds at most BLOCK_BYTES of item text; a larger benchmark is scanned in several passes, so
-the broadcast stays bounded whatever its size.
+A block holds about BLOCK_BYTES of item text (and any one item), whose index takes about four times as
+much; a larger benchmark is scanned in several passes, so the broadcast stays bounded whatever its size.
 
 Defined results: null or empty texts have no words and no hits; an item without words has no window;
 items with a null id mark words but are not listed; repeated items count once; an empty benchmark
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import materialise
 
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 16 << 20
 #: Lowers A-Z and turns every ASCII character that is in no word into a space.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -39,20 +39,28 @@ class WindowIndex:
 
     def __init__(self, items: list[tuple[str | None, str | None]], size: int):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[int, dict[tuple[int, ...], set[str]]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            n = min(size, len(ids))
-            for i in range(len(ids) - n + 1 if n else 0):
-                found.setdefault(n, {}).setdefault(tuple(ids[i : i + n]), set()).update([] if item is None else [item])
+        self.items = [item for item, _ in items]
+        words = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.int32) for _, text in items]
+        n = np.array([len(w) for w in words], np.int64)
+        self.words, first = np.concatenate([np.zeros(0, np.int32), *words]), np.cumsum(n) - n
         self.by_length = []
-        for n, windows in found.items():
-            matrix, odd = np.array(list(windows), dtype=np.int64).reshape(-1, n), 0x9E3779B1
-            while len(np.unique(h := self.hash(matrix.T, odd))) < len(h):
+        for length in np.unique(np.minimum(n, size)[n > 0]).tolist():
+            count = np.where(np.minimum(n, size) == length, n - length + 1, 0)
+            owner = np.repeat(np.arange(len(items)), count)
+            start = np.arange(len(owner)) + np.repeat(first - (np.cumsum(count) - count), count)
+            odd = 0x9E3779B1
+            while True:  # until windows of equal hash have equal words
+                h = self.hash([self.words[start + k] for k in range(length)], odd)
+                order = np.argsort(h, kind="stable")
+                new = np.flatnonzero(np.r_[True, np.diff(h[order]) != 0])
+                of = np.repeat(start[order][new], np.diff(np.r_[new, len(h)]))
+                if all((self.words[of + k] == self.words[start[order] + k]).all() for k in range(length)):
+                    break
                 odd += 2
-            order = np.argsort(h)
-            names = [sorted(s) for s in windows.values()]
-            self.by_length.append((n, odd, h[order], matrix[order], [names[i] for i in order]))
+            window = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(h)]))
+            pairs = np.unique(np.stack([window, owner[order]]), axis=1)
+            edge = np.searchsorted(pairs[0], np.arange(len(new) + 1))
+            self.by_length.append((length, odd, h[order][new], start[order][new].astype(np.int32), edge.astype(np.int32), pairs[1].astype(np.int32)))
 
     @staticmethod
     def hash(columns: np.ndarray, odd: int) -> np.ndarray:
@@ -77,18 +85,19 @@ class WindowIndex:
             ids[at : at + len(p)] = np.fromiter(map(get, p, repeat(0)), np.int64, len(p))
         zeros = np.r_[0, np.cumsum(ids == 0)]
         cover = np.zeros(len(ids) + 1, dtype=np.int64)
-        for n, odd, hashes, matrix, names in self.by_length:
+        for n, odd, hashes, start, edge_, owners in self.by_length:
             at = np.flatnonzero(zeros[n:] == zeros[:-n])
             if not len(at):
                 continue
-            rows = np.stack([ids[at + k] for k in range(n)], axis=1)
-            h = self.hash(rows.T, odd)
+            h = self.hash([ids[at + k] for k in range(n)], odd)
             place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            real = np.flatnonzero((hashes[place] == h) & (matrix[place] == rows).all(axis=1))
+            real = np.flatnonzero(hashes[place] == h)
+            for k in range(n):
+                real = real[self.words[start[place[real]] + k] == ids[at[real] + k]]
             np.add.at(cover, at[real], 1)
             np.add.at(cover, at[real] + n, -1)
             for doc, w in zip((np.searchsorted(first, at[real], "right") - 1).tolist(), place[real].tolist()):
-                items[doc].update(names[w])
+                items[doc].update(self.items[o] for o in owners[edge_[w] : edge_[w + 1]].tolist() if self.items[o] is not None)
         inside = np.cumsum(cover) > 0
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         edge = np.r_[0, edge] if inside[0] else edge
