@@ -15,9 +15,11 @@ _written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a temporary one is set only where the session names none (tests)."""
+    """The shared folder; a temporary one is set only in local mode, where the session names none."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -32,11 +34,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table that materialise() wrote; call it when no result that reads them is pending."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def mark() -> int:
+    """How many tables materialise() has written; release(spark, since=mark) deletes the later ones."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete the tables that materialise() wrote since a mark; call it when no pending result reads them."""
+    for name in _written[since:]:
+        if not name.endswith(keep):
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _written.remove(name)
 
 
 def input_bytes(df: DataFrame, spark: SparkSession) -> int:
