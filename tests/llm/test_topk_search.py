@@ -2,7 +2,9 @@ import math
 
 from pyspark.sql import functions as F
 
-from tidemark.llm.topk_search import top_k
+import numpy as np
+
+from tidemark.llm.topk_search import BallTree, top_k
 
 
 def brute(rows, k=5, every=50):
@@ -43,3 +45,20 @@ def test_many_copies(spark):
     rows = [(i, [0.5, 0.25, -0.5] if i % 3 else [i / 1000, 0.1, 0.2]) for i in range(400)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert got(df, shard_rows=64, block_queries=4) == brute(rows)
+
+
+def test_subtrees_are_cut():
+    """Clustered vectors: most nodes are never bounded, and the result is the brute-force one."""
+    rng = np.random.default_rng(4)
+    centres = rng.integers(-3000, 3000, (64, 8)).astype(float)
+    x = np.repeat(centres, 100, axis=0) + rng.integers(-20, 20, (6400, 8))
+    tree = BallTree(np.arange(6400), x, leaf=32)
+    again = BallTree.unpack(tree.pack(), 8)
+    q = centres[:20] * 2
+    best, name, seen = again.search(q, np.full(20, -1), np.full(20, -(2**62)), 5)
+    want = np.lexsort((np.broadcast_to(np.arange(6400), (20, 6400)), -(q @ x.T)), axis=1)[:, :5]
+    assert (name == want).all() and (best == np.take_along_axis(q @ x.T, want, 1)).all()
+    assert seen < 20 * len(tree.radius) / 2
+    high = best[:, -1].astype(np.int64)
+    again_best, _, fewer = again.search(q, np.full(20, -1), high, 5)
+    assert (again_best == best).all() and fewer <= seen
