@@ -80,10 +80,10 @@ def test_keep_one_counts_rows(spark):
     copy = "one two three four five six seven eight nine ten"
     rows = [(1, copy)] * 5 + [(2, copy)] * 3 + [(None, copy)] * 2 + [(None, "a null id with many copies")] * 40 + [(None, "another null id, another text")]
     rows += [(7, "the id of two quite different texts")] * 2 + [(7, "here is the second of the two")] + [(8, None), (8, None), (9, ""), (9, "")]
-    df = spark.createDataFrame([(b, a, "x") for a, b in rows], "text string, doc_id long, source string").repartition(5)
+    df = spark.createDataFrame([(b, a, "x", 4, "y", 5) for a, b in rows], "text string, doc_id long, source string, hash__ int, row string, id int").repartition(5)
     want = [(1, copy), (None, "a null id with many copies"), (None, "another null id, another text"), (7, "the id of two quite different texts"), (7, "here is the second of the two"), *rows[-4:]]
     kept = keep_one(df)
-    assert kept.columns == df.columns
+    assert kept.columns == df.columns and {(r.hash__, r.row, r.id) for r in kept.collect()} == {(4, "y", 5)}
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
     assert keep_one(df.filter(F.lit(False))).count() == 0
 

@@ -247,10 +247,11 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     kept = materialise(pairs.groupBy("root").agg(first).select("k.doc_id", "k.text_hash", "k.c"), "kept")
     # Of kept pairs, those of a single row are not touched by what follows.
     gone = pairs.select("doc_id", "text_hash").exceptAll(kept.filter("c = 1").select("doc_id", "text_hash"))
-    keyed = docs.withColumn("hash__", F.xxhash64("text"))
+    # Rows travel as structs, so no column of docs can clash with the helpers.
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
 
     def same(pair: DataFrame) -> Column:
-        return keyed["doc_id"].eqNullSafe(pair["id_"]) & (keyed["hash__"] == pair["hash_"])
+        return keyed["id"].eqNullSafe(pair["id_"]) & (keyed["hash"] == pair["hash_"])
 
     gone = gone.select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"))
     left = keyed.join(gone, same(gone), "left_anti")
@@ -258,5 +259,5 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     n = repeated.count()
     if n:
         few = F.broadcast(repeated) if n <= _BROADCAST_ROWS else repeated
-        left = left.unionByName(keyed.join(few, same(repeated), "left_semi").dropDuplicates(["doc_id", "hash__"]))
-    return left.drop("hash__")
+        left = left.unionByName(keyed.join(few, same(repeated), "left_semi").dropDuplicates(["id", "hash"]))
+    return left.select("row.*")
