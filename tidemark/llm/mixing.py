@@ -163,7 +163,8 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     taken = mix(docs, **options).groupBy("doc_id", "key").agg(F.sum("copies").alias("t"), F.count("*").alias("c")).filter("t > 0")
     taken = materialise(taken.select(F.col("doc_id").alias("id_"), F.col("key").alias("key_"), "t", "c"), "taken")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), _key().alias("key"))
-    joined = rows.join(taken, F.col("id").eqNullSafe(F.col("id_")) & (F.col("key") == F.col("key_")))
+    # A merge join at every size: neither side grows into a broadcast or a hash table.
+    joined = rows.join(taken.hint("merge"), F.col("id").eqNullSafe(F.col("id_")) & (F.col("key") == F.col("key_")))
     out = joined.filter("c = 1").select("row", F.col("t").alias("n"))
     if not taken.filter("c > 1").isEmpty():
         # Equal rows become one with a count before the running numbers of their variants are made.
