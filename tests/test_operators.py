@@ -129,7 +129,10 @@ def test_sequential_guards(spark):
 
 def test_ladder(spark):
     cfg = Q.Ladder(0, rungs=2, spacing_bps=100, take_profit_bps=150, stop_bps=500, fee_bps=0)
-    r = Q.run_ladder([0, 1, 2, 3], [100.0, 98.9, 100.6, 100.6], cfg)
+    run = Q.LadderRun(cfg)
+    for t, p in enumerate([100.0, 98.9, 100.6, 100.6]):
+        run.tick(t, p)
+    r = run.result()
     assert r["fills"] == 1 and r["profits"] == 1 and abs(r["net_bps"] - (100.6 / 99 - 1) * 1e4) < 1e-9
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.semantics import log_bps, safe_div
+from tidemark.operators.folds import fold
 from tidemark.operators.series import Series
 
 c = F.col
@@ -103,8 +104,8 @@ def path_stats(df: DataFrame, s: Series, step_return: Column) -> DataFrame:
 def ema_paths(df: DataFrame, keys: list[str], order: list[str], value: str, spans: dict[str, float], least: int = 1) -> DataFrame:
     """Exponential means by the recursion y = a x + (1 - a) y, seeded with the first value.
 
-    spans maps a column name to alpha. One sorted pass per series in Arrow batches' pandas form; the
-    series must fit one task, as any recursion over it must. NULLs keep the last state.
+    spans maps a column name to alpha. Each Arrow batch is a weighted mean that starts from the last
+    state; the state is one number a span and a count. NULLs keep the last state.
     """
     import pandas as pd
 
@@ -112,19 +113,19 @@ def ema_paths(df: DataFrame, keys: list[str], order: list[str], value: str, span
     for name in spans:
         schema = schema.add(name, "double")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
+    def step(pdf: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        seen, ys = state or (0, dict.fromkeys(spans))
+        x = pdf[value].astype("float64").reset_index(drop=True)
+        count = seen + x.notna().cumsum().to_numpy()
+        out = pdf.copy()
         for name, alpha in spans.items():
-            y, n, out = None, 0, []
-            for x in pdf[value].tolist():
-                if x == x and x is not None:
-                    y = x if y is None else alpha * x + (1 - alpha) * y
-                    n += 1
-                out.append(y if n >= least else None)
-            pdf[name] = pd.array(out, dtype="Float64")
-        return pdf
-
-    return df.groupBy(*keys).applyInPandas(run, schema)
+            y = x if ys[name] is None else pd.concat([pd.Series([ys[name]]), x], ignore_index=True)
+            y = y.ewm(alpha=alpha, adjust=False, ignore_na=True).mean().to_numpy()[-len(x) :]
+            ys = ys | {name: float(y[-1]) if count[-1] else None}
+            out[name] = pd.array([v if n >= least else None for v, n in zip(y.tolist(), count.tolist())], dtype="Float64")
+        return out, (int(count[-1]), ys)
+
+    return fold(df, keys, order, step, schema)
 
 
 def span_alpha(span: float) -> float:

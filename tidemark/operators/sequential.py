@@ -2,30 +2,36 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.semantics import safe_div
+from tidemark.operators.folds import fold
 
 c = F.col
 
 
 def non_overlapping(df: DataFrame, keys: Sequence[str], time: str, seq: str, horizon: int) -> DataFrame:
-    """Greedy: the next row at or after the last taken one + horizon.
+    """Greedy: the next row at or after the last taken one + horizon (D1, D5). The state is the last taken time."""
+    rows = df.select(*keys, time, seq).filter(c(time).isNotNull())
 
-    One fold over each key's sorted times; the positions taken are exploded, so rows are shuffled once.
-    """
-    rows = F.sort_array(F.collect_list(F.struct(c(time).alias("t"), c(seq).alias("s"))))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.expr("cast(array() as array<struct<t:bigint,s:bigint>>)").alias("got"))
-    fold = F.aggregate(
-        rows, start, lambda a, x: F.when(a["last"].isNull() | (x["t"] >= a["last"] + horizon), F.struct(x["t"].alias("last"), F.array_append(a["got"], F.struct(x["t"].alias("t"), x["s"].alias("s"))).alias("got"))).otherwise(a)
-    )
-    return df.groupBy(*keys).agg(fold["got"].alias("_g")).select(*keys, F.explode("_g").alias("_x")).select(*keys, c("_x.t").alias(time), c("_x.s").alias(seq))
+    def step(pdf: pd.DataFrame, free: int | None) -> tuple[pd.DataFrame, int]:
+        t = pdf[time].to_numpy()
+        at, taken = 0 if free is None else int(np.searchsorted(t, free)), []
+        while at < len(t):
+            taken.append(at)
+            free = int(t[at]) + horizon
+            at = max(at + 1, int(np.searchsorted(t, free)))
+        return pdf.iloc[taken], free
+
+    return fold(rows, keys, [time, seq], step, rows.schema)
 
 
 def density_limited(df: DataFrame, keys: Sequence[str], order: Sequence[str], signal: Column, n: int, most: int) -> DataFrame:
@@ -35,37 +41,32 @@ def density_limited(df: DataFrame, keys: Sequence[str], order: Sequence[str], si
     return df.withColumn("kept", ((c("_sig") == 1) & (F.coalesce(F.sum("_sig").over(w), F.lit(0)) < most)).cast("int")).drop("_sig")
 
 
-def guarded(df: DataFrame, keys: Sequence[str], time: str, net: str, horizon: int, cooldown: int, drawdown: float | None = None) -> DataFrame:
+def guarded(df: DataFrame, keys: Sequence[str], time: str, net: str, horizon: int, cooldown: int, drawdown: float | None = None, seq: str | None = None) -> DataFrame:
     """Cooldown after a loss and a halt on realised drawdown, outcomes known only at t + horizon.
 
-    Sequential by nature: one pass a key, one key a task.
+    The state is the queue of outcomes not known yet, the end of the pause, and the realised total and
+    its peak. Equal times go by seq.
     """
     schema = T.StructType(list(df.schema.fields)).add("taken", T.IntegerType()).add("reason", T.StringType())
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time, kind="stable")
-        pending, free_at, total, peak, taken, why = [], -(1 << 62), 0.0, 0.0, [], []
+    def step(pdf: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        pending, free_at, total, peak = state or (deque(), -(1 << 62), 0.0, 0.0)
+        taken, why = [], []
         for t, x in zip(pdf[time].tolist(), pdf[net].tolist()):
             while pending and pending[0][0] <= t:
-                at, value = pending.pop(0)
+                at, value = pending.popleft()
                 total += value
                 peak = max(peak, total)
                 if value < 0:
                     free_at = max(free_at, at + cooldown)
-            if t < free_at:
-                taken.append(0)
-                why.append("cooldown")
-            elif drawdown is not None and peak - total > drawdown:
-                taken.append(0)
-                why.append("drawdown")
-            else:
-                taken.append(1)
-                why.append("")
-                if x == x and x is not None:
-                    pending.append((t + horizon, x))
-        return pdf.assign(taken=taken, reason=why)
-
-    return df.groupBy(*keys).applyInPandas(run, schema)
+            reason = "cooldown" if t < free_at else "drawdown" if drawdown is not None and peak - total > drawdown else ""
+            taken.append(int(not reason))
+            why.append(reason)
+            if not reason and x is not None and x == x:
+                pending.append((t + horizon, x))
+        return pdf.assign(taken=taken, reason=why), (pending, free_at, total, peak)
+
+    return fold(df, keys, [time, *([seq] if seq else [])], step, schema)
 
 
 def dynamic_cost(fee: float, half_spread: Column, depth: Column, imbalance: Column, has_flow: Column, shallow: float, depth_penalty: float = 1.0, imbalance_penalty: float = 0.5, missing_penalty: float = 2.0) -> Column:
@@ -89,66 +90,73 @@ class Ladder:
     fee_bps: float = 1.0
 
 
-def run_ladder(times: Sequence[int], prices: Sequence[float], cfg: Ladder) -> dict[str, float]:
+class LadderRun:
     """Long grid: rungs below an anchor are filled as price falls and closed at profit, stop or timeout."""
-    anchor, anchored, pause, open_, used = None, 0, -(1 << 62), [], set()
-    total = peak = worst = 0.0
-    out = {"fills": 0, "profits": 0, "stops": 0, "timeouts": 0, "rebalances": 0, "halted": 0}
-    for t, p in zip(times, prices):
-        if anchor is None or (not open_ and t - anchored >= cfg.rebalance_ms):
-            out["rebalances"] += anchor is not None
-            anchor, anchored, used = p, t, set()
+
+    def __init__(self, cfg: Ladder):
+        self.cfg, self.anchor, self.anchored, self.pause = cfg, None, 0, -(1 << 62)
+        self.open: list[tuple[int, float, int]] = []
+        self.used: set[int] = set()
+        self.total = self.peak = self.worst = 0.0
+        self.counts = {"fills": 0, "profits": 0, "stops": 0, "timeouts": 0, "rebalances": 0, "halted": 0}
+
+    def tick(self, t: int, p: float) -> None:
+        cfg, n = self.cfg, self.counts
+        if n["halted"]:
+            return
+        if self.anchor is None or (not self.open and t - self.anchored >= cfg.rebalance_ms):
+            n["rebalances"] += self.anchor is not None
+            self.anchor, self.anchored, self.used = p, t, set()
         left = []
-        for rung, entry, at in open_:
+        for rung, entry, at in self.open:
             move = (p / entry - 1) * 1e4
             kind = "profits" if move >= cfg.take_profit_bps else "stops" if move <= -cfg.stop_bps else "timeouts" if t - at >= cfg.timeout_ms else ""
             if not kind:
                 left.append((rung, entry, at))
                 continue
-            out[kind] += 1
-            total += move - 2 * cfg.fee_bps
-            peak, worst = max(peak, total), min(worst, total - max(peak, total))
-            used.discard(rung)
+            n[kind] += 1
+            self.total += move - 2 * cfg.fee_bps
+            self.peak, self.worst = max(self.peak, self.total), min(self.worst, self.total - max(self.peak, self.total))
+            self.used.discard(rung)
             if kind == "stops":
-                pause = t + cfg.cooldown_ms
-        open_ = left
-        if peak - total > cfg.halt_drawdown_bps:
-            out["halted"] = 1
-            break
+                self.pause = t + cfg.cooldown_ms
+        self.open = left
+        if self.peak - self.total > cfg.halt_drawdown_bps:
+            n["halted"] = 1
+            return
         for rung in range(1, cfg.rungs + 1):
-            level = anchor * (1 - rung * cfg.spacing_bps / 1e4)
-            if t >= pause and rung not in used and p <= level:
-                open_.append((rung, level, t))
-                used.add(rung)
-                out["fills"] += 1
-    return {**out, "net_bps": total, "max_drawdown_bps": worst, "open": len(open_)}
+            level = self.anchor * (1 - rung * cfg.spacing_bps / 1e4)
+            if t >= self.pause and rung not in self.used and p <= level:
+                self.open.append((rung, level, t))
+                self.used.add(rung)
+                n["fills"] += 1
+
+    def result(self) -> dict[str, float]:
+        return {**self.counts, "net_bps": self.total, "max_drawdown_bps": self.worst, "open": len(self.open)}
 
 
 def ladder_sweep(df: DataFrame, keys: Sequence[str], time: str, seq: str, price: str, configs: Sequence[Ladder]) -> DataFrame:
-    """Every configuration on every series (D6, D7): configurations are exploded, series are folded apart.
+    """Every configuration on every series (D6, D7): rows are dealt by series and configuration and folded apart.
 
-    A series travels once per group of configurations as two arrays, already sorted by Spark.
+    The state is the run's open rungs and totals, so memory does not grow with the series.
     """
-    import json
-    from dataclasses import asdict
-
-    series = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(time, seq, price))).alias("_s"))
-    grid = F.array(*[F.lit(json.dumps(asdict(k))) for k in configs])
-    jobs = series.select(*keys, F.explode(grid).alias("_cfg"), F.col(f"_s.{time}").alias("_t"), F.col(f"_s.{price}").alias("_p"))
+    by_id = {k.config_id: k for k in configs}
+    rows = df.select(*keys, c(time).alias("_t"), c(seq).alias("_s"), c(price).alias("_p"))
+    rows = rows.withColumn("config_id", F.explode(F.array(*[F.lit(k).cast("long") for k in by_id])))
     names = ("fills", "profits", "stops", "timeouts", "rebalances", "halted", "net_bps", "max_drawdown_bps", "open")
-    types = ", ".join(f"{n} {'double' if n.endswith('bps') else 'long'}" for n in names)
     key_types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
 
-    def run(batches):
-        for pdf in batches:
-            rows = [(json.loads(x), run_ladder(t, p, Ladder(**json.loads(x)))) for x, t, p in zip(pdf["_cfg"], pdf["_t"], pdf["_p"])]
-            out = pdf[list(keys)].copy()
-            out["config_id"] = [a["config_id"] for a, _ in rows]
-            for n in names:
-                out[n] = [b[n] for _, b in rows]
-            yield out
+    def step(pdf: pd.DataFrame, run: LadderRun | None) -> tuple[None, LadderRun]:
+        run = run or LadderRun(by_id[int(pdf["config_id"].iloc[0])])
+        for t, p in zip(pdf["_t"].tolist(), pdf["_p"].tolist()):
+            run.tick(t, p)
+        return None, run
+
+    def finish(key: tuple, run: LadderRun) -> pd.DataFrame:
+        return pd.DataFrame([{**dict(zip((*keys, "config_id"), key)), **run.result()}])
 
-    return jobs.mapInPandas(run, f"{key_types}, config_id long, {types}")
+    schema = f"{key_types}, config_id long, " + ", ".join(f"{n} {'double' if n.endswith('bps') else 'long'}" for n in names)
+    return fold(rows, [*keys, "config_id"], ["_t", "_s"], step, schema, finish)
 
 
 def backtest(df: DataFrame, pred: str, actual: str, threshold: float, cost: float) -> DataFrame:

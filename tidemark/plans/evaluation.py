@@ -12,7 +12,7 @@ from tidemark.operators import sequential as Q
 from tidemark.plans.bars import BARS, hourly
 from tidemark.plans.features import BAR, barq, ev
 from tidemark.plans.labelling import placed
-from tidemark.plans.registry import BY_TYPE, BY_USER, EV, USER, events, query, table
+from tidemark.plans.registry import BY_TYPE, BY_USER, EV, USER, early, early_sql, events, query, ridge_sql, table
 
 c = F.col
 
@@ -81,7 +81,20 @@ GRID = "g(threshold, cost) AS (SELECT a, b FROM (VALUES (0.0), (5.0), (10.0), (2
 pq("A31_threshold_cost_sweep", f", {GRID} SELECT event_type, threshold, cost, count(*) AS n, avg(sign(pred) * actual - cost) AS mean_net, sum(sign(pred) * actual - cost) AS total_net, avg(CASE WHEN sign(pred) * actual - cost > 0 THEN 1.0 ELSE 0.0 END) AS win_rate FROM pr, g WHERE abs(pred) > threshold GROUP BY ALL", lambda p: M.threshold_sweep(p, ["event_type"], "pred", "actual", [0.0, 5.0, 10.0, 20.0], [0.0, 4.0]), l="n", d="threshold cost mean_net total_net win_rate", s="event_type")
 pq("A18_strategy_metrics", ", g(threshold) AS (VALUES (1.0), (0.0), (2.0), (3.0), (5.0)) SELECT threshold, count(*) AS n, avg(sign(pred) * actual - 0.0) AS mean_net, avg(CASE WHEN sign(pred) * actual > 0 THEN 1.0 ELSE 0.0 END) AS win_rate FROM pr, g WHERE abs(pred) > threshold GROUP BY ALL", lambda p: M.threshold_sweep(p, [], "pred", "actual", [1.0, 0.0, 2.0, 3.0, 5.0]), l="n", d="threshold mean_net win_rate")
 pq("A19_association", "SELECT event_type, corr(pred, actual) AS corr_xy, covar_pop(pred, actual) AS cov, regr_slope(actual, pred) AS slope, regr_intercept(actual, pred) AS intercept, regr_r2(actual, pred) AS r2 FROM pr GROUP BY ALL", lambda p: M.association(p, ["event_type"], "pred", "actual").withColumnRenamed("corr", "corr_xy"), d="corr_xy cov slope intercept r2", s="event_type", digits=5)
-pq("A20_univariate_ols", ", f AS (SELECT event_type, regr_slope(actual, pred) AS a, regr_intercept(actual, pred) AS b FROM pr WHERE event_id < 6000 GROUP BY ALL) SELECT event_type, avg(abs(actual - (a * pred + b))) AS mae, 1 - sum((actual - (a * pred + b)) ** 2) / (var_pop(actual) * count(*)) AS r2 FROM pr JOIN f USING (event_type) WHERE event_id >= 6000 GROUP BY ALL", lambda p: p.filter("event_id >= 6000").join(M.association(p.filter("event_id < 6000"), ["event_type"], "pred", "actual").select("event_type", "slope", "intercept"), "event_type").withColumn("e", c("actual") - (c("slope") * c("pred") + c("intercept"))).groupBy("event_type").agg(F.avg(F.abs("e")).alias("mae"), (1 - F.sum(c("e") * c("e")) / (F.var_pop("actual") * F.count("*"))).alias("r2")), d="mae r2", s="event_type", digits=5)
+A20 = f""", f AS (SELECT event_type, regr_slope(actual, pred) AS a, regr_intercept(actual, pred) AS b FROM pr WHERE {early_sql("pr")} GROUP BY ALL)
+SELECT event_type, avg(abs(actual - (a * pred + b))) AS mae, 1 - sum((actual - (a * pred + b)) ** 2) / (var_pop(actual) * count(*)) AS r2
+FROM pr JOIN f USING (event_type) WHERE NOT ({early_sql("pr")}) GROUP BY ALL"""
+
+
+def fitted_line(p):
+    """Slope and intercept of the early rows, judged on the later ones."""
+    train = early(p)
+    line = M.association(p.filter(train), ["event_type"], "pred", "actual").select("event_type", "slope", "intercept")
+    rest = p.filter(~train).join(line, "event_type").withColumn("e", c("actual") - (c("slope") * c("pred") + c("intercept")))
+    return rest.groupBy("event_type").agg(F.avg(F.abs("e")).alias("mae"), (1 - F.sum(c("e") * c("e")) / (F.var_pop("actual") * F.count("*"))).alias("r2"))
+
+
+pq("A20_univariate_ols", A20, fitted_line, d="mae r2", s="event_type", digits=5)
 CONF = "count(*) FILTER (actual > 0 AND pred > 0) AS tp, count(*) FILTER (actual <= 0 AND pred > 0) AS fp, count(*) FILTER (actual <= 0 AND pred <= 0) AS tn, count(*) FILTER (actual > 0 AND pred <= 0) AS fn"
 pq("A21_confusion", f", m AS (SELECT event_type, {CONF} FROM pr GROUP BY ALL) SELECT *, tp / (tp + fp) AS prec, tp / (tp + fn) AS rec, (tp / (tp + fn) + tn / (tn + fp)) / 2 AS balanced_accuracy FROM m", lambda p: M.confusion(p, ["event_type"], c("actual") > 0, c("pred") > 0).withColumnsRenamed({"precision": "prec", "recall": "rec"}), l="tp fp tn fn", d="prec rec balanced_accuracy", s="event_type")
 pq("A22_error_metrics", "SELECT event_type, avg(abs(pred - actual)) AS mae, sqrt(avg((pred - actual) ** 2)) AS rmse, avg(pred - actual) AS bias, avg(abs(0 - actual)) AS baseline_mae, 1 - avg(abs(pred - actual)) / avg(abs(0 - actual)) AS skill FROM pr GROUP BY ALL", lambda p: M.errors(p, ["event_type"], "pred", "actual", F.lit(0.0)), d="mae rmse bias baseline_mae skill", s="event_type")
@@ -143,7 +156,17 @@ pq("A40_direction_baselines", "SELECT event_type, avg(CASE WHEN actual > 0 THEN
 ev("A41_fixed_buckets", ", m AS (SELECT CASE WHEN k % 7 <> 0 THEN value END AS x FROM ev) SELECT CASE WHEN x IS NULL THEN 'missing' WHEN x < 10 THEN '<10' WHEN x < 50 THEN '[10,50)' WHEN x < 100 THEN '[50,100)' ELSE '>=100' END AS bucket, count(*) AS n FROM m GROUP BY ALL", lambda e: e.groupBy(M.fixed_buckets(F.when(c("k") % 7 != 0, val()), [10.0, 50.0, 100.0]).alias("bucket")).agg(F.count("*").alias("n")), l="n", s="bucket")
 pq("A43_composite_score", FIT + " SELECT user_id, med + 0.5 * worst - CASE WHEN n < 18 THEN 10 ELSE 0 END AS score, array_to_string(list_filter([CASE WHEN n < 18 THEN 'few_days' END, CASE WHEN worst < -200 THEN 'deep_loss' END, CASE WHEN med < 0 THEN 'negative_median' END], lambda x: x IS NOT NULL), ';') AS reasons FROM f", lambda p: fitness(p).withColumns({"score": c("med") + 0.5 * c("worst") - F.when(c("n") < 18, 10).otherwise(0), "reasons": M.reasons({"few_days": c("n") < 18, "deep_loss": c("worst") < -200, "negative_median": c("med") < 0})}), l="user_id", d="score", s="reasons")
 ev("A45_series_eligibility", f", g AS (SELECT user_id, count(*) AS n, count(DISTINCT t // {DAY}) AS days, count(*) FILTER (event_type = 'purchase') AS p FROM ev GROUP BY ALL) SELECT user_id, array_to_string(list_filter([CASE WHEN n < 60 THEN 'rows' END, CASE WHEN days < 25 THEN 'days' END, CASE WHEN p < 10 THEN 'outcomes' END], lambda x: x IS NOT NULL), ';') AS reasons FROM g", lambda e: e.groupBy("user_id").agg(F.count("*").alias("n"), F.countDistinct(F.floor(c("t") / DAY)).alias("days"), F.count_if(c("event_type") == "purchase").alias("p")).withColumn("reasons", M.reasons({"rows": c("n") < 60, "days": c("days") < 25, "outcomes": c("p") < 10})), l="user_id", s="reasons")
-ev("A46_feature_drift", ", s AS (SELECT avg(value) AS m, stddev_pop(value) AS sd, avg(k) AS mk, stddev_pop(k) AS sk FROM ev WHERE event_id < 5000), z AS (SELECT 'value' AS feature, (value - m) / sd AS z FROM ev, s WHERE event_id >= 5000 UNION ALL SELECT 'k', (k - mk) / sk FROM ev, s WHERE event_id >= 5000) SELECT feature, avg(z) AS z_mean, stddev_pop(z) AS z_std, avg(CASE WHEN abs(z) > 3 THEN 1.0 ELSE 0.0 END) AS over_3, avg(CASE WHEN abs(z) > 5 THEN 1.0 ELSE 0.0 END) AS over_5 FROM z GROUP BY feature", lambda e: M.drift(e.filter("event_id >= 5000"), G.fit_scaler(e.filter("event_id < 5000"), ["value", "k"]), ["value", "k"]), l="", d="z_mean z_std over_3 over_5", s="feature")
+A46 = f""", s AS (SELECT avg(value) AS m, stddev_pop(value) AS sd, avg(k) AS mk, stddev_pop(k) AS sk FROM ev WHERE {early_sql(share=0.5)}),
+z AS (SELECT 'value' AS feature, (value - m) / sd AS z FROM ev, s WHERE NOT ({early_sql(share=0.5)}) UNION ALL SELECT 'k', (k - mk) / sk FROM ev, s WHERE NOT ({early_sql(share=0.5)}))
+SELECT feature, avg(z) AS z_mean, stddev_pop(z) AS z_std, avg(CASE WHEN abs(z) > 3 THEN 1.0 ELSE 0.0 END) AS over_3, avg(CASE WHEN abs(z) > 5 THEN 1.0 ELSE 0.0 END) AS over_5 FROM z GROUP BY feature"""
+
+
+def feature_drift(e):
+    train = early(e, 0.5)
+    return M.drift(e.filter(~train), G.fit_scaler(e.filter(train), ["value", "k"]), ["value", "k"])
+
+
+ev("A46_feature_drift", A46, feature_drift, l="", d="z_mean z_std over_3 over_5", s="feature")
 ev("A47_column_profile", ", g AS (SELECT event_type, k, count(*) AS n FROM ev GROUP BY ALL) SELECT event_type, arg_max(k, (n, k)) AS mode_k, max(n) AS mode_n, count(*) AS distinct_k FROM g GROUP BY event_type", lambda e: e.groupBy("event_type", "k").agg(F.count("*").alias("n")).groupBy("event_type").agg(F.max_by("k", F.struct("n", "k")).alias("mode_k"), F.max("n").alias("mode_n"), F.count("*").alias("distinct_k")), l="mode_k mode_n distinct_k", s="event_type")
 pq("A49_lexicographic_selection", f", {GRID}, sw AS (SELECT event_type, threshold, count(*) AS n, avg(sign(pred) * actual) AS mean FROM pr, (SELECT DISTINCT threshold FROM g) WHERE abs(pred) > threshold GROUP BY ALL) SELECT event_type, arg_max(threshold, (n >= 300, mean, -threshold)) AS threshold, max(n >= 300) AS enough FROM sw GROUP BY event_type", lambda p: M.best_row(M.threshold_sweep(p, ["event_type"], "pred", "actual", [0.0, 5.0, 10.0, 20.0]).withColumn("enough", c("n") >= 300), ["event_type"], [c("enough"), c("mean_net"), -c("threshold")]), d="threshold", s="event_type", b="enough")
 ev("A50_tertile_regime", ", q AS (SELECT event_type, quantile_cont(value, 1 / 3) AS a, quantile_cont(value, 2 / 3) AS b FROM ev GROUP BY ALL) SELECT event_id, CASE WHEN value <= a THEN 'low' WHEN value > b THEN 'high' ELSE 'mid' END AS bucket FROM ev JOIN q USING (event_type)", lambda e: M.tertile(e, ["event_type"], "value"), l="event_id", s="bucket")
@@ -169,12 +192,12 @@ def _(spark, d):
 
 @query("D2_cooldown_after_loss", l="event_id taken", s="reason")
 def _(spark, d):
-    return Q.guarded(net(preds(spark, d)).select("user_id", "event_id", "t", "net"), ["user_id"], "t", "net", HOUR, DAY)
+    return Q.guarded(net(preds(spark, d)).select("user_id", "event_id", "t", "net"), ["user_id"], "t", "net", HOUR, DAY, seq="event_id")
 
 
 @query("D4_drawdown_guard", l="event_id taken", s="reason")
 def _(spark, d):
-    return Q.guarded(net(preds(spark, d)).select("user_id", "event_id", "t", "net"), ["user_id"], "t", "net", HOUR, 0, 150.0)
+    return Q.guarded(net(preds(spark, d)).select("user_id", "event_id", "t", "net"), ["user_id"], "t", "net", HOUR, 0, 150.0, seq="event_id")
 
 
 ev("D3_density_limit", f", m AS (SELECT *, CASE WHEN value > 40 THEN 1 ELSE 0 END AS sig FROM ev) SELECT event_id, CASE WHEN sig = 1 AND coalesce(sum(sig) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING), 0) < 4 THEN 1 ELSE 0 END AS kept FROM m", lambda e: Q.density_limited(e, ["user_id"], ["t", "event_id"], val() > 40, 10, 4), l="event_id kept")
@@ -199,7 +222,12 @@ PAIRS = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r
 ev("D9_feature_correlations", f"{M4} {PAIRS}", lambda e: G.correlations(four(e), F4).withColumnRenamed("corr", "r"), l="", d="r", s="a b")
 
 
-@query("D9b_redundancy_clusters", s="feature representative")
+D9B = f"""WITH RECURSIVE {EV} {M4}, pairs AS ({PAIRS}), near AS (SELECT a, b FROM pairs WHERE abs(r) >= 0.4 UNION ALL SELECT b, a FROM pairs WHERE abs(r) >= 0.4),
+reach(feature, other) AS (SELECT f, f FROM (SELECT unnest({F4}) AS f) UNION SELECT reach.feature, near.b FROM reach JOIN near ON near.a = reach.other)
+SELECT feature, min(other) AS representative FROM reach GROUP BY feature"""
+
+
+@query("D9b_redundancy_clusters", D9B, s="feature representative")
 def _(spark, d):
     found = G.redundancy_clusters(G.correlations(four(events(spark, d)), F4), F4, 0.4)
     return spark.createDataFrame(sorted(found.items()), "feature string, representative string")
@@ -213,21 +241,25 @@ def _(spark, d):
 
 ev("D11_keep_decision", "SELECT event_id, CASE WHEN k % 11 = 0 THEN 'invalid' WHEN value > 100 THEN 'redundant' WHEN value < 2 THEN 'unstable' ELSE 'keep' END AS decision FROM ev", lambda e: e.withColumn("decision", G.decision(c("k") % 11 == 0, val() > 100, val() < 2)), l="event_id", s="decision")
 ev("D12_weighted_ensemble", f"{M4} SELECT event_id, (coalesce(value * 0.5, 0) + coalesce(m5 * 0.3, 0) + coalesce(l1 * 0.2, 0)) / (0.5 + CASE WHEN m5 IS NOT NULL THEN 0.3 ELSE 0 END + CASE WHEN l1 IS NOT NULL THEN 0.2 ELSE 0 END) AS blend FROM m", lambda e: four(e).withColumn("blend", G.ensemble({"value": 0.5, "m5": 0.3, "l1": 0.2})), l="event_id", d="blend")
-ev("D13_train_scaler", ", s AS (SELECT avg(value) AS m, stddev_pop(value) AS sd FROM ev WHERE event_id < 6000) SELECT event_id, (value - m) / sd AS value_z FROM ev, s", lambda e: G.scale(e, ["value"], c("event_id") < 6000), l="event_id", d="value_z")
-ev("D14_baselines", f", s AS (SELECT event_type, avg(value) AS m, quantile_cont(value, 0.5) AS md FROM ev WHERE event_id < 6000 GROUP BY ALL), x AS (SELECT *, lag(value) OVER ({BY_TYPE}) AS b FROM ev) SELECT event_type, avg(abs(value)) AS zero, avg(abs(value - m)) AS train_mean, avg(abs(value - md)) AS train_median, avg(abs(value - b)) AS persistence FROM x JOIN s USING (event_type) WHERE event_id >= 6000 GROUP BY event_type", lambda e: G.baselines(e, ["event_type"], ["t", "event_id"], "value", c("event_id") < 6000), l="", d="zero train_mean train_median persistence", s="event_type")
+ev("D13_train_scaler", f", s AS (SELECT avg(value) AS m, stddev_pop(value) AS sd FROM ev WHERE {early_sql()}) SELECT event_id, (value - m) / sd AS value_z FROM ev, s", lambda e: G.scale(e, ["value"], early(e)), l="event_id", d="value_z")
+D14 = f""", s AS (SELECT event_type, avg(value) AS m, quantile_cont(value, 0.5) AS md FROM ev WHERE {early_sql()} GROUP BY ALL), x AS (SELECT *, lag(value) OVER ({BY_TYPE}) AS b FROM ev)
+SELECT event_type, avg(abs(value)) AS zero, avg(abs(value - m)) AS train_mean, avg(abs(value - md)) AS train_median, avg(abs(value - b)) AS persistence FROM x JOIN s USING (event_type) WHERE NOT ({early_sql()}) GROUP BY event_type"""
+ev("D14_baselines", D14, lambda e: G.baselines(e, ["event_type"], ["t", "event_id"], "value", early(e)), l="", d="zero train_mean train_median persistence", s="event_type")
+D15 = f"""{M4}, ok AS (SELECT * FROM m WHERE m5 IS NOT NULL AND l1 IS NOT NULL), {ridge_sql("ok", ["k", "l1"], "value", early_sql("ok"), 1.0)}
+SELECT event_id, value, b0 + w0 * k + w1 * l1 AS fitted FROM ok, ridge"""
 
 
-@query("D15_ridge_predictions", l="event_id", d="fitted value")
+@query("D15_ridge_predictions", f"WITH {EV} {D15}", l="event_id", d="fitted value", digits=5)
 def _(spark, d):
     e = four(events(spark, d)).na.drop()
-    w, b = G.ridge(e.filter("event_id < 6000"), ["k", "l1"], "value", 1.0)
+    w, b = G.ridge(e.filter(early(e)), ["k", "l1"], "value", 1.0)
     return e.withColumn("fitted", G.linear_prediction(["k", "l1"], w, b))
 
 
 @query("D16_tree_and_logistic_models", l="event_id", d="p_logistic p_gbt", digits=4)
 def _(spark, d):
     e = prob(preds(spark, d)).select("event_id", c("k").cast("double").alias("k"), "pred", c("y").cast("double").alias("y"))
-    train = e.filter("event_id < 6000").orderBy("event_id")
+    train = e.filter(early(e)).orderBy("event_id")
     out = e
     for name, kind, options in (("p_logistic", "logistic", {"maxIter": 20}), ("p_gbt", "gbt", {"maxIter": 5, "maxDepth": 3, "seed": 1})):
         from pyspark.ml.functions import vector_to_array

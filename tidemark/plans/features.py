@@ -12,7 +12,7 @@ from tidemark.operators import indicators as I
 from tidemark.operators import sequences as Q
 from tidemark.operators.series import Series
 from tidemark.plans.bars import BARS, hourly
-from tidemark.plans.registry import BY_TYPE, BY_USER, EV, USER, events, lbps, query, roll
+from tidemark.plans.registry import BY_TYPE, BY_USER, EV, USER, ema_sql, events, lbps, query, roll
 
 c = F.col
 
@@ -87,12 +87,22 @@ def _(spark, d):
     return I.ema_paths(events(spark, d), ["user_id"], ["t", "event_id"], "value", {"ema": I.span_alpha(10)})
 
 
-@query("W15b_macd", l="user_id event_id", d="macd macd_signal macd_hist")
+O = f"RECURSIVE {EV}, o AS (SELECT *, row_number() OVER ({BY_USER}) AS i, lag(value) OVER ({BY_USER}) AS before, avg(value) OVER ({BY_USER} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS m10 FROM ev)"
+MACD = f"""WITH {O}, {ema_sql("f", "o", "(2.0 / 13.0)", "value")}, {ema_sql("s", "o", "(2.0 / 27.0)", "value")},
+md AS (SELECT o.*, f.y - s.y AS macd FROM o JOIN f USING (user_id, i) JOIN s USING (user_id, i)), {ema_sql("g", "md", "(2.0 / 10.0)", "macd")}
+SELECT md.*, g.y AS macd_signal, macd - g.y AS macd_hist FROM md JOIN g USING (user_id, i)"""
+
+
+@query("W15b_macd", MACD, l="user_id event_id", d="macd macd_signal macd_hist")
 def _(spark, d):
     return I.macd(events(spark, d), ["user_id"], ["t", "event_id"], "value")
 
 
-@query("W16_sma_seeded_ema", l="user_id event_id", d="ema")
+W16 = f"""WITH {O}, x AS (SELECT user_id, i - 9 AS i, CASE WHEN i = 10 THEN m10 ELSE value END AS v FROM o WHERE i >= 10), {ema_sql("y", "x", "(2.0 / 11.0)", "v")}
+SELECT o.*, y.y AS ema FROM o LEFT JOIN y ON y.user_id = o.user_id AND y.i = o.i - 9"""
+
+
+@query("W16_sma_seeded_ema", W16, l="user_id event_id", d="ema")
 def _(spark, d):
     return I.sma_seeded_ema(events(spark, d), ["user_id"], ["t", "event_id"], "value", 10, "ema")
 
@@ -102,7 +112,12 @@ ev("W17_rsi_mean_and_sum", f", {CH}, m AS (SELECT *, {roll('avg({x})', 'up', 10)
    lambda e: e.withColumn("ch", USER.diff(val())).withColumns({"rsi_mean": I.rsi_mean(USER, c("ch"), 10), "rsi_sum": I.rsi_sum(USER, c("ch"), 10)}), d="rsi_mean rsi_sum")
 
 
-@query("W17c_rsi_wilder", l="user_id event_id", d="rsi_wilder")
+W17C = f"""WITH {O}, x AS (SELECT user_id, i - 1 AS i, greatest(value - before, 0.0) AS up, greatest(before - value, 0.0) AS dn FROM o WHERE i >= 2),
+{ema_sql("a", "x", "0.1", "up")}, {ema_sql("b", "x", "0.1", "dn")}, r AS (SELECT a.user_id, a.i + 1 AS i, a.y AS a, b.y AS b FROM a JOIN b USING (user_id, i) WHERE a.i >= 10)
+SELECT o.*, CASE WHEN a = 0 AND b = 0 THEN 50.0 WHEN b = 0 THEN 100.0 ELSE 100 - 100 / (1 + a / b) END AS rsi_wilder FROM o LEFT JOIN r USING (user_id, i)"""
+
+
+@query("W17c_rsi_wilder", W17C, l="user_id event_id", d="rsi_wilder")
 def _(spark, d):
     return I.wilder_rsi(events(spark, d), ["user_id"], ["t", "event_id"], "value", 10)
 
@@ -165,7 +180,18 @@ ev("W32_sequence_window", f", m AS (SELECT *, list(value) OVER ({BY_USER} ROWS B
 ev("W34_lookback_window", f", m AS (SELECT *, list(value) OVER ({BY_USER} ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS a FROM ev) SELECT *, CASE WHEN len(a) = 4 THEN {J('a')} END AS x FROM m", lambda e: e.withColumn("x", joined(Q.lookback_window(USER, val(), 4))), s="x")
 
 
-@query("W33_trend_regime", l="bucket", d="score p_bull", s="event_type regime")
+W33 = f"""WITH RECURSIVE {BARS}, o AS (SELECT *, row_number() OVER ({BY_BAR}) AS i, close - lag(close) OVER ({BY_BAR}) AS ch FROM bars),
+{ema_sql("f", "o", "(2.0 / 7.0)", "close", "event_type")}, {ema_sql("s", "o", "(2.0 / 25.0)", "close", "event_type")},
+u AS (SELECT *, coalesce(greatest(ch, 0.0), 0.0) AS up, coalesce(greatest(-ch, 0.0), 0.0) AS dn FROM o),
+m AS (SELECT *, {roll('avg({x})', 'up', 14, BY_BAR)} AS a, {roll('avg({x})', 'dn', 14, BY_BAR)} AS b, {roll('stddev_pop({x})', 'ch', 12, BY_BAR)} AS vol FROM u),
+v AS (SELECT *, CASE WHEN a = 0 AND b = 0 THEN 50 WHEN b = 0 THEN 100 ELSE 100 - 100 / (1 + a / b) END AS rsi, list(vol) FILTER (vol IS NOT NULL) OVER ({BY_BAR} ROWS BETWEEN 47 PRECEDING AND CURRENT ROW) AS vs FROM m),
+p AS (SELECT *, CASE WHEN vol IS NOT NULL AND len(vs) >= 12 THEN (len(list_filter(vs, lambda x: x < vol)) + (len(list_filter(vs, lambda x: x = vol)) + 1) / 2.0) / len(vs) END AS rank FROM v),
+q AS (SELECT p.*, {" + ".join(f"{'-' if minus else ''}1.0 * coalesce(CAST({test} AS INT), 0)" for minus, test in [(0, "f.y > s.y"), (0, "close > f.y"), (0, "rsi > 55"), (0, "close > open"), (1, "f.y < s.y"), (1, "close < f.y"), (1, "rsi < 45"), (1, "close < open")])} AS score
+ FROM p JOIN f USING (event_type, i) JOIN s USING (event_type, i))
+SELECT *, CASE WHEN coalesce(rank, 0.0) >= 0.8 AND abs(score) < 2 THEN 'high_vol_chop' WHEN score >= 2 THEN 'bull' WHEN score <= -2 THEN 'bear' ELSE 'neutral' END AS regime, exp(score) / (exp(score) + 1 + exp(-score)) AS p_bull FROM q"""
+
+
+@query("W33_trend_regime", W33, l="bucket", d="score p_bull", s="event_type regime")
 def _(spark, d):
     b = I.ema_paths(hourly(spark, d), ["event_type"], ["bucket"], "close", {"fast": I.span_alpha(6), "slow": I.span_alpha(24)})
     b = b.withColumn("rsi", I.rsi_mean(BAR, BAR.diff(c("close")), 14)).withColumn("vol", BAR.std(BAR.diff(c("close")), 12))

@@ -23,11 +23,11 @@ def _(spark, d):
     return S.normalise_trades(raw)
 
 
-@query("SRC7_range_scan_counters", f"WITH {EV} SELECT count(*) AS lines, count(*) FILTER (k % 10 = 0) AS malformed, 0 AS non_monotonic, count(*) FILTER (k % 10 <> 0 AND t >= 1704500000000 AND t < 1705500000000) AS kept FROM ev", l="lines malformed non_monotonic kept")
+@query("SRC7_range_scan_counters", f"WITH {EV}, late AS (SELECT *, t - CASE WHEN k % 17 = 3 THEN 7200000 ELSE 0 END AS u FROM ev), o AS (SELECT *, u < lag(u) OVER (ORDER BY event_id) AS fell FROM late) SELECT count(*) AS lines, count(*) FILTER (k % 10 = 0) AS malformed, count(*) FILTER (fell) AS non_monotonic, count(*) FILTER (k % 10 <> 0 AND u >= 1704500000000 AND u < 1705500000000) AS kept FROM o", l="lines malformed non_monotonic kept")
 def _(spark, d):
     e = events(spark, d)
-    raw = e.select(c("event_id").alias("trade_id"), F.when(c("k") % 10 == 0, "broken").otherwise(c("value").cast("string")).alias("price"), F.lit("1").alias("quantity"), c("t").cast("string").alias("timestamp_ms"))
-    return S.scan_range(raw, 1704500000000, 1705500000000)[1]
+    raw = e.select(c("event_id").alias("trade_id"), F.when(c("k") % 10 == 0, "broken").otherwise(c("value").cast("string")).alias("price"), F.lit("1").alias("quantity"), (c("t") - F.when(c("k") % 17 == 3, 7200000).otherwise(0)).cast("string").alias("timestamp_ms"))
+    return S.scan_range(raw, 1704500000000, 1705500000000, block=1000)[1]
 
 
 @query("SRC8_merged_pulls", f"WITH {EV} SELECT t AS timestamp_ms, value AS price, k AS size, event_type AS side FROM ev GROUP BY ALL", l="timestamp_ms", d="price size", s="side")
@@ -43,7 +43,7 @@ def _(spark, d):
 
 @query("SRC13_pruned_ledger_scan", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_quantity < 10", l="l_orderkey l_linenumber", d="net")
 def _(spark, d):
-    x = table(spark, d, "lineitem").filter((F.date_format("l_shipdate", "yyyy") >= "1998") & (c("l_quantity") < 10))
+    x = table(spark, d, "lineitem").filter("l_shipdate >= TIMESTAMP_NTZ '1998-01-01 00:00:00' AND l_quantity < 10")
     return x.select("l_orderkey", "l_linenumber", (c("l_extendedprice") * (1 - c("l_discount"))).alias("net"))
 
 
@@ -60,8 +60,3 @@ def _(spark, d):
 @query("SRC16_json_scan", f"WITH {EV} SELECT event_id, k FROM ev", l="event_id k")
 def _(spark, d):
     return table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
-
-
-@query("SRC17_simulated_market", l="simulation_run_id timestamp hidden_regime", d="mid_price spread_percent market_pressure_10s")
-def _(spark, d):
-    return S.simulate(spark, 4, 2000)

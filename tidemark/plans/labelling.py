@@ -13,7 +13,7 @@ from tidemark.operators import splits as V
 from tidemark.operators.series import Series
 from tidemark.plans.bars import BARS, hourly
 from tidemark.plans.features import BAR, BY_BAR, barq, ev
-from tidemark.plans.registry import BY_USER, EV, USER, events, lbps, query, roll
+from tidemark.plans.registry import BY_USER, EV, USER, early, early_sql, ema_sql, events, lbps, query, ridge_sql, roll
 
 c = F.col
 
@@ -99,7 +99,13 @@ ev("L16_interval_hazard", PATH + ", s AS (SELECT *, CASE WHEN path IS NOT NULL T
 ev("L18_expansion", f", {RET} SELECT *, CASE WHEN count(ret) OVER w = 5 THEN CASE WHEN stddev_pop(ret) OVER w > {roll('stddev_pop({x})', 'ret', 10)} THEN 1 WHEN {roll('stddev_pop({x})', 'ret', 10)} IS NOT NULL THEN 0 END END AS vol_expansion, CASE WHEN count(ret) OVER w = 5 THEN {lbps('max(value) OVER w', 'min(value) OVER w')} END AS future_range FROM r WINDOW w AS {NEXT(5)}", lambda e: e.withColumn("ret", USER.returns(val())).withColumns(L.expansion(USER, c("ret"), val(), val(), 5, 10)), l="event_id vol_expansion", d="future_range")
 
 
-@query("L20_indicator_event", l="user_id event_id cross", d="gap roll_forward residual")
+L20 = f"""WITH RECURSIVE {EV}, o AS (SELECT *, row_number() OVER ({BY_USER}) AS i FROM ev), {ema_sql("f", "o", "(2.0 / 7.0)", "value")}, {ema_sql("s", "o", "(2.0 / 19.0)", "value")},
+g AS (SELECT o.*, f.y - s.y AS gap, (value + (f.y - value) * (1 - 2.0 / 7.0) ** 3) - (value + (s.y - value) * (1 - 2.0 / 19.0) ** 3) AS roll_forward FROM o JOIN f USING (user_id, i) JOIN s USING (user_id, i)),
+h AS (SELECT *, lead(gap, 3) OVER ({BY_USER}) AS later FROM g)
+SELECT *, later - roll_forward AS residual, CAST(sign(later) <> sign(gap) AS INT) AS crossed FROM h"""
+
+
+@query("L20_indicator_event", L20, l="user_id event_id crossed", d="gap roll_forward residual")
 def _(spark, d):
     """EMA spread against its roll-forward under a constant price: a closed form, h steps ahead."""
     from tidemark.operators.indicators import ema_paths, span_alpha
@@ -109,11 +115,11 @@ def _(spark, d):
     gap = c("fast") - c("slow")
     ahead = (val() + (c("fast") - val()) * (1 - a) ** h) - (val() + (c("slow") - val()) * (1 - z) ** h)
     e = e.withColumns({"gap": gap, "roll_forward": ahead})
-    return e.withColumns({"residual": USER.lead(c("gap"), h) - c("roll_forward"), "cross": (F.signum(USER.lead(c("gap"), h)) != F.signum("gap")).cast("int")})
+    return e.withColumns({"residual": USER.lead(c("gap"), h) - c("roll_forward"), "crossed": (F.signum(USER.lead(c("gap"), h)) != F.signum("gap")).cast("int")})
 
 
-L21 = f", {RET}, x AS (SELECT *, CASE WHEN count(value) OVER w = 4 THEN least({lbps('min(value) OVER w', 'value')}, 0.0) END / ({roll('stddev_pop({x})', 'ret', 10)}) AS u FROM r WINDOW w AS {NEXT(4)}), tr AS (SELECT quantile_cont(u, 1 / 3) AS a, quantile_cont(u, 2 / 3) AS b FROM x WHERE event_id < 6000) SELECT x.*, CASE WHEN u IS NULL THEN 'unknown' WHEN u <= a THEN 'low' WHEN u > b THEN 'high' ELSE 'mid' END AS bucket FROM x, tr"
-ev("L21_downside_ordinal", L21, lambda e: M.tertile(with_vol(e).withColumn("u", F.try_divide(c("mae"), c("vol"))), [], "u", c("event_id") < 6000), l="event_id", d="u", s="bucket")
+L21 = f", {RET}, x AS (SELECT *, CASE WHEN count(value) OVER w = 4 THEN least({lbps('min(value) OVER w', 'value')}, 0.0) END / ({roll('stddev_pop({x})', 'ret', 10)}) AS u FROM r WINDOW w AS {NEXT(4)}), tr AS (SELECT quantile_cont(u, 1 / 3) AS a, quantile_cont(u, 2 / 3) AS b FROM x WHERE {early_sql('x')}) SELECT x.*, CASE WHEN u IS NULL THEN 'unknown' WHEN u <= a THEN 'low' WHEN u > b THEN 'high' ELSE 'mid' END AS bucket FROM x, tr"
+ev("L21_downside_ordinal", L21, lambda e: M.tertile(with_vol(e).withColumn("u", F.try_divide(c("mae"), c("vol"))), [], "u", early(e)), l="event_id", d="u", s="bucket")
 
 # ---- splits and sampling ----------------------------------------------------------------------------
 POS = "p AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS i, count(*) OVER () AS n FROM ev)"
@@ -157,12 +163,30 @@ def _(spark, d):
     return V.in_windows(e, "t", windows).groupBy(c("window").alias("win")).agg(F.count("*").alias("rows_in"), F.avg("value").alias("mean"))
 
 
-@query("V6_leave_out", f"WITH {EV}, x AS (SELECT *, event_id // 2500 AS bl FROM ev), sc AS (SELECT 'symbol:' || s || ':' AS scenario, 'symbol' AS kind, s, NULL AS b FROM (VALUES ('click'), ('view')) q(s) UNION ALL SELECT 'block::' || b, 'block', NULL, b FROM (VALUES (0), (1)) r(b) UNION ALL SELECT 'both:' || s || ':' || b, 'both', s, b FROM (VALUES ('click'), ('view')) q(s), (VALUES (0), (1)) r(b)) SELECT scenario, CASE WHEN CASE kind WHEN 'symbol' THEN event_type = s WHEN 'block' THEN bl = b ELSE event_type = s AND bl = b END THEN 'test' WHEN kind = 'both' AND (event_type = s) <> (bl = b) THEN 'dropped' ELSE 'train' END AS role, count(*) AS n FROM x, sc GROUP BY ALL", l="n", s="scenario role")
+V6 = f"""WITH {EV}, r AS (SELECT min(event_id) AS a, max(event_id) AS z FROM ev), x AS (SELECT ev.*, least(3, floor((event_id - a) * 4.0 / (z - a))) AS bl FROM ev, r),
+sy AS (SELECT DISTINCT event_type AS s FROM ev), bs AS (SELECT unnest(range(0, 4)) AS b),
+sc AS (SELECT 'symbol:' || s || ':' AS scenario, 'symbol' AS kind, s, NULL AS b FROM sy UNION ALL SELECT 'block::' || b, 'block', NULL, b FROM bs UNION ALL SELECT 'both:' || s || ':' || b, 'both', s, b FROM sy, bs)
+SELECT scenario, CASE WHEN CASE kind WHEN 'symbol' THEN event_type = s WHEN 'block' THEN bl = b ELSE event_type = s AND bl = b END THEN 'test' WHEN kind = 'both' AND (event_type = s) <> (bl = b) THEN 'dropped' ELSE 'train' END AS role, count(*) AS n FROM x, sc GROUP BY ALL"""
+
+
+@query("V6_leave_out", V6, l="n", s="scenario role")
 def _(spark, d):
-    return V.leave_out(events(spark, d), "event_type", F.floor(c("event_id") / 2500), ["click", "view"], [0, 1]).groupBy("scenario", "role").agg(F.count("*").alias("n"))
+    """Every symbol, and four time blocks over the whole table."""
+    e = events(spark, d)
+    low, high = e.agg(F.min("event_id"), F.max("event_id")).first()
+    symbols = sorted(r[0] for r in e.select("event_type").distinct().collect())
+    block = F.least(F.lit(3), F.floor((c("event_id") - low) * 4.0 / (high - low)))
+    return V.leave_out(e, "event_type", block, symbols, range(4)).groupBy("scenario", "role").agg(F.count("*").alias("n"))
+
+
+V8_FOLD = "(n // 2) + {k} * ((n - n // 2) // 3)"
+V8 = f"""WITH {EV}, {POS}, q AS (SELECT *, CAST(k AS DOUBLE) AS k_d, lag(value) OVER ({BY_USER}) AS lag1, CASE WHEN count(value) OVER w = 5 THEN avg(value) OVER w END AS mean5 FROM p WINDOW w AS ({BY_USER} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+ok AS (SELECT * FROM q WHERE lag1 IS NOT NULL AND mean5 IS NOT NULL),
+{", ".join(ridge_sql("ok", ["k_d", "lag1", "mean5"], "value", f"i < {V8_FOLD.format(k=k)} - 60", 1.0, str(k)) for k in range(3))}
+{" UNION ALL ".join(f"SELECT event_id, {k} AS fold, value, b0 + w0 * k_d + w1 * lag1 + w2 * mean5 AS oof FROM ok, ridge{k} WHERE i >= {V8_FOLD.format(k=k)} + 40 AND i < {'n' if k == 2 else V8_FOLD.format(k=k + 1)}" for k in range(3))}"""
 
 
-@query("V8_out_of_fold", l="event_id fold", d="oof value")
+@query("V8_out_of_fold", V8, digits=5, l="event_id fold", d="oof value")
 def _(spark, d):
     from tidemark.operators.diagnostics import out_of_fold
 

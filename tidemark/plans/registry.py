@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import ntz_to_ms
@@ -32,6 +32,17 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "user_id", "event_type", "value", F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("k"), ntz_to_ms(F.col("ts")).alias("t"))
 
 
+def early(df: DataFrame, share: float = 0.6, by: str = "event_id") -> Column:
+    """Rows in the first `share` of the range of `by`: the training part, whatever the table's size."""
+    low, high = df.agg(F.min(by), F.max(by)).first()
+    return F.col(by) < F.lit(None if low is None else low + share * (high - low)).cast("double")
+
+
+def early_sql(source: str = "ev", share: float = 0.6, by: str = "event_id") -> str:
+    """SQL of early."""
+    return f"{by} < (SELECT min({by}) + {share}::DOUBLE * (max({by}) - min({by})) FROM {source})"
+
+
 def query(name: str, sql: str | None = None, l: str = "", d: str = "", s: str = "", b: str = "", digits: int = 6):  # noqa: E741
     """Register fn(spark, sf_dir) -> DataFrame; sql is wrapped so that both give the same columns."""
 
@@ -60,3 +71,29 @@ def roll(agg: str, x: str, n: int, by: str = BY_USER, least: int | None = None)
     """SQL of a full-window rolling aggregate; agg holds {x}."""
     w = f"OVER ({by} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
     return f"CASE WHEN count({x}) {w} >= {least or n} THEN {agg.format(x=x)} {w} END"
+
+
+def ema_sql(name: str, source: str, alpha: str, x: str, key: str = "user_id") -> str:
+    """A recursive CTE (key, i, y): the exponential mean of x over rows numbered i = 1, 2 ... by key."""
+    return f"""{name} AS (SELECT {key}, i, CAST({x} AS DOUBLE) AS y FROM {source} WHERE i = 1
+UNION ALL SELECT _r.{key}, _r.i, {alpha} * _r.{x} + (1 - {alpha}) * {name}.y FROM {name} JOIN {source} _r ON _r.{key} = {name}.{key} AND _r.i = {name}.i + 1)"""
+
+
+def ridge_sql(source: str, features: list[str], target: str, where: str, penalty: float, n: str = "") -> str:
+    """CTEs ending in ridge{n}(w0, w1 ..., b0): Cramer's rule on centred sums, for two or three features."""
+    k = range(len(features))
+    means = ", ".join([f"avg(CAST({f} AS DOUBLE)) AS m{i}" for i, f in enumerate(features)] + [f"avg({target}) AS my"])
+    sums = [f"sum((CAST({features[i]} AS DOUBLE) - m{i}) * (CAST({features[j]} AS DOUBLE) - m{j})){f' + {penalty}' if i == j else ''} AS g{i}{j}" for i in k for j in k]
+    sums += [f"sum((CAST({f} AS DOUBLE) - m{i}) * ({target} - my)) AS t{i}" for i, f in enumerate(features)]
+
+    def det(a: list[list[str]]) -> str:
+        if len(a) == 2:
+            return f"({a[0][0]} * {a[1][1]} - {a[0][1]} * {a[1][0]})"
+        minors = [det([[x for j, x in enumerate(row) if j != i] for row in a[1:]]) for i in range(len(a))]
+        return "(" + " ".join(f"{'+' if i % 2 == 0 else '-'} {a[0][i]} * {minor}" for i, minor in enumerate(minors)) + ")"
+
+    gram = [[f"g{i}{j}" for j in k] for i in k]
+    weights = ", ".join(f"{det([[f't{i}' if j == x else gram[i][j] for j in k] for i in k])} / {det(gram)} AS w{x}" for x in k)
+    return f"""rows_{n} AS (SELECT * FROM {source} WHERE {where}), means{n} AS (SELECT {means} FROM rows_{n}),
+sums{n} AS (SELECT {", ".join(sums)}, {", ".join(f"any_value(m{i}) AS m{i}" for i in k)}, any_value(my) AS my FROM rows_{n}, means{n}),
+solved{n} AS (SELECT *, {weights} FROM sums{n}), ridge{n} AS (SELECT *, my - {" - ".join(f"w{i} * m{i}" for i in k)} AS b0 FROM solved{n})"""

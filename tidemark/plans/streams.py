@@ -74,10 +74,10 @@ def _(spark, d):
     return K.book_metrics(K.book_rows(messages(spark, d)))
 
 
-@query("T6_book_metrics", f"WITH {EV}, b AS (SELECT event_id, value AS bq, k AS aq, 100 - k / 1000.0 AS bb, 100.05 + k / 1000.0 AS ba FROM ev) SELECT event_id, bb AS best_bid, ba AS best_ask, (bb + ba) / 2 AS mid_price, (ba - bb) / ((bb + ba) / 2) AS spread_percent, CASE WHEN bq + aq = 0 THEN 0 ELSE (bq - aq) / (bq + aq) END AS imbalance FROM b WHERE aq < 45", l="event_id", d="best_bid best_ask mid_price spread_percent imbalance")
+@query("T6_book_metrics", f"WITH {EV}, b AS (SELECT event_id, value AS bq, k AS aq, 100 - k / 1000.0 AS bb, 100.05 + k / 1000.0 AS ba FROM ev) SELECT event_id, bb AS best_bid, ba AS best_ask, (bb + ba) / 2 AS mid_price, (ba - bb) / ((bb + ba) / 2) AS spread_percent, CASE WHEN bq + aq = 0 THEN 0 ELSE (bq - aq) / (bq + aq) END AS imbalance FROM b", l="event_id", d="best_bid best_ask mid_price spread_percent imbalance")
 def _(spark, d):
     side = lambda p, q: F.array(F.struct(p.alias("p"), q.cast("double").alias("q")))
-    rows = events(spark, d).filter("k < 45").select("event_id", side(100 - c("k") / 1000.0, c("value")).alias("bids"), side(100.05 + c("k") / 1000.0, c("k")).alias("asks"))
+    rows = events(spark, d).select("event_id", side(100 - c("k") / 1000.0, c("value")).alias("bids"), side(100.05 + c("k") / 1000.0, c("k")).alias("asks"))
     m = K.book_metrics(rows)
     return m.withColumn("imbalance", safe_div(c("large_bid_wall_size") - c("large_ask_wall_size"), c("large_bid_wall_size") + c("large_ask_wall_size"), 0))
 

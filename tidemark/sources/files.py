@@ -101,19 +101,30 @@ def normalise_trades(df: DataFrame) -> DataFrame:
     return out.filter((c("price") > 0) & (c("size") > 0) & c("timestamp_ms").isNotNull())
 
 
-def scan_range(lines: DataFrame, start: int, end: int) -> tuple[DataFrame, DataFrame]:
+def scan_range(lines: DataFrame, start: int, end: int, block: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """Trades in [start, end), and counts of malformed and of out-of-order lines (SRC7).
 
-    Order is judged against the line before in trade_id order within a source file.
+    Order is judged against the line before in trade_id order within a source file; lines without an id
+    are not judged. Ids are cut into blocks, so no task holds a file; the edges of neighbouring blocks
+    (one row a block) are compared apart.
     """
     from pyspark.sql import Window
 
-    t = lines.select("*", any_to_ms(to_number(c("timestamp_ms"))).alias("_t"))
+    t = lines.select("*", any_to_ms(to_number(c("timestamp_ms"))).alias("_t"), c("trade_id").try_cast("long").alias("_id"))
     bad = c("_t").isNull() | to_number(c("price")).isNull() | to_number(c("quantity")).isNull()
+    kept = ~bad & (c("_t") >= start) & (c("_t") < end)
     keys = [k for k in ("source_file",) if k in lines.columns]
-    w = Window.partitionBy(*keys).orderBy(c("trade_id").try_cast("long")) if keys else Window.partitionBy(F.floor(c("trade_id").try_cast("long") / 1_000_000)).orderBy(c("trade_id").try_cast("long"))
-    counts = t.withColumn("_before", F.lag("_t").over(w)).agg(F.count("*").alias("lines"), F.count_if(bad).alias("malformed"), F.count_if(c("_t") < c("_before")).alias("non_monotonic"), F.count_if(~bad & (c("_t") >= start) & (c("_t") < end)).alias("kept"))
-    return t.filter(~bad & (c("_t") >= start) & (c("_t") < end)).drop("_t"), counts
+    t = t.withColumn("_block", F.floor(c("_id") / block))
+    before = F.lag("_t").over(Window.partitionBy(*keys, "_block").orderBy("_id", "_t"))
+    fell = c("_id").isNotNull() & (c("_t") < c("_before"))
+    per = t.withColumn("_before", before).groupBy(*keys, "_block").agg(
+        F.count("*").alias("lines"), F.count_if(bad).alias("malformed"), F.count_if(fell).alias("fell"), F.count_if(kept).alias("kept"),
+        F.min_by("_t", F.struct("_id", "_t")).alias("first"), F.max_by("_t", F.struct("_id", "_t")).alias("last"),
+    )
+    ahead = F.when(c("_block").isNotNull(), F.lag(F.when(c("_block").isNotNull(), c("last"))).over(Window.partitionBy(*keys).orderBy("_block")))
+    edge = per.withColumn("fell", c("fell") + F.coalesce((c("first") < ahead).cast("long"), F.lit(0)))
+    counts = edge.agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"), F.coalesce(F.sum("malformed"), F.lit(0)).alias("malformed"), F.coalesce(F.sum("fell"), F.lit(0)).alias("non_monotonic"), F.coalesce(F.sum("kept"), F.lit(0)).alias("kept"))
+    return t.filter(kept).drop("_t", "_id", "_block"), counts
 
 
 def merge_trades(frames: Sequence[DataFrame]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.semantics import safe_div
+from tidemark.operators.folds import fold
 
 c = F.col
 OUT = "symbol string, seq long, t long, status string, bids array<struct<p:double,q:double>>, asks array<struct<p:double,q:double>>"
@@ -66,8 +67,13 @@ def _fold(book: Book, pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def book_rows(messages: DataFrame, depth: int = 50) -> DataFrame:
-    """Batch form: the book after each message (symbol, seq, t, kind, first, final, bids, asks)."""
-    return messages.groupBy("symbol").applyInPandas(lambda pdf: _fold(Book(depth=depth), pdf), OUT)
+    """Batch form: the book after each message (symbol, seq, t, kind, first, final, bids, asks). The state is the book."""
+
+    def step(pdf: pd.DataFrame, book: Book | None) -> tuple[pd.DataFrame, Book]:
+        book = book or Book(depth=depth)
+        return _fold(book, pdf), book
+
+    return fold(messages, ["symbol"], ["seq"], step, OUT)
 
 
 def book_stream(messages: DataFrame, depth: int = 50) -> DataFrame:
