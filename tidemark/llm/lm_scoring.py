@@ -86,6 +86,11 @@ def _unstep(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total - np.repeat(np.r_[np.zeros(1, steps.dtype), total][first], sizes[sizes > 0])
 
 
+def _tags(hashes: np.ndarray) -> np.ndarray:
+    """The half of the hashes that deals words to shards."""
+    return hashes >> np.uint64(32)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
@@ -351,7 +356,7 @@ def score_documents(docs: DataFrame, mu: float = MU, mu3: float = MU3, batch_tok
         for r in rows:
             for i in range(r.num_rows):
                 hashes, counts = unpack(r.column(1)[i].as_py()), unpack(r.column(2)[i].as_py())
-                out = [(s, pack(hashes[g]), pack(counts[g])) for s, g in _groups((_mix(hashes) % np.uint64(shards)).astype(np.int64))]
+                out = [(s, pack(hashes[g]), pack(counts[g])) for s, g in _groups((_mix(_tags(hashes)) % np.uint64(shards)).astype(np.int64))]
                 yield _rows([("shard", [o[0] for o in out]), ("batch", [r.column(0)[i].as_py()] * len(out)), ("a", [o[1] for o in out]), ("b", [o[2] for o in out])])
 
     def answer_words(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -379,21 +384,27 @@ def score_documents(docs: DataFrame, mu: float = MU, mu3: float = MU3, batch_tok
     shared = spark.sparkContext.broadcast((ids[by], totals[by], -(-totals[by] // np.uint64(often))))
     kind = batches.schema["doc_ids"].dataType.elementType.simpleString()
 
-    def open_batch(left: pd.DataFrame, right: pd.DataFrame) -> tuple:
-        """The batch's tokens and lengths, word totals and ids, and its n-grams with their shards."""
-        x = left.iloc[0]
-        tokens, lengths, hashes = unpack(x["tokens"]), unpack(x["lengths"]).astype(np.int64), unpack(x["hashes"])
-        right = right[right["of"] == 0]
-        answer = {s: (unpack(a), unpack(b)) for s, a, b in zip(right["shard"], right["a"], right["b"])}
-        count, ids = np.zeros(len(hashes)), np.zeros(len(hashes), np.uint64)
-        for s, g in _groups((_mix(hashes) % np.uint64(shards)).astype(np.int64)):
+    def with_tags(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches as they travel: of the hashes only what deals words to shards."""
+        for r in rows:
+            tags = [pack(_tags(unpack(x.as_py()))) for x in r.column(5)]
+            yield pa.RecordBatch.from_arrays([*r.columns[:5], pa.array(tags, pa.binary())], names=[*r.schema.names[:5], "tags"])
+
+    def open_batch(rows: pd.DataFrame) -> tuple:
+        """The batch's row, its tokens and lengths, word totals and ids, and its n-grams with their shards."""
+        x = rows[rows["shard"] < 0].iloc[0]
+        known = rows[rows["shard"] >= 0]
+        tokens, lengths, tags = unpack(x["tokens"]), unpack(x["lengths"]).astype(np.int64), unpack(x["tags"])
+        answer = {s: (unpack(a), unpack(b)) for s, a, b in zip(known["shard"], known["a"], known["b"])}
+        count, ids = np.zeros(len(tags)), np.zeros(len(tags), np.uint64)
+        for s, g in _groups((_mix(tags) % np.uint64(shards)).astype(np.int64)):
             count[g], ids[g] = answer[s]
         grams = _Grams(tokens, lengths, ids)
-        return tokens.astype(np.int64), lengths, count, ids, grams, _shard_of(ids[grams.u], ids[grams.v], shards, shared.value)
+        return x, tokens.astype(np.int64), lengths, count, ids, grams, _shard_of(ids[grams.u], ids[grams.v], shards, shared.value)
 
-    def ask_grams(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        tokens, lengths, _, ids, grams, shard = open_batch(left, right)
-        train = np.repeat(~np.array(left["held"].iloc[0], dtype=bool), lengths)
+    def ask_grams(rows: pd.DataFrame) -> pd.DataFrame:
+        x, _, lengths, _, ids, grams, shard = open_batch(rows)
+        train = np.repeat(~np.array(x["held"], dtype=bool), lengths)
         n2 = np.bincount(grams.two[train], minlength=len(grams.u))
         n3 = np.bincount(grams.three[train[grams.later]], minlength=len(grams.w))
         sizes = np.bincount(grams.of, minlength=len(grams.u))
@@ -401,7 +412,7 @@ def score_documents(docs: DataFrame, mu: float = MU, mu3: float = MU3, batch_tok
         out, none = [], np.zeros(0, np.int64)
         for s, g in _groups(shard):
             h = third.get(s, none)
-            out.append((s, left["batch"].iloc[0], *_request(ids[grams.u[g]], ids[grams.v[g]], n2[g], sizes[g], ids[grams.w[h]], n3[h])))
+            out.append((s, x["batch"], *_request(ids[grams.u[g]], ids[grams.v[g]], n2[g], sizes[g], ids[grams.w[h]], n3[h])))
         return pd.DataFrame(out, columns=["shard", "batch", *_PARTS])
 
     def answer_grams(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -426,32 +437,30 @@ def score_documents(docs: DataFrame, mu: float = MU, mu3: float = MU3, batch_tok
         trie = Trie(u[seen], v[seen], count[seen], total[seen], place[of[seen3]].astype(np.uint64), w[seen3], count3[seen3], mu, mu3)
         c2, back, c3 = trie.lookup(u, v, of, w)
         cut, cut3 = np.cumsum(two)[:-1], np.cumsum(three)[:-1]
-        a = [pack(np.concatenate([c2[x], back[x]])) for x in np.split(at2, cut)]
-        return pd.DataFrame({"shard": key[0], "batch": pdf["batch"], "a": a, "b": [pack(c3[x]) for x in np.split(at3, cut3)]})
+        return pd.DataFrame({"shard": key[0], "batch": pdf["batch"], "a": [pack(c2[x]) for x in np.split(at2, cut)], "b": [pack(back[x]) for x in np.split(at2, cut)], "c": [pack(c3[x]) for x in np.split(at3, cut3)]})
 
-    packed = batches.select(F.col("batch").alias("id"), "batch", "doc_ids", "held", "lengths", "tokens", "hashes")
-    known = words.filter("batch >= 0").select("batch", "shard", F.lit(0).alias("of"), "a", "b")
-    asked = packed.drop("doc_ids").groupBy("id").cogroup(known.groupBy("batch")).applyInPandas(ask_grams, "shard long, batch long, " + ", ".join(f"{k} binary" for k in _PARTS))
-    grams = materialise(asked.groupBy("shard").applyInPandas(answer_grams, shape), "grams")
-    answers = known.unionByName(grams.select("batch", "shard", F.lit(1).alias("of"), "a", "b"))
+    # A batch and what it learnt about its words meet in one shuffle, which serves the requests and the scores.
+    fields = f"batch long, doc_ids array<{kind}>, held array<boolean>, lengths binary, tokens binary"
+    packed = batches.select("batch", "doc_ids", "held", "lengths", "tokens", "hashes").mapInArrow(with_tags, f"{fields}, tags binary").withColumn("shard", F.lit(-1).cast("long"))
+    met = packed.unionByName(words.filter("batch >= 0").select("batch", "shard", "a", "b"), allowMissingColumns=True).repartition("batch")
+    asked = met.groupBy("batch").applyInPandas(ask_grams, "shard long, batch long, " + ", ".join(f"{k} binary" for k in _PARTS))
+    answers = asked.groupBy("shard").applyInPandas(answer_grams, f"{shape}, c binary").withColumnRenamed("batch", "of")
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        tokens, lengths, count, _, grams, shard = open_batch(left, right)
-        found = right[right["of"] == 1]
-        answer = {s: (unpack(a), unpack(b)) for s, a, b in zip(found["shard"], found["a"], found["b"])}
+        x, tokens, lengths, count, _, grams, shard = open_batch(left)
+        answer = {s: tuple(map(unpack, codes)) for s, *codes in zip(right["shard"], right["a"], right["b"], right["c"])}
         c2, back, c3 = np.zeros(len(grams.u), np.int64), np.zeros(len(grams.u), np.int64), np.zeros(len(grams.w), np.int64)
         third = dict(_groups(shard[grams.of]))
         for s, g in _groups(shard):
-            c2[g], back[g] = answer[s][0].reshape(2, -1)
+            c2[g], back[g] = answer[s][:2]
             if s in third:
-                c3[third[s]] = answer[s][1]
+                c3[third[s]] = answer[s][2]
         uni = (count + 0.1) / (n_train + 0.1 * (n_known + 1))
         p = (_TABLE[c2] + mu / (count[grams.u] + mu) * uni[grams.v])[grams.two]
         at = grams.later
         p[at] = _TABLE[c3][grams.three] + _TABLE[back][grams.two[at - 1]] * p[at]
         starts = np.cumsum(lengths) - lengths
         add = lambda a: np.add.reduceat(a, starts)
-        x = left.iloc[0]
         return pd.DataFrame({"doc_id": pd.Series(list(x["doc_ids"]), dtype=object), "held_out": list(x["held"]), "n_tokens": lengths, "n_known": add((count[tokens] > 0).astype(np.int64)), "train_tokens": n_train, "base_score": add(np.log10(uni)[tokens]), "score": add(np.log10(p))})
 
-    return packed.groupBy("id").cogroup(answers.groupBy("batch")).applyInPandas(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return met.groupBy("batch").cogroup(answers.groupBy("of")).applyInPandas(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
