@@ -28,7 +28,7 @@ def test_trades(spark):
     raw = spark.createDataFrame([("1", "10", "2", None, "1700000000000", "true", "true"), ("2", "x", "2", "1", "1700000000001", "false", "true"), ("3", "10", "3", "29", "1700000000002", "False", "true")], ", ".join(f"{c} string" for c in S.RAW_TRADE))
     got = {r.trade_id: (r.side, r.quote_size) for r in S.normalise_trades(raw).collect()}
     assert got == {1: ("sell", 20.0), 3: ("buy", 29.0)}
-    assert [S.trade_source_kind(p) for p in ("x/aggTrades/a.zip", "b/trades/c", "d/bookTicker", "q")] == ["aggtrades", "trades", "bookticker", "unknown"]
+    assert [r[0] for r in spark.createDataFrame([("x/aggTrades/a.zip",), ("b/trades/c",), ("d/bookTicker",), ("q",)], "p string").select(S.trade_source_kind(F.col("p"))).collect()] == ["aggtrades", "trades", "bookticker", "unknown"]
     kept, counts = S.scan_range(raw, 1700000000000, 1700000000002)
     assert tuple(counts.first()) == (3, 1, 0, 1) and kept.count() == 1
 
@@ -46,7 +46,20 @@ def test_appends(spark, tmp_path):
     assert K.contract_hash(b, ["k"]) == K.contract_hash(b.repartition(3), ["k"]) != K.contract_hash(a, ["k"])
 
 
-def test_simulator_is_seeded(spark):
-    a = S.simulate(spark, 2, 50).orderBy("simulation_run_id", "timestamp").collect()
-    assert a == S.simulate(spark, 2, 50).orderBy("simulation_run_id", "timestamp").collect() and len(a) == 100
-    assert S.simulate(spark, 1, 50).filter(F.col("best_ask") <= F.col("best_bid")).count() == 0
+def test_order_is_judged_across_id_blocks(spark):
+    rows = [("999998", "1", "1", 10), ("999999", "1", "1", 20), ("1000000", "1", "1", 15), ("1000001", "1", "1", 16), ("3000000", "1", "1", 16), ("3000001", "1", "1", 3), ("x", "1", "1", 1)]
+    lines = spark.createDataFrame([(a, b, q, str(1_700_000_000_000 + t)) for a, b, q, t in rows], "trade_id string, price string, quantity string, timestamp_ms string")
+    for block in (1, 3, 1_000_000, 10_000_000):
+        assert S.scan_range(lines, 0, 2_000_000_000_000, block)[1].first().non_monotonic == 2
+    two = lines.withColumn("source_file", F.when(F.col("trade_id") > "2", "b").otherwise("a"))
+    assert S.scan_range(two, 0, 2_000_000_000_000)[1].first().non_monotonic == 2
+    assert tuple(S.scan_range(lines.limit(0), 0, 1)[1].first()) == (0, 0, 0, 0)
+
+
+def test_row_budget_and_file_choice(spark):
+    df = spark.createDataFrame([(f, i) for f, n in (("a", 3), ("b", 4), ("c", 2)) for i in range(n)], "f string, i int")
+    for n, want in ((0, 0), (2, 2), (3, 3), (5, 5), (9, 9), (20, 9)):
+        got = S.within_budget(df, "f", ["i"], n).collect()
+        assert len(got) == want and sorted((r.f, r.i) for r in got) == sorted((r.f, r.i) for r in df.orderBy("f", "i").collect())[:want]
+    paths = spark.createDataFrame([("x/A-1m-2024-01.zip",), ("x/A-1m-2024-01.csv",), ("x/B-1m-2024-01.csv",), ("x/B-2024-01_flow.csv",), ("x/C-1m-2024-01.txt",)], "path string")
+    assert sorted(r.source_file for r in S.choose_files(paths).collect()) == ["A-1m-2024-01.zip", "B-1m-2024-01.csv"]

@@ -86,6 +86,22 @@ def _(spark, d):
     return e.withColumns({"net_bps": c("forward_bps") - 4.0, "best_bps": (c("hi") / val() - 1) * 1e4, "worst_bps": (c("lo") / val() - 1) * 1e4})
 
 
+J14 = f"""WITH {EV}, p AS (SELECT event_id, user_id, t + {HOUR} AS want FROM ev WHERE event_type = 'purchase'),
+b AS (SELECT p.event_id, e.t AS before_t, e.value AS before FROM p ASOF LEFT JOIN (SELECT user_id, t, arg_max(value, event_id) AS value FROM ev GROUP BY ALL) e ON p.user_id = e.user_id AND p.want >= e.t),
+a AS (SELECT p.event_id, e.t AS after_t, e.value AS after FROM p ASOF LEFT JOIN (SELECT user_id, t, arg_max(value, event_id) AS value FROM ev GROUP BY ALL) e ON p.user_id = e.user_id AND p.want <= e.t)
+SELECT * FROM b JOIN a USING (event_id)"""
+
+
+@query("J14_point_lookup", J14, l="event_id before_t after_t", d="before after")
+def _(spark, d):
+    """The row at or before, and the one at or after, a point in time."""
+    e = events(spark, d)
+    points = e.filter("event_type = 'purchase'").select("event_id", "user_id", (c("t") + HOUR).alias("want"))
+    out = A.asof(points, e, ["user_id"], "want", ["value"], "backward", "b_", right_time="t", right_seq="event_id")
+    out = A.asof(out, e, ["user_id"], "want", ["value"], "forward", "a_", right_time="t", right_seq="event_id")
+    return out.select("event_id", c("b_t").alias("before_t"), c("b_value").alias("before"), c("a_t").alias("after_t"), c("a_value").alias("after"))
+
+
 @query("J15_distance_diagnostics", f"WITH {SIDES}, {NEAR} SELECT quantile_cont(age, 0.5) AS median, quantile_cont(age, 0.95) AS p95, count(*) FILTER (age <= {HOUR}) AS in_hour, count(*) FILTER (age <= {DAY}) AS in_day, count(*) AS n FROM nr", l="in_hour in_day n", d="median p95", digits=3)
 def _(spark, d):
     a, b = sides(spark, d)

@@ -1,4 +1,4 @@
-"""Scans of delimited files, zipped bars, trade tapes, contexts and JSON (SRC1-SRC17).
+"""Scans of delimited files, zipped bars, trade tapes, contexts and JSON (SRC1-SRC16).
 
 Every reader takes paths that Spark can read; nothing opens a file on the driver.
 """
@@ -9,7 +9,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,7 @@ KLINE = ("open_time", "open", "high", "low", "close", "volume", "close_time", "q
 #: Columns of raw and of aggregated trades without a header (fixed public layouts).
 RAW_TRADE = ("trade_id", "price", "quantity", "quote_quantity", "timestamp_ms", "is_buyer_maker", "is_best_match")
 AGG_TRADE = ("agg_trade_id", "price", "quantity", "first_trade_id", "last_trade_id", "timestamp_ms", "is_buyer_maker", "is_best_match")
+#: Column names that readers look for, in this order (fixed values).
 TIME_NAMES, PRICE_NAMES, SIDE_NAMES = ("timestamp", "timestamp_ms", "open_time", "ts", "time"), ("price", "mid_price", "close", "last"), ("predicted_side", "side", "direction")
 
 
@@ -34,14 +35,38 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], columns: Sequence[s
     return reader.csv(path if isinstance(path, str) else list(path))
 
 
-def with_lineage(df: DataFrame) -> DataFrame:
+def with_lineage(df: DataFrame, path: Column | None = None) -> DataFrame:
     """source_file, symbol and year_month, taken from file names such as ABC-1m-2024-01.csv (SRC3, SRC4)."""
-    name = F.element_at(F.split(c("_metadata.file_path"), "/"), -1)
+    name = F.element_at(F.split(c("_metadata.file_path") if path is None else path, "/"), -1)
     df = df.select("*", name.alias("source_file"))
-    pattern = r"^([A-Za-z0-9]+)[-_].*?(\d{4}-\d{2})?\.\w+$"
+    pattern = r"^([A-Za-z0-9]+)[-_].*?(\d{4}-\d{2})?(?:_flow)?\.\w+$"
     return df.withColumns({"symbol": F.regexp_extract("source_file", pattern, 1), "year_month": F.nullif(F.regexp_extract("source_file", pattern, 2), F.lit(""))})
 
 
+def within_budget(df: DataFrame, file: str, order: Sequence[str], budget: int) -> DataFrame:
+    """Rows of the files in name order until `budget` rows are reached (SRC3).
+
+    Files before the last one are kept whole, so only that file is numbered row by row.
+    """
+    from pyspark.sql import Window
+
+    per = df.groupBy(file).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.orderBy(file).rowsBetween(Window.unboundedPreceding, 0))  # one row a file
+    ends = per.select(c(file).alias("_file"), (upto - c("_n")).alias("_before"), upto.alias("_upto")).filter(c("_before") < budget)
+    rows = df.join(ends, c(file) == c("_file"))
+    cut = rows.filter(c("_upto") > budget).withColumn("_i", F.row_number().over(Window.partitionBy(file).orderBy(*order)))
+    return rows.filter(c("_upto") <= budget).select(*df.columns).unionByName(cut.filter(c("_i") <= budget - c("_before")).select(*df.columns))
+
+
+def choose_files(paths: DataFrame, path: str = "path") -> DataFrame:
+    """Per symbol and month the files of the first kind there is: zip, then csv, then flow tables (SRC4)."""
+    listed = with_lineage(paths, c(path))
+    kind = F.when(c(path).endswith(".zip"), 0).when(c(path).endswith("_flow.csv"), 2).when(c(path).endswith(".csv"), 1)
+    listed = listed.withColumn("_kind", kind).filter(c("_kind").isNotNull())
+    best = listed.groupBy(c("symbol").alias("_s"), c("year_month").alias("_m")).agg(F.min("_kind").alias("_best"))
+    return listed.join(best, (c("symbol") == c("_s")) & c("year_month").eqNullSafe(c("_m")) & (c("_kind") == c("_best"))).select(path, "source_file", "symbol", "year_month")
+
+
 def load_prices(df: DataFrame, keys: Sequence[str] = (), seq: str | None = None) -> DataFrame:
     """timestamp, price, predicted_side, time of any table with such columns: cast, cleaned, last of each time (SRC1).
 
@@ -56,8 +81,8 @@ def load_prices(df: DataFrame, keys: Sequence[str] = (), seq: str | None = None)
     return out.withColumn("time", iso(c("timestamp")))
 
 
-def read_zipped_klines(spark: SparkSession, path: str) -> DataFrame:
-    """Candles from CSV files inside ZIP archives, one archive a task row (SRC2)."""
+def unzip_klines(archives: DataFrame) -> DataFrame:
+    """Candles of archives given as (path, content); members are read in chunks (SRC2)."""
     import io
     import zipfile
 
@@ -72,8 +97,12 @@ def read_zipped_klines(spark: SparkSession, path: str) -> DataFrame:
                             for part in pd.read_csv(f, header=None, names=list(KLINE), dtype=str, chunksize=200_000):
                                 yield part[part["open_time"] != "open_time"].assign(source_file=name.rsplit("/", 1)[-1])
 
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    return typed_klines(raw.mapInPandas(run, f"{types}, source_file string"))
+    return typed_klines(archives.mapInPandas(run, f"{types}, source_file string"))
+
+
+def read_zipped_klines(spark: SparkSession, path: str) -> DataFrame:
+    """Candles from CSV files inside ZIP archives, one archive a task row (SRC2)."""
+    return unzip_klines(spark.read.format("binaryFile").load(path).select("path", "content"))
 
 
 def typed_klines(df: DataFrame) -> DataFrame:
@@ -82,10 +111,13 @@ def typed_klines(df: DataFrame) -> DataFrame:
     return df.withColumns(whole | {k: to_number(c(k)) for k in KLINE if k not in whole and k != "ignore"}).filter(c("open_time").isNotNull())
 
 
-def trade_source_kind(path: str) -> str:
-    """aggTrades, trades, bookticker or depth by the path (SRC5)."""
-    low = path.lower()
-    return next((k for k in ("aggtrades", "bookticker", "depth", "trades") if k in re.sub(r"[-_]", "", low)), "unknown")
+def trade_source_kind(path: Column) -> Column:
+    """aggtrades, bookticker, depth or trades by the path (SRC5)."""
+    plain = F.regexp_replace(F.lower(path), "[-_]", "")
+    out = F.lit("unknown")
+    for kind in ("trades", "depth", "bookticker", "aggtrades"):
+        out = F.when(plain.contains(kind), kind).otherwise(out)
+    return out
 
 
 def normalise_trades(df: DataFrame) -> DataFrame:
@@ -156,27 +188,3 @@ def check_tensor(df: DataFrame, column: str, length: int) -> DataFrame:
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """Registries and contracts: one document a file (SRC16)."""
     return spark.read.option("multiLine", True).json(path)
-
-
-def simulate(spark: SparkSession, runs: int, ticks: int, step_ms: int = 10_000, seed: int = 1, start: int = 1_700_000_000_000) -> DataFrame:
-    """Seeded order-book snapshots: regimes, mean-reverting spread, signed flow; one run a task (SRC17)."""
-    import numpy as np
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for k in pdf["id"].tolist():
-                rng = np.random.default_rng([seed, int(k)])
-                regime = np.cumsum(rng.random(ticks) < 0.01) % 3
-                pressure = np.clip(np.cumsum(rng.normal(0, 0.2, ticks)) * 0.02 + rng.normal(0, 0.3, ticks), -1, 1)
-                vol = np.array([2.0, 5.0, 12.0])[regime]
-                mid = 100 * np.exp(np.cumsum(rng.normal(0, 1, ticks) * vol + pressure * vol * 0.3) / 1e4)
-                spread = np.abs(rng.normal(1.0, 0.3, ticks)) * (1 + regime) / 1e4
-                volume = rng.gamma(2.0, 5.0, ticks) * (1 + regime)
-                depth = rng.gamma(4.0, 20.0, (ticks, 2))
-                yield pd.DataFrame({
-                    "simulation_run_id": int(k), "timestamp": start + step_ms * np.arange(ticks), "mid_price": mid, "best_bid": mid * (1 - spread / 2), "best_ask": mid * (1 + spread / 2), "spread_percent": spread,
-                    "market_buy_volume_10s": volume * (1 + pressure) / 2, "market_sell_volume_10s": volume * (1 - pressure) / 2, "total_trade_volume_10s": volume, "market_pressure_10s": pressure, "bid_depth_10bps": depth[:, 0], "ask_depth_10bps": depth[:, 1], "hidden_regime": regime,
-                })
-
-    fields = "simulation_run_id long, timestamp long, " + ", ".join(f"{x} double" for x in ("mid_price", "best_bid", "best_ask", "spread_percent", "market_buy_volume_10s", "market_sell_volume_10s", "total_trade_volume_10s", "market_pressure_10s", "bid_depth_10bps", "ask_depth_10bps")) + ", hidden_regime long"
-    return spark.range(0, runs, 1, runs).mapInPandas(run, fields)

@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir); local mode may do without one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
+
+
+def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at a path; None while the path does not exist or holds no file."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop) or not any(x.getPath().getName().startswith("part-") or x.isDirectory() for x in fs.listStatus(hadoop)):
+        return None
+    return spark.read.option("mergeSchema", True).parquet(path)
+
+
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()) -> None:
     """Overwrite as Parquet, sorted inside files so that time filters skip row groups (SNK1, SNK5)."""
     if sort_by:
@@ -20,12 +42,8 @@ def append_rows(df: DataFrame, path: str, keys: Sequence[str], time: str) -> int
 
     New columns are allowed: readers merge schemas.
     """
-    spark = df.sparkSession
-    try:
-        old = spark.read.option("mergeSchema", True).parquet(path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
+    old = table_or_none(df.sparkSession, path)
+    if old is None:
         df.write.mode("append").parquet(path)
         return 0
     last = old.groupBy(*keys).agg(F.max(time).alias("_last"))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.sinks import table_or_none
+
 c = F.col
 
 
@@ -62,12 +64,9 @@ def predict_each(stream: DataFrame, predict: Callable[[DataFrame], DataFrame], p
 
     def write(batch: DataFrame, _: int) -> None:
         out = predict(batch)
-        try:
-            seen = batch.sparkSession.read.parquet(path).select(*identity)
-            out = out.join(seen, identity, "left_anti")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+        seen = table_or_none(batch.sparkSession, path)
+        if seen is not None:
+            out = out.join(seen.select(*identity), identity, "left_anti")
         out.dropDuplicates(identity).write.mode("append").parquet(path)
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
