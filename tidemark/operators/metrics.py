@@ -281,3 +281,71 @@ def availability(labels: Sequence[str]) -> Column:
     """none / partial / all."""
     n = sum((c(x).isNotNull().cast("int") for x in labels[1:]), c(labels[0]).isNotNull().cast("int"))
     return F.when(n == 0, "none").when(n == len(labels), "all").otherwise("partial")
+
+
+def candidate_fitness(median: Column, worst: Column, lift: Column, log_loss: Column, stability: Column, ece: Column, features: Column) -> Column:
+    """Median skill, its worst fold and small shares of lift, log loss and stability, less three penalties.
+
+    The weights are the fixed values of the fitness definition; missing parts count as 0.
+    """
+    zero = F.lit(0.0)
+    median, worst, lift, log_loss, stability, ece, features = (F.coalesce(x.cast("double"), zero) for x in (median, worst, lift, log_loss, stability, ece, features))
+    gain = median + 0.75 * worst + 0.25 * lift + 0.10 * log_loss + 0.05 * stability
+    return gain - 2.0 * F.abs(F.least(zero, worst)) - F.least(F.lit(0.02), features / 10_000) - F.least(F.lit(0.05), F.greatest(zero, ece - 0.05))
+
+
+def fold_skill(df: DataFrame, keys: Sequence[str], fold: Column, p: str, y: str) -> DataFrame:
+    """Per key and fold: Brier skill and log-loss gain over the prevalence, calibration gap and lift."""
+    q = F.least(F.greatest(c(p), F.lit(1e-6)), F.lit(1 - 1e-6))
+    loss = F.avg(-(c(y) * F.ln(q) + (1 - c(y)) * F.ln(1 - q)))
+    rate = F.avg(c(y).cast("double"))
+    base = -(rate * F.ln(rate) + (1 - rate) * F.ln(1 - rate))
+    brier = F.avg((c(p) - c(y)) * (c(p) - c(y)))
+    return df.groupBy(*keys, fold.alias("fold")).agg(
+        (1 - safe_div(brier, rate * (1 - rate))).alias("skill"), (base - loss).alias("log_loss_gain"), F.abs(F.avg(p) - rate).alias("gap"),
+        (safe_div(F.avg(F.when(c(y) == 1, c(p))), F.avg(p)) - 1).alias("lift"),
+    )
+
+
+def dominant_loss(trades: DataFrame, keys: Sequence[str], reason: str, net: str) -> DataFrame:
+    """The exit reason with the worst sum, and which of stop, timeout and final exits leads the loss."""
+    per = trades.groupBy(*keys, reason).agg(F.sum(net).alias("_n"))
+    of = lambda name: F.coalesce(F.sum(F.when(c(reason) == name, c("_n"))), F.lit(0.0))
+    out = per.groupBy(*keys).agg(F.min_by(reason, F.struct("_n", reason)).alias("worst_reason"), of("stop_loss").alias("stop_net"), of("timeout").alias("timeout_net"), of("final_liquidation").alias("final_net"))
+    stop, late, final = c("stop_net"), c("timeout_net"), c("final_net")
+    lead = F.when((stop <= late) & (stop <= final) & (stop < 0), "stop_loss").when((late <= stop) & (late <= final) & (late < 0), "timeout").when(final < 0, "final_liquidation")
+    return out.withColumn("dominant", F.coalesce(lead, F.lit("mixed_or_no_loss")))
+
+
+def column_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row a column: its role by name, shares of rows that are there and finite, and finite moments."""
+    from tidemark.functions.semantics import finite, to_number
+
+    aggs = []
+    for x in columns:
+        v = finite(to_number(c(x)))
+        aggs.append(F.struct(
+            F.lit(x).alias("name"), F.lit(semantic_role(x)).alias("role"), safe_div(F.count(x).cast("double"), F.count(F.lit(1))).alias("present"), safe_div(F.count(v).cast("double"), F.count(F.lit(1))).alias("finite"),
+            F.min(v).alias("least"), F.max(v).alias("most"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"),
+        ))
+    return df.agg(F.array(*aggs).alias("_r")).select(F.explode("_r").alias("_x")).select("_x.*")
+
+
+def semantic_role(name: str) -> str:
+    """What a column holds, by the words of its name."""
+    words = set(name.lower().replace("-", "_").split("_"))
+    for role, marks in (("timestamp", {"timestamp", "time", "ts", "t"}), ("price", {"price", "open", "high", "low", "close", "mid", "bid", "ask", "value"}), ("volume", {"volume", "size", "quantity", "qty", "k"}), ("return", {"return", "bps", "pct"}), ("identifier", {"id", "key", "symbol"})):
+        if words & marks:
+            return role
+    return "feature"
+
+
+def cadence_profile(df: DataFrame, keys: Sequence[str], time: str, declared_s: float) -> DataFrame:
+    """Median and most frequent step in seconds against the declared one, repeated and negative times."""
+    step = (c(time) - F.lag(time).over(Window.partitionBy(*keys).orderBy(time))) / 1000.0
+    rows = df.filter(c(time).isNotNull()).withColumn("_s", step)
+    seen = rows.filter(c("_s") > 0).groupBy(*keys, "_s").agg(F.count("*").alias("_m"))
+    mode = seen.groupBy(*keys).agg(F.max_by("_s", F.struct("_m", -c("_s"))).alias("mode_s"))
+    per = rows.groupBy(*keys).agg(F.percentile(F.when(c("_s") > 0, c("_s")), 0.5).alias("median_s"), F.count_if(c("_s") == 0).alias("repeated"), F.count_if(c(time) < 0).alias("negative"))
+    out = per.join(mode, list(keys), "left")
+    return out.withColumn("matches", F.abs(c("median_s") - declared_s) <= max(1.0, declared_s * 0.25))

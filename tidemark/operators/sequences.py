@@ -43,3 +43,27 @@ def signed_clipped(values: Column, sign: Column, limit: float) -> Column:
 def wide(df: DataFrame, column: str, names: Sequence[str]) -> DataFrame:
     """x_lag_000, ... columns from an array."""
     return df.withColumns({n: F.element_at(column, k + 1) for k, n in enumerate(names)})
+
+
+def isotonic(x: Column) -> Column:
+    """The nearest rising sequence in least squares: max over starts of the min over ends of the mean between."""
+    n = F.size(x)
+
+    def mean(a: Column, b: Column) -> Column:
+        return F.aggregate(F.slice(x, a, b - a + 1), F.lit(0.0), lambda s, v: s + v) / (b - a + 1)
+
+    at = lambda i: F.array_max(F.transform(F.sequence(F.lit(1), i), lambda a: F.array_min(F.transform(F.sequence(i, n), lambda b: mean(a, b)))))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), at)).otherwise(F.when(n == 0, x))
+
+
+def band(x: Column, n: int, low: int, high: int) -> tuple[Column, Column]:
+    """Energy of the frequencies low to high (below n / 2) of a sequence of n values, and its part made of them alone."""
+    import math
+
+    def turn(k: int, f) -> Column:
+        return F.aggregate(F.transform(x, lambda v, i: v * f(i * F.lit(2 * math.pi * k / n))), F.lit(0.0), lambda s, v: s + v)
+
+    parts = [(k, turn(k, F.cos), turn(k, F.sin)) for k in range(low, high + 1)]
+    energy = sum((a * a + b * b for _, a, b in parts), F.lit(0.0))
+    wave = lambda t: sum((a * F.cos(t * F.lit(2 * math.pi * k / n)) + b * F.sin(t * F.lit(2 * math.pi * k / n)) for k, a, b in parts), F.lit(0.0)) * (2.0 / n)
+    return energy, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), wave)
