@@ -183,3 +183,20 @@ def test_folds_over_many_batches(spark):
             free[k] = t + 17
     assert kept == sorted(taken)
     assert ends == sorted((str(k), sum(r[0] == k for r in rows)) for k in ("a", "b", None))
+
+
+def test_nearest_candidates_in_cells(spark):
+    from tidemark.operators.diagnostics import nearest_candidate
+
+    rng = np.random.default_rng(5)
+    x = np.r_[rng.normal(0, 1, (150, 2)), np.repeat(rng.normal(0, 3, (5, 2)), 4, axis=0), [[40.0, -30.0]]]
+    rows = [(int(i), float(a), float(b)) for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "who long, a double, b double")
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    for size in (1000, 12):
+        got = {r.who: (r.nearest, r.distance) for r in nearest_candidate(df, "who", ["a", "b"], cell_rows=size).collect()}
+        for i in range(len(x)):
+            d = np.sqrt(((z - z[i]) ** 2).sum(axis=1))
+            d[i] = np.inf
+            assert got[i][0] == int(np.flatnonzero(d <= d.min() + 1e-12)[0]) and abs(got[i][1] - d.min() / 2**0.5) < 1e-9
+    assert nearest_candidate(df.limit(1), "who", ["a", "b"]).count() == 0

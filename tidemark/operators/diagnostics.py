@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,8 +88,6 @@ def ensemble(preds: dict[str, float]) -> Column:
 
 def ridge(df: DataFrame, features: Sequence[str], target: str, penalty: float = 1.0) -> tuple[list[float], float]:
     """Weights and intercept from the normal equations; sums are one aggregate, the solve is columns-sized."""
-    import numpy as np
-
     names = list(features)
     ok = df.select(*[c(f).cast("double").alias(f) for f in names], c(target).cast("double").alias("_y")).dropna()
     cols = [F.count("*").alias("n"), F.sum("_y").alias("y")] + [F.sum(f).alias(f"s_{i}") for i, f in enumerate(names)] + [F.sum(c(f) * c("_y")).alias(f"t_{i}") for i, f in enumerate(names)]
@@ -150,16 +150,48 @@ def run_lengths(df: DataFrame, keys: Sequence[str], order: Sequence[str], state:
     return per.groupBy("state").agg(F.count("*").alias("runs"), F.avg("n").alias("mean_length"), F.max("n").alias("max_length"))
 
 
-def nearest_candidate(df: DataFrame, name: str, traits: Sequence[str], limit: int = 5_000) -> DataFrame:
+def _nearest(left: pd.DataFrame, right: pd.DataFrame, rows: int = 512) -> pd.DataFrame:
+    """Per row of left (name, z) the nearest row of right (other, o) that is not itself; ties to the smaller name."""
+    right = right.sort_values("other", ignore_index=True)
+    o, out = np.stack(right["o"].to_numpy()), []
+    for at in range(0, len(left), rows):
+        part = left.iloc[at : at + rows]
+        z = np.stack(part["z"].to_numpy())
+        d = np.sqrt(sum((z[:, None, i] - o[None, :, i]) ** 2 for i in range(z.shape[1])))
+        d[part["name"].to_numpy()[:, None] == right["other"].to_numpy()[None, :]] = np.inf
+        best = d.argmin(axis=1)
+        out.append(pd.DataFrame({"name": part["name"].to_numpy(), "other": right["other"].to_numpy()[best], "d": d[np.arange(len(part)), best]}))
+    found = pd.concat(out) if out else pd.DataFrame({"name": [], "other": [], "d": []})
+    return found[np.isfinite(found["d"].to_numpy(dtype=float))]
+
+
+def nearest_candidate(df: DataFrame, name: str, traits: Sequence[str], cell_rows: int = 1_000) -> DataFrame:
     """For each candidate the other one nearest in z-scored traits, distance / sqrt(k).
 
-    Candidates are an archive of runs, not data rows; above `limit` of them the call is refused.
+    Candidates are dealt to cells between quantiles of the traits. The nearest one in its own cell bounds
+    a candidate's distance; it then visits only cells that a box of that half-width touches.
     """
-    if df.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} candidates")
+    k = len(traits)
     one = df.agg(*[F.avg(t).alias(f"_{t}_m") for t in traits], *[F.stddev_pop(t).alias(f"_{t}_s") for t in traits])
-    z = df.crossJoin(F.broadcast(one)).select(name, F.array(*[safe_div(c(t) - c(f"_{t}_m"), c(f"_{t}_s"), 0) for t in traits]).alias("z"))
-    other = z.select(c(name).alias("other"), c("z").alias("o"))
-    d = F.sqrt(F.aggregate(F.zip_with("z", "o", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)) / (len(traits) ** 0.5)
-    pairs = z.join(F.broadcast(other), c(name) != c("other")).withColumn("distance", d)
-    return pairs.groupBy(name).agg(F.min_by("other", F.struct("distance", "other")).alias("nearest"), F.min("distance").alias("distance"))
+    z = df.crossJoin(F.broadcast(one)).select(c(name).alias("name"), F.array(*[safe_div(c(t) - c(f"_{t}_m"), c(f"_{t}_s"), 0) for t in traits]).alias("z"))
+    bins = max(1, round((df.count() / cell_rows) ** (1 / k)))
+    cuts = [i / bins for i in range(1, bins)]
+    # Driver values: (bins - 1) edges a trait.
+    edges = list(z.agg(*[F.percentile_approx(c("z")[i], cuts).alias(f"e{i}") for i in range(k)]).first()) if cuts else [[]] * k
+
+    def bin_of(i: int, x: Column) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, edges[i] or [])).cast("array<double>"), lambda e: e < x)).cast("long")
+
+    z = z.withColumn("cell", sum((bin_of(i, c("z")[i]) * bins**i for i in range(k)), F.lit(0).cast("long")))
+    kind = df.schema[name].dataType.simpleString()
+    shape = f"name {kind}, other {kind}, d double"
+    home = z.groupBy("cell").applyInPandas(lambda pdf: _nearest(pdf, pdf.rename(columns={"name": "other", "z": "o"})), shape)
+    bound = z.join(home.select(c("name").alias("_n"), c("d").alias("near")), c("name") == c("_n"), "left").drop("_n")
+    width = F.coalesce(c("near") * (1 + 1e-9), F.lit(float("inf")))
+    for i in range(k):
+        bound = bound.withColumn(f"b{i}", F.explode(F.sequence(bin_of(i, c("z")[i] - width), bin_of(i, c("z")[i] + width))))
+    asked = bound.withColumn("to", sum((c(f"b{i}") * bins**i for i in range(k)), F.lit(0).cast("long"))).filter(c("to") != c("cell")).select("name", "z", "to")
+    there = z.select(c("name").alias("other"), c("z").alias("o"), "cell")
+    away = asked.groupBy("to").cogroup(there.groupBy("cell")).applyInPandas(lambda a, b: _nearest(a, b) if len(a) and len(b) else pd.DataFrame({"name": [], "other": [], "d": []}), shape)
+    best = home.unionByName(away).groupBy("name").agg(F.min_by("other", F.struct("d", "other")).alias("nearest"), (F.min("d") / k**0.5).alias("distance"))
+    return best.withColumnRenamed("name", name)
