@@ -11,6 +11,7 @@ from tests.llm.test_decontamination import brute as leaks
 from tests.llm.test_near_duplicates import brute as classes
 from tidemark.llm.mixing import mix, source_targets
 from tidemark.llm.quality import quality_report
+from tidemark.llm.scratch import mark
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,7 +52,9 @@ def test_stages_against_brute_force(spark):
         expect.append((at, i, len(x), zlib.crc32(x.tobytes())))
         at += len(x)
     assert out == expect
+    before = mark()
     assert sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in C.run(spark, SF).collect()) == expect
+    assert mark() == before + 1  # intermediate tables are gone
 
 
 def test_empty_table(spark):
@@ -60,3 +63,11 @@ def test_empty_table(spark):
         out = stage(spark, docs, SF)
         assert out.count() == 0
     assert mix(docs).count() == 0
+
+
+def test_repeated_rows(spark):
+    """Exact repetitions, also of null ids, pass the near-duplicate stage once."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    again = docs.unionByName(docs).unionByName(docs.withColumn("doc_id", F.lit(None).cast("long")))
+    texts = [r.text for r in C.STAGES[1][1](spark, again, SF).collect()]
+    assert Counter(texts) == Counter(r.text for r in C.STAGES[1][1](spark, docs, SF).collect())

@@ -35,17 +35,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def mark() -> int:
-    """How many tables materialise() has written; release(spark, since=mark) deletes the later ones."""
+    """How many tables of materialise() are there."""
     return len(_written)
 
 
-def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
-    """Delete the tables that materialise() wrote since a mark; call it when no pending result reads them."""
-    for name in _written[since:]:
-        if not name.endswith(keep):
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-            _written.remove(name)
+def release(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+    """Delete the tables written between two marks; call it when no pending result reads them."""
+    for name in _written[since:until]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _written.remove(name)
 
 
 def input_bytes(df: DataFrame, spark: SparkSession) -> int:
