@@ -13,7 +13,7 @@ from tidemark.llm.decontamination import decontaminate
 from tidemark.llm.mixing import apply_mix
 from tidemark.llm.near_duplicates import keep_one
 from tidemark.llm.quality import keep_good
-from tidemark.llm.scratch import materialise
+from tidemark.llm.scratch import mark, materialise, release
 from tidemark.llm.token_output import encode_documents, read_tokens
 
 
@@ -54,7 +54,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
     for n, (_, stage) in enumerate(STAGES):
         docs = materialise(stage(spark, docs, sf_dir), f"stage{n}")
+        release(spark, before, mark() - 1)  # the stage's own tables and its input
     return docs
