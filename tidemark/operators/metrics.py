@@ -349,3 +349,32 @@ def cadence_profile(df: DataFrame, keys: Sequence[str], time: str, declared_s: f
     per = rows.groupBy(*keys).agg(F.percentile(F.when(c("_s") > 0, c("_s")), 0.5).alias("median_s"), F.count_if(c("_s") == 0).alias("repeated"), F.count_if(c(time) < 0).alias("negative"))
     out = per.join(mode, list(keys), "left")
     return out.withColumn("matches", F.abs(c("median_s") - declared_s) <= max(1.0, declared_s * 0.25))
+
+
+def distinct_and_mode(df: DataFrame, keys: Sequence[str], distinct: dict[str, str], mode_of: str) -> DataFrame:
+    """Rows, distinct counts (name to column) and the most frequent value (ties: the largest) per key."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n"), *[F.countDistinct(x).alias(name) for name, x in distinct.items()])
+    mode = df.groupBy(*keys, mode_of).agg(F.count("*").alias("_m")).groupBy(*keys).agg(F.max_by(mode_of, F.struct("_m", mode_of)).alias(f"mode_{mode_of}"))
+    return counts.join(mode, list(keys))
+
+
+def group_transform(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
+    """Every row with its group's aggregates (A33): aggregate and join, so distinct counts need no window."""
+    return df.join(df.groupBy(*keys).agg(*aggs), list(keys))
+
+
+def joined_values(df: DataFrame, keys: Sequence[str], value: str, name: str, separator: str = ";") -> DataFrame:
+    """Sorted distinct values of a group as one string."""
+    return df.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_set(value)), separator).alias(name))
+
+
+def adjusted_skewness(x: str) -> Column:
+    """Skewness with the small-sample factor sqrt(n (n - 1)) / (n - 2) (A39); an aggregate."""
+    n = F.count(x).cast("double")
+    return F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2)
+
+
+def direction_baselines(df: DataFrame, keys: Sequence[str], pred: str, actual: str) -> DataFrame:
+    """Win rates of always long, always short, the better of both, and of following the prediction's sign."""
+    up, down = F.avg((c(actual) > 0).cast("double")), F.avg((c(actual) < 0).cast("double"))
+    return df.groupBy(*keys).agg(up.alias("always_long"), down.alias("always_short"), F.greatest(up, down).alias("majority"), F.avg((F.signum(actual) == F.signum(pred)).cast("double")).alias("momentum"))

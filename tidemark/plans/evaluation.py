@@ -68,7 +68,7 @@ def net(p):
 pq("A9_grouped_report", f", {NET} SELECT event_type, day, count(net) AS n, sum(net) AS total, avg(net) AS mean, quantile_cont(net, 0.5) AS median, max(net) AS best, min(net) AS worst, avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) AS positive_share FROM nt GROUP BY ALL", lambda p: M.grouped_report(net(p), ["event_type", "day"], "net"), l="day n", d="total mean median best worst positive_share", s="event_type", digits=9)
 pq("A10_macro_average", f", {NET}, g AS (SELECT user_id, sum(net) AS s, count(net) AS n FROM nt GROUP BY ALL) SELECT sum(s) / sum(n) AS row_weighted, avg(s / n) AS equal_group, count(*) AS groups_n FROM g", lambda p: M.macro_average(net(p), "user_id", "net").withColumnRenamed("groups", "groups_n"), l="groups_n", d="row_weighted equal_group")
 pq("A11_best_and_worst_rows", f", {NET} SELECT user_id, arg_max(event_id, (net, event_id)) AS best_id, arg_min(event_id, (net, event_id)) AS worst_id FROM nt GROUP BY ALL", lambda p: M.best_row(net(p), ["user_id"], [c("net"), c("event_id")]).select("user_id", c("event_id").alias("best_id")).join(M.best_row(net(p), ["user_id"], [c("net"), c("event_id")], worst=True).select("user_id", c("event_id").alias("worst_id")), "user_id"), l="user_id best_id worst_id")
-ev("A12_distinct_mode_counts", ", g AS (SELECT user_id, k, count(*) AS n FROM ev GROUP BY ALL), m AS (SELECT user_id, arg_max(k, (n, k)) AS mode_k FROM g GROUP BY ALL) SELECT user_id, count(DISTINCT event_type) AS kinds, count(DISTINCT k) AS ks, count(*) AS n, any_value(mode_k) AS mode_k FROM ev JOIN m USING (user_id) GROUP BY user_id", lambda e: e.groupBy("user_id").agg(F.countDistinct("event_type").alias("kinds"), F.countDistinct("k").alias("ks"), F.count("*").alias("n")).join(e.groupBy("user_id", "k").agg(F.count("*").alias("m")).groupBy("user_id").agg(F.max_by("k", F.struct("m", "k")).alias("mode_k")), "user_id"), l="user_id kinds ks n mode_k")
+ev("A12_distinct_mode_counts", ", g AS (SELECT user_id, k, count(*) AS n FROM ev GROUP BY ALL), m AS (SELECT user_id, arg_max(k, (n, k)) AS mode_k FROM g GROUP BY ALL) SELECT user_id, count(DISTINCT event_type) AS kinds, count(DISTINCT k) AS ks, count(*) AS n, any_value(mode_k) AS mode_k FROM ev JOIN m USING (user_id) GROUP BY user_id", lambda e: M.distinct_and_mode(e, ["user_id"], {"kinds": "event_type", "ks": "k"}, "k"), l="user_id kinds ks n mode_k")
 BLOCKS = "g AS (SELECT event_type, {block} AS b, sum(net) AS x FROM nt GROUP BY ALL), h AS (SELECT event_type, count(*) AS blocks, avg(CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END) AS positive_fraction, max(x) AS best, min(x) AS worst, quantile_cont(x, 0.5) AS median, CASE WHEN sum(greatest(x, 0)) = 0 THEN 0 ELSE max(greatest(x, 0)) / sum(greatest(x, 0)) END AS max_positive_share FROM g GROUP BY ALL) SELECT *, CASE WHEN positive_fraction >= 0.5 AND median > 0 AND max_positive_share <= 0.5 THEN 1 ELSE 0 END AS passed FROM h"
 pq("A14_day_blocks", f", {NET}, " + BLOCKS.format(block="day"), lambda p: M.window_blocks(net(p), ["event_type"], c("day"), "net"), l="blocks passed", d="positive_fraction best worst median max_positive_share", s="event_type")
 pq("A13_weighted_blocks", f", {NET}, " + BLOCKS.format(block=f"(t - 1704067200000) // {3 * DAY}"), lambda p: M.window_blocks(net(p), ["event_type"], F.floor((c("t") - 1704067200000) / (3 * DAY)), "net"), l="blocks passed", d="positive_fraction best worst median max_positive_share", s="event_type")
@@ -138,8 +138,8 @@ def _(spark, d):
 
 
 pq("A32_leaderboard", f", {NET}, g AS (SELECT user_id, count(*) AS n, avg(net) AS mean, min(net) AS worst FROM nt GROUP BY ALL) SELECT *, row_number() OVER (ORDER BY n >= 50 DESC, mean DESC, worst DESC, user_id) AS place FROM g", lambda p: net(p).groupBy("user_id").agg(F.count("*").alias("n"), F.avg("net").alias("mean"), F.min("net").alias("worst")).withColumn("place", F.row_number().over(place_order())), l="user_id n place", d="mean worst")
-ev("A33_group_transform", "SELECT event_id, count(*) OVER (PARTITION BY user_id) AS n, d.kinds FROM ev JOIN (SELECT user_id, count(DISTINCT k) AS kinds FROM ev GROUP BY user_id) d USING (user_id)", lambda e: e.join(e.groupBy("user_id").agg(F.count("*").alias("n"), F.countDistinct("k").alias("kinds")), "user_id"), l="event_id n kinds")
-ev("A35_lineage_strings", "SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type)), ';') AS lineage FROM ev GROUP BY user_id", lambda e: e.groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("event_type")), ";").alias("lineage")), l="user_id", s="lineage")
+ev("A33_group_transform", "SELECT event_id, count(*) OVER (PARTITION BY user_id) AS n, d.kinds FROM ev JOIN (SELECT user_id, count(DISTINCT k) AS kinds FROM ev GROUP BY user_id) d USING (user_id)", lambda e: M.group_transform(e, ["user_id"], [F.count("*").alias("n"), F.countDistinct("k").alias("kinds")]), l="event_id n kinds")
+ev("A35_lineage_strings", "SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type)), ';') AS lineage FROM ev GROUP BY user_id", lambda e: M.joined_values(e, ["user_id"], "event_type", "lineage"), l="user_id", s="lineage")
 FIT = f", {NET}, b AS (SELECT user_id, day, sum(net) AS x FROM nt GROUP BY ALL), g AS (SELECT user_id, quantile_cont(x, 0.5) AS med, min(x) AS worst, count(*) AS n FROM b GROUP BY ALL), f AS (SELECT *, med + 0.75 * worst - 0.1 * abs(n - 20) AS fitness FROM g)"
 
 
@@ -151,8 +151,8 @@ def fitness(p):
 
 pq("A36_fitness_survivors", FIT + ", o AS (SELECT *, row_number() OVER (ORDER BY fitness DESC, user_id) AS rk, count(*) OVER () AS m FROM f WHERE n >= 15) SELECT * FROM o WHERE rk <= greatest(5, ceil(m * 0.2))", lambda p: M.survivors(fitness(p), c("n") >= 15, "fitness", "user_id", 0.2, 5).withColumnRenamed("rank", "rk"), l="user_id n rk", d="fitness")
 pq("A38_loss_attribution", f", {NET} SELECT CASE WHEN net >= 0 THEN 'win' WHEN actual > 20 THEN 'spike' WHEN net > -6 THEN 'cost' ELSE 'wrong_side' END AS reason, count(*) AS n, sum(net) AS total FROM nt GROUP BY ALL", lambda p: net(p).groupBy(F.when(c("net") >= 0, "win").when(c("actual") > 20, "spike").when(c("net") > -6, "cost").otherwise("wrong_side").alias("reason")).agg(F.count("*").alias("n"), F.sum("net").alias("total")), l="n", d="total", s="reason")
-pq("A39_adjusted_skewness", "SELECT event_type, skewness(pred) AS skew FROM pr GROUP BY ALL", lambda p: p.groupBy("event_type").agg((F.skewness("pred") * F.sqrt(F.count("pred") * (F.count("pred") - 1.0)) / (F.count("pred") - 2.0)).alias("skew")), d="skew", s="event_type")
-pq("A40_direction_baselines", "SELECT event_type, avg(CASE WHEN actual > 0 THEN 1.0 ELSE 0.0 END) AS always_long, avg(CASE WHEN actual < 0 THEN 1.0 ELSE 0.0 END) AS always_short, greatest(avg(CASE WHEN actual > 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN actual < 0 THEN 1.0 ELSE 0.0 END)) AS majority, avg(CASE WHEN sign(actual) = sign(pred) THEN 1.0 ELSE 0.0 END) AS momentum FROM pr GROUP BY ALL", lambda p: p.groupBy("event_type").agg(F.avg((c("actual") > 0).cast("double")).alias("always_long"), F.avg((c("actual") < 0).cast("double")).alias("always_short"), F.greatest(F.avg((c("actual") > 0).cast("double")), F.avg((c("actual") < 0).cast("double"))).alias("majority"), F.avg((F.signum("actual") == F.signum("pred")).cast("double")).alias("momentum")), d="always_long always_short majority momentum", s="event_type")
+pq("A39_adjusted_skewness", "SELECT event_type, skewness(pred) AS skew FROM pr GROUP BY ALL", lambda p: p.groupBy("event_type").agg(M.adjusted_skewness("pred").alias("skew")), d="skew", s="event_type")
+pq("A40_direction_baselines", "SELECT event_type, avg(CASE WHEN actual > 0 THEN 1.0 ELSE 0.0 END) AS always_long, avg(CASE WHEN actual < 0 THEN 1.0 ELSE 0.0 END) AS always_short, greatest(avg(CASE WHEN actual > 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN actual < 0 THEN 1.0 ELSE 0.0 END)) AS majority, avg(CASE WHEN sign(actual) = sign(pred) THEN 1.0 ELSE 0.0 END) AS momentum FROM pr GROUP BY ALL", lambda p: M.direction_baselines(p, ["event_type"], "pred", "actual"), d="always_long always_short majority momentum", s="event_type")
 ev("A41_fixed_buckets", ", m AS (SELECT CASE WHEN k % 7 <> 0 THEN value END AS x FROM ev) SELECT CASE WHEN x IS NULL THEN 'missing' WHEN x < 10 THEN '<10' WHEN x < 50 THEN '[10,50)' WHEN x < 100 THEN '[50,100)' ELSE '>=100' END AS bucket, count(*) AS n FROM m GROUP BY ALL", lambda e: e.groupBy(M.fixed_buckets(F.when(c("k") % 7 != 0, val()), [10.0, 50.0, 100.0]).alias("bucket")).agg(F.count("*").alias("n")), l="n", s="bucket")
 pq("A43_composite_score", FIT + " SELECT user_id, med + 0.5 * worst - CASE WHEN n < 18 THEN 10 ELSE 0 END AS score, array_to_string(list_filter([CASE WHEN n < 18 THEN 'few_days' END, CASE WHEN worst < -200 THEN 'deep_loss' END, CASE WHEN med < 0 THEN 'negative_median' END], lambda x: x IS NOT NULL), ';') AS reasons FROM f", lambda p: fitness(p).withColumns({"score": c("med") + 0.5 * c("worst") - F.when(c("n") < 18, 10).otherwise(0), "reasons": M.reasons({"few_days": c("n") < 18, "deep_loss": c("worst") < -200, "negative_median": c("med") < 0})}), l="user_id", d="score", s="reasons")
 ev("A45_series_eligibility", f", g AS (SELECT user_id, count(*) AS n, count(DISTINCT t // {DAY}) AS days, count(*) FILTER (event_type = 'purchase') AS p FROM ev GROUP BY ALL) SELECT user_id, array_to_string(list_filter([CASE WHEN n < 60 THEN 'rows' END, CASE WHEN days < 25 THEN 'days' END, CASE WHEN p < 10 THEN 'outcomes' END], lambda x: x IS NOT NULL), ';') AS reasons FROM g", lambda e: e.groupBy("user_id").agg(F.count("*").alias("n"), F.countDistinct(F.floor(c("t") / DAY)).alias("days"), F.count_if(c("event_type") == "purchase").alias("p")).withColumn("reasons", M.reasons({"rows": c("n") < 60, "days": c("days") < 25, "outcomes": c("p") < 10})), l="user_id", s="reasons")

@@ -10,10 +10,20 @@ from tidemark.sources import files as S
 c = F.col
 
 
-@query("SRC1_price_scan", f"WITH {EV} SELECT user_id, t AS ts, max(value) AS price, strftime(make_timestamp(t // 1000 * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS at_time FROM ev WHERE value > 0 GROUP BY user_id, t", l="user_id ts", d="price", s="at_time")
+SRC1 = f"""WITH {EV}, m AS (SELECT *, t // 60000 * 60000 AS minute FROM ev WHERE value > 0 AND k <> 13)
+SELECT user_id, minute AS ts, value AS price, CASE WHEN k % 4 = 1 THEN NULL ELSE k - 50.0 END AS trade_return_bps, CASE WHEN k < 60 THEN 'train' ELSE 'holdout' END AS split, CASE WHEN k % 2 = 0 THEN 'long' ELSE 'short' END AS predicted_side, strftime(make_timestamp(minute * 1000), '%Y-%m-%dT%H:%M:%SZ') AS at_time
+FROM m QUALIFY row_number() OVER (PARTITION BY user_id, minute ORDER BY event_id DESC) = 1"""
+
+
+@query("SRC1_price_scan", SRC1, l="user_id ts", d="price trade_return_bps", s="split predicted_side at_time")
 def _(spark, d):
-    raw = events(spark, d).select("user_id", c("t").cast("string").alias("Timestamp"), c("value").cast("string").alias("last_PRICE"))
-    return S.load_prices(raw, ["user_id"]).withColumnsRenamed({"timestamp": "ts", "time": "at_time"})
+    """A table of strings with odd names, unreadable prices and returns, and several rows a minute."""
+    e = events(spark, d).withColumn("minute", F.floor(c("t") / 60000) * 60000)
+    raw = e.select(
+        "user_id", "event_id", c("minute").cast("string").alias("Timestamp"), F.when(c("k") == 13, "n/a").otherwise(c("value").cast("string")).alias("last_PRICE"), F.when(c("k") % 2 == 0, "BUY").otherwise("sell").alias("Side"),
+        F.when(c("k") % 4 == 1, "?").otherwise((c("k") - 50.0).cast("string")).alias("trade_return_bps"), F.when(c("k") < 60, " Train").otherwise("HOLDOUT ").alias("given"),
+    )
+    return S.load_prices(raw, ["user_id"], seq="event_id", split="given").withColumnsRenamed({"timestamp": "ts", "time": "at_time"})
 
 
 @query("SRC6_trade_normalisation", f"WITH {EV} SELECT event_id AS trade_id, t AS timestamp_ms, value AS price, k AS size, value * k AS quote_size, CASE WHEN event_type IN ('purchase', 'signup') THEN 'buy' ELSE 'sell' END AS side FROM ev WHERE k > 0", l="trade_id timestamp_ms", d="price size quote_size", s="side")

@@ -67,15 +67,18 @@ def choose_files(paths: DataFrame, path: str = "path") -> DataFrame:
     return listed.join(best, (c("symbol") == c("_s")) & c("year_month").eqNullSafe(c("_m")) & (c("_kind") == c("_best"))).select(path, "source_file", "symbol", "year_month")
 
 
-def load_prices(df: DataFrame, keys: Sequence[str] = (), seq: str | None = None) -> DataFrame:
-    """timestamp, price, predicted_side, time of any table with such columns: cast, cleaned, last of each time (SRC1).
+def load_prices(df: DataFrame, keys: Sequence[str] = (), seq: str | None = None, split: str | None = None) -> DataFrame:
+    """timestamp, price, predicted_side, trade_return_bps, time and perhaps split of any table with such columns (SRC1).
 
-    seq orders rows of equal time; without it the largest price wins, so the result never depends on
-    the order of files.
+    Cast, cleaned, and the last row of each time: seq orders rows of equal time; without it the largest
+    price wins, so the result never depends on the order of files. A return column is optional, as is a
+    column `split` of labels given beforehand, which are trimmed and lowered.
     """
     t, p = resolve_column(df, TIME_NAMES), resolve_column(df, PRICE_NAMES)
     s = resolve_column(df, SIDE_NAMES, required=False)
-    out = df.select(*keys, any_to_ms(to_number(c(t))).alias("timestamp"), to_number(c(p)).alias("price"), (normal_side(c(s).cast("string")) if s else F.lit("long")).alias("predicted_side"), (c(seq) if seq else F.lit(0)).alias("_seq"))
+    given = to_number(c("trade_return_bps")) if "trade_return_bps" in df.columns else F.lit(None).cast("double")
+    extra = [F.lower(F.trim(c(split).cast("string"))).alias("split")] if split else []
+    out = df.select(*keys, any_to_ms(to_number(c(t))).alias("timestamp"), to_number(c(p)).alias("price"), (normal_side(c(s).cast("string")) if s else F.lit("long")).alias("predicted_side"), given.alias("trade_return_bps"), *extra, (c(seq) if seq else F.lit(0)).alias("_seq"))
     out = out.filter(c("timestamp").isNotNull() & (c("price") > 0))
     out = dedupe(out, [*keys, "timestamp"], ["_seq", "price", "predicted_side"]).drop("_seq")
     return out.withColumn("time", iso(c("timestamp")))
