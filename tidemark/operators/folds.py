@@ -31,16 +31,19 @@ def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, s
                 now, before = pdf[k], pdf[k].shift()
                 same &= ((now == before) | (now.isna() & before.isna())).to_numpy(dtype=bool)
             same[0] = True
-            for rows in np.split(np.arange(len(pdf)), np.flatnonzero(~same)):
-                part = pdf.iloc[rows[0] : rows[-1] + 1]
-                key = tuple(None if pd.isna(x) else x for x in part[keys].iloc[0])
+            edges = [0, *np.flatnonzero(~same).tolist(), len(pdf)]
+            names, done = [pdf[k].to_numpy() for k in keys], []
+            for a, b in zip(edges[:-1], edges[1:]):
+                key = tuple(None if pd.isna(x[a]) else x[a] for x in names)
                 if key != last:
                     if last is not None and finish:
-                        yield finish(last, state)
+                        done.append(finish(last, state))
                     last, state = key, None
-                out, state = step(part, state)
+                out, state = step(pdf.iloc[a:b], state)
                 if out is not None and len(out):
-                    yield out
+                    done.append(out)
+            if done:  # one frame a batch: many short keys do not make many small batches
+                yield pd.concat(done, ignore_index=True)
         if last is not None and finish:
             yield finish(last, state)
 
