@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.byte_bpe import decode_ids, encode_texts
 from tidemark.llm.decontamination import contamination_report
 from tidemark.llm.licenses import oracle as licenses_sql
 from tidemark.llm.licenses import scan_licenses
@@ -65,6 +66,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_mixing, op3_topk_search, op4_decontamination, op5_quality, op6_token_counts, op7_licenses, op8_ngram_jaccard, op9_lm_scoring, op10_pii)}
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = decode_ids(encode_texts(_table(spark, sf_dir, "documents"), ranks), ranks)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_mixing, op3_topk_search, op4_decontamination, op5_quality, op6_token_counts, op7_licenses, op8_ngram_jaccard, op9_lm_scoring, op10_pii, op11_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {"op7_licenses": licenses_sql()}
