@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.byte_bpe import decode_ids, encode_texts
 from tidemark.llm.decontamination import contamination_report
+from tidemark.llm.divergence import oracle as divergence_sql
+from tidemark.llm.divergence import source_divergence
 from tidemark.llm.licenses import oracle as licenses_sql
 from tidemark.llm.licenses import scan_licenses
 from tidemark.llm.lm_scoring import score_documents
@@ -72,6 +74,10 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_mixing, op3_topk_search, op4_decontamination, op5_quality, op6_token_counts, op7_licenses, op8_ngram_jaccard, op9_lm_scoring, op10_pii, op11_byte_bpe)}
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"), min_docs=10, top=10)
 
-ORACLE_SQL: dict[str, str] = {"op7_licenses": licenses_sql()}
+
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_mixing, op3_topk_search, op4_decontamination, op5_quality, op6_token_counts, op7_licenses, op8_ngram_jaccard, op9_lm_scoring, op10_pii, op11_byte_bpe, op13_source_divergence)}
+
+ORACLE_SQL: dict[str, str] = {"op7_licenses": licenses_sql(), "op13_source_divergence": divergence_sql()}
