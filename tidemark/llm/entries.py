@@ -16,6 +16,8 @@ from tidemark.llm.lm_scoring import score_documents
 from tidemark.llm.mixing import mix
 from tidemark.llm.near_duplicates import near_duplicate_report
 from tidemark.llm.pii import find_pii
+from tidemark.llm.prefix_trie import numbered_turns, prefix_trie, with_shared_heads
+from tidemark.llm.prefix_trie import oracle as prefix_trie_sql
 from tidemark.llm.quality import quality_report
 from tidemark.llm.token_counts import count_tokens
 from tidemark.llm.token_output import encode_documents, read_tokens
@@ -74,10 +76,15 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = numbered_turns(_table(spark, sf_dir, "conversations"))
+    return prefix_trie(with_shared_heads(turns, family=5, lengths=9))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(_table(spark, sf_dir, "documents"), min_docs=10, top=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_mixing, op3_topk_search, op4_decontamination, op5_quality, op6_token_counts, op7_licenses, op8_ngram_jaccard, op9_lm_scoring, op10_pii, op11_byte_bpe, op13_source_divergence)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_mixing, op3_topk_search, op4_decontamination, op5_quality, op6_token_counts, op7_licenses, op8_ngram_jaccard, op9_lm_scoring, op10_pii, op11_byte_bpe, op12_prefix_trie, op13_source_divergence)}
 
-ORACLE_SQL: dict[str, str] = {"op7_licenses": licenses_sql(), "op13_source_divergence": divergence_sql()}
+ORACLE_SQL: dict[str, str] = {"op7_licenses": licenses_sql(), "op12_prefix_trie": prefix_trie_sql(), "op13_source_divergence": divergence_sql()}
