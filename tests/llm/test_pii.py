@@ -1,9 +1,12 @@
 import hashlib
+import random
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.pii import _after, _before, base_spans, candidates, find_pii
+from tidemark.llm.pii import _Words, base_spans, candidates, find_pii
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -90,7 +93,9 @@ def test_candidates_are_whole_tokens():
     assert found("mail a.b@c.de 10.0.0.1") == [] and found("") == []
     assert found("1" * 9000 + "x " + "@" * 3000) == ["1" * 9000 + "x"]
     assert found("1 2 3 4 5 6 7x " * 5000) == [] and found("12 34 56 78 " * 3) == ["12 34 56 78 12 34 56 78 12 34 56 78"]
-    assert _before("one two " + long, 8 + 5000, 2) == ["two", long] and _after(long + " z", 0) == long
+    words = _Words("one two " + long + " z")
+    assert words.around(8 + 20) == (8, 8 + len(long)) and words.before(8 + 5000, 2) == ["two", words.before(8 + 5000, 1)[0]]
+    assert _Words(long + " z").after(0) == _Words(long).after(0) != _Words(long[1:]).after(0)
 
 
 def test_bootstrap_against_a_plain_graph(spark):
@@ -146,3 +151,54 @@ def test_very_long_texts_and_repeated_contexts(spark):
     rows = [(i, f"call line +1 202 555 01{i:02d} now") for i in range(9)] * 3 + [(99, "call line 5550199x now " * 4000)]
     got = {r.doc_id: r for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[99].n_added == 4000 and got[99].n_phone == 0 and got[0].n_added == 0
+
+
+def _plain_contexts(text, spans):
+    """Words beside each span by splitting the whole text again for each of them."""
+    from tidemark.llm.pii import _plain
+
+    out = []
+    for a, b in spans:
+        words = [w for w in map(_plain, text[:a].split()[-4:]) if w]
+        right = (text[b:].split(None, 1) or [""])[0] if words else ""
+        right = _plain(right)
+        out.append([" ".join(words[-n:]) for n in (1, 2) if len(words) >= n] + ([f"{words[-1]} _ {right}"] if right else []))
+    return out
+
+
+def test_contexts_are_those_of_a_split():
+    rng = random.Random(2)
+    for _ in range(400):
+        text = "".join(rng.choice(["ab", "É", "9", " ", "  ", "\n", "-", ".", "@", " ", "\x1c", "_"]) for _ in range(rng.randrange(60)))
+        spans = sorted(tuple(sorted((rng.randrange(len(text) + 1), rng.randrange(len(text) + 1)))) for _ in range(6))
+        assert _Words(text).contexts(spans) == _plain_contexts(text, spans)
+
+
+def test_long_words_are_told_apart_by_their_digest():
+    word = "x1" * 400
+    text = f"{word} one {word}y two {word} three {word[:-1]}2 four -{word.upper()}- five"
+    spans = [(text.index(n), text.index(n) + len(n)) for n in ("one", "two", "three", "four", "five")]
+    last = [c[0] for c in _Words(text).contexts(spans)]
+    assert last[0] == last[2] == last[4] and len({last[0], last[1], last[3]}) == 3
+
+
+@pytest.mark.parametrize("unit", ["1{n:05d}@a.bc,", "10.0.0.{k},x", "id{n:06d};", "+4912345{n:05d},"])
+def test_a_text_without_white_space_takes_linear_time(unit):
+    def work(n):
+        text = "".join(unit.format(n=i, k=i % 256) for i in range(n))
+        began = time.process_time()
+        base = base_spans(text)
+        words = _Words(text)
+        spans = sorted([(s, e) for s, _, e in base] + candidates(text, base, words))
+        got = words.contexts(spans)
+        return len(got), time.process_time() - began
+
+    work(1000)
+    (few, a), (many, b) = work(10_000), work(50_000)
+    assert many >= few and b < 20 * max(a, 0.05)
+
+
+def test_a_whole_unspaced_document(spark):
+    text = "".join(f"user{i}@mail.org;" for i in range(3000)) + "contact:" + "9" * 5000
+    got = find_pii(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_email for r in got} == {1: 3000, 2: 0}

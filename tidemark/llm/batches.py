@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +18,10 @@ def value_bytes(column: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def blocks(batches: Iterable[pa.RecordBatch], column: int, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterable[pa.RecordBatch], column: int | Callable[[pa.RecordBatch], pa.Array], limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most `limit` bytes in a column, or one row where that alone is larger."""
     for batch in batches:
-        ends = np.cumsum(value_bytes(batch.column(column)))
+        ends = np.cumsum(value_bytes(column(batch) if callable(column) else batch.column(column)))
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0

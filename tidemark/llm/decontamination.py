@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.batches import blocks as byte_blocks
 from tidemark.llm.scratch import materialise
 
 BLOCK_BYTES = 16 << 20
@@ -130,16 +131,12 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: s
         index = spark.sparkContext.broadcast(WindowIndex([(r.item, r.text) for r in part.collect()], size))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = batch.column(0).field(text_col).cast(pa.string()).to_pylist() if batch.num_rows else []
-                step = 256
-                for at in range(0, batch.num_rows, step):
-                    n, spans, names = index.value.scan(texts[at : at + step])
-                    old = batch.slice(at, step)
-                    spans = [_merged([(x["s"], x["e"]) for x in o], s) for o, s in zip(old.column(2).to_pylist(), spans)]
-                    names = [sorted(set(o) | s) for o, s in zip(old.column(3).to_pylist(), names)]
-                    pairs = pa.array([[{"s": a, "e": e} for a, e in s] for s in spans], pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))
-                    yield pa.RecordBatch.from_arrays([old.column(0), pa.array(n), pairs, pa.array(names, pa.list_(pa.string()))], names=["row", "n_words", "spans", "items"])
+            for old in byte_blocks(batches, lambda b: b.column(0).field(text_col).cast(pa.string())):
+                n, spans, names = index.value.scan(old.column(0).field(text_col).cast(pa.string()).to_pylist())
+                spans = [_merged([(x["s"], x["e"]) for x in o], s) for o, s in zip(old.column(2).to_pylist(), spans)]
+                names = [sorted(set(o) | s) for o, s in zip(old.column(3).to_pylist(), names)]
+                pairs = pa.array([[{"s": a, "e": e} for a, e in s] for s in spans], pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))
+                yield pa.RecordBatch.from_arrays([old.column(0), pa.array(n), pairs, pa.array(names, pa.list_(pa.string()))], names=["row", "n_words", "spans", "items"])
 
         out = out.mapInArrow(run, out.schema)
         if b + 1 < blocks:

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from fractions import Fraction
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ from tidemark.llm.scratch import materialise
 CHUNK = 4096
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
-_BROADCAST_SOURCES = 50_000
+_BROADCAST_BYTES = 8 << 20
 
 
 def source_targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIGHTS, cap: int = 3) -> dict[str | None, float]:
@@ -103,6 +104,11 @@ def _round(rows: DataFrame, n: int) -> DataFrame:
     return rows.groupBy("source", "chunk").applyInPandas(run, rows.schema)
 
 
+def _hinted(table: DataFrame, facts: list[tuple]) -> DataFrame:
+    """A table of one row a source, broadcast where its bytes are few; a larger one is joined as Spark sees fit."""
+    return F.broadcast(table) if sum(64 + len((f[0] or "").encode()) for f in facts) <= _BROADCAST_BYTES else table
+
+
 def _key() -> Column:
     """Tells texts and sources apart; their null flags keep (text, null) from (null, text)."""
     return F.xxhash64(F.col("text").isNull(), F.col("text"), F.col("source").isNull(), F.col("source"))
@@ -118,6 +124,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, chunk
 
     (doc_id, key, seq) tells rows apart: key hashes text and source, seq numbers exact repetitions.
     """
+    if chunk < 8:
+        raise ValueError("a chunk has 8 documents at least, or rounds would not shrink")
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), _key().alias("key"), size.alias("size"))
@@ -133,12 +141,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, chunk
         ratio = Fraction(targets[s]) / n if n else Fraction(0)
         facts.append((s, n, targets[s], int(ratio), float(ratio - int(ratio)), -(-m // chunk)))
     table = spark.createDataFrame(facts, "source_ string, source_size long, target double, base int, p double, chunks int")
-    if len(facts) <= _BROADCAST_SOURCES:
-        table = F.broadcast(table)
-    rows = rows.join(table, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
+    rows = rows.join(_hinted(table, facts), F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
     rows = rows.withColumn("order", F.xxhash64("doc_id", "key", "seq", F.lit(7)))
     settled: list[DataFrame] = []
-    for n in range(64):
+    for n in count():  # every round leaves two of a chunk at most, so it ends
         rows = rows.withColumn("chunk", F.pmod(F.xxhash64("order", F.lit(n)), F.col("chunks")))
         done = materialise(_round(rows, n), "flight")
         left = (F.col("p") > 0) & (F.col("p") < 1)
@@ -146,8 +152,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, chunk
         counts = {r.source: r.m for r in done.filter(left).groupBy("source").agg(F.count("*").alias("m")).collect()}
         if not counts:
             break
-        again = spark.createDataFrame([(s, -(-m // chunk)) for s, m in counts.items()], "source_ string, chunks int")
-        rows = done.filter(left).drop("chunks").join(F.broadcast(again) if len(counts) <= _BROADCAST_SOURCES else again, F.col("source").eqNullSafe(F.col("source_"))).drop("source_").select(*done.columns)
+        facts = [(s, -(-m // chunk)) for s, m in counts.items()]
+        again = spark.createDataFrame(facts, "source_ string, chunks int")
+        rows = done.filter(left).drop("chunks").join(_hinted(again, facts), F.col("source").eqNullSafe(F.col("source_"))).drop("source_").select(*done.columns)
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)

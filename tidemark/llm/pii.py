@@ -17,17 +17,20 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.batches import blocks
 from tidemark.llm.scratch import materialise
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_SCORE, ROUNDS = 3, 0.6, 0.6, 3
-_REACH = 64  # code points first looked at beside a place; doubled until the words sought are whole
+#: Letters and digits of a word that is kept as it stands; a longer one is known by its digest.
+SHORT = 64
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 # A match cannot start inside a run of digits that has failed as a whole, so each run is read once.
@@ -37,6 +40,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9]{3,}|@")
 _GROUPS = re.compile(r"(?<![\w.,/-])\(?[0-9]++(?:[)./-]{0,2}\x20?[(./-]?[0-9]++)++")
 _NOT_WORD = re.compile(r"[\W_]+")
+_TOKEN = re.compile(r"\S+")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -75,41 +79,73 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _before(text: str, at: int, n: int) -> list[str]:
-    """At least the n last white-space tokens that end before `at`, all whole."""
-    reach = _REACH
-    while len(words := text[max(0, at - reach) : at].split()) <= n and reach < at:
-        reach *= 2
-    return words[-n:]
-
-
-def _after(text: str, at: int) -> str:
-    reach = _REACH
-    while len(words := text[at : at + reach].split(None, 1)) < 2 and at + reach < len(text):
-        reach *= 2
-    return words[0] if words else ""
-
-
 def _plain(word: str) -> str:
     return _NOT_WORD.sub("", word).lower()
 
 
-def _context(text: str, start: int, end: int) -> list[str]:
-    """The last word, the last two words before start, and the words on either side."""
-    words = [w for w in map(_plain, _before(text, start, 4)) if w]
-    out = [" ".join(words[-n:]) for n in (1, 2) if len(words) >= n]
-    right = _plain(_after(text, end)) if words else ""
-    return out + ([f"{words[-1]} _ {right}"] if right else [])
+class _Words:
+    """White-space tokens of a text and the words beside a place; each token is read once, however many places it holds.
+
+    A word of more than SHORT letters and digits is named by its digest. Digests of what stands before the places
+    of one long token grow from left to right, those of what stands after them from right to left.
+    """
+
+    def __init__(self, text: str):
+        self.text = text
+        self.starts, self.ends = [], []
+        for m in _TOKEN.finditer(text):
+            self.starts.append(m.start())
+            self.ends.append(m.end())
+        self.grown: dict[tuple[int, bool], tuple[int, int, object]] = {}
+
+    def around(self, at: int) -> tuple[int, int]:
+        """The token that holds the character at `at`."""
+        i = bisect_right(self.starts, at) - 1
+        return self.starts[i], self.ends[i]
+
+    def _word(self, token: int, a: int, b: int, back: bool) -> str:
+        if b - a <= 4 * SHORT:
+            plain = _plain(self.text[a:b])
+            if len(plain) <= SHORT:
+                return plain
+        at, n, state = self.grown.get((token, back), (self.ends[token] if back else self.starts[token], 0, hashlib.sha256()))
+        piece = _NOT_WORD.sub("", self.text[a:at] if back else self.text[at:b]).casefold()
+        state.update((piece[::-1] if back else piece).encode("utf-8", "surrogatepass"))
+        n += len(piece)
+        self.grown[token, back] = (a if back else b, n, state)
+        return _plain(self.text[a:b]) if n <= SHORT else f"{n}:{state.hexdigest()}"
+
+    def before(self, at: int, n: int) -> list[str]:
+        """The last n tokens that begin before `at`, cut there; ask in ascending order."""
+        last = bisect_left(self.starts, at)
+        return [self._word(i, self.starts[i], min(self.ends[i], at), False) for i in range(max(0, last - n), last)]
+
+    def after(self, at: int) -> str:
+        """The first token that ends after `at`, from there on; ask in descending order."""
+        i = bisect_right(self.ends, at)
+        return self._word(i, max(at, self.starts[i]), self.ends[i], True) if i < len(self.starts) else ""
+
+    def contexts(self, spans: list[tuple[int, int]]) -> list[list[str]]:
+        """Of each span: the last word, the last two words before it, and the words on either side."""
+        left: dict[int, list[str]] = {a: [w for w in self.before(a, 4) if w] for a in sorted({a for a, _ in spans})}
+        right = {b: self.after(b) for b in sorted({b for a, b in spans if left[a]}, reverse=True)}
+        out = []
+        for a, b in spans:
+            words = left[a]
+            found = [" ".join(words[-n:]) for n in (1, 2) if len(words) >= n]
+            out.append(found + ([f"{words[-1]} _ {right[b]}"] if words and right[b] else []))
+        return out
 
 
 def _value(text: str) -> str:
     plain = _NOT_WORD.sub("", text).lower()
-    return plain if len(plain) <= 64 else hashlib.sha256(plain.encode("utf-8", "surrogatepass")).hexdigest()
+    return plain if len(plain) <= SHORT else hashlib.sha256(plain.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+def candidates(text: str, base: list[tuple[int, int, int]], words: _Words | None = None) -> list[tuple[int, int]]:
     """Groups of digits, and white-space tokens with three digits in a row or an @, outside base spans."""
     found, last = [m.span() for m in _GROUPS.finditer(text) if sum(c.isdigit() for c in m.group()) >= 7 and not text[m.end() : m.end() + 1].isalnum()], 0
+    words = words or _Words(text)
     groups = iter([*found, (len(text) + 1, len(text) + 1)])
     group = next(groups)
     for m in _TRIGGER.finditer(text):
@@ -117,11 +153,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             group = next(groups)
         if m.start() < last or group[0] < m.end():
             continue
-        a, b = m.start(), m.end()
-        if a and not text[a - 1].isspace():
-            a -= len(_before(text, a, 1)[0])
-        if b < len(text) and not text[b].isspace():
-            b += len(_after(text, b))
+        a, b = words.around(m.start())
         last = b
         found.append((a, b))
     out, k, taken = [], 0, sorted((s, e) for s, _, e in base)
@@ -146,14 +178,16 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks(batches, 1):
             found = []
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 base = base_spans(text)
                 joined = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in base)
-                seen = [(s, e, KINDS[k]) for s, k, e in base] + [(a, b, None) for a, b in candidates(text, base)]
-                occ = [{"start": a, "end": b, "kind": k, "value": _value(text[a:b]), "contexts": _context(text, a, b)} for a, b, k in seen]
+                words = _Words(text)
+                seen = [(s, e, KINDS[k]) for s, k, e in base] + [(a, b, None) for a, b in candidates(text, base, words)]
+                contexts = words.contexts([(a, b) for a, b, _ in seen])
+                occ = [{"start": a, "end": b, "kind": k, "value": _value(text[a:b]), "contexts": c} for (a, b, k), c in zip(seen, contexts)]
                 row = {f"n_{k}": sum(x[1] == i for x in base) for i, k in enumerate(KINDS)}
                 found.append(row | {"base_sha256": hashlib.sha256(joined.encode()).hexdigest(), "occ": occ})
             occ_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("value", pa.string()), ("contexts", pa.list_(pa.string()))]))

@@ -27,6 +27,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.batches import blocks
+
 BLOCK = 4096
 DICTIONARY_BYTES = 112 << 10
 LEVEL = 3
@@ -146,7 +148,7 @@ def with_score(docs: DataFrame, model: QualityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value.good, shared.value.bad, shared.value.weights)
-        for batch in batches:
+        for batch in blocks(batches, lambda b: b.column(0).field("text")):
             scores = scorer.score(batch.column(0).field("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["row", "score"])
 

@@ -1,17 +1,31 @@
 """Intermediate tables in the folder that the cluster shares (spark.checkpoint.dir).
 
 A written table cuts lineage and survives lost executors: its files are in shared storage, so a
-retried task reads them again instead of recomputing its parents.
+retried task reads them again instead of recomputing its parents. Results are lazy, so tables stay until
+release() is told that nothing reads them; the file system deletes the rest when the driver ends.
 """
 
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[str] = []
+_own = threading.local()
+
+
+def _written() -> list[str]:
+    """Tables of this thread: two pipelines in one driver know nothing of each other's."""
+    if not hasattr(_own, "tables"):
+        _own.tables = []
+    return _own.tables
+
+
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,21 +44,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    at, files = _path(spark, path)
+    files.deleteOnExit(at)
+    _written().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def mark() -> int:
-    """How many tables of materialise() are there."""
-    return len(_written)
+    """How many tables of materialise() this thread has."""
+    return len(_written())
 
 
 def release(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
     """Delete the tables written between two marks; call it when no pending result reads them."""
-    for name in _written[since:until]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        _written.remove(name)
+    for name in _written()[since:until]:
+        at, files = _path(spark, name)
+        files.delete(at, True)
+        files.cancelDeleteOnExit(at)
+        _written().remove(name)
 
 
 def input_bytes(df: DataFrame, spark: SparkSession) -> int:
