@@ -200,3 +200,17 @@ def test_nearest_candidates_in_cells(spark):
             d[i] = np.inf
             assert got[i][0] == int(np.flatnonzero(d <= d.min() + 1e-12)[0]) and abs(got[i][1] - d.min() / 2**0.5) < 1e-9
     assert nearest_candidate(df.limit(1), "who", ["a", "b"]).count() == 0
+
+
+def test_unusable_candidates_take_no_part(spark):
+    from tidemark.operators.diagnostics import nearest_candidate
+
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, 0.0, 0.0), (2, 1.0, 1.0), (3, None, 5.0), (4, 9.0, 9.0), (5, nan, 1.0), (6, 1.0, inf), (None, 0.0, 0.0)]
+    near = lambda rows, **o: {r.who: (r.nearest, round(r.distance, 9)) for r in nearest_candidate(spark.createDataFrame(rows, "who int, a double, b double"), "who", ["a", "b"], **o).collect()}
+    got = near(rows)
+    assert {k: v[0] for k, v in got.items()} == {1: 2, 2: 1, 4: 2} and got == near([r for r in rows if r[0] in (1, 2, 4)])
+    twins = [(i, 5.0, 5.0) for i in range(300)] + [(500 + i, 5.0 + i, 7.0) for i in range(1, 4)] + [(900, -0.0, 1.0), (901, 0.0, 1.0)]
+    got = near(twins, cell_rows=20)
+    assert got[0] == (1, 0.0) and all(got[i] == (0, 0.0) for i in range(1, 300)) and got[900] == (901, 0.0) and got[901] == (900, 0.0) and got[501][0] == 502 and len(got) == 305
+    assert near([(1, None, None)]) == {}

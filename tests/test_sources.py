@@ -63,3 +63,17 @@ def test_row_budget_and_file_choice(spark):
         assert len(got) == want and sorted((r.f, r.i) for r in got) == sorted((r.f, r.i) for r in df.orderBy("f", "i").collect())[:want]
     paths = spark.createDataFrame([("x/A-1m-2024-01.zip",), ("x/A-1m-2024-01.csv",), ("x/B-1m-2024-01.csv",), ("x/B-2024-01_flow.csv",), ("x/C-1m-2024-01.txt",)], "path string")
     assert sorted(r.source_file for r in S.choose_files(paths).collect()) == ["A-1m-2024-01.zip", "B-1m-2024-01.csv"]
+
+
+def test_appends_refuse_row_by_row(spark, tmp_path):
+    path, shape = f"{tmp_path}/t", "k string, n int, t long, v string"
+
+    def add(rows):
+        return K.append_rows(spark.createDataFrame(rows, shape).repartition(3), path, ["k"], "t", ["n"])
+
+    kept = lambda: sorted(r.v for r in spark.read.parquet(path).collect())
+    assert add([("x", 0, 1, "a"), ("x", 1, 2, "b"), ("x", 2, 2, "b2"), ("x", 3, 1, "late"), (None, 0, 5, "n"), (None, 1, 5, "n2"), ("x", 4, None, "void")]) == 4
+    assert kept() == ["a", "b", "n"]
+    assert add([("x", 0, 3, "c"), ("x", 1, 3, "d"), ("x", 2, 2, "e"), ("x", 3, 9, "f"), ("x", 4, 8, "g"), (None, 0, 5, "n"), (None, 1, 6, "m"), ("y", 0, None, "void"), ("y", 1, 0, "y")]) == 5
+    assert kept() == ["a", "b", "c", "f", "m", "n", "y"]
+    assert add([]) == 0 and len(kept()) == 7

@@ -1,3 +1,4 @@
+import pytest
 """Streams over files, run to the end of what is there, equal their batch form."""
 
 import glob
@@ -81,3 +82,34 @@ def test_matured_labels(spark, tmp_path):
     out = C.matured(as_stream(spark, d, f"{tmp_path}/d", 1), as_stream(spark, p, f"{tmp_path}/p", 1), "k", "1 HOUR", "1 minute")
     C.run_available(out, f"{tmp_path}/out", f"{tmp_path}/ck")
     assert [r.price for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [5.0]
+
+
+def test_null_identities_enter_the_ledger_once(spark, tmp_path):
+    e = spark.createDataFrame([(1, 1.0), (None, 1.0), (None, 1.0), (2, 3.0)], "ident long, score double")
+    for n in range(2):
+        C.predict_each(as_stream(spark, e, f"{tmp_path}/in{n}"), lambda b: b.select("ident", "score"), f"{tmp_path}/out", f"{tmp_path}/ck{n}", ["ident"])
+    assert sorted(str(r.ident) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["1", "2", "None"]
+
+
+def test_a_batch_that_dies_after_its_write_leaves_one_copy(spark, tmp_path):
+    e = spark.createDataFrame([(i, float(i)) for i in range(20)], "ident long, score double")
+    source, out, checkpoint = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/ck"
+    e.repartition(2).write.parquet(source)
+    stream = lambda: spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    real, calls = C.add_batch, []
+
+    def dies(rows, path, batch, identity):
+        real(rows, path, batch, identity)
+        calls.append(batch)
+        if len(calls) == 2:
+            raise RuntimeError("the driver dies here")
+
+    C.add_batch = dies
+    try:
+        with pytest.raises(Exception, match="dies here"):
+            C.predict_each(stream(), lambda b: b, out, checkpoint, ["ident"])
+        assert spark.read.parquet(out).count() == 20
+        C.predict_each(stream(), lambda b: b, out, checkpoint, ["ident"])
+    finally:
+        C.add_batch = real
+    assert calls[1] == calls[2] and sorted(r.ident for r in spark.read.parquet(out).collect()) == list(range(20))

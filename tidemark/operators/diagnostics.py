@@ -168,13 +168,28 @@ def _nearest(left: pd.DataFrame, right: pd.DataFrame, rows: int = 512) -> pd.Dat
 def nearest_candidate(df: DataFrame, name: str, traits: Sequence[str], cell_rows: int = 1_000) -> DataFrame:
     """For each candidate the other one nearest in z-scored traits, distance / sqrt(k).
 
-    Candidates are dealt to cells between quantiles of the traits. The nearest one in its own cell bounds
-    a candidate's distance; it then visits only cells that a box of that half-width touches.
+    Candidates without a name or with a trait that is NULL or not finite take no part: they get no row, are
+    nobody's nearest and do not enter the scales. Candidates of equal traits are twins at distance 0 and stand
+    as one in the search. Ties go to the smaller name. The others are dealt to cells between quantiles of the
+    traits: the nearest one in its own cell bounds a candidate's distance; it then visits only cells that a box
+    of that half-width touches.
     """
     k = len(traits)
-    one = df.agg(*[F.avg(t).alias(f"_{t}_m") for t in traits], *[F.stddev_pop(t).alias(f"_{t}_s") for t in traits])
-    z = df.crossJoin(F.broadcast(one)).select(c(name).alias("name"), F.array(*[safe_div(c(t) - c(f"_{t}_m"), c(f"_{t}_s"), 0) for t in traits]).alias("z"))
-    bins = max(1, round((df.count() / cell_rows) ** (1 / k)))
+    values = [c(t).cast("double") for t in traits]
+    usable = F.lit(True)
+    for v in (c(name), *values):
+        usable = usable & v.isNotNull()
+    for v in values:
+        usable = usable & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    df = df.filter(usable)
+    one = df.agg(*[F.avg(v).alias(f"_{t}_m") for t, v in zip(traits, values)], *[F.stddev_pop(v).alias(f"_{t}_s") for t, v in zip(traits, values)])
+    every = df.crossJoin(F.broadcast(one)).select(c(name).alias("name"), F.array(*[safe_div(v - c(f"_{t}_m"), c(f"_{t}_s"), 0) for t, v in zip(traits, values)]).alias("z"))
+    firsts = every.groupBy("z").agg(F.min("name").alias("first"))
+    marked = every.join(firsts, "z")
+    z = firsts.withColumnRenamed("first", "name")
+    seconds = marked.filter("name != first").groupBy("z").agg(F.min("name").alias("second"))
+    twins = marked.join(seconds, "z").select("name", F.when(c("name") == c("first"), c("second")).otherwise(c("first")).alias("other"), F.lit(0.0).alias("d"))
+    bins = max(1, round((z.count() / cell_rows) ** (1 / k)))
     cuts = [i / bins for i in range(1, bins)]
     # Driver values: (bins - 1) edges a trait.
     edges = list(z.agg(*[F.percentile_approx(c("z")[i], cuts).alias(f"e{i}") for i in range(k)]).first()) if cuts else [[]] * k
@@ -193,5 +208,5 @@ def nearest_candidate(df: DataFrame, name: str, traits: Sequence[str], cell_rows
     asked = bound.withColumn("to", sum((c(f"b{i}") * bins**i for i in range(k)), F.lit(0).cast("long"))).filter(c("to") != c("cell")).select("name", "z", "to")
     there = z.select(c("name").alias("other"), c("z").alias("o"), "cell")
     away = asked.groupBy("to").cogroup(there.groupBy("cell")).applyInPandas(lambda a, b: _nearest(a, b) if len(a) and len(b) else pd.DataFrame({"name": [], "other": [], "d": []}), shape)
-    best = home.unionByName(away).groupBy("name").agg(F.min_by("other", F.struct("d", "other")).alias("nearest"), (F.min("d") / k**0.5).alias("distance"))
+    best = home.unionByName(away).unionByName(twins).groupBy("name").agg(F.min_by("other", F.struct("d", "other")).alias("nearest"), (F.min("d") / k**0.5).alias("distance"))
     return best.withColumnRenamed("name", name)

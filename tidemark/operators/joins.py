@@ -30,7 +30,12 @@ def map_lookup(df: DataFrame, mapping: DataFrame, key: str, limit: int = 1_000_0
 
 
 def unseen(new: DataFrame, seen: DataFrame, on: Sequence[str]) -> DataFrame:
-    return new.join(seen.select(*on), list(on), "left_anti")
+    """Rows of new whose keys are not in seen; NULL keys are equal to each other."""
+    known = seen.select(*[c(k).alias(f"_seen_{k}") for k in on])
+    same = F.lit(True)
+    for k in on:
+        same = same & new[k].eqNullSafe(known[f"_seen_{k}"])
+    return new.join(known, same, "left_anti")
 
 
 def scored_by_all(df: DataFrame, key: str, model: str, models: int) -> DataFrame:

@@ -274,9 +274,12 @@ pq("D19_paper_backtest", ", m AS (SELECT *, CASE WHEN pred > 10 THEN 1 WHEN pred
 pq("D20_abstention_sweep", ", g(threshold) AS (VALUES (0.0), (10.0), (25.0)) SELECT threshold, count(*) AS n, avg(sign(pred) * actual) AS mean_net FROM pr, g WHERE abs(pred) > threshold GROUP BY ALL", lambda p: M.threshold_sweep(p, [], "pred", "actual", [0.0, 10.0, 25.0]), l="n", d="threshold mean_net")
 
 
-@query("D21_behaviour_archive", f"""WITH {EV}, g AS (SELECT user_id, avg(value) AS a, stddev_pop(value) AS b, count(*) AS n FROM ev GROUP BY ALL), s AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb, avg(n) AS mn, stddev_pop(n) AS sn FROM g),
+@query("D21_behaviour_archive", f"""WITH {EV}, o AS (SELECT user_id, avg(value) AS a, stddev_pop(value) AS b, count(*) AS n FROM ev GROUP BY ALL),
+g AS (SELECT * FROM o UNION ALL SELECT user_id + 1000000, a, b, n FROM o WHERE user_id % 10 = 3), s AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb, avg(n) AS mn, stddev_pop(n) AS sn FROM g),
 z AS (SELECT user_id, (a - ma) / sa AS x, (b - mb) / sb AS y, (n - mn) / sn AS w FROM g, s), p AS (SELECT l.user_id, r.user_id AS other, sqrt((l.x - r.x) ** 2 + (l.y - r.y) ** 2 + (l.w - r.w) ** 2) / sqrt(3.0) AS d FROM z l, z r WHERE l.user_id <> r.user_id)
 SELECT user_id, arg_min(other, (d, other)) AS nearest, min(d) AS distance FROM p GROUP BY user_id""", l="user_id nearest", d="distance")
 def _(spark, d):
+    """Users by their behaviour, some of them twice, and one unusable candidate for each, which must not matter."""
     g = events(spark, d).groupBy("user_id").agg(F.avg("value").alias("a"), F.stddev_pop("value").alias("b"), F.count("*").cast("double").alias("n"))
-    return G.nearest_candidate(g, "user_id", ["a", "b", "n"])
+    unusable = g.select((c("user_id") + 2000000).alias("user_id"), "a", F.when(c("user_id") % 2 == 0, float("nan")).alias("b"), "n")
+    return G.nearest_candidate(g.unionByName(g.filter("user_id % 10 = 3").withColumn("user_id", c("user_id") + 1000000)).unionByName(unusable), "user_id", ["a", "b", "n"])

@@ -86,13 +86,26 @@ def _(spark, d):
     return spark.read.schema("event_type string, n long, total long").json(path)
 
 
-@query("SNK3_appended_rows", f"WITH {EV}, l AS (SELECT user_id, max(t) AS last FROM ev WHERE t < {MIDDLE} GROUP BY user_id) SELECT event_id, user_id, t, NULL AS late FROM ev JOIN l USING (user_id) WHERE t < {MIDDLE} UNION ALL SELECT event_id, user_id, t, 2 * k FROM ev LEFT JOIN l USING (user_id) WHERE coalesce(t > last, TRUE) AND t >= {MIDDLE}", l="event_id user_id t late")
+SNK3 = f"""WITH {EV}, e AS (SELECT event_id, CASE WHEN k % 10 = 3 THEN NULL ELSE user_id % 20 END AS key, CASE WHEN k % 40 = 7 THEN NULL ELSE t // {HOUR} * {HOUR} END AS slot, k, t FROM ev),
+a AS (SELECT *, NULL AS late, max(slot) OVER w AS before FROM e WHERE t < {MIDDLE} WINDOW w AS (PARTITION BY key ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+x AS (SELECT * FROM a WHERE slot IS NOT NULL AND coalesce(slot > before, TRUE)), l AS (SELECT key, max(slot) AS last FROM x GROUP BY key),
+b AS (SELECT e.*, 2 * k AS late, greatest(max(slot) OVER w, last) AS before FROM e LEFT JOIN l ON e.key IS NOT DISTINCT FROM l.key WINDOW w AS (PARTITION BY e.key ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+y AS (SELECT * FROM b WHERE slot IS NOT NULL AND coalesce(slot > before, TRUE)), n AS (SELECT (SELECT count(*) FROM a) - (SELECT count(*) FROM x) + (SELECT count(*) FROM b) - (SELECT count(*) FROM y) AS refused)
+SELECT event_id, key, slot, late, refused FROM (SELECT event_id, key, slot, late FROM x UNION ALL SELECT event_id, key, slot, late FROM y), n"""
+
+
+@query("SNK3_appended_rows", SNK3, l="event_id key slot late refused")
 def _(spark, d):
-    """Rows of the first half, then all rows again with a new column: only newer ones are added."""
-    path, e = K.scratch_path(spark, "append"), events(spark, d).select("event_id", "user_id", "t", "k")
-    K.append_rows(e.filter(c("t") < middle(e)).drop("k"), path, ["user_id"], "t")
-    K.append_rows(e.withColumn("late", 2 * c("k")).drop("k"), path, ["user_id"], "t")
-    return spark.read.option("mergeSchema", True).parquet(path)
+    """Rows of the first half, then all rows again with a new column: only newer ones are added, in the order of events.
+
+    Times are whole hours, so many rows of a key share one; some keys and times are NULL.
+    """
+    path, e = K.scratch_path(spark, "append"), events(spark, d)
+    half = c("t") < middle(e)
+    e = e.select("event_id", F.when(c("k") % 10 != 3, c("user_id") % 20).alias("key"), F.when(c("k") % 40 != 7, F.floor(c("t") / HOUR) * HOUR).alias("slot"), "k", half.alias("half"))
+    refused = K.append_rows(e.filter("half").select("event_id", "key", "slot"), path, ["key"], "slot", ["event_id"])
+    refused += K.append_rows(e.select("event_id", "key", "slot", (2 * c("k")).alias("late")), path, ["key"], "slot", ["event_id"])
+    return spark.read.option("mergeSchema", True).parquet(path).withColumn("refused", F.lit(refused))
 
 
 @query("SNK4_checked_append", f"WITH {EV} SELECT event_id, value, 1 AS refused FROM ev", l="event_id refused", d="value")
@@ -150,13 +163,27 @@ def _(spark, d):
     return in_two_runs(spark, d, trades(spark, d), start).withColumn("start_ms", F.unix_millis("start"))
 
 
-@query("T8_stream_predictions", f"WITH {EV} SELECT event_id, value * 2 AS score FROM ev", l="event_id", d="score")
+@query("T8_stream_predictions", f"WITH {EV} SELECT CASE WHEN event_id % 50 = 9 THEN NULL ELSE event_id END AS ident, avg(CASE WHEN event_id % 50 = 9 THEN 1.0 ELSE value * 2 END) AS score, 1 AS copies FROM ev GROUP BY ident", l="ident copies", d="score")
 def _(spark, d):
-    """Every row is scored once over the runs, also where the second run sees it again."""
+    """Every row is scored once over the runs, also where the second run sees it again; NULL is one identity."""
     e = events(spark, d).select("event_id", "t", "value")
-    predict = lambda b: b.select("event_id", (c("value") * 2).alias("score"))
+    unknown = c("event_id") % 50 == 9
+    predict = lambda b: b.select(F.when(~unknown, c("event_id")).alias("ident"), F.when(unknown, 1.0).otherwise(c("value") * 2).alias("score"))
     again = e.unionByName(e.filter(c("t") >= middle(e)).withColumn("t", F.lit(0).cast("long")))
-    return in_two_runs(spark, d, again, lambda s, out, ck: C.predict_each(s, predict, out, ck, ["event_id"]))
+    out = in_two_runs(spark, d, again, lambda s, out, ck: C.predict_each(s, predict, out, ck, ["ident"]))
+    return out.groupBy("ident").agg(F.avg("score").alias("score"), F.count("*").alias("copies"))
+
+
+@query("T9_ledger_identity", f"WITH {EV} SELECT user_id, count(DISTINCT k) AS n FROM ev GROUP BY user_id", l="user_id n")
+def _(spark, d):
+    """A ledger takes every (user, size) once, whatever run brings it: inside a run by stream state, across runs by its batches."""
+    rows = trades(spark, d).select("user_id", "size", "ts", "t").unionByName(trades(spark, d).select("user_id", "size", "ts", F.lit(0).cast("long").alias("t")))
+
+    def start(s, out, checkpoint):
+        once = C.ledger(s, "ts", ["user_id", "size"], "3650 days")
+        return C.predict_each(once, lambda b: b.select("user_id", "size"), out, checkpoint, ["user_id", "size"])
+
+    return in_two_runs(spark, d, rows, start).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 @query("T11_incremental_run", f"WITH {EV} SELECT event_id, user_id, 1000 * k + event_id % 7 AS feature FROM ev", l="event_id user_id feature")

@@ -42,11 +42,6 @@ def _(spark, d):
     return x.withColumns({"start_ms": F.unix_millis("start"), "end_ms": F.unix_millis("end")})
 
 
-@query("T9_ledger_identity", f"WITH {EV} SELECT user_id, count(DISTINCT k) AS n FROM ev GROUP BY user_id", l="user_id n")
-def _(spark, d):
-    return trades(spark, d).dropDuplicates(["user_id", "size"]).groupBy("user_id").agg(F.count("*").alias("n"))
-
-
 @query("T10_matured_labels", f"WITH {EV}, p AS (SELECT * FROM ev WHERE event_type = 'purchase'), q AS (SELECT * FROM ev WHERE event_type = 'view') SELECT p.user_id, p.t AS decision_ms, q.t AS price_ms, q.value AS price FROM p JOIN q ON p.user_id = q.user_id AND q.t > p.t AND q.t <= p.t + {DAY}", l="user_id decision_ms price_ms", d="price")
 def _(spark, d):
     e = events(spark, d)

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -37,19 +37,31 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), sort
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
-def append_rows(df: DataFrame, path: str, keys: Sequence[str], time: str) -> int:
-    """Append rows newer than what is there, per key; returns how many were older and left out (SNK3).
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+    """Join condition under which NULL keys are equal."""
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(right[k])
+    return on
 
-    New columns are allowed: readers merge schemas.
+
+def append_rows(df: DataFrame, path: str, keys: Sequence[str], time: str, order: Sequence[str] = ()) -> int:
+    """Append the rows that are newer than all before them, per key; returns how many were refused (SNK3).
+
+    Rows come in the given order (by time where none is given, then by their other columns). A row is refused
+    if its time is NULL or not after every earlier row of its key, in the table or in this batch. A NULL key is
+    a key like any other. New columns are allowed: readers merge schemas.
     """
     old = table_or_none(df.sparkSession, path)
-    if old is None:
-        df.write.mode("append").parquet(path)
-        return 0
-    last = old.groupBy(*keys).agg(F.max(time).alias("_last"))
-    marked = df.join(last, list(keys), "left").withColumn("_new", F.coalesce(F.col(time) > F.col("_last"), F.lit(True)))
+    by = Window.partitionBy(*keys).orderBy(*(order or [time]), F.xxhash64(*df.columns)).rowsBetween(Window.unboundedPreceding, -1)
+    marked = df.withColumn("_before", F.max(time).over(by))
+    if old is not None:
+        last = old.groupBy(*keys).agg(F.max(time).alias("_last"))
+        marked = marked.join(last, same_keys(marked, last, keys), "left").select(marked["*"], "_last")
+        marked = marked.withColumn("_before", F.greatest("_before", "_last")).drop("_last")
+    marked = marked.withColumn("_new", F.col(time).isNotNull() & F.coalesce(F.col(time) > F.col("_before"), F.lit(True)))
     late = marked.filter(~F.col("_new")).count()
-    marked.filter("_new").drop("_new", "_last").write.mode("append").parquet(path)
+    marked.filter("_new").select(*df.columns).write.mode("append").parquet(path)
     return late
 
 

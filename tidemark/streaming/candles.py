@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import unseen
 from tidemark.sources.sinks import table_or_none
 
 c = F.col
@@ -60,20 +62,31 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
 
 
 def predict_each(stream: DataFrame, predict: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, identity: list[str]):
-    """Micro-batch predictions: each batch is scored, rows already in the ledger are left out, the rest appended."""
+    """Micro-batch predictions: each batch is scored, rows already in the ledger are left out, the rest added.
 
-    def write(batch: DataFrame, _: int) -> None:
-        out = predict(batch)
-        seen = table_or_none(batch.sparkSession, path)
-        if seen is not None:
-            out = out.join(seen.select(*identity), identity, "left_anti")
-        out.dropDuplicates(identity).write.mode("append").parquet(path)
+    A batch is a partition of the ledger named by its checkpoint and number. A batch that runs again after its
+    write (the driver died before it was marked as done) overwrites its own partition and looks for known rows in
+    the others only, so it leaves one copy. NULL identities are equal to each other.
+    """
+    writer = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def write(batch: DataFrame, n: int) -> None:
+        add_batch(predict(batch), path, f"{writer}-{n}", identity)
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
+def add_batch(rows: DataFrame, path: str, batch: str, identity: list[str]) -> None:
+    """Write the rows whose identity no other batch of the ledger holds, once each, as the partition `batch`."""
+    rows = rows.dropDuplicates(identity)
+    held = table_or_none(rows.sparkSession, path)
+    if held is not None:
+        rows = unseen(rows, held.filter(c("batch") != batch), identity)
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
 def staleness(rows: DataFrame, keys: list[str], time: str, now: int, limit: int) -> DataFrame:
     """Age of the newest row per key and whether it is stale."""
     return rows.groupBy(*keys).agg((F.lit(now) - F.max(time)).alias("age_ms")).withColumn("stale", c("age_ms") > limit)
