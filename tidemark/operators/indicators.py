@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.calendar import DAY
 from tidemark.functions.semantics import log_bps, safe_div
 from tidemark.operators.folds import fold
 from tidemark.operators.series import Series
@@ -101,31 +102,67 @@ def path_stats(df: DataFrame, s: Series, step_return: Column) -> DataFrame:
     return df.withColumns({"drawdown": c("cumulative") - F.max("cumulative").over(w), "runup": c("cumulative") - F.min("cumulative").over(w), "equity": F.exp(F.sum(growth).over(w))}).drop("_r")
 
 
-def ema_paths(df: DataFrame, keys: list[str], order: list[str], value: str, spans: dict[str, float], least: int = 1) -> DataFrame:
+def ema_paths(df: DataFrame, keys: list[str], order: list[str], value: str, spans: dict[str, float | tuple[str, float]], least: int = 1, block: float = 7 * DAY) -> DataFrame:
     """Exponential means by the recursion y = a x + (1 - a) y, seeded with the first value.
 
-    spans maps a column name to alpha. Each Arrow batch is a weighted mean that starts from the last
-    state; the state is one number a span and a count. NULLs keep the last state.
+    spans maps a column name to alpha, or to another value column and alpha. NULLs keep the last state.
+    The recursion is a scan over blocks of (key, order[0] / block): with n values of a block so far and their
+    offset b = sum of a (1 - a)^(n - i) x_i, y is (1 - a)^n y0 + b, where y0 is the mean before the block (the first
+    value of all in the first one). Blocks fold apart, in constant memory; the table of blocks is folded by key.
     """
     import pandas as pd
 
-    schema = T.StructType(list(df.schema.fields))  # a copy: add() changes in place
-    for name in spans:
-        schema = schema.add(name, "double")
-
-    def step(pdf: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
-        seen, ys = state or (0, dict.fromkeys(spans))
-        x = pdf[value].astype("float64").reset_index(drop=True)
-        count = seen + x.notna().cumsum().to_numpy()
-        out = pdf.copy()
-        for name, alpha in spans.items():
-            y = x if ys[name] is None else pd.concat([pd.Series([ys[name]]), x], ignore_index=True)
-            y = y.ewm(alpha=alpha, adjust=False, ignore_na=True).mean().to_numpy()[-len(x) :]
-            ys = ys | {name: float(y[-1]) if count[-1] else None}
-            out[name] = pd.array([v if n >= least else None for v, n in zip(y.tolist(), count.tolist())], dtype="Float64")
-        return out, (int(count[-1]), ys)
-
-    return fold(df, keys, order, step, schema)
+    plan = {name: (value, x) if isinstance(x, (int, float)) else x for name, x in spans.items()}
+    columns = list(dict.fromkeys(x for x, _ in plan.values()))
+    rows = df.withColumn("_block", F.floor(c(order[0]).cast("double") / block))
+    extra = [*(f"_n{i} long" for i in range(len(columns))), *(f"_b{i} double" for i in range(len(plan)))]
+    schema = T.StructType([*rows.schema.fields, *T._parse_datatype_string(", ".join(extra)).fields])
+
+    def inside(pdf: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        counts, offsets = state or ([0] * len(columns), [0.0] * len(plan))
+        out, xs = pdf.copy(), [pdf[x].astype("float64").reset_index(drop=True) for x in columns]
+        for i, x in enumerate(xs):
+            n = counts[i] + x.notna().cumsum().to_numpy()
+            out[f"_n{i}"], counts = n, [*counts[:i], int(n[-1]), *counts[i + 1 :]]
+        for i, (x, alpha) in enumerate(plan.values()):
+            b = pd.concat([pd.Series([offsets[i]]), xs[columns.index(x)]], ignore_index=True).ewm(alpha=alpha, adjust=False, ignore_na=True).mean().to_numpy()[1:]
+            out[f"_b{i}"], offsets = b, [*offsets[:i], float(b[-1]), *offsets[i + 1 :]]
+        return out, (counts, offsets)
+
+    folded = fold(rows, [*keys, "_block"], order, inside, schema)
+    usable = lambda x: c(x).isNotNull() & ~F.isnan(c(x).cast("double"))
+    at = F.struct(*order)
+    blocks = folded.groupBy(*keys, "_block").agg(
+        *[F.max(f"_n{i}").alias(f"_n{i}") for i in range(len(columns))], *[F.max_by(f"_b{i}", at).alias(f"_b{i}") for i in range(len(plan))],
+        *[F.min_by(c(x).cast("double"), F.when(usable(x), at)).alias(f"_f{i}") for i, x in enumerate(columns)],
+    )
+    carried = [*(f"_s{i}" for i in range(len(columns))), *(f"_y{i}" for i in range(len(plan)))]
+    shape = T.StructType([*blocks.select(*keys, "_block").schema.fields, *T._parse_datatype_string(", ".join(f"{x} {'long' if x[1] == 's' else 'double'}" for x in carried)).fields])
+
+    def across(pdf: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        seen, means = state or ([0] * len(columns), [None] * len(plan))
+        found = []
+        for r in pdf.to_dict("records"):
+            starts = [r[f"_f{columns.index(x)}"] if y is None else y for y, (x, _) in zip(means, plan.values())]
+            found.append([*seen, *starts])
+            means = [(1 - a) ** r[f"_n{columns.index(x)}"] * y + r[f"_b{i}"] if y is not None and y == y else None for i, (y, (x, a)) in enumerate(zip(starts, plan.values()))]
+            seen = [n + r[f"_n{i}"] for i, n in enumerate(seen)]
+        extra = pd.DataFrame(found, columns=carried)
+        for x in carried:
+            extra[x] = extra[x].astype("int64" if x[1] == "s" else "float64")
+        return pd.concat([pdf[[*keys, "_block"]].reset_index(drop=True), extra], axis=1), (seen, means)
+
+    before = fold(blocks, keys, ["_block"], across, shape)
+    before = before.select(*[c(k).alias(f"_k_{k}") for k in [*keys, "_block"]], *carried)
+    on = F.lit(True)
+    for k in [*keys, "_block"]:
+        on = on & folded[k].eqNullSafe(before[f"_k_{k}"])
+    out = folded.join(before, on)
+    for i, (name, (x, alpha)) in enumerate(plan.items()):
+        j = columns.index(x)
+        mean = F.pow(F.lit(1.0 - alpha), c(f"_n{j}")) * c(f"_y{i}") + c(f"_b{i}")
+        out = out.withColumn(name, F.when(c(f"_n{j}") + c(f"_s{j}") >= max(1, least), mean))
+    return out.select(*df.columns, *plan)
 
 
 def span_alpha(span: float) -> float:
@@ -153,8 +190,7 @@ def wilder_rsi(df: DataFrame, keys: list[str], order: list[str], value: str, n:
     d = s.diff(c(value))
     df = df.withColumns({"_up": F.greatest(d, F.lit(0.0)), "_down": F.greatest(-d, F.lit(0.0))})
     df = df.withColumns({"_up": F.when(s.lag(c(value)).isNotNull(), c("_up")), "_down": F.when(s.lag(c(value)).isNotNull(), c("_down"))})
-    df = ema_paths(df, keys, order, "_up", {"_eu": 1.0 / n}, n)
-    df = ema_paths(df, keys, order, "_down", {"_ed": 1.0 / n}, n)
+    df = ema_paths(df, keys, order, "_up", {"_eu": ("_up", 1.0 / n), "_ed": ("_down", 1.0 / n)}, n)
     rsi = F.when(c("_eu").isNotNull(), F.when((c("_eu") == 0) & (c("_ed") == 0), 50.0).when(c("_ed") == 0, 100.0).otherwise(100 - 100 / (1 + safe_div(c("_eu"), c("_ed")))))
     return df.withColumn(name, rsi).drop("_up", "_down", "_eu", "_ed")
 
