@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.calendar import floor_to
 from tidemark.functions.semantics import log_bps, safe_div, simple_bps
 from tidemark.operators.series import Series
+from tidemark.operators.sliding import time_ranges
 
 c = F.col
 
@@ -22,18 +23,17 @@ def past_value(s: Series, x: Column, ms: int) -> Column:
 def regime_windows(df: DataFrame, s: Series, price: str, step_return: str, spans: Sequence[int]) -> DataFrame:
     """Return, slope, volatility, range, persistence over (t - ms, t] for each span.
 
-    step_return is the return of each row in bps; the slope is in bps a second.
+    step_return is the return of each row in bps; the slope is in bps a second. Time is the first column of the
+    series' order; rows without one have NULLs.
     """
-    t = (c(s.order[0]) / 1000.0).cast("double")
-    cols = {}
+    out = time_ranges(df, s.keys, s.order[0], price, step_return, spans, s.order[1:])
     for ms in spans:
-        w, n = s.past_ms(ms), f"_{ms // 1000}s"
-        cols |= {
-            "return" + n: log_bps(c(price), F.first(price).over(w)), "vol" + n: F.stddev_samp(step_return).over(w), "range" + n: log_bps(F.max(price).over(w), F.min(price).over(w)),
-            "sum" + n: F.sum(step_return).over(w), "up" + n: F.avg((c(step_return) > 0).cast("double")).over(w), "down" + n: F.avg((c(step_return) < 0).cast("double")).over(w),
-            "slope" + n: F.regr_slope(c(price), t).over(w), "n" + n: F.count("*").over(w),
-        }
-    return df.withColumns(cols)
+        r, n = c(f"r{ms}"), f"_{ms // 1000}s"
+        out = out.withColumns({
+            "return" + n: log_bps(c(price), r["first"]), "vol" + n: F.sqrt(r["var"]), "range" + n: log_bps(r["high"], r["low"]), "sum" + n: r["sum"],
+            "up" + n: safe_div(r["up"], r["known"]), "down" + n: safe_div(r["down"], r["known"]), "slope" + n: r["slope"], "n" + n: r["n"].cast("long"),
+        })
+    return out.drop(*[f"r{ms}" for ms in spans])
 
 
 def changes(df: DataFrame, s: Series, columns: Sequence[str], spans: Sequence[int]) -> DataFrame:
