@@ -69,13 +69,6 @@ def micro_bundle(df: DataFrame, s: Series, mid: str, buy: str, sell: str, spans:
     return df.withColumns(cols)
 
 
-def burst_threshold(df: DataFrame, s: Series, x: str, n: int, q: float) -> DataFrame:
-    """max(quantile of positive history, median of history) over the n rows before, and whether x exceeds it."""
-    w = s.before(n)
-    limit = F.greatest(F.percentile(F.when(c(x) > 0, c(x)), q).over(w), F.percentile(c(x), 0.5).over(w))
-    return df.withColumn("threshold", limit).withColumn("burst", F.coalesce(c(x) > c("threshold"), F.lit(False)))
-
-
 def panel(df: DataFrame, time: str, symbol: str, value: str, benchmark: str) -> DataFrame:
     """Cross-section per time: median, dispersion, positives, and value relative to a benchmark.
 

@@ -9,6 +9,7 @@ from tidemark.functions.calendar import DAY, HOUR
 from tidemark.functions.semantics import clip, flag, log_bps, log_ratio, safe_div, sigmoid, softmax
 from tidemark.operators import flow as X
 from tidemark.operators import indicators as I
+from tidemark.operators import ranks as RK
 from tidemark.operators import sequences as Q
 from tidemark.operators.series import Series
 from tidemark.plans.bars import BARS, hourly
@@ -64,8 +65,8 @@ def signed(e):
 
 ev("W7_flow_persistence", f", {SIGNED}, g AS (SELECT *, flow - lag(flow) OVER ({BY_USER}) AS df, CASE WHEN flow > 0 THEN 1.0 ELSE 0.0 END AS up FROM f) SELECT *, {roll('sum({x})', 'flow', 8)} AS flow_8, {roll('avg({x})', 'up', 8)} AS persistence, {roll('avg({x})', 'df', 8)} AS acceleration, sum(flow) OVER ({BY_USER} ROWS UNBOUNDED PRECEDING) AS delta FROM g",
    lambda e: signed(e).withColumn("df", USER.diff(c("flow"))).withColumns({"flow_8": USER.sum(c("flow"), 8), "persistence": USER.mean(flag(c("flow") > 0), 8), "acceleration": USER.mean(c("df"), 8), "delta": F.sum("flow").over(USER.so_far())}), d="flow_8 persistence acceleration delta")
-ev("W8_rolling_quantiles", f"SELECT *, {roll('quantile_cont({x}, 0.5)', 'value', 12)} AS median, {roll('quantile_cont({x}, 0.9)', 'value', 12)} AS q90 FROM ev", lambda e: e.withColumns({"median": USER.quantile(val(), 12, 0.5), "q90": USER.quantile(val(), 12, 0.9)}), d="median q90")
-ev("W9_rolling_percent_rank", f", m AS (SELECT *, list(value) OVER ({BY_USER} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS vs FROM ev) SELECT *, CASE WHEN len(vs) >= 5 THEN (len(list_filter(vs, lambda x: x < value)) + (len(list_filter(vs, lambda x: x = value)) + 1) / 2.0) / len(vs) END AS pct FROM m", lambda e: e.withColumn("pct", USER.percent_rank(val(), 20, 5)), d="pct")
+ev("W8_rolling_quantiles", f"SELECT *, {roll('quantile_cont({x}, 0.5)', 'value', 12)} AS median, {roll('quantile_cont({x}, 0.9)', 'value', 12)} AS q90 FROM ev", lambda e: RK.rolling_order(e, ["user_id"], ["t", "event_id"], 12, {"median": ("value", 0.5), "q90": ("value", 0.9)}), d="median q90")
+ev("W9_rolling_percent_rank", f", m AS (SELECT *, list(value) OVER ({BY_USER} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS vs FROM ev) SELECT *, CASE WHEN len(vs) >= 5 THEN (len(list_filter(vs, lambda x: x < value)) + (len(list_filter(vs, lambda x: x = value)) + 1) / 2.0) / len(vs) END AS pct FROM m", lambda e: RK.rolling_order(e, ["user_id"], ["t", "event_id"], 20, ranks={"pct": "value"}, least=5), d="pct")
 ev("W10_percent_rank_fullsample", "SELECT *, (rank() OVER (PARTITION BY event_type ORDER BY value) + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2.0) / count(*) OVER (PARTITION BY event_type) AS pct FROM ev",
    lambda e: e.withColumn("pct", (F.rank().over(Series(("event_type",), ("value",)).spec) + (F.count("*").over(Series(("event_type", "value"), ()).all()) - 1) / 2.0) / F.count("*").over(type_all())), d="pct")
 ev("W11_rank_bins", "SELECT *, row_number() OVER w AS rn, rank() OVER (PARTITION BY event_type ORDER BY value) AS rk, least(floor((row_number() OVER w - 1) * 4 / count(*) OVER (PARTITION BY event_type)), 3) AS bin FROM ev WINDOW w AS (PARTITION BY event_type ORDER BY value, event_id)",
@@ -159,7 +160,7 @@ def buy_sell(e):
 ev("W26_micro_bundle", W26, lambda e: X.micro_bundle(buy_sell(e), Series(("user_id",), ("t",)), "value", "buy", "sell", [6 * HOUR, DAY, 3 * DAY]), l="user_id event_id rows_86400s", d="flow_86400s flow_before_86400s pressure_86400s burst_86400s velocity_86400s bounce_86400s break_86400s")
 ev("W27_window_sufficiency", f"SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN {DAY - 1} PRECEDING AND CURRENT ROW) >= 3 AS enough FROM ev", lambda e: e.withColumn("enough", F.count("*").over(Series(("user_id",), ("t",)).past_ms(DAY)) >= 3), b="enough")
 ev("W28_window_slope", f", m AS (SELECT *, CAST(row_number() OVER ({BY_USER}) AS DOUBLE) AS i FROM ev) SELECT *, CASE WHEN count(value) OVER w = 10 THEN regr_slope(value, i) OVER w END AS slope FROM m WINDOW w AS ({BY_USER} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)", lambda e: e.withColumn("i", F.row_number().over(USER.spec).cast("double")).withColumn("slope", USER.slope(val(), c("i"), 10)), d="slope")
-ev("W29_burst_threshold", f"SELECT *, greatest(quantile_cont(CASE WHEN value > 0 THEN value END, 0.9) OVER w, quantile_cont(value, 0.5) OVER w) AS threshold, coalesce(value > greatest(quantile_cont(CASE WHEN value > 0 THEN value END, 0.9) OVER w, quantile_cont(value, 0.5) OVER w), FALSE) AS burst FROM ev WINDOW w AS ({BY_USER} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)", lambda e: X.burst_threshold(e, USER, "value", 12, 0.9), d="threshold", b="burst")
+ev("W29_burst_threshold", f"SELECT *, greatest(quantile_cont(CASE WHEN value > 0 THEN value END, 0.9) OVER w, quantile_cont(value, 0.5) OVER w) AS threshold, coalesce(value > greatest(quantile_cont(CASE WHEN value > 0 THEN value END, 0.9) OVER w, quantile_cont(value, 0.5) OVER w), FALSE) AS burst FROM ev WINDOW w AS ({BY_USER} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)", lambda e: RK.burst_threshold(e, ["user_id"], ["t", "event_id"], "value", 12, 0.9), d="threshold", b="burst")
 PANEL = "per AS (SELECT bucket, quantile_cont(close, 0.5) AS median, stddev_pop(close) AS dispersion, count(*) FILTER (close > 0) AS positives, count(close) AS members, max(CASE WHEN event_type = 'click' THEN close END) AS benchmark FROM bars GROUP BY ALL)"
 barq("W30_cross_section", f", {PANEL} SELECT b.*, median, dispersion, positives, members, close - benchmark AS relative, close - median AS from_median FROM bars b JOIN per USING (bucket)", lambda b: X.panel(b, "bucket", "event_type", "close", "click"), d="median dispersion relative from_median", l="bucket positives members")
 
