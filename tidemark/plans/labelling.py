@@ -8,6 +8,7 @@ from tidemark.functions.calendar import DAY, HOUR
 from tidemark.functions.semantics import simple_bps
 from tidemark.operators import clean as C
 from tidemark.operators import labels as L
+from tidemark.operators import touches as B
 from tidemark.operators import metrics as M
 from tidemark.operators import splits as V
 from tidemark.operators.series import Series
@@ -37,6 +38,10 @@ def path(e, n=5):
     return e.withColumn("path", L.return_path(USER, val(), n))
 
 
+def touched(e, up, down, n=5):
+    return B.touch_steps(e, ["user_id"], ["t", "event_id"], "value", "value", "value", n, up, down).withColumn("touch", B.touched_first())
+
+
 def text(x):
     return F.array_join(F.transform(x, lambda z: F.round(z + 0.0001).cast("long").cast("string")), ",")
 
@@ -47,13 +52,13 @@ ev("L4_path_range_frame", f"SELECT *, (max(value) OVER w / value - 1) * 1e4 AS u
    lambda e: e.withColumns({"up_bps": simple_bps(F.max("value").over(Series(("user_id",), ("t",)).future_ms(DAY)), val()), "down_bps": simple_bps(F.min("value").over(Series(("user_id",), ("t",)).future_ms(DAY)), val()), "n": F.count("*").over(Series(("user_id",), ("t",)).future_ms(DAY))}), l="event_id n", d="up_bps down_bps")
 TOUCH = ", a AS (SELECT *, coalesce(list_position(list_transform(path, lambda r: r >= {up}), TRUE), 0) AS ia, coalesce(list_position(list_transform(path, lambda r: r <= -{dn}), TRUE), 0) AS ib FROM {src})"
 HIT = "CASE WHEN path IS NULL THEN NULL WHEN ia > 0 AND (ib = 0 OR ia < ib) THEN 1 WHEN ib > 0 AND (ia = 0 OR ib < ia) THEN -1 ELSE 0 END"
-ev("L5_first_touch", PATH + TOUCH.format(up=8000, dn=6000, src="q") + f" SELECT *, {HIT} AS touch FROM a", lambda e: path(e).withColumn("touch", L.first_touch(c("path"), 8000.0, 6000.0)), l="event_id touch")
-ev("L6_net_aware_touch", PATH + ", q2 AS (SELECT *, k * 100.0 + 50 AS need FROM q)" + TOUCH.format(up="need", dn="need", src="q2") + f" SELECT *, {HIT} AS touch FROM a", lambda e: path(e).withColumn("need", c("k") * 100.0 + 50).withColumn("touch", L.first_touch(c("path"), c("need"), c("need"))), l="event_id touch")
+ev("L5_first_touch", PATH + TOUCH.format(up=8000, dn=6000, src="q") + f" SELECT *, {HIT} AS touch FROM a", lambda e: touched(e, 8000.0, 6000.0), l="event_id touch")
+ev("L6_net_aware_touch", PATH + ", q2 AS (SELECT *, k * 100.0 + 50 AS need FROM q)" + TOUCH.format(up="need", dn="need", src="q2") + f" SELECT *, {HIT} AS touch FROM a", lambda e: touched(e, c("k") * 100.0 + 50, c("k") * 100.0 + 50), l="event_id touch")
 
 
 @query("L7_touch_summary", f"WITH {EV} " + PATH + TOUCH.format(up=8000, dn=6000, src="q") + f", h AS (SELECT *, {HIT} AS touch FROM a) SELECT event_type, count(*) FILTER (touch = 1) AS tp_first, count(*) FILTER (touch = -1) AS down_first, count(*) FILTER (touch = 0) AS neither, count(touch) / count(*) AS coverage, avg(CASE WHEN touch = 1 THEN 1.0 WHEN touch = -1 THEN 0.0 END) AS tp_share FROM h GROUP BY ALL", l="tp_first down_first neither", d="coverage tp_share", s="event_type")
 def _(spark, d):
-    return L.touch_summary(path(events(spark, d)).withColumn("touch", L.first_touch(c("path"), 8000.0, 6000.0)), ["event_type"], "touch")
+    return L.touch_summary(touched(events(spark, d), 8000.0, 6000.0), ["event_type"], "touch")
 
 
 F1 = lbps(f"lead(value) OVER ({BY_USER})", "value")
@@ -64,9 +69,7 @@ AHEAD = f", f AS (SELECT *, list(high) OVER n AS hs, list(low) OVER n AS ls FROM
 
 
 def barriers(b, long=True, tp=9000.0, sl=7000.0):
-    w = BAR.next_n(6)
-    b = b.withColumns({"hs": F.collect_list("high").over(w), "ls": F.collect_list("low").over(w)}).filter(F.size("hs") == 6)
-    return b.withColumns(L.barrier_class(c("hs"), c("ls"), c("close"), tp, sl, long)).withColumnRenamed("class", "cls")
+    return B.barrier_classes(b, ["event_type"], ["bucket"], 6, tp, sl, long).withColumnRenamed("class", "cls")
 
 
 CLS = "CASE WHEN ia > 0 AND (ib = 0 OR ia < ib) THEN 1 WHEN ib > 0 AND (ia = 0 OR ib < ia) THEN -1 ELSE 0 END"
