@@ -181,3 +181,45 @@ def test_simplex_and_empty_grid(spark):
     assert W.simplex(2, 2) == [(1.0, 0.0), (0.5, 0.5), (0.0, 1.0)] and len(W.simplex(4, 10)) == 286
     df = spark.createDataFrame([], "t long, a double, real double, cost double")
     assert W.ranked_grid(W.score_grid(df, "t", ["a"], "real", ["cost"], 10), 5).count() == 0
+
+
+def test_softmax_is_the_minimum(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 2))
+    y = (x @ np.array([[1.0, -1.0, 0.2], [0.5, 0.5, -1.5]]) + rng.gumbel(size=(400, 3))).argmax(axis=1)
+    rows = [(float(a), float(b), int(v)) for (a, b), v in zip(x, y)]
+    df = spark.createDataFrame([*rows, (None, 1.0, 0), (1.0, float("nan"), 1), (1.0, 1.0, None), (1.0, 1.0, 7)], "a double, b double, y int").repartition(4)
+    w = L.softmax_weights(df, ["a", "b"], "y", 3, l2=0.01)
+    each = 400 / (3 * np.bincount(y))
+    one = np.column_stack([np.ones(400), x])
+
+    def slope(w):
+        p = np.exp(one @ w.T)
+        p /= p.sum(axis=1, keepdims=True)
+        return ((p - np.eye(3)[y]) * each[y][:, None]).T @ one / 400 + 0.01 * w * np.array([0.0, 1.0, 1.0])
+
+    assert np.abs(slope(w)).max() < 1e-7
+    got = df.limit(0).unionByName(spark.createDataFrame(rows[:5], "a double, b double, y int")).select(*[p.alias(f"p{i}") for i, p in enumerate(L.softmax_prediction(["a", "b"], w))]).collect()
+    p = np.exp(one[:5] @ w.T)
+    assert np.allclose([tuple(r) for r in got], p / p.sum(axis=1, keepdims=True))
+    assert L.softmax_weights(df.limit(0), ["a", "b"], "y", 3).tolist() == [[0.0] * 3] * 3
+    assert np.isfinite(L.softmax_weights(df.filter("y = 1"), ["a"], "y", 3)).all()
+
+
+def test_isotonic_projection_and_interpolation(spark):
+    from tidemark.operators import sequences as Q
+
+    df = spark.createDataFrame([([3.0, 1.0, 2.0, 5.0, 4.0],), ([],), (None,), ([1.0, None],), ([1.0] * 3,)], "x array<double>")
+    assert [r.v for r in df.select(Q.isotonic(c("x")).alias("v")).collect()] == [[2.0, 2.0, 2.0, 4.5, 4.5], [], None, None, [1.0] * 3]
+    line = spark.createDataFrame([([0.0, 1.0, 3.0], [5.0, 7.0, 3.0], [-1.0, 0.0, 0.5, 1.0, 2.0, 9.0]), ([], [], [1.0])], "x array<double>, y array<double>, at array<double>")
+    got = [r.v for r in line.select(Q.interp(c("at"), c("x"), c("y")).alias("v")).collect()]
+    assert got == [np.interp([-1.0, 0.0, 0.5, 1.0, 2.0, 9.0], [0.0, 1.0, 3.0], [5.0, 7.0, 3.0]).tolist(), None]
+
+
+def test_contract_status(spark):
+    from tidemark.operators.metrics import contract_survivors
+
+    rows = [("a", 1, 0.0, 50, 3.0), ("a", 2, 0.0, 50, 4.0), ("b", 1, 0.2, 3, 3.0), ("b", 2, 0.3, 2, -1.0), ("c", 1, 0.2, 40, 5.0), ("c", 2, 0.0, 40, None), ("d", 1, 0.2, 40, -5.0), ("d", 2, 0.5, 4, -1.0)]
+    df = spark.createDataFrame(rows, "k string, w int, t double, n int, total double")
+    got = {r.k: (r.status, r.windows, r.positive_windows, r.sparse_high, r.worst) for r in contract_survivors(df, ["k"], "w", "t", "n", "total", 10).collect()}
+    assert got == {"a": ("zero_only", 2, 2, 0, 3.0), "b": ("too_few_rows", 2, 1, 2, -1.0), "c": ("candidate", 2, 1, 0, 5.0), "d": ("unstable", 2, 0, 1, -5.0)}

@@ -150,6 +150,18 @@ def run_lengths(df: DataFrame, keys: Sequence[str], order: Sequence[str], state:
     return per.groupBy("state").agg(F.count("*").alias("runs"), F.avg("n").alias("mean_length"), F.max("n").alias("max_length"))
 
 
+def regime_calibration(df: DataFrame, keys: Sequence[str], order: Sequence[str], state: Column, value: str, qs: Sequence[float] = (0.05, 0.33, 0.67, 0.95)) -> DataFrame:
+    """Per state: share of rows, quantiles of a value, and number, mean and quantiles (0.1, 0.5, 0.9) of run lengths."""
+    marked = df.withColumn("state", state).filter("state is not null")
+    whole = marked.groupBy("state").agg(F.count("*").alias("_n"), F.avg(value).alias("mean"), F.percentile(value, list(qs)).alias("_q"))
+    w = Window.partitionBy(*keys).orderBy(*order)
+    runs = marked.withColumn("_new", F.coalesce((F.lag("state").over(w) != c("state")).cast("int"), F.lit(1)))
+    runs = runs.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "_run").agg(F.first("state").alias("state"), F.count("*").alias("_l"))
+    lengths = runs.groupBy("state").agg(F.count("*").alias("runs"), F.avg("_l").alias("mean_length"), F.percentile("_l", [0.1, 0.5, 0.9]).alias("_d"))
+    out = whole.join(lengths, "state").crossJoin(F.broadcast(marked.agg(F.count("*").alias("_all"))))  # one row a state; one row
+    return out.select("state", (c("_n") / c("_all")).alias("share"), "mean", *[c("_q")[i].alias(f"q{round(q * 100):02d}") for i, q in enumerate(qs)], "runs", "mean_length", *[c("_d")[i].alias(f"length{x}") for i, x in enumerate((10, 50, 90))])
+
+
 def _nearest(left: pd.DataFrame, right: pd.DataFrame, rows: int = 512) -> pd.DataFrame:
     """Per row of left (name, z) the nearest row of right (other, o) that is not itself; ties to the smaller name."""
     right = right.sort_values("other", ignore_index=True)

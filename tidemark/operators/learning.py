@@ -62,6 +62,74 @@ def elastic_net(df: DataFrame, features: Sequence[str], target: str, alpha: floa
     return w.tolist(), float(mean[-1] - w @ mean[:-1])
 
 
+# Softmax -------------------------------------------------------------------------------------------------
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def softmax_weights(df: DataFrame, features: Sequence[str], label: str, classes: int, l2: float = 1e-3, rounds: int = 50) -> np.ndarray:
+    """(classes, 1 + features) weights, intercept first, of a multinomial logit with classes of equal total weight.
+
+    The loss is the weighted mean log loss plus l2 / 2 times the squared weights (not the intercepts). Each damped
+    Newton step is one pass: tasks add up gradient, Hessian and loss, whose size is that of the columns.
+    """
+    rows = df.select(c(label).cast("int").alias("y"), F.array(*[c(f).cast("double") for f in features]).alias("x")).filter(_finite(c(label), *[c(f) for f in features]) & c(label).between(0, classes - 1))
+    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}  # a row a class
+    n, k = sum(counts.values()), len(features) + 1
+    if not n:
+        return np.zeros((classes, k))
+    each = np.array([n / (classes * counts[y]) if counts.get(y) else 0.0 for y in range(classes)])
+    size = classes * k
+
+    def sums(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            loss, grad, hess = 0.0, np.zeros(size), np.zeros((size, size))
+            for batch in batches:
+                y = batch.column(0).to_numpy()
+                x = np.column_stack([np.ones(len(y)), batch.column(1).flatten().to_numpy().reshape(len(y), k - 1)])
+                p, weight = _softmax(x @ w.T), each[y]
+                loss -= float((weight * np.log(np.maximum(p[np.arange(len(y)), y], 1e-300))).sum())
+                grad += ((p - np.eye(classes)[y]) * weight[:, None]).T.dot(x).ravel()
+                for a in range(classes):
+                    for b in range(classes):
+                        q = weight * p[:, a] * ((a == b) - p[:, b])
+                        hess[a * k : (a + 1) * k, b * k : (b + 1) * k] += (x * q[:, None]).T @ x
+            every = np.concatenate([[loss], grad, hess.ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(every))), pa.array(every)], names=["i", "v"])
+
+        got = {r["i"]: r["v"] for r in rows.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}
+        every = np.array([got[i] for i in range(1 + size + size * size)]) / n
+        ridge = np.tile(np.r_[0.0, np.full(k - 1, l2)], classes)
+        return every[0] + float((ridge * w.ravel() ** 2).sum()) / 2, every[1 : size + 1] + ridge * w.ravel(), every[size + 1 :].reshape(size, size) + np.diag(ridge)
+
+    w = np.zeros((classes, k))
+    now, grad, hess = sums(w)
+    for _ in range(rounds):
+        step, share = np.linalg.lstsq(hess, grad, rcond=1e-12)[0].reshape(classes, k), 1.0
+        while True:
+            then = sums(w - share * step)
+            if then[0] <= now or share < 1e-6:
+                break
+            share /= 2
+        done = now - then[0] <= 1e-13 * max(1.0, abs(now))
+        w, (now, grad, hess) = w - share * step, then
+        if done:
+            break
+    return w - w.mean(axis=0)  # probabilities do not change; intercepts become unique
+
+
+def softmax_prediction(features: Sequence[str], w: np.ndarray) -> list[Column]:
+    """Probability of each class."""
+    scores = [F.lit(float(r[0])) + sum((c(f) * F.lit(float(v)) for f, v in zip(features, r[1:])), F.lit(0.0)) for r in w]
+    top = F.greatest(*scores) if len(scores) > 1 else scores[0]
+    parts = [F.exp(s - top) for s in scores]
+    total = sum(parts[1:], parts[0])
+    return [p / total for p in parts]
+
+
 # Boosted stumps ------------------------------------------------------------------------------------------
 
 

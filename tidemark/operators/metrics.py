@@ -74,6 +74,22 @@ def window_blocks(df: DataFrame, keys: Sequence[str], block: Column, value: str)
     return out.withColumn("passed", ((c("positive_fraction") >= 0.5) & (c("median") > 0) & (c("max_positive_share") <= 0.5)).cast("int"))
 
 
+def contract_survivors(df: DataFrame, keys: Sequence[str], window: str, threshold: str, rows: str, total: str, least_rows: int, share: float = 0.5, high: float = 0.1) -> DataFrame:
+    """Per contract: windows, positive ones, worst window, how often threshold 0, a high one, or a high but sparse one was best, and a status.
+
+    df holds the best threshold of each (contract, window). A contract stands if enough windows are positive, one of
+    them has `least_rows` rows, and threshold 0 is not best more often than high thresholds.
+    """
+    zero, far, few = F.abs(threshold) < 1e-12, c(threshold) >= high - 1e-12, c(rows) < least_rows
+    per = df.groupBy(*keys).agg(
+        F.countDistinct(window).alias("windows"), F.countDistinct(F.when(c(total) > 0, c(window))).alias("positive_windows"), F.min(total).alias("worst"), F.sum(F.coalesce(total, F.lit(0.0))).alias("total"),
+        F.sum(F.coalesce(rows, F.lit(0))).alias("rows"), F.count_if(zero).alias("zero_best"), F.count_if(far).alias("high_best"), F.count_if(far & few).alias("sparse_high"), F.count_if(~few).alias("full_windows"),
+    )
+    per = per.withColumn("positive_fraction", safe_div(c("positive_windows"), c("windows")))
+    status = F.when((c("zero_best") > 0) & (c("high_best") == 0), "zero_only").when(c("full_windows") == 0, "too_few_rows").when(F.coalesce(c("positive_fraction"), F.lit(0.0)) < share, "unstable").when(c("zero_best") > c("high_best"), "zero_dominates").otherwise("candidate")
+    return per.withColumn("status", status)
+
+
 def quantile_battery(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float] = (0.1, 0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
     """Exact quantiles, linear interpolation."""
     out = df.groupBy(*keys).agg(F.percentile(value, list(qs)).alias("_q"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,15 +46,39 @@ def wide(df: DataFrame, column: str, names: Sequence[str]) -> DataFrame:
     return df.withColumns({n: F.element_at(column, k + 1) for k, n in enumerate(names)})
 
 
+def _rising(values) -> list[float] | None:
+    if values is None or any(v is None or v != v for v in values):
+        return None
+    stack: list[list[float]] = []
+    for v in values:
+        stack.append([float(v), 1])
+        while len(stack) > 1 and stack[-2][0] * stack[-1][1] > stack[-1][0] * stack[-2][1]:
+            total, n = stack.pop()
+            stack[-1][0], stack[-1][1] = stack[-1][0] + total, stack[-1][1] + n
+    return [total / n for total, n in stack for _ in range(n)]
+
+
 def isotonic(x: Column) -> Column:
-    """The nearest rising sequence in least squares: max over starts of the min over ends of the mean between."""
-    n = F.size(x)
+    """The nearest rising sequence in least squares, by pooling neighbours on a stack: linear in the length. An array with a NULL gives NULL."""
+
+    @F.pandas_udf("array<double>")
+    def project(values: pd.Series) -> pd.Series:
+        return values.map(_rising)
+
+    return project(x)
+
+
+def interp(at: Column, xs: Column, ys: Column) -> Column:
+    """Values of the line through the points (xs ascending, ys) at each of `at`; outside them the nearest end's value. NULL where there are no points."""
+    n = F.size(xs)
 
-    def mean(a: Column, b: Column) -> Column:
-        return F.aggregate(F.slice(x, a, b - a + 1), F.lit(0.0), lambda s, v: s + v) / (b - a + 1)
+    def value(p: Column) -> Column:
+        i = F.size(F.filter(xs, lambda x: x <= p))  # points at or before p
+        x0, y0 = F.try_element_at(xs, i), F.try_element_at(ys, i)
+        x1, y1 = F.try_element_at(xs, i + 1), F.try_element_at(ys, i + 1)
+        return F.when(i == 0, F.try_element_at(ys, F.lit(1))).when(i == n, F.try_element_at(ys, n)).otherwise(y0 + (y1 - y0) * (p - x0) / (x1 - x0))
 
-    at = lambda i: F.array_max(F.transform(F.sequence(F.lit(1), i), lambda a: F.array_min(F.transform(F.sequence(i, n), lambda b: mean(a, b)))))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), at)).otherwise(F.when(n == 0, x))
+    return F.when(n > 0, F.transform(at, value))
 
 
 def band(x: Column, n: int, low: int, high: int) -> tuple[Column, Column]:

@@ -1,14 +1,18 @@
-"""Queries of fitted models and of the weight grid."""
+"""Queries of fitted models, of the weight grid and of contract and regime reports."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import DAY
+from tidemark.operators import diagnostics as G
 from tidemark.operators import grid as W
 from tidemark.operators import learning as L
+from tidemark.operators import metrics as M
+from tidemark.operators import sequences as Q
+from tidemark.plans.bars import BARS, hourly
 from tidemark.plans.evaluation import M4, PRED, four, preds
-from tidemark.plans.registry import EV, early, early_sql, events, query
+from tidemark.plans.registry import EV, early, early_sql, events, query, table
 
 c = F.col
 
@@ -124,3 +128,51 @@ def _(spark, d):
 @query("D12_ranked_grid", f"{GRID}, s AS (SELECT *, round(net0 * good_blocks - dip, 6) AS score FROM grid) SELECT weights, threshold, gate, row_number() OVER (ORDER BY CASE WHEN traded < 300 THEN 1 ELSE 0 END, score DESC, weights, threshold, gate) AS rank, score FROM s", l="rank", d="threshold score", s="weights gate", digits=4)
 def _(spark, d):
     return W.ranked_grid(grid(spark, d), least_rows=300)
+
+
+@query("D15_softmax", l="event_id", d="p0 p1 p2", digits=4)
+def _(spark, d):
+    """Direction classes (down, flat, up) of the value against the one before."""
+    e = four(events(spark, d)).na.drop()
+    e = e.select("event_id", (c("k") / 100.0).alias("a"), (c("l1") / 50.0).alias("b"), F.when(c("value") > c("l1") + 10, 2).when(c("value") < c("l1") - 10, 0).otherwise(1).alias("y"))
+    p = L.softmax_prediction(["a", "b"], L.softmax_weights(e.filter(early(e)), ["a", "b"], "y", 3))
+    return e.select("event_id", *[x.alias(f"p{i}") for i, x in enumerate(p)])
+
+
+SURVIVORS = f"""WITH {PRED}, th(threshold) AS (VALUES (0.0), (15.0), (30.0)), w AS (SELECT user_id % 40 AS contract, t // {DAY} AS day, threshold, count(*) AS n, sum(sign(pred) * actual - 4.0) AS total FROM pr, th WHERE abs(pred) > threshold GROUP BY ALL),
+b AS (SELECT contract, day, arg_min(threshold, (-round(total, 6), threshold)) AS threshold, arg_min(n, (-round(total, 6), threshold)) AS n, max(total) AS total FROM w GROUP BY contract, day),
+g AS (SELECT contract, count(DISTINCT day) AS windows, count(DISTINCT CASE WHEN total > 0 THEN day END) AS positive_windows, min(total) AS worst, sum(total) AS total, sum(n) AS traded, count(*) FILTER (threshold = 0) AS zero_best, count(*) FILTER (threshold >= 15) AS high_best, count(*) FILTER (threshold >= 15 AND n < 4) AS sparse_high, count(*) FILTER (n >= 4) AS full_windows FROM b GROUP BY contract)
+SELECT *, CASE WHEN zero_best > 0 AND high_best = 0 THEN 'zero_only' WHEN full_windows = 0 THEN 'too_few_rows' WHEN positive_windows / windows < 0.5 THEN 'unstable' WHEN zero_best > high_best THEN 'zero_dominates' ELSE 'candidate' END AS status FROM g"""
+
+
+@query("A48b_contract_status", SURVIVORS, l="contract windows positive_windows traded zero_best high_best sparse_high full_windows", d="worst total", s="status")
+def _(spark, d):
+    p = preds(spark, d).select((c("user_id") % 40).alias("contract"), F.floor(c("t") / DAY).alias("day"), "pred", (F.signum("pred") * c("actual") - 4.0).alias("net"))
+    each = p.withColumn("threshold", F.explode(F.array(F.lit(0.0), F.lit(15.0), F.lit(30.0)))).filter(F.abs("pred") > c("threshold"))
+    each = each.groupBy("contract", "day", "threshold").agg(F.count("*").alias("n"), F.sum("net").alias("total"))
+    best = M.best_row(each, ["contract", "day"], [F.round("total", 6), -c("threshold")])
+    return M.contract_survivors(best, ["contract"], "day", "threshold", "n", "total", least_rows=4, high=15.0).withColumnRenamed("rows", "traded")
+
+
+REGIMES = f"""WITH {BARS}, m AS (SELECT *, CASE WHEN close > open * 1.5 THEN 'up' WHEN close < open * 0.67 THEN 'down' ELSE 'chop' END AS state, high - low AS width FROM bars),
+n AS (SELECT *, CASE WHEN lag(state) OVER w = state THEN 0 ELSE 1 END AS nw FROM m WINDOW w AS (PARTITION BY event_type ORDER BY bucket)), r AS (SELECT *, sum(nw) OVER (PARTITION BY event_type ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS g FROM n),
+z AS (SELECT event_type, g, any_value(state) AS state, count(*) AS l FROM r GROUP BY event_type, g), d AS (SELECT state, count(*) AS runs, avg(l) AS mean_length, quantile_cont(l, 0.1) AS length10, quantile_cont(l, 0.5) AS length50, quantile_cont(l, 0.9) AS length90 FROM z GROUP BY state)
+SELECT state, count(*) / (SELECT count(*) FROM m) AS share, avg(width) AS mean, quantile_cont(width, 0.05) AS q05, quantile_cont(width, 0.33) AS q33, quantile_cont(width, 0.67) AS q67, quantile_cont(width, 0.95) AS q95, any_value(runs) AS runs, any_value(mean_length) AS mean_length, any_value(length10) AS length10, any_value(length50) AS length50, any_value(length90) AS length90 FROM m JOIN d USING (state) GROUP BY state"""
+
+
+@query("D18b_regime_quantiles", REGIMES, l="runs", d="share mean q05 q33 q67 q95 mean_length length10 length50 length90", s="state")
+def _(spark, d):
+    state = F.when(c("close") > c("open") * 1.5, "up").when(c("close") < c("open") * 0.67, "down").otherwise("chop")
+    return G.regime_calibration(hourly(spark, d).withColumn("width", c("high") - c("low")), ["event_type"], ["bucket"], state, "width")
+
+
+INTERP = "SELECT vec_id, p, CASE WHEN p <= 0 THEN embedding[1] WHEN p >= len(embedding) - 1 THEN embedding[len(embedding)] ELSE embedding[floor(p)::INT + 1] + (embedding[floor(p)::INT + 2] - embedding[floor(p)::INT + 1])::DOUBLE * (p - floor(p)) END AS value FROM (SELECT vec_id, embedding::DOUBLE[] AS embedding, unnest([-1.0, 0.0, 2.25, 7.5, 1000.0]::DOUBLE[]) AS p FROM embeddings)"
+
+
+@query("S_interp", INTERP, l="vec_id", d="p value", digits=5)
+def _(spark, d):
+    """Vectors as waveforms, sampled between their points."""
+    e = table(spark, d, "embeddings").select("vec_id", c("embedding").cast("array<double>").alias("y")).filter("size(y) > 0")
+    places = F.array(*[F.lit(x) for x in (-1.0, 0.0, 2.25, 7.5, 1000.0)])
+    xs = F.transform(F.sequence(F.lit(0), F.size("y") - 1), lambda i: i.cast("double"))
+    return e.select("vec_id", F.explode(F.arrays_zip(places.alias("p"), Q.interp(places, xs, c("y")).alias("value"))).alias("r")).select("vec_id", "r.p", "r.value")
