@@ -113,3 +113,50 @@ def test_a_batch_that_dies_after_its_write_leaves_one_copy(spark, tmp_path):
     finally:
         C.add_batch = real
     assert calls[1] == calls[2] and sorted(r.ident for r in spark.read.parquet(out).collect()) == list(range(20))
+
+
+def book_messages(spark, rows):
+    levels = lambda side: [{"p": float(p), "q": float(q)} for p, q in side]
+    shape = "symbol string, seq long, t long, kind string, first long, final long, bids array<struct<p:double,q:double>>, asks array<struct<p:double,q:double>>"
+    return spark.createDataFrame([(*r[:6], levels(r[6]), levels(r[7])) for r in rows], shape)
+
+
+def test_book_state_survives_a_restart_and_writes_no_json(spark, tmp_path):
+    first = [("x", 1, 1000, "snapshot", 0, 10, [(99, 1), (98, 2)], [(101, 1)]), ("y", 2, 1000, "delta", 1, 1, [], []), ("x", 3, 1500, "delta", 11, 11, [(99, 0)], [(102, 5)])]
+    second = [("x", 4, 2500, "delta", 12, 13, [(97, 3)], [(101, 0)]), ("x", 5, 2600, "delta", 20, 21, [], []), ("y", 6, 2600, "snapshot", 0, 5, [(9, 1)], [(11, 1)])]
+    source = f"{tmp_path}/in"
+    for part in (first, second):
+        book_messages(spark, part).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(book_messages(spark, first).schema).parquet(source)
+        C.run_available(K.book_stream(stream), f"{tmp_path}/out", f"{tmp_path}/ck")
+    batch = K.book_rows(book_messages(spark, first + second))
+    got = spark.read.schema(batch.schema).parquet(f"{tmp_path}/out")
+    assert rows(got, *batch.columns) == rows(batch, *batch.columns)
+    assert {r.seq: r.status for r in got.collect()} == {1: "snapshot", 2: "waiting", 3: "applied", 4: "applied", 5: "gap", 6: "snapshot"}
+    import inspect
+
+    assert "json" not in inspect.getsource(K.BookProcessor)
+
+
+def test_timers_emit_aligned_books(spark, tmp_path):
+    rows_ = [("x", 1, 1200, "snapshot", 0, 10, [(99, 1)], [(101, 1)]), ("x", 2, 2100, "delta", 11, 11, [(98, 4)], []), ("x", 3, 9000, "delta", 12, 12, [(97, 1)], [])]
+    source, shape = f"{tmp_path}/in", book_messages(spark, rows_).schema
+    for r in rows_:
+        book_messages(spark, [r]).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(source)
+        C.run_available(K.book_stream(stream, every_ms=1000, late="0 seconds"), f"{tmp_path}/out", f"{tmp_path}/ck")
+    got = {r.t: (r.seq, [b.p for b in r.bids]) for r in spark.read.parquet(f"{tmp_path}/out").filter("status = 'timer'").collect()}
+    assert got[2000] == (10, [99.0]) or got[2000] == (11, [99.0, 98.0])
+    assert all(t % 1000 == 0 for t in got) and {2000, 3000, 4000, 8000} <= set(got) and max(got) <= 9000
+    with pytest.raises(ValueError):
+        K.book_stream(spark.readStream.schema(shape).parquet(source), every_ms=1, ttl_ms=1)
+
+
+def test_book_queries_on_streams(spark):
+    from tidemark import plans
+
+    key = lambda r: (r.symbol, r.seq)
+    stream, batch = (sorted(plans.QUERIES[q](spark, SF).collect(), key=key) for q in ("T5b_book_stream", "T5_order_book_state"))
+    assert stream == batch and len(batch)
+    timed = plans.QUERIES["T2b_timed_books"](spark, SF).collect()
+    assert timed and all(r.t % (6 * 3_600_000) == 0 for r in timed) and len({(r.symbol, r.t) for r in timed}) == len(timed)

@@ -13,9 +13,10 @@ from tidemark.operators import splits as V
 from tidemark.plans.bars import BARS, hourly
 from tidemark.plans.labelling import placed
 from tidemark.plans.registry import EV, events, query, table
-from tidemark.plans.streams import trades
+from tidemark.plans.streams import messages, trades
 from tidemark.sources import files as S
 from tidemark.sources import sinks as K
+from tidemark.streaming import book as B
 from tidemark.streaming import candles as C
 
 c = F.col
@@ -136,11 +137,12 @@ def _(spark, d):
     return spark.read.parquet(path).groupBy("split").agg(F.count("*").alias("rows_in"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"), F.sum("value").alias("total"))
 
 
-def in_two_runs(spark, d, rows, start):
+def in_two_runs(spark, d, rows, start, late_first=True):
     """Write the later half of rows, run the stream to its end, add the earlier half, and run it again."""
     source, out, checkpoint = (K.scratch_path(spark, x) for x in ("in", "out", "ck"))
     half = middle(rows)
-    for part in (rows.filter(c("t") >= half), rows.filter(c("t") < half)):
+    parts = [rows.filter(c("t") >= half), rows.filter(c("t") < half)]
+    for part in parts if late_first else parts[::-1]:
         part.write.mode("append").parquet(source)
         start(spark.readStream.schema(rows.schema).parquet(source), out, checkpoint)
     return spark.read.parquet(out)
@@ -192,3 +194,18 @@ def _(spark, d):
     rows = events(spark, d).select("event_id", "user_id", "t", "k")
     start = lambda s, out, ck: C.run_available(s.withColumn("feature", 1000 * c("k") + c("event_id") % 7), out, ck)
     return in_two_runs(spark, d, rows, start)
+
+
+@query("T5b_book_stream", l="seq t", d="best_bid best_ask mid_price spread_percent bid_depth_10bps order_book_imbalance_25bps", s="symbol status")
+def _(spark, d):
+    """The rows of T5 from a stream that is stopped half-way: the second run finds the books in their state store."""
+    out = in_two_runs(spark, d, messages(spark, d), lambda s, o, ck: C.run_available(B.book_stream(s), o, ck), late_first=False)
+    return B.book_metrics(out)
+
+
+@query("T2b_timed_books", l="t levels", s="symbol")
+def _(spark, d):
+    """Books at every sixth hour by timers of the stream, also where no message arrives."""
+    timed = lambda s, o, ck: C.run_available(B.book_stream(s, every_ms=6 * HOUR, late="0 seconds"), o, ck)
+    out = in_two_runs(spark, d, messages(spark, d), timed, late_first=False).filter("status = 'timer'")
+    return out.withColumn("levels", F.size("bids") + F.size("asks"))

@@ -7,13 +7,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.functions.semantics import safe_div
 from tidemark.operators.folds import fold
 
 c = F.col
 OUT = "symbol string, seq long, t long, status string, bids array<struct<p:double,q:double>>, asks array<struct<p:double,q:double>>"
-STATE = "last long, bids string, asks string"
 
 
 class Book:
@@ -76,17 +76,76 @@ def book_rows(messages: DataFrame, depth: int = 50) -> DataFrame:
     return fold(messages, ["symbol"], ["seq"], step, OUT)
 
 
-def book_stream(messages: DataFrame, depth: int = 50) -> DataFrame:
-    """Streaming form: the same fold, its state kept per symbol between micro-batches (T5)."""
-    import json
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, bids, asks = state.get if state.exists else (None, "[]", "[]")
-        book = Book(last, dict(map(tuple, json.loads(bids))), dict(map(tuple, json.loads(asks))), depth)
-        yield _fold(book, pd.concat(list(batches)))
-        state.update((book.last, json.dumps(list(book.bids.items())), json.dumps(list(book.asks.items()))))
-
-    return messages.groupBy("symbol").applyInPandasWithState(step, OUT, STATE, "append", "NoTimeout")
+#: State that transformWithState can keep: maps, timers and time limits need this provider.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class BookProcessor(StatefulProcessor):
+    """A symbol's book as state: a map of price to quantity for each side and the last update.
+
+    Only levels that a batch has changed are written. With every_ms, a timer at each multiple of it emits the book
+    as it stands (status "timer", seq of the last update), whether or not messages arrive; timers follow the
+    watermark and stop while the book awaits a snapshot. With ttl_ms, a book that nothing has touched for so long is forgotten.
+    """
+
+    def __init__(self, depth: int = 50, every_ms: int | None = None, ttl_ms: int | None = None):
+        self.depth, self.every_ms, self.ttl_ms = depth, every_ms, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        ttl = {} if self.ttl_ms is None else {"ttl_duration_ms": self.ttl_ms}
+        self.last = handle.getValueState("last", "last long, t long", **ttl)
+        self.sides = [handle.getMapState(name, "p double", "q double", **ttl) for name in ("bids", "asks")]
+
+    def _read(self) -> tuple[Book, int | None]:
+        at = self.last.get() if self.last.exists() else None
+        levels = [{p[0]: q[0] for p, q in side.iterator()} if at is not None else {} for side in self.sides]
+        return Book(at[0] if at is not None else None, *levels, depth=self.depth), at[1] if at is not None else None
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        book, _ = self._read()
+        old = [dict(book.bids), dict(book.asks)]
+        batch = pd.concat(list(rows))
+        yield _fold(book, batch)
+        for side, before, now in zip(self.sides, old, (book.bids, book.asks)):
+            for p in before.keys() - now.keys():
+                side.removeKey((p,))
+            for p, q in now.items():
+                if before.get(p) != q or self.ttl_ms is not None:
+                    side.updateValue((p,), (q,))
+        if book.last is None:
+            self.last.clear()
+        else:
+            self.last.update((book.last, int(batch["t"].max())))
+        if self.every_ms is not None and not list(self.handle.listTimers()):
+            self.handle.registerTimer((int(batch["t"].min()) // self.every_ms + 1) * self.every_ms)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at, book = expiredTimerInfo.getExpiryTimeInMs(), self._read()[0]
+        if book.last is None:
+            return
+        b, a = ([{"p": p, "q": q} for p, q in side] for side in book.levels())
+        due = range(at, max(at, timerValues.getCurrentWatermarkInMs()) + 1, self.every_ms)  # the watermark can pass several at once
+        yield pd.DataFrame([(key[0], book.last, t, "timer", b, a) for t in due], columns=["symbol", "seq", "t", "status", "bids", "asks"])
+        self.handle.registerTimer(due[-1] + self.every_ms)
+
+    def close(self) -> None:
+        pass
+
+
+def book_stream(messages: DataFrame, depth: int = 50, every_ms: int | None = None, late: str = "1 minute", ttl_ms: int | None = None) -> DataFrame:
+    """Streaming form: the same fold, its state kept per symbol between micro-batches (T5), with timed snapshots.
+
+    every_ms: emit each book at multiples of it in event time, once the watermark (`late` behind the newest t) has
+    passed. ttl_ms: forget books untouched for so long in processing time; not together with every_ms.
+    """
+    if every_ms is not None and ttl_ms is not None:
+        raise ValueError("books have timers or a time limit, not both")
+    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    mode = "eventTime" if every_ms is not None else "processingTime" if ttl_ms is not None else "none"
+    if every_ms is not None:
+        messages = messages.withColumn("_ts", F.timestamp_millis("t")).withWatermark("_ts", late)
+    return messages.groupBy("symbol").transformWithStateInPandas(BookProcessor(depth, every_ms, ttl_ms), OUT, "append", mode)
 
 
 def _depth(levels: Column, keep) -> Column:
