@@ -11,12 +11,56 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: step(rows of one key, state or None) -> (rows to emit or None, state)
 Step = Callable[[pd.DataFrame, Any], tuple[pd.DataFrame | None, Any]]
 
 
+def starts(columns: Sequence[pa.Array]) -> list[int]:
+    """Rows at which any of the columns differs from the row before; NULL equals NULL."""
+    size = len(columns[0])
+    new = np.zeros(size, dtype=bool)
+    new[0] = True
+    for x in columns:
+        now, before = x[1:], x[:-1]
+        differs = pc.or_(pc.fill_null(pc.not_equal(now, before), False), pc.not_equal(pc.is_null(now), pc.is_null(before)))
+        new[1:] |= differs.to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new).tolist()
+
+
+def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str], fields: Sequence[T.StructField], start: Callable[[], Any], step: Callable[..., tuple]) -> DataFrame:
+    """df with one value a field and row: step(state, *values of the inputs) changes the key's state, made by start(), in place.
+
+    Like fold(), but a call a row and no frame a key: for small states, and for many short keys.
+    """
+    keys = list(keys)
+    rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    schema = T.StructType([*rows.schema.fields, *fields])
+    at, read = [rows.columns.index(k) for k in keys], [rows.columns.index(x) for x in inputs]
+    types = {f.name: pa.int64() if isinstance(f.dataType, T.LongType) else pa.float64() for f in fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            edges = starts([batch.column(i) for i in at])
+            columns, out = [batch.column(i).to_pylist() for i in read], []
+            for a, b in zip(edges, [*edges[1:], batch.num_rows]):
+                key = tuple(batch.column(i)[a].as_py() for i in at)
+                if key != last or state is None:
+                    last, state = key, start()
+                out += [step(state, *values) for values in zip(*(x[a:b] for x in columns))]
+            made = [pa.array(x, t) for x, t in zip(zip(*out), types.values())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *types])
+
+    return rows.mapInArrow(run, schema)
+
+
 def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, schema: Any, finish: Callable[[tuple, Any], pd.DataFrame] | None = None) -> DataFrame:
     """Run step over each key's rows in order; finish(key, state) may add rows after a key's last one."""
     keys = list(keys)

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.calendar import DAY
 from tidemark.functions.semantics import log_bps, safe_div
-from tidemark.operators.folds import fold
+from tidemark.operators.folds import scan
 from tidemark.operators.series import Series
 
 c = F.col
@@ -110,50 +110,43 @@ def ema_paths(df: DataFrame, keys: list[str], order: list[str], value: str, span
     offset b = sum of a (1 - a)^(n - i) x_i, y is (1 - a)^n y0 + b, where y0 is the mean before the block (the first
     value of all in the first one). Blocks fold apart, in constant memory; the table of blocks is folded by key.
     """
-    import pandas as pd
-
     plan = {name: (value, x) if isinstance(x, (int, float)) else x for name, x in spans.items()}
     columns = list(dict.fromkeys(x for x, _ in plan.values()))
-    rows = df.withColumn("_block", F.floor(c(order[0]).cast("double") / block))
-    extra = [*(f"_n{i} long" for i in range(len(columns))), *(f"_b{i} double" for i in range(len(plan)))]
-    schema = T.StructType([*rows.schema.fields, *T._parse_datatype_string(", ".join(extra)).fields])
+    rows = df.withColumns({"_block": F.floor(c(order[0]).cast("double") / block)} | {f"_x{i}": c(x).cast("double") for i, x in enumerate(columns)})
+    each = [[(j, a) for j, (x, a) in enumerate(plan.values()) if x == column] for column in columns]
+    field = lambda name, kind: T.StructField(name, kind)
+    counts, offsets = [field(f"_n{i}", T.LongType()) for i in range(len(columns))], [field(f"_b{i}", T.DoubleType()) for i in range(len(plan))]
 
-    def inside(pdf: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
-        counts, offsets = state or ([0] * len(columns), [0.0] * len(plan))
-        out, xs = pdf.copy(), [pdf[x].astype("float64").reset_index(drop=True) for x in columns]
+    def inside(state: tuple[list[int], list[float]], *xs: float | None) -> tuple:
+        n, b = state
         for i, x in enumerate(xs):
-            n = counts[i] + x.notna().cumsum().to_numpy()
-            out[f"_n{i}"], counts = n, [*counts[:i], int(n[-1]), *counts[i + 1 :]]
-        for i, (x, alpha) in enumerate(plan.values()):
-            b = pd.concat([pd.Series([offsets[i]]), xs[columns.index(x)]], ignore_index=True).ewm(alpha=alpha, adjust=False, ignore_na=True).mean().to_numpy()[1:]
-            out[f"_b{i}"], offsets = b, [*offsets[:i], float(b[-1]), *offsets[i + 1 :]]
-        return out, (counts, offsets)
-
-    folded = fold(rows, [*keys, "_block"], order, inside, schema)
+            if x is not None and x == x:
+                n[i] += 1
+                for j, a in each[i]:
+                    b[j] += a * (x - b[j])
+        return (*n, *b)
+
+    xs = [f"_x{i}" for i in range(len(columns))]
+    folded = scan(rows, [*keys, "_block"], order, xs, [*counts, *offsets], lambda: ([0] * len(columns), [0.0] * len(plan)), inside)
     usable = lambda x: c(x).isNotNull() & ~F.isnan(c(x).cast("double"))
     at = F.struct(*order)
     blocks = folded.groupBy(*keys, "_block").agg(
         *[F.max(f"_n{i}").alias(f"_n{i}") for i in range(len(columns))], *[F.max_by(f"_b{i}", at).alias(f"_b{i}") for i in range(len(plan))],
         *[F.min_by(c(x).cast("double"), F.when(usable(x), at)).alias(f"_f{i}") for i, x in enumerate(columns)],
     )
-    carried = [*(f"_s{i}" for i in range(len(columns))), *(f"_y{i}" for i in range(len(plan)))]
-    shape = T.StructType([*blocks.select(*keys, "_block").schema.fields, *T._parse_datatype_string(", ".join(f"{x} {'long' if x[1] == 's' else 'double'}" for x in carried)).fields])
-
-    def across(pdf: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
-        seen, means = state or ([0] * len(columns), [None] * len(plan))
-        found = []
-        for r in pdf.to_dict("records"):
-            starts = [r[f"_f{columns.index(x)}"] if y is None else y for y, (x, _) in zip(means, plan.values())]
-            found.append([*seen, *starts])
-            means = [(1 - a) ** r[f"_n{columns.index(x)}"] * y + r[f"_b{i}"] if y is not None and y == y else None for i, (y, (x, a)) in enumerate(zip(starts, plan.values()))]
-            seen = [n + r[f"_n{i}"] for i, n in enumerate(seen)]
-        extra = pd.DataFrame(found, columns=carried)
-        for x in carried:
-            extra[x] = extra[x].astype("int64" if x[1] == "s" else "float64")
-        return pd.concat([pdf[[*keys, "_block"]].reset_index(drop=True), extra], axis=1), (seen, means)
-
-    before = fold(blocks, keys, ["_block"], across, shape)
-    before = before.select(*[c(k).alias(f"_k_{k}") for k in [*keys, "_block"]], *carried)
+    carried = [*(field(f"_s{i}", T.LongType()) for i in range(len(columns))), *(field(f"_y{i}", T.DoubleType()) for i in range(len(plan)))]
+    place = [columns.index(x) for x, _ in plan.values()]
+
+    def across(state: dict, *values) -> tuple:
+        n, b, first = values[: len(columns)], values[len(columns) : -len(columns)], values[-len(columns) :]
+        seen, y0 = tuple(state["n"]), [first[i] if y is None else y for y, i in zip(state["y"], place)]
+        state["y"] = [None if y is None else (1 - a) ** n[i] * y + v for y, v, i, (_, a) in zip(y0, b, place, plan.values())]
+        state["n"] = [p + q for p, q in zip(seen, n)]
+        return (*seen, *y0)
+
+    needed = [*(f.name for f in (*counts, *offsets)), *(f"_f{i}" for i in range(len(columns)))]
+    before = scan(blocks, keys, ["_block"], needed, carried, lambda: {"n": [0] * len(columns), "y": [None] * len(plan)}, across)
+    before = before.select(*[c(k).alias(f"_k_{k}") for k in [*keys, "_block"]], *[f.name for f in carried])
     on = F.lit(True)
     for k in [*keys, "_block"]:
         on = on & folded[k].eqNullSafe(before[f"_k_{k}"])

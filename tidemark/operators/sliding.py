@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.folds import starts as starts_of
+
 c = F.col
 
 FIELDS = ("n", "first", "high", "low", "sum", "known", "up", "down", "var", "slope")
@@ -61,18 +63,6 @@ def summaries(t: np.ndarray, price: np.ndarray, change: np.ndarray, a: int, b: i
     return [(hi - lo).astype(float), price[lo], extremes(price, lo, hi), -extremes(-price, lo, hi), np.where(n > 0, k, np.nan), n, total(change > 0), total(change < 0), var, slope]
 
 
-def _starts(columns: Sequence[pa.Array]) -> list[int]:
-    """Rows at which any of the columns differs from the row before; NULL equals NULL."""
-    size = len(columns[0])
-    new = np.zeros(size, dtype=bool)
-    new[0] = True
-    for x in columns:
-        now, before = x[1:], x[:-1]
-        differs = pc.or_(pc.fill_null(pc.not_equal(now, before), False), pc.not_equal(pc.is_null(now), pc.is_null(before)))
-        new[1:] |= differs.to_numpy(zero_copy_only=False)
-    return np.flatnonzero(new).tolist()
-
-
 def _numbers(table: pa.Table, name: str) -> np.ndarray:
     return pc.cast(table[name], pa.float64()).to_numpy()
 
@@ -119,7 +109,7 @@ def time_ranges(df: DataFrame, keys: Sequence[str], time: str, price: str, chang
         for batch in batches:
             if not batch.num_rows:
                 continue
-            starts = _starts([batch.column(i) for i in at])
+            starts = starts_of([batch.column(i) for i in at])
             for a, b in zip(starts, [*starts[1:], batch.num_rows]):
                 now = tuple(batch.column(i)[a].as_py() for i in at)
                 if now != key and held:

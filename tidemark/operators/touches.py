@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.sliding import _numbers, _starts
+from tidemark.operators.folds import starts as starts_of
+from tidemark.operators.sliding import _numbers
 
 c = F.col
 
@@ -93,7 +94,7 @@ def touch_steps(df: DataFrame, keys: Sequence[str], order: Sequence[str], price:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            starts = _starts([batch.column(i) for i in at])
+            starts = starts_of([batch.column(i) for i in at])
             for a, b in zip(starts, [*starts[1:], batch.num_rows]):
                 now = tuple(batch.column(i)[a].as_py() for i in at)
                 if now != key and held:
