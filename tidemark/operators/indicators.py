@@ -106,9 +106,9 @@ def ema_paths(df: DataFrame, keys: list[str], order: list[str], value: str, span
     """Exponential means by the recursion y = a x + (1 - a) y, seeded with the first value.
 
     spans maps a column name to alpha, or to another value column and alpha. NULLs keep the last state.
-    The recursion is a scan over blocks of (key, order[0] / block): with n values of a block so far and their
-    offset b = sum of a (1 - a)^(n - i) x_i, y is (1 - a)^n y0 + b, where y0 is the mean before the block (the first
-    value of all in the first one). Blocks fold apart, in constant memory; the table of blocks is folded by key.
+    The recursion is a scan over blocks of (key, order[0] / block): with b the recursion seeded with the block's own
+    first value z, and n its values so far, y is b + (1 - a)^n (y0 - z), where y0 is the mean before the block (z in
+    the first one). Blocks are scanned apart, in constant memory; the table of blocks is scanned by key.
     """
     plan = {name: (value, x) if isinstance(x, (int, float)) else x for name, x in spans.items()}
     columns = list(dict.fromkeys(x for x, _ in plan.values()))
@@ -123,26 +123,26 @@ def ema_paths(df: DataFrame, keys: list[str], order: list[str], value: str, span
             if x is not None and x == x:
                 n[i] += 1
                 for j, a in each[i]:
-                    b[j] += a * (x - b[j])
+                    b[j] = x if b[j] is None else a * x + (1 - a) * b[j]
         return (*n, *b)
 
     xs = [f"_x{i}" for i in range(len(columns))]
-    folded = scan(rows, [*keys, "_block"], order, xs, [*counts, *offsets], lambda: ([0] * len(columns), [0.0] * len(plan)), inside)
+    folded = scan(rows, [*keys, "_block"], order, xs, [*counts, *offsets], lambda: ([0] * len(columns), [None] * len(plan)), inside)
     usable = lambda x: c(x).isNotNull() & ~F.isnan(c(x).cast("double"))
     at = F.struct(*order)
     blocks = folded.groupBy(*keys, "_block").agg(
         *[F.max(f"_n{i}").alias(f"_n{i}") for i in range(len(columns))], *[F.max_by(f"_b{i}", at).alias(f"_b{i}") for i in range(len(plan))],
         *[F.min_by(c(x).cast("double"), F.when(usable(x), at)).alias(f"_f{i}") for i, x in enumerate(columns)],
     )
-    carried = [*(field(f"_s{i}", T.LongType()) for i in range(len(columns))), *(field(f"_y{i}", T.DoubleType()) for i in range(len(plan)))]
+    carried = [*(field(f"_s{i}", T.LongType()) for i in range(len(columns))), *(field(f"_y{i}", T.DoubleType()) for i in range(len(plan))), *(field(f"_z{i}", T.DoubleType()) for i in range(len(columns)))]
     place = [columns.index(x) for x, _ in plan.values()]
 
     def across(state: dict, *values) -> tuple:
         n, b, first = values[: len(columns)], values[len(columns) : -len(columns)], values[-len(columns) :]
         seen, y0 = tuple(state["n"]), [first[i] if y is None else y for y, i in zip(state["y"], place)]
-        state["y"] = [None if y is None else (1 - a) ** n[i] * y + v for y, v, i, (_, a) in zip(y0, b, place, plan.values())]
+        state["y"] = [y if v is None else v + (1 - a) ** n[i] * (y - first[i]) for y, v, i, (_, a) in zip(y0, b, place, plan.values())]
         state["n"] = [p + q for p, q in zip(seen, n)]
-        return (*seen, *y0)
+        return (*seen, *y0, *first)
 
     needed = [*(f.name for f in (*counts, *offsets)), *(f"_f{i}" for i in range(len(columns)))]
     before = scan(blocks, keys, ["_block"], needed, carried, lambda: {"n": [0] * len(columns), "y": [None] * len(plan)}, across)
@@ -153,7 +153,7 @@ def ema_paths(df: DataFrame, keys: list[str], order: list[str], value: str, span
     out = folded.join(before, on)
     for i, (name, (x, alpha)) in enumerate(plan.items()):
         j = columns.index(x)
-        mean = F.pow(F.lit(1.0 - alpha), c(f"_n{j}")) * c(f"_y{i}") + c(f"_b{i}")
+        mean = F.when(c(f"_n{j}") == 0, c(f"_y{i}")).otherwise(c(f"_b{i}") + F.pow(F.lit(1.0 - alpha), c(f"_n{j}")) * (c(f"_y{i}") - c(f"_z{j}")))
         out = out.withColumn(name, F.when(c(f"_n{j}") + c(f"_s{j}") >= max(1, least), mean))
     return out.select(*df.columns, *plan)
 
