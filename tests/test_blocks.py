@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof
 from tidemark.operators.indicators import ema_paths, macd, wilder_rsi
+from tidemark.operators.sequential import non_overlapping
 
 c = F.col
 
@@ -100,3 +101,40 @@ def test_macd_and_wilder_over_blocks(spark):
     up, down = (v.ewm(alpha=1 / 14, adjust=False, min_periods=14).mean() for v in (change.clip(lower=0), (-change).clip(lower=0)))
     rsi = sorted(wilder_rsi(df, ["k"], ["t"], "x", 14).collect(), key=lambda r: r.t)
     assert np.allclose([np.nan if r.rsi_wilder is None else r.rsi_wilder for r in rsi], 100 - 100 / (1 + up / down), atol=1e-6, equal_nan=True)
+
+
+def plain_selection(rows, horizon):
+    free, kept = {}, []
+    for k, t, i in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        if k not in free or t >= free[k]:
+            kept.append((k, t, i))
+            free[k] = t + horizon
+    return sorted(kept, key=str)
+
+
+@pytest.mark.parametrize("horizon, block, span", [(1, 1, 60), (7, 7, 300), (7, 20, 300), (50, 64, 4000), (50, 1000, 4000), (3, None, 900), (1000, None, 900)])
+def test_selection_in_blocks(spark, horizon, block, span):
+    rng = random.Random(horizon * 1000 + (block or 0))
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.randrange(-span, span), i) for i in range(700)]
+    rows += [("every", t, 1000 + t) for t in range(200)]  # no two chains meet
+    rows += [("far", t, 5000 + t) for t in (-span * 9, 0, span * 50)] + [("one", 5, 1), ("one", 5, 1)]
+    df = spark.createDataFrame([(*r, "x") for r in rows] + [("a", None, 9999, "x")], "k string, t long, i long, _n string").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
+    try:
+        got = non_overlapping(df, ["k"], "t", "i", horizon, block).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted([tuple(r) for r in got], key=str) == plain_selection(rows, horizon)
+
+
+def test_selection_of_one_key_lies_in_many_tasks(spark):
+    rows = spark.range(20_000).select(F.lit("hot").alias("k"), c("id").alias("t"), c("id").alias("i"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = non_overlapping(rows, ["k"], "t", "i", 7)
+        per = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert len(per) == 4 and sum(per) == -(-20_000 // 7) and max(per) < 0.5 * sum(per)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert non_overlapping(rows, ["k"], "t", "i", 0).count() == 20_000
+    assert non_overlapping(rows.limit(0), ["k"], "t", "i", 7).collect() == []

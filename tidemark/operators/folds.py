@@ -61,6 +61,47 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Seque
     return rows.mapInArrow(run, schema)
 
 
+def condense(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str], fields: Sequence[T.StructField], start: Callable[[Any], Any], step: Callable[..., Any], finish: Callable[[Any], list[tuple]]) -> DataFrame:
+    """keys and fields only: rows finish(state) of each key, after step(state, *lists of the inputs) has read its rows in order.
+
+    start(first row's inputs) makes the state, which step changes in place. No frame a key, as in scan().
+    """
+    keys = list(keys)
+    rows = df.select(*dict.fromkeys([*keys, *order, *inputs])).repartition(*keys).sortWithinPartitions(*keys, *order)
+    schema = T.StructType([*(rows.schema[k] for k in keys), *fields])
+    at, read = [rows.columns.index(k) for k in keys], [rows.columns.index(x) for x in inputs]
+    types = [pa.int64() if isinstance(f.dataType, T.LongType) else pa.float64() for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state, kinds, out = None, None, None, []
+
+        def emit(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), [*kinds, *types])], names=schema.names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kinds, columns = [batch.column(i).type for i in at], [batch.column(i).to_pylist() for i in read]
+            names = [batch.column(i).to_pylist() for i in at]
+            edges = starts([batch.column(i) for i in at])
+            for a, b in zip(edges, [*edges[1:], batch.num_rows]):
+                key = tuple(x[a] for x in names)
+                if key != last or state is None:
+                    if state is not None:
+                        out += [(*last, *row) for row in finish(state)]
+                    last, state = key, start(*(x[a] for x in columns))
+                step(state, *(x[a:b] for x in columns))
+            if out:
+                yield emit(out)
+                out = []
+        if state is not None:
+            out += [(*last, *row) for row in finish(state)]
+        if out:
+            yield emit(out)
+
+    return rows.mapInArrow(run, schema)
+
+
 def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, schema: Any, finish: Callable[[tuple, Any], pd.DataFrame] | None = None) -> DataFrame:
     """Run step over each key's rows in order; finish(key, state) may add rows after a key's last one."""
     keys = list(keys)

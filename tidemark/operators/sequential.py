@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -13,25 +14,70 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.semantics import safe_div
-from tidemark.operators.folds import fold
+from tidemark.operators.folds import condense, fold, scan
 
 c = F.col
 
 
-def non_overlapping(df: DataFrame, keys: Sequence[str], time: str, seq: str, horizon: int) -> DataFrame:
-    """Greedy: the next row at or after the last taken one + horizon (D1, D5). The state is the last taken time."""
-    rows = df.select(*keys, time, seq).filter(c(time).isNotNull())
+def non_overlapping(df: DataFrame, keys: Sequence[str], time: str, seq: str, horizon: int, block: int | None = None) -> DataFrame:
+    """Greedy: the next row at or after the last taken one + horizon (D1, D5). Rows without a time take no part.
 
-    def step(pdf: pd.DataFrame, free: int | None) -> tuple[pd.DataFrame, int]:
-        t = pdf[time].to_numpy()
-        at, taken = 0 if free is None else int(np.searchsorted(t, free)), []
+    Of rows of one time the first by seq is taken; with a horizon of 0 or less nothing overlaps and every row is.
+    Rows lie in blocks of (key, time), so one key spreads over as many tasks as it has blocks. A block does not know
+    when the block before it lets go, but that is less than a horizon past its own start. So it follows the selection
+    from each row of its first horizon (chains that meet are one from there on) and leaves a small table: entered at,
+    left with. These tables are walked by key, and each block then selects from its true entry. `block` is the width of
+    a block, 64 horizons unless given and at least one; it does not change the result.
+    """
+    rows = df.select(*keys, time, seq).filter(c(time).isNotNull())
+    if horizon <= 0:
+        return rows
+    width = max(block or 64 * horizon, horizon)
+    rows = rows.withColumn("_block", F.floor(c(time) / width))
+    near, whole = [*keys, "_block"], lambda x: T.StructField(x, T.LongType())
+
+    def follow(state: list, t: list[int]) -> None:
+        limit, chains = state
+        at = 0
         while at < len(t):
-            taken.append(at)
-            free = int(t[at]) + horizon
-            at = max(at + 1, int(np.searchsorted(t, free)))
-        return pdf.iloc[taken], free
-
-    return fold(rows, keys, [time, seq], step, rows.schema)
+            now, met = t[at], []
+            while chains and chains[0][0] <= now:
+                met += chains.popleft()[1]
+            if limit is not None:
+                met.append(now)
+                limit = limit if now < limit else None
+            if met:
+                chains.append((now + horizon, met))
+            at = at + 1 if limit is not None else max(at + 1, bisect_left(t, chains[0][0]))
+        state[0] = limit
+
+    def table(state: list) -> list[tuple[int, int]]:
+        ways = sorted((entered, free) for free, met in state[1] for entered in met)
+        return [x for x, after in zip(ways, [*ways[1:], (0, None)]) if x[1] != after[1]]
+
+    def walk(state: list, block: int, upto: int, left: int) -> tuple[int | None]:
+        held = None
+        if block != state[0]:
+            held = state[1]
+            state[0], state[2] = block, False
+        if not state[2] and (state[1] is None or state[1] <= upto):
+            state[1], state[2] = left, True
+        return (held,)
+
+    def take(state: list[int | None], t: int | None, free: int | None) -> tuple[int]:
+        if t is None:  # the row that carries the entry sorts first
+            state[0] = free
+        elif state[0] is None or t >= state[0]:
+            state[0] = t + horizon
+            return (1,)
+        return (0,)
+
+    ways = condense(rows, near, [time], [time], [whole("_upto"), whole("_left")], lambda t: [t // width * width + horizon, deque()], follow, table)
+    walked = scan(ways, keys, ["_block", "_upto"], ["_block", "_upto", "_left"], [whole("_free")], lambda: [None, None, True], walk)
+    entries = walked.filter(c("_free").isNotNull()).select(*near, "_free")
+    both = rows.withColumn("_free", F.lit(None).cast("long")).unionByName(entries, allowMissingColumns=True)
+    taken = scan(both, near, [time, seq], [time, "_free"], [whole("_taken")], lambda: [None], take)
+    return taken.filter("_taken = 1").select(*keys, time, seq)
 
 
 def density_limited(df: DataFrame, keys: Sequence[str], order: Sequence[str], signal: Column, n: int, most: int) -> DataFrame:
