@@ -1,3 +1,4 @@
+import random
 import zipfile
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.sources import files as S
 from tidemark.sources import sinks as K
+from tidemark.sources import tapes as X
 
 
 def test_csv_lineage_and_prices(spark, tmp_path):
@@ -20,7 +22,7 @@ def test_csv_lineage_and_prices(spark, tmp_path):
 def test_zipped_klines(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "XYZ-1m-2024-02.zip", "w") as z:
         z.writestr("a.csv", "1706745600000,1,2,0.5,1.5,10,1706745659999,15,7,4,6,0\n1706745660000000,1.5,2,1,1.8,20,1706745719999000,30,9,8,12,0\n")
-    got = sorted(S.read_zipped_klines(spark, str(tmp_path)).collect(), key=lambda r: r.open_time)
+    got = sorted(X.read_zipped_klines(spark, str(tmp_path)).collect(), key=lambda r: r.open_time)
     assert [(r.open_time, r.close, r.number_of_trades) for r in got] == [(1706745600000, 1.5, 7), (1706745660000, 1.8, 9)]
 
 
@@ -77,3 +79,62 @@ def test_appends_refuse_row_by_row(spark, tmp_path):
     assert add([("x", 0, 3, "c"), ("x", 1, 3, "d"), ("x", 2, 2, "e"), ("x", 3, 9, "f"), ("x", 4, 8, "g"), (None, 0, 5, "n"), (None, 1, 6, "m"), ("y", 0, None, "void"), ("y", 1, 0, "y")]) == 5
     assert kept() == ["a", "b", "c", "f", "m", "n", "y"]
     assert add([]) == 0 and len(kept()) == 7
+
+
+def test_members_of_archives(spark, tmp_path):
+    line = "{},1,2,0.5,1.5,10,1706745659999,15,7,4,6,0\n"
+    with zipfile.ZipFile(tmp_path / "A-1m-2024-02.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("0.csv", ",".join(S.KLINE) + "\n" + "".join(line.format(1706745600000 + i) for i in range(3)))
+        z.writestr("1.CSV", "".join(line.format(1706745700000 + i) for i in range(120_000)))
+        z.writestr("empty.csv", "")
+        z.writestr("readme.txt", "x")
+    with zipfile.ZipFile(tmp_path / "none.zip", "w"):
+        pass
+    assert sorted((r.member, r.size > 0) for r in X.zip_members(spark, str(tmp_path)).collect()) == [("0.csv", True), ("1.CSV", True), ("empty.csv", False)]
+    got = X.read_zipped_klines(spark, f"file://{tmp_path}", tasks=3)
+    assert got.count() == 120_003 and got.select("open_time").distinct().count() == 120_003
+    assert X.read_zipped_klines(spark, str(tmp_path), nrows=10).count() == 3 + 10
+
+
+def plain_tape(path):
+    out, at = [], 0
+    for i, x in enumerate(path.read_bytes().split(b"\n")):
+        if i and x.strip():
+            out.append((at, X.to_ms(x.split(b",")[1].decode()) if x.count(b",") > 1 else None))
+        at += len(x) + 1
+    return out
+
+
+def within(df, start, end):
+    rows = ((r.source_file, r.line_at, X.to_ms(r.timestamp_ms or "")) for r in df.collect())
+    return sorted((f, at) for f, at, t in rows if t is not None and start <= t < end)
+
+
+def test_ranges_of_tapes(spark, tmp_path):
+    rng, base, slack = random.Random(5), 1_700_000_000_000, 40
+    for name, n, wobble in (("a.csv", 4000, 0), ("b.csv", 3000, slack), ("c.csv", 1, 0), ("d.csv", 0, 0)):
+        with open(tmp_path / name, "w", newline="") as f:
+            f.write("id,timestamp_ms,price,note\r\n" if name == "b.csv" else "id,timestamp_ms,price,note\n")
+            for i in range(n):
+                f.write(rng.choice(["", "", "", "broken\n", f"{i},?,1,\n", "\n"]) if i % 50 == 7 else "")
+                f.write(f"{i},{base + i // 3 * 10 - rng.randint(0, wobble)},1.5,{'x' * rng.randint(0, 60)}\n")
+    (tmp_path / "e.csv").write_text("")
+    (tmp_path / "f.csv").write_text(f"timestamp_ms,id,price,note\n{base + 5},9,1,no line end")
+    plain = {f.name: plain_tape(f) for f in tmp_path.iterdir() if f.name in "a.csv b.csv c.csv d.csv"} | {"f.csv": [(len("timestamp_ms,id,price,note\n"), base + 5)]}
+    for start, end in ((base, base + 1), (base + 2000, base + 2600), (base - 99, base + 99_999), (base + 9990, base + 99_999), (base + 500, base + 500), (0, base)):
+        for split in (700, 1 << 24):
+            got = within(X.read_tape(spark, str(tmp_path), start, end, slack=slack, split_bytes=split), start, end)
+            assert got == sorted((f, at) for f, rows in plain.items() for at, t in rows if t is not None and start <= t < end)
+    whole = X.read_tape(spark, f"file://{tmp_path}")
+    assert whole.columns == ["id", "timestamp_ms", "price", "note", "source_file", "line_at"] and whole.count() == sum(map(len, plain.values()))
+
+
+def test_a_range_reads_few_bytes(spark, tmp_path):
+    base, path = 1_700_000_000_000, tmp_path / "a.csv"
+    path.write_text("id,timestamp_ms,price,note\n" + "".join(f"{i},{base + i},1.5,{'x' * 30}\n" for i in range(200_000)))
+    source = X.SortedTape({"path": str(path), "start": str(base + 100_000), "end": str(base + 101_000), "split_bytes": "20000"})
+    reader = source.reader(source.schema())
+    parts = reader.partitions()
+    assert reader.probed < 50 * X.PROBE and len(parts) > 1
+    assert sum(p.end - p.start for p in parts) < 1002 * 56 and 1000 <= sum(len(b) for p in parts for b in reader.read(p)) <= 1002
+    assert X.read_tape(spark, str(path), base + 100_000, base + 101_000).filter(F.col("timestamp_ms").cast("long").between(base + 100_000, base + 100_999)).count() == 1000

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import io
 import zipfile
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import HOUR
@@ -16,6 +14,7 @@ from tidemark.plans.registry import EV, events, query, table
 from tidemark.plans.streams import messages, trades
 from tidemark.sources import files as S
 from tidemark.sources import sinks as K
+from tidemark.sources import tapes as X
 from tidemark.streaming import book as B
 from tidemark.streaming import candles as C
 
@@ -35,17 +34,33 @@ def _(spark, d):
     line = F.concat_ws(",", "bucket", "open", "high", "low", "close", "volume", c("bucket") + HOUR - 1, F.lit("0"), F.lit("0"), F.lit("0"), F.lit("0"), F.lit("0"))
     members = lines.groupBy("event_type", "day").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("text"))  # at most 24 lines
 
+    path = K.scratch_path(spark, "archives")
+
     def pack(batches):
         for pdf in batches:
-            files = []
-            for text in pdf["text"]:
-                out = io.BytesIO()
-                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-                    z.writestr("a.csv", text + "\n")
-                files.append(out.getvalue())
-            yield pd.DataFrame({"path": "x/" + pdf["event_type"] + "-1h-2024-01.zip", "content": files})
-
-    return S.unzip_klines(members.mapInPandas(pack, "path string, content binary"))
+            for kind, day, text in zip(pdf["event_type"], pdf["day"], pdf["text"]):
+                fs, at = X.file_system(f"{path}/{day}/{kind}-1h-2024-01.zip")
+                fs.create_dir(at.rsplit("/", 1)[0])
+                with fs.open_output_stream(at) as f, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+                    lines = text.split("\n")
+                    for i, some in enumerate((lines[:12], lines[12:])):  # two members, the second one perhaps empty
+                        z.writestr(f"{i}.csv", "".join(x + "\n" for x in some))
+                    z.writestr("notes.txt", "no candles")
+            yield pdf[["day"]]
+
+    members.mapInPandas(pack, "day long").write.format("noop").mode("overwrite").save()
+    return X.read_zipped_klines(spark, path)
+
+
+@query("SRC7b_sorted_range", f"WITH {EV}, r AS (SELECT min(t) + (max(t) - min(t)) // 2 AS low, min(t) + (max(t) - min(t)) * 3 // 5 AS high FROM ev) SELECT event_id, t AS timestamp_ms, value AS price, k AS size, event_type AS side FROM ev, r WHERE t >= low AND t < high", l="event_id timestamp_ms size", d="price", s="side")
+def _(spark, d):
+    """A tenth of the time range of sorted tapes: only the bytes around it are read."""
+    path, e = K.scratch_path(spark, "tape"), events(spark, d)
+    first, last = e.agg(F.min("t"), F.max("t")).first()
+    low, high = first + (last - first) // 2, first + (last - first) * 3 // 5
+    tape = e.select("event_id", c("t").alias("timestamp_ms"), c("value").alias("price"), c("k").alias("size"), c("event_type").alias("side"))
+    tape.repartitionByRange(4, "timestamp_ms").sortWithinPartitions("timestamp_ms").write.option("header", True).csv(path)
+    return X.read_tape(spark, path, low, high, split_bytes=1 << 16).withColumn("t", c("timestamp_ms").cast("long")).filter((c("t") >= low) & (c("t") < high))
 
 
 @query("SRC3_row_budget", f"WITH {EV}, f AS (SELECT *, event_type || '-1m-2024-01.csv' AS source_file FROM ev), o AS (SELECT *, row_number() OVER (ORDER BY source_file, t, event_id) AS i, count(*) OVER () AS n FROM f) SELECT event_id, source_file, event_type AS symbol, '2024-01' AS year_month FROM o WHERE i <= n // 2", l="event_id", s="source_file symbol year_month")

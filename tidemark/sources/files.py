@@ -84,30 +84,6 @@ def load_prices(df: DataFrame, keys: Sequence[str] = (), seq: str | None = None,
     return out.withColumn("time", iso(c("timestamp")))
 
 
-def unzip_klines(archives: DataFrame) -> DataFrame:
-    """Candles of archives given as (path, content); members are read in chunks (SRC2)."""
-    import io
-    import zipfile
-
-    types = ", ".join(f"{k} string" for k in KLINE)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for member in z.namelist():
-                        with z.open(member) as f:
-                            for part in pd.read_csv(f, header=None, names=list(KLINE), dtype=str, chunksize=200_000):
-                                yield part[part["open_time"] != "open_time"].assign(source_file=name.rsplit("/", 1)[-1])
-
-    return typed_klines(archives.mapInPandas(run, f"{types}, source_file string"))
-
-
-def read_zipped_klines(spark: SparkSession, path: str) -> DataFrame:
-    """Candles from CSV files inside ZIP archives, one archive a task row (SRC2)."""
-    return unzip_klines(spark.read.format("binaryFile").load(path).select("path", "content"))
-
-
 def typed_klines(df: DataFrame) -> DataFrame:
     """Candle columns with types; times in ms whatever their unit."""
     whole = {"open_time": any_to_ms(to_number(c("open_time"))), "close_time": any_to_ms(to_number(c("close_time"))), "number_of_trades": c("number_of_trades").try_cast("long")}
