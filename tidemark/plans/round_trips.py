@@ -15,6 +15,7 @@ from tidemark.plans.streams import messages, trades
 from tidemark.sources import files as S
 from tidemark.sources import sinks as K
 from tidemark.sources import tapes as X
+from tidemark.sources import tensors as N
 from tidemark.streaming import book as B
 from tidemark.streaming import candles as C
 
@@ -145,6 +146,22 @@ def _(spark, d):
     return spark.read.parquet(path).select("vec_id", F.size("embedding").alias("n"), total.alias("total"))
 
 
+WEEK = N.Contract(tuple(f"f{i}" for i in range(8)), tuple(f"low_h{h}" for h in (1, 2, 3, 5)), 8, "path")
+
+
+@query("SRC15b_tensor_faults", "WITH m AS (SELECT vec_id % 11 = 3 AS short, vec_id % 13 = 5 AS hole, vec_id % 17 = 2 AS narrow, vec_id % 19 = 4 AS few FROM embeddings) SELECT count(*) AS n, count(*) FILTER (short) AS wrong_steps, count(*) FILTER (narrow) AS wrong_width, count(*) FILTER (few) AS wrong_targets, count(*) FILTER (hole) AS missing, count(*) FILTER (short OR narrow OR few OR hole) AS faulty, 8 AS steps FROM m", l="n wrong_steps wrong_width wrong_targets missing faulty steps")
+def _(spark, d):
+    """Embeddings as 8 steps of 8 values and 4 targets, some cut, narrowed or with holes, written and read with a contract."""
+    path, v = K.scratch_path(spark, "sequences"), c("vec_id")
+    e = table(spark, d, "embeddings").withColumn("e", c("embedding").cast("array<double>"))
+    step = lambda i: F.slice("e", 8 * i + 1, F.when((v % 17 == 2) & (i == 0), 7).otherwise(8))
+    x = F.transform(F.sequence(F.lit(0), F.when(v % 11 == 3, 6).otherwise(7)), step)
+    y = F.transform(F.slice("e", 1, F.when(v % 19 == 4, 3).otherwise(4)), lambda z, i: F.when((i == 1) & (v % 13 == 5), F.when(v % 2 == 0, float("nan"))).otherwise(z))
+    N.write_tensors(e.select("vec_id", x.alias("x"), y.alias("y")), path, WEEK, ["vec_id"])
+    df, held = N.read_tensors(spark, path, WEEK)
+    return N.tensor_faults(df, held).withColumn("steps", F.lit(held.steps))
+
+
 @query("V9_split_files", f"WITH {EV}, p AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS i, count(*) OVER () AS n FROM ev) SELECT CASE WHEN i < floor(n * 0.6) THEN 'train' WHEN i < floor(n * 0.8) THEN 'validation' ELSE 'holdout' END AS split, count(*) AS rows_in, min(event_id) AS first_id, max(event_id) AS last_id, sum(value) AS total FROM p GROUP BY ALL", l="rows_in first_id last_id", d="total", s="split", digits=3)
 def _(spark, d):
     path, (e, n) = K.scratch_path(spark, "splits"), placed(spark, d)

@@ -126,7 +126,8 @@ def scan_range(lines: DataFrame, start: int, end: int, block: int = 1_000_000) -
     kept = ~bad & (c("_t") >= start) & (c("_t") < end)
     keys = [k for k in ("source_file",) if k in lines.columns]
     t = t.withColumn("_block", F.floor(c("_id") / block))
-    before = F.lag("_t").over(Window.partitionBy(*keys, "_block").orderBy("_id", "_t"))
+    spread = F.when(c("_id").isNull(), F.pmod(F.xxhash64("timestamp_ms", "price", "quantity"), F.lit(1024)))  # lines that are not judged need no common task
+    before = F.lag("_t").over(Window.partitionBy(*keys, "_block", spread).orderBy("_id", "_t"))
     fell = c("_id").isNotNull() & (c("_t") < c("_before"))
     per = t.withColumn("_before", before).groupBy(*keys, "_block").agg(
         F.count("*").alias("lines"), F.count_if(bad).alias("malformed"), F.count_if(fell).alias("fell"), F.count_if(kept).alias("kept"),
