@@ -115,6 +115,28 @@ def test_a_batch_that_dies_after_its_write_leaves_one_copy(spark, tmp_path):
     assert calls[1] == calls[2] and sorted(r.ident for r in spark.read.parquet(out).collect()) == list(range(20))
 
 
+def test_a_dated_ledger_reads_the_days_of_its_batch(spark, tmp_path):
+    day, out = 86_400_000, f"{tmp_path}/out"
+    shape = "user long, at long, v double"
+    add = lambda batch, some: C.add_dated_batch(spark.createDataFrame(some, shape), out, batch, ["user", "at"], "at")
+    kept = lambda: sorted(((r.user, r.at, r.v) for r in spark.read.parquet(out).collect()), key=str)
+    first = [(u, d * day + u, 1.0) for u in range(3) for d in range(-2, 8)] + [(1, None, 1.0), (None, None, 1.0), (None, 5, 1.0)]
+    add("w-0", first)
+    add("w-0", first)  # a batch that runs again leaves one copy
+    assert kept() == sorted(first, key=str)
+    second = [(1, 3 * day + 1, 2.0), (1, 3 * day + 9, 2.0), (1, 3 * day + 9, 2.0), (1, None, 2.0), (2, None, 2.0), (None, 5, 2.0)]
+    add("w-1", second)
+    add("w-2", [])
+    assert kept() == sorted([*first, (1, 3 * day + 9, 2.0), (2, None, 2.0)], key=str)
+    held = spark.read.parquet(out)
+    plan = C.held_days(held, "w-2", 3, 4, False)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(batch" in plan and "(day" in plan
+    assert {r.day for r in C.held_days(held, "w-2", 3, 4, False).select("day").distinct().collect()} == {3, 4}
+    assert C.held_days(held, "w-2", None, None, False).count() == 0 and C.held_days(held, "w-2", None, None, True).count() == 3
+    with pytest.raises(ValueError, match="no part"):
+        C.add_dated_batch(spark.createDataFrame([], shape), out, "w-3", ["user"], "at")
+
+
 def book_messages(spark, rows):
     levels = lambda side: [{"p": float(p), "q": float(q)} for p, q in side]
     shape = "symbol string, seq long, t long, kind string, first long, final long, bids array<struct<p:double,q:double>>, asks array<struct<p:double,q:double>>"

@@ -208,6 +208,16 @@ def _(spark, d):
     return out.groupBy("ident").agg(F.avg("score").alias("score"), F.count("*").alias("copies"))
 
 
+@query("T8b_dated_ledger", f"WITH {EV} SELECT DISTINCT user_id, CASE WHEN user_id % 25 = 4 THEN NULL ELSE t END AS at_ms, user_id * 2 AS score, 1 AS copies FROM ev", l="user_id at_ms copies", d="score")
+def _(spark, d):
+    """A ledger by user and time, kept by day: all rows come in the first run or the second, the later half in both."""
+    e = events(spark, d).select("user_id", "t", c("t").alias("known"))
+    predict = lambda b: b.select("user_id", F.when(c("user_id") % 25 != 4, c("known")).alias("at_ms"), (c("user_id") * 2).alias("score"))
+    again = e.unionByName(e.filter(c("t") >= middle(e)).withColumn("t", F.lit(0).cast("long")))
+    out = in_two_runs(spark, d, again, lambda s, out, ck: C.predict_each(s, predict, out, ck, ["user_id", "at_ms"], "at_ms"))
+    return out.groupBy("user_id", "at_ms").agg(F.avg("score").alias("score"), F.count("*").alias("copies"))
+
+
 @query("T9_ledger_identity", f"WITH {EV} SELECT user_id, count(DISTINCT k) AS n FROM ev GROUP BY user_id", l="user_id n")
 def _(spark, d):
     """A ledger takes every (user, size) once, whatever run brings it: inside a run by stream state, across runs by its batches."""

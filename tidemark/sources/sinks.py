@@ -21,13 +21,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
 
 
-def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    """The Parquet table at a path; None while the path does not exist or holds no file."""
+def holds_table(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists and holds a file or a partition."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop) or not any(x.getPath().getName().startswith("part-") or x.isDirectory() for x in fs.listStatus(hadoop)):
-        return None
-    return spark.read.option("mergeSchema", True).parquet(path)
+    return fs.exists(hadoop) and any(x.getPath().getName().startswith("part-") or x.isDirectory() for x in fs.listStatus(hadoop))
+
+
+def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at a path; None while the path does not exist or holds no file."""
+    return spark.read.option("mergeSchema", True).parquet(path) if holds_table(spark, path) else None
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()) -> None:
