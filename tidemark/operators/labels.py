@@ -24,9 +24,9 @@ def excursions(s: Series, high: Column, low: Column, price: Column, h: int) -> t
 
 
 def return_path(s: Series, price: Column, h: int) -> Column:
-    """Simple returns in bps of each of the next h rows; NULL if fewer follow (L3, M8)."""
+    """Simple returns in bps of each of the next h rows, NULL from a price of 0; NULL if fewer follow (L3, M8)."""
     later = F.collect_list(price).over(s.next_n(h))
-    return F.when(F.size(later) == h, F.transform(later, lambda p: simple_bps(p, price)))
+    return F.when(F.size(later) == h, F.transform(later, lambda p: (F.try_divide(p, price) - 1) * 1e4))
 
 
 def envelope(path: Column, kind: str) -> Column:

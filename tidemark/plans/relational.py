@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import DAY, HOUR
-from tidemark.functions.semantics import all_of, finite, log_ratio, normal_side, side_sign, to_number
+from tidemark.functions.semantics import all_of, finite, log_ratio, normal_side, side_sign, simple_bps, to_number
 from tidemark.operators import asof as A
 from tidemark.operators import clean as C
 from tidemark.operators import flow as X
@@ -83,7 +83,7 @@ def _(spark, d):
     w = Series(("user_id",), ("t",)).future_ms(DAY)
     e = events(spark, d).withColumns({"hi": F.max("value").over(w), "lo": F.min("value").over(w)})
     e = A.forward_return(e, ["user_id"], "t", "value", DAY, DAY)
-    return e.withColumns({"net_bps": c("forward_bps") - 4.0, "best_bps": (c("hi") / val() - 1) * 1e4, "worst_bps": (c("lo") / val() - 1) * 1e4})
+    return e.withColumns({"net_bps": c("forward_bps") - 4.0, "best_bps": simple_bps(c("hi"), val()), "worst_bps": simple_bps(c("lo"), val())})
 
 
 J14 = f"""WITH {EV}, p AS (SELECT event_id, user_id, t + {HOUR} AS want FROM ev WHERE event_type = 'purchase'),
