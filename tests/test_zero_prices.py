@@ -9,6 +9,7 @@ from tidemark.plans import ORACLE_SQL, QUERIES
 
 NAMES = [
     "J13_realised_outcome",
+    "L12_instability",
 ]
 
 
