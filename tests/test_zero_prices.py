@@ -10,6 +10,7 @@ from tidemark.plans import ORACLE_SQL, QUERIES
 NAMES = [
     "J13_realised_outcome",
     "L12_instability",
+    "L4_path_range_frame",
 ]
 
 
