@@ -11,6 +11,7 @@ NAMES = [
     "J13_realised_outcome",
     "L12_instability",
     "L4_path_range_frame",
+    "L5_first_touch",
 ]
 
 

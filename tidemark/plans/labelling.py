@@ -39,7 +39,7 @@ def path(e, n=5):
 
 
 def touched(e, up, down, n=5):
-    return B.touch_steps(e, ["user_id"], ["t", "event_id"], "value", "value", "value", n, up, down).withColumn("touch", B.touched_first())
+    return B.touch_steps(e, ["user_id"], ["t", "event_id"], "value", "value", "value", n, up, down, zero=True).withColumn("touch", B.touched_first())
 
 
 def text(x):
