@@ -12,6 +12,7 @@ NAMES = [
     "L12_instability",
     "L4_path_range_frame",
     "L5_first_touch",
+    "L6_net_aware_touch",
 ]
 
 
