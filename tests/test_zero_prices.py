@@ -13,6 +13,7 @@ NAMES = [
     "L4_path_range_frame",
     "L5_first_touch",
     "L6_net_aware_touch",
+    "L7_touch_summary",
 ]
 
 
