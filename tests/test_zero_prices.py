@@ -16,6 +16,8 @@ NAMES = [
     "L7_touch_summary",
     "P15_clip_log_sign",
     "S_math",
+    "P16_sentinel_returns",
+    "W1_lag_returns",
 ]
 
 

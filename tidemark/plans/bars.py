@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import DAY, HOUR
-from tidemark.functions.semantics import log_bps
+from tidemark.functions.semantics import log_bps, pct_change
 from tidemark.operators import buckets as B
 from tidemark.operators import labels as L
 from tidemark.operators.series import Series
@@ -129,4 +129,4 @@ def flagship(spark, d):
 @query("W1_lag_returns", f"WITH {DENSE} SELECT event_type, bucket, price - lag(price, 3) OVER o AS diff_3, {lbps('price', 'lag(price, 3) OVER o')} AS return_3, price / lag(price) OVER o - 1 AS change FROM ret WINDOW o AS (PARTITION BY event_type ORDER BY bucket)", l="bucket", d="diff_3 return_3 change", s="event_type")
 def _(spark, d):
     p = F.col("price")
-    return dense(spark, d).withColumns({"diff_3": S.diff(p, 3), "return_3": log_bps(p, S.lag(p, 3)), "change": F.try_divide(p, S.lag(p)) - 1})
+    return dense(spark, d).withColumns({"diff_3": S.diff(p, 3), "return_3": log_bps(p, S.lag(p, 3)), "change": pct_change(p, S.lag(p))})

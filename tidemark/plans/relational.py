@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import DAY, HOUR
-from tidemark.functions.semantics import all_of, finite, log_ratio, normal_side, side_sign, simple_bps, to_number
+from tidemark.functions.semantics import all_of, finite, log_ratio, normal_side, pct_change, side_sign, simple_bps, to_number
 from tidemark.operators import asof as A
 from tidemark.operators import clean as C
 from tidemark.operators import flow as X
@@ -265,7 +265,7 @@ ev("P12_freshness_filter", f", m AS (SELECT *, t - lag(t) OVER ({BY_USER}) AS ag
 ev("P13_development_cutoff", "SELECT * FROM ev WHERE t < 1705276800000", lambda e: e.filter(c("t") < 1705276800000), l="event_id")
 ev("P14_missing_flags", "SELECT event_id, CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END AS x_missing FROM ev", lambda e: C.missing_flags(e.withColumn("x", F.when(c("k") % 7 != 0, val())), ["x"]), l="event_id x_missing")
 ev("P15_clip_log_sign", "SELECT event_id, least(greatest(value, 10), 40) AS cl, ln(1 + value) AS lp, sign(k - 50) AS sg, CASE WHEN k > 0 THEN least(greatest(ln(value) - ln(CASE WHEN k > 0 THEN k END), -1), 1) END AS lr FROM ev", lambda e: e.withColumns({"cl": F.least(F.greatest(val(), F.lit(10.0)), F.lit(40.0)), "lp": F.log1p(val()), "sg": F.signum(c("k") - 50), "lr": log_ratio(val(), c("k").cast("double"), 1.0)}), l="event_id", d="cl lp sg lr")
-ev("P16_sentinel_returns", f", m AS (SELECT *, value / lag(value) OVER ({BY_USER}) - 1 AS r FROM ev) SELECT event_id, CASE WHEN r <= -0.999 THEN 0.0 ELSE r END AS r FROM m", lambda e: e.withColumn("r", C.clean_return(F.try_divide(val(), USER.lag(val())) - 1)), l="event_id", d="r")
+ev("P16_sentinel_returns", f", m AS (SELECT *, value / lag(value) OVER ({BY_USER}) - 1 AS r FROM ev) SELECT event_id, CASE WHEN r <= -0.999 THEN 0.0 ELSE r END AS r FROM m", lambda e: e.withColumn("r", C.clean_return(pct_change(val(), USER.lag(val())))), l="event_id", d="r")
 ev("P18_one_hot", "SELECT event_id, " + ", ".join(f"CASE WHEN event_type = '{k}' THEN 1 ELSE 0 END AS event_type_{k}" for k in ("click", "view", "error")) + " FROM ev", lambda e: C.one_hot(e, "event_type", ["click", "view", "error"]), l="event_id event_type_click event_type_view event_type_error")
 
 
