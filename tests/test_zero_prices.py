@@ -18,6 +18,7 @@ NAMES = [
     "S_math",
     "P16_sentinel_returns",
     "W1_lag_returns",
+    "J12_forward_max_gap",
 ]
 
 
