@@ -19,6 +19,7 @@ NAMES = [
     "P16_sentinel_returns",
     "W1_lag_returns",
     "J12_forward_max_gap",
+    "L13_event_labels",
 ]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.semantics import log_bps, safe_div, simple_bps
+from tidemark.functions.semantics import ieee_div, log_bps, simple_bps
 from tidemark.operators.series import Series
 
 c = F.col
@@ -118,7 +118,7 @@ def event_labels(s: Series, mid: str, spread: str, depth: str, ms: int, t: str)
     up, down = simple_bps(top, c(mid)), simple_bps(bottom, c(mid))
     when_up, when_down = F.max_by(t, F.struct(c(mid), -c(t))).over(w), F.min_by(t, F.struct(c(mid), c(t))).over(w)
     return {
-        "up_bps": up, "down_bps": down, "up_velocity": safe_div(up, (when_up - c(t)) / 1000.0), "down_velocity": safe_div(down, (when_down - c(t)) / 1000.0),
+        "up_bps": up, "down_bps": down, "up_velocity": ieee_div(up, (when_up - c(t)) / 1000.0), "down_velocity": ieee_div(down, (when_down - c(t)) / 1000.0),
         "spread_shock": (F.max(spread).over(w) > 2 * c(spread)).cast("int"), "depth_drop": (F.min(depth).over(w) < 0.5 * c(depth)).cast("int"), "rows_ahead": F.count("*").over(w),
     }
 
