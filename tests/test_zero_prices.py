@@ -21,6 +21,7 @@ NAMES = [
     "J12_forward_max_gap",
     "L13_event_labels",
     "SRC6_trade_normalisation",
+    "W24_changes",
 ]
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import floor_to
-from tidemark.functions.semantics import log_bps, safe_div, simple_bps
+from tidemark.functions.semantics import ieee_div, log_bps, safe_div, simple_bps
 from tidemark.operators.series import Series
 from tidemark.operators.sliding import time_ranges
 
@@ -37,12 +37,12 @@ def regime_windows(df: DataFrame, s: Series, price: str, step_return: str, spans
 
 
 def changes(df: DataFrame, s: Series, columns: Sequence[str], spans: Sequence[int]) -> DataFrame:
-    """Change, relative change and acceleration of columns over look-backs."""
+    """Change, relative change (by IEEE division: from 0 an infinity or NaN) and acceleration of columns over look-backs."""
     cols = {}
     for x in columns:
         for ms in spans:
             old = past_value(s, c(x), ms)
-            cols |= {f"{x}_change_{ms // 1000}s": c(x) - old, f"{x}_relative_{ms // 1000}s": safe_div(c(x) - old, F.abs(old), 0)}
+            cols |= {f"{x}_change_{ms // 1000}s": c(x) - old, f"{x}_relative_{ms // 1000}s": ieee_div(c(x) - old, F.abs(old))}
         if len(spans) > 1:
             a, b = (c(x) - past_value(s, c(x), ms) for ms in (spans[0], spans[1]))
             cols[f"{x}_acceleration"] = a / (spans[0] / 1000.0) - b / (spans[1] / 1000.0)
