@@ -22,6 +22,7 @@ NAMES = [
     "L13_event_labels",
     "SRC6_trade_normalisation",
     "W24_changes",
+    "W26_micro_bundle",
 ]
 
 

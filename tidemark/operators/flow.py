@@ -56,14 +56,14 @@ def freshness(df: DataFrame, s: Series, limit_ms: int = 1500) -> DataFrame:
 
 
 def micro_bundle(df: DataFrame, s: Series, mid: str, buy: str, sell: str, spans: Sequence[int]) -> DataFrame:
-    """Current (t - ms, t] and previous (t - 2 ms, t - ms] windows with velocity and bursts."""
+    """Current (t - ms, t] and previous (t - 2 ms, t - ms] windows with velocity and bursts (W26, W27). Shares of no volume follow IEEE division."""
     cols = {}
     for ms in spans:
         now, old, n = s.past_ms(ms), s.previous_ms(ms), f"_{ms // 1000}s"
         flow, before = F.sum(c(buy) - c(sell)).over(now), F.sum(c(buy) - c(sell)).over(old)
         volume, volume_before = F.sum(c(buy) + c(sell)).over(now), F.sum(c(buy) + c(sell)).over(old)
         cols |= {
-            "flow" + n: flow, "flow_before" + n: F.coalesce(before, F.lit(0.0)), "pressure" + n: safe_div(flow, volume, 0), "burst" + n: safe_div(volume, volume_before, 0),
+            "flow" + n: flow, "flow_before" + n: F.coalesce(before, F.lit(0.0)), "pressure" + n: ieee_div(flow, volume), "burst" + n: F.coalesce(ieee_div(volume, volume_before), F.when(volume_before.isNotNull(), 0.0)),
             "velocity" + n: log_bps(c(mid), F.first(mid).over(now)) / (ms / 1000.0), "rows" + n: F.count("*").over(now), "bounce" + n: log_bps(c(mid), F.min(mid).over(now)), "break" + n: log_bps(c(mid), F.min(mid).over(old)),
         }
     return df.withColumns(cols)
