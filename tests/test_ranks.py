@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -45,4 +46,9 @@ def test_burst_threshold(spark):
         want = max([*([np.quantile(up, 0.9)] if up else []), *([np.median(part)] if part else [])], default=None)
         assert (got[i].threshold is None) == (want is None) and (want is None or np.isclose(got[i].threshold, want))
         assert got[i].burst == (want is not None and x[i] is not None and x[i] > want)
+    # quantile_cont gives 7.4399999999999995 here, 7.2 + 0.8 * 0.3 gives 7.44
+    near = spark.createDataFrame([("k", i, v) for i, v in enumerate([0.2, 7.2, 7.5, 7.44])], "k string, i int, x double")
+    sql = "SELECT quantile_cont(v, 0.9) FROM (VALUES (0.2::DOUBLE), (7.2), (7.5)) t(v)"
+    last = burst_threshold(near, ["k"], ["i"], "x", 3, 0.9).filter("i = 3").first()
+    assert last.threshold == duckdb.sql(sql).fetchall()[0][0] < 7.44 and last.burst
     assert burst_threshold(df.limit(0), ["k"], ["i"], "x", 3, 0.9).count() == 0

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,11 @@ def rolling_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: i
         seen = held.shift(1) if before else held
         out = pdf.copy()
         for name, (x, q) in quantiles.items():
-            out[name] = seen[x].rolling(n, min_periods=least).quantile(q).to_numpy()[-len(new) :]
+            values = seen[x].rolling(n, min_periods=least)
+            low, high = (values.quantile(q, interpolation=side).to_numpy()[-len(new) :] for side in ("lower", "higher"))
+            place = q * (seen[x].rolling(n, min_periods=0).count().to_numpy()[-len(new) :] - 1)
+            share = place - np.floor(place)
+            out[name] = np.where(share == 0, low, low * (1 - share) + high * share)
         for name, x in ranks.items():
             out[name] = seen[x].rolling(n, min_periods=least).rank(method="average", pct=True).to_numpy()[-len(new) :]
         return out, held.tail(n)
