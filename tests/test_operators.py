@@ -162,3 +162,34 @@ def test_table_shorter_than_a_window(spark):
     assert V.in_windows(rows, "i", []).columns == ["i", "window"]
     assert V.in_windows(rows, "i", []).count() == 0
     assert V.in_windows(rows, "i", [(0, 0, 2), (1, 1, 3)]).count() == 4
+
+
+def test_sliding_windows_by_arithmetic(spark):
+    rows = spark.range(-3, 60).withColumnRenamed("id", "i")
+    for n, size, step in ((57, 20, 5), (57, 5, 5), (57, 3, 7), (19, 20, 5)):
+        want = V.in_windows(rows, "i", [(k, 2 + a, 2 + b) for k, a, b in V.sliding(n, size, step)])
+        count = max(0, (n - size) // step + 1)
+        got = V.in_sliding(rows, "i", count, size, step, 2)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())), (n, size, step)
+    assert V.in_sliding(rows, "i", 10**9, 20, 5).filter("i = 40").count() == 4  # windows are not listed
+
+
+def test_exact_means_tie(spark):
+    x = [0.1, 0.7, 1e6, 0.3, 1e-3, 12.34, 0.2]
+    df = spark.createDataFrame([(k, v) for k in range(6) for v in (x if k % 2 else sorted(x))[k:] + (x if k % 2 else sorted(x))[:k]], "k int, x double")
+    got = {r.m for r in df.groupBy("k").agg(M.exact_mean(F.col("x")).alias("m")).collect()}
+    assert len(got) == 1 and abs(got.pop() - sum(x) / 7) < 1e-9
+    odd = spark.createDataFrame([(1, float("inf")), (1, 2.0), (2, None), (3, 1e30), (3, 3e30)], "k int, x double")
+    assert {r.k: r.m for r in odd.groupBy("k").agg(M.exact_mean(F.col("x")).alias("m")).collect()} == {1: float("inf"), 2: None, 3: 2e30}
+
+
+def test_copies_of_a_user_are_nearest_at_distance_0(spark, tmp_path):
+    from tidemark.plans import QUERIES
+
+    rows = [(u, 0.1 * (u + 1) * (i * i % 11) + i % 3, i) for u in range(8) for i in range(25)]
+    copies = [(u + 8 * r, v, (i * (2 * r + 3)) % 25) for r in range(4) for u, v, i in rows]
+    df = spark.createDataFrame([(n, u, "view", v, '{"k": 1}', i) for n, (u, v, i) in enumerate(sorted(copies, key=lambda x: x[2]))], "event_id long, user_id long, event_type string, value double, props string, i int")
+    df.withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz")).drop("i").repartition(7).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.user_id: (r.nearest, r.distance) for r in QUERIES["D21_behaviour_archive"](spark, str(tmp_path)).collect()}
+    twins = lambda u: sorted(x for x in got if x % 1000000 % 8 == u % 1000000 % 8 and x != u)
+    assert len(got) > 32 and all(v == (twins(u)[0], 0.0) for u, v in got.items())

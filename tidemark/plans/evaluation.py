@@ -280,6 +280,7 @@ z AS (SELECT user_id, (a - ma) / sa AS x, (b - mb) / sb AS y, (n - mn) / sn AS w
 SELECT user_id, arg_min(other, (d, other)) AS nearest, min(d) AS distance FROM p GROUP BY user_id""", l="user_id nearest", d="distance")
 def _(spark, d):
     """Users by their behaviour, some of them twice, and one unusable candidate for each, which must not matter."""
-    g = events(spark, d).groupBy("user_id").agg(F.avg("value").alias("a"), F.stddev_pop("value").alias("b"), F.count("*").cast("double").alias("n"))
+    centred = events(spark, d).withColumn("a", M.exact_mean(val(), Window.partitionBy("user_id")))
+    g = centred.groupBy("user_id").agg(F.first("a").alias("a"), F.sqrt(M.exact_mean(F.pow(val() - c("a"), 2.0))).alias("b"), F.count("*").cast("double").alias("n"))
     unusable = g.select((c("user_id") + 2000000).alias("user_id"), "a", F.when(c("user_id") % 2 == 0, float("nan")).alias("b"), "n")
     return G.nearest_candidate(g.unionByName(g.filter("user_id % 10 = 3").withColumn("user_id", c("user_id") + 1000000)).unionByName(unusable), "user_id", ["a", "b", "n"])
