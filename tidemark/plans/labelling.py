@@ -155,15 +155,15 @@ def _(spark, d):
 @query("V4_sliding_windows", f"WITH {EV}, {POS}, f AS (SELECT unnest(range(0, (max(n) - 2000) // 500 + 1)) AS w FROM p) SELECT w AS win, count(*) AS rows_in, sum(value) AS total FROM p JOIN f ON i >= w * 500 AND i < w * 500 + 2000 GROUP BY w", l="win rows_in", d="total", digits=3)
 def _(spark, d):
     e, n = placed(spark, d)
-    return V.in_windows(e, "i", V.sliding(n, 2000, 500)).groupBy(c("window").alias("win")).agg(F.count("*").alias("rows_in"), F.sum("value").alias("total"))
+    return V.in_sliding(e, "i", max(0, (n - 2000) // 500 + 1), 2000, 500).groupBy(c("window").alias("win")).agg(F.count("*").alias("rows_in"), F.sum("value").alias("total"))
 
 
 @query("V5_sliding_time_windows", f"WITH {EV}, b AS (SELECT min(t) AS a, max(t) AS z FROM ev), f AS (SELECT w, a + w * {3 * DAY} + {10 * DAY} AS s FROM b, (SELECT unnest(range(0, 400)) AS w) WHERE a + {10 * DAY} + w * {3 * DAY} + {3 * DAY} <= z + 1) SELECT w AS win, count(*) AS rows_in, avg(value) AS mean FROM ev JOIN f ON t >= s AND t < s + {3 * DAY} GROUP BY w", l="win rows_in", d="mean")
 def _(spark, d):
     e = events(spark, d)
     a, z = e.agg(F.min("t"), F.max("t")).first()
-    windows = [(k, s, t) for k, _, s, t in V.sliding_time(a, z, 10 * DAY, 3 * DAY, 3 * DAY)]
-    return V.in_windows(e, "t", windows).groupBy(c("window").alias("win")).agg(F.count("*").alias("rows_in"), F.avg("value").alias("mean"))
+    windows = 0 if a is None else max(0, (z + 1 - a - 13 * DAY) // (3 * DAY) + 1)
+    return V.in_sliding(e, "t", windows, 3 * DAY, 3 * DAY, 0 if a is None else a + 10 * DAY).groupBy(c("window").alias("win")).agg(F.count("*").alias("rows_in"), F.avg("value").alias("mean"))
 
 
 V6 = f"""WITH {EV}, r AS (SELECT min(event_id) AS a, max(event_id) AS z FROM ev), x AS (SELECT ev.*, least(3, floor((event_id - a) * 4.0 / (z - a))) AS bl FROM ev, r),
