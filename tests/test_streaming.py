@@ -182,3 +182,23 @@ def test_book_queries_on_streams(spark):
     assert stream == batch and len(batch)
     timed = plans.QUERIES["T2b_timed_books"](spark, SF).collect()
     assert timed and all(r.t % (6 * 3_600_000) == 0 for r in timed) and len({(r.symbol, r.t) for r in timed}) == len(timed)
+
+
+def test_book_processor_emits_slices_in_order(monkeypatch):
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    monkeypatch.setattr(K, "SLICE", 4)
+    side = SimpleNamespace(iterator=lambda: iter([]), removeKey=lambda k: None, updateValue=lambda k, v: None)
+    kept = []
+    last = SimpleNamespace(exists=lambda: False, clear=lambda: None, update=kept.append)
+    p = K.BookProcessor()
+    p.init(SimpleNamespace(getValueState=lambda *a, **o: last, getMapState=lambda *a, **o: side))
+    level = lambda x, q: [{"p": x, "q": q}]
+    rows = pd.DataFrame([("a", i, 1000 + i, "delta" if i else "snapshot", i, i, None if i == 5 else level(99.0 - i % 3, float(i % 4)), level(101.0 + i % 3, 2.5)) for i in range(11)], columns=["symbol", "seq", "t", "kind", "first", "final", "bids", "asks"])
+    want = K._fold(K.Book(), rows)
+    mixed = rows.sample(frac=1.0, random_state=3)
+    got = list(p.handleInputRows(("a",), iter([mixed[:5], mixed[5:]]), None))
+    assert [len(x) for x in got] == [4, 4, 3] and kept == [(10, 1010)]
+    pd.testing.assert_frame_equal(pd.concat(got, ignore_index=True), want)
