@@ -69,3 +69,17 @@ def test_cost_does_not_grow_with_the_range():
 
     took(100)
     assert took(1_000_000) < 6 * max(took(100), 0.02)
+
+
+def test_first_values_in_blocks_of_time(spark):
+    from tidemark.operators.flow import past_values
+    from tidemark.operators.series import Series
+
+    rows = [("a" if i % 3 else "b", (i * 7919) % 5000 // 3 * 3, i, None if i % 17 == 4 else float(i % 23)) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, t long, i long, x double").repartition(5)
+    out = past_values(df, Series(("k",), ("t", "i")), "x", {"p": 60, "q": 900})
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.i: (r.p, r.q) for r in out.collect()}
+    first = lambda k, t, ms: min((r for r in rows if r[0] == k and t - ms <= r[1] <= t), key=lambda r: (r[1], r[2]))[3]
+    assert len(got) == 900 and all(got[i] == (first(k, t, 60), first(k, t, 900)) for k, t, i, _ in rows)
+    assert out.columns == ["k", "t", "i", "x", "p", "q"]

@@ -15,9 +15,13 @@ from tidemark.operators.sliding import time_ranges
 c = F.col
 
 
-def past_value(s: Series, x: Column, ms: int) -> Column:
-    """First value at or after t - ms."""
-    return F.first(x, ignorenulls=True).over(s.past_ms(ms, closed=True))
+def past_values(df: DataFrame, s: Series, x: str, spans: dict[str, int]) -> DataFrame:
+    """df with a column a span: the first value of x in [t - ms, t] (W22). Blocks of time spread a key; a row costs a search, not its range.
+
+    Order columns after the time decide between rows of one time.
+    """
+    out = time_ranges(df, s.keys, s.order[0], x, x, [ms + 1 for ms in spans.values()], s.order[1:], first_only=True)
+    return out.withColumns({name: c(f"r{ms + 1}.first") for name, ms in spans.items()}).drop(*[f"r{ms + 1}" for ms in spans.values()])
 
 
 def regime_windows(df: DataFrame, s: Series, price: str, step_return: str, spans: Sequence[int]) -> DataFrame:
@@ -40,13 +44,15 @@ def changes(df: DataFrame, s: Series, columns: Sequence[str], spans: Sequence[in
     """Change, relative change (by IEEE division: from 0 an infinity or NaN) and acceleration of columns over look-backs."""
     cols = {}
     for x in columns:
+        past = {ms: f"_{x}_{ms}" for ms in spans}
+        df = past_values(df, s, x, {name: ms for ms, name in past.items()})
         for ms in spans:
-            old = past_value(s, c(x), ms)
+            old = c(past[ms])
             cols |= {f"{x}_change_{ms // 1000}s": c(x) - old, f"{x}_relative_{ms // 1000}s": ieee_div(c(x) - old, F.abs(old))}
         if len(spans) > 1:
-            a, b = (c(x) - past_value(s, c(x), ms) for ms in (spans[0], spans[1]))
+            a, b = (c(x) - c(past[ms]) for ms in (spans[0], spans[1]))
             cols[f"{x}_acceleration"] = a / (spans[0] / 1000.0) - b / (spans[1] / 1000.0)
-    return df.withColumns(cols)
+    return df.withColumns(cols).drop(*[f"_{x}_{ms}" for x in columns for ms in spans])
 
 
 def freshness(df: DataFrame, s: Series, limit_ms: int = 1500) -> DataFrame:

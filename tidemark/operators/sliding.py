@@ -63,15 +63,21 @@ def summaries(t: np.ndarray, price: np.ndarray, change: np.ndarray, a: int, b: i
     return [(hi - lo).astype(float), price[lo], extremes(price, lo, hi), -extremes(-price, lo, hi), np.where(n > 0, k, np.nan), n, total(change > 0), total(change < 0), var, slope]
 
 
+def firsts(t: np.ndarray, price: np.ndarray, a: int, b: int, ms: int) -> list[np.ndarray]:
+    """FIELDS as in summaries, but only the first price."""
+    none = np.full(b - a, np.nan)
+    return [price[np.searchsorted(t, t[a:b] - ms, "right")] if f == "first" else none for f in FIELDS]
+
+
 def _numbers(table: pa.Table, name: str) -> np.ndarray:
     return pc.cast(table[name], pa.float64()).to_numpy()
 
 
-def time_ranges(df: DataFrame, keys: Sequence[str], time: str, price: str, change: str, spans: Sequence[int], tie: Sequence[str] = ()) -> DataFrame:
+def time_ranges(df: DataFrame, keys: Sequence[str], time: str, price: str, change: str, spans: Sequence[int], tie: Sequence[str] = (), first_only: bool = False) -> DataFrame:
     """df with a struct column r<ms> for each span: FIELDS over (t - ms, t] of the same key (NULL where undefined).
 
     time is in whole ms. Rows without a time get NULLs and are seen by no other. Rows of one time see each other;
-    `tie` orders them for the first price of a range.
+    `tie` orders them for the first price of a range. first_only leaves all fields but "first" NULL and saves their work.
     """
     keys, longest = list(keys), max(spans)
     width = 4 * longest
@@ -96,7 +102,8 @@ def time_ranges(df: DataFrame, keys: Sequence[str], time: str, price: str, chang
                 if np.isnan(t[done]):
                     parts = [[np.full(end - done, np.nan)] * len(FIELDS)] * len(spans)
                 else:
-                    parts = [summaries(t, _numbers(table, price), _numbers(table, change), done, end, ms) for ms in spans]
+                    p = _numbers(table, price)
+                    parts = [firsts(t, p, done, end, ms) if first_only else summaries(t, p, _numbers(table, change), done, end, ms) for ms in spans]
                 for part, ms in zip(parts, spans):
                     own = own.append_column(f"r{ms}", pa.StructArray.from_arrays([pa.array(v, pa.float64(), from_pandas=True) for v in part], names=list(FIELDS)))
                 yield from own.filter(own["_own"]).combine_chunks().to_batches(max_chunksize=10_000)

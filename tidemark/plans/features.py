@@ -13,7 +13,7 @@ from tidemark.operators import ranks as RK
 from tidemark.operators import sequences as Q
 from tidemark.operators.series import Series
 from tidemark.plans.bars import BARS, hourly
-from tidemark.plans.registry import BY_TYPE, BY_USER, EV, USER, ema_sql, events, lbps, query, roll
+from tidemark.plans.registry import BY_TYPE, BY_USER, EV, TYPE, USER, ema_sql, events, lbps, query, roll
 
 c = F.col
 
@@ -140,11 +140,11 @@ barq("W21_signed_runs", f", x AS (SELECT *, CAST(coalesce(sign(close - open), 0)
 RNG = "PARTITION BY event_type ORDER BY t RANGE BETWEEN"
 TS = Series(("event_type",), ("t",))
 MIN15, MIN60 = 900_000, 3_600_000
-ev("W22_past_value", f"SELECT *, first_value(value) OVER ({RNG} {HOUR} PRECEDING AND CURRENT ROW) AS past FROM ev", lambda e: e.withColumn("past", X.past_value(TS, val(), HOUR)), d="past")
+ev("W22_past_value", f"SELECT *, first_value(value) OVER ({RNG} {HOUR} PRECEDING AND CURRENT ROW) AS past FROM ev", lambda e: X.past_values(e, TYPE, "value", {"past": HOUR}), d="past")
 W23 = f""", rr AS (SELECT *, {lbps('value', f'lag(value) OVER ({BY_TYPE})')} AS ret FROM ev) SELECT *, {lbps('value', 'first_value(value) OVER w')} AS return_3600s, stddev_samp(ret) OVER w AS vol_3600s, {lbps('max(value) OVER w', 'min(value) OVER w')} AS range_3600s, sum(ret) OVER w AS sum_3600s,
  avg(CASE WHEN ret > 0 THEN 1.0 WHEN ret <= 0 THEN 0.0 END) OVER w AS up_3600s, count(*) OVER w AS n_3600s FROM rr WINDOW w AS ({RNG} {HOUR - 1} PRECEDING AND CURRENT ROW)"""
 ev("W23_time_range_bundle", W23, lambda e: X.regime_windows(e.withColumn("ret", log_bps(val(), F.lag("value").over(Series(("event_type",), ("t", "event_id")).spec))), TS, "value", "ret", [HOUR, 6 * HOUR]), l="event_id n_3600s", d="return_3600s vol_3600s range_3600s sum_3600s up_3600s")
-ev("W24_changes", f", m AS (SELECT *, first_value(value) OVER ({RNG} {MIN15} PRECEDING AND CURRENT ROW) AS a, first_value(value) OVER ({RNG} {MIN60} PRECEDING AND CURRENT ROW) AS b FROM ev) SELECT *, value - a AS value_change_900s, (value - a) / abs(a) AS value_relative_900s, (value - a) / 900.0 - (value - b) / 3600.0 AS value_acceleration FROM m", lambda e: X.changes(e, TS, ["value"], [MIN15, MIN60]), d="value_change_900s value_relative_900s value_acceleration")
+ev("W24_changes", f", m AS (SELECT *, first_value(value) OVER ({RNG} {MIN15} PRECEDING AND CURRENT ROW) AS a, first_value(value) OVER ({RNG} {MIN60} PRECEDING AND CURRENT ROW) AS b FROM ev) SELECT *, value - a AS value_change_900s, (value - a) / abs(a) AS value_relative_900s, (value - a) / 900.0 - (value - b) / 3600.0 AS value_acceleration FROM m", lambda e: X.changes(e, TYPE, ["value"], [MIN15, MIN60]), d="value_change_900s value_relative_900s value_acceleration")
 ev("W25_freshness", f", m AS (SELECT *, t - lag(t) OVER ({BY_TYPE}) AS gap_ms FROM ev) SELECT *, coalesce(gap_ms > {HOUR}, FALSE) AS large_gap FROM m", lambda e: X.freshness(e, Series(("event_type",), ("t", "event_id")), HOUR), l="event_id gap_ms", b="large_gap")
 W26 = f""", m AS (SELECT *, CASE WHEN event_type IN ('purchase', 'signup') THEN value ELSE 0 END AS buy, CASE WHEN event_type IN ('purchase', 'signup') THEN 0 ELSE value END AS sell FROM ev)
 SELECT *, sum(buy - sell) OVER w AS flow_86400s, coalesce(sum(buy - sell) OVER p, 0.0) AS flow_before_86400s, sum(buy - sell) OVER w / sum(buy + sell) OVER w AS pressure_86400s, coalesce(sum(buy + sell) OVER w / sum(buy + sell) OVER p, CASE WHEN sum(buy + sell) OVER p IS NOT NULL THEN 0 END) AS burst_86400s,
