@@ -122,7 +122,7 @@ def _(spark, d):
 
 
 L21 = f", {RET}, x AS (SELECT *, CASE WHEN count(value) OVER w = 4 THEN least({lbps('min(value) OVER w', 'value')}, 0.0) END / ({roll('stddev_pop({x})', 'ret', 10)}) AS u FROM r WINDOW w AS {NEXT(4)}), tr AS (SELECT quantile_cont(u, 1 / 3) AS a, quantile_cont(u, 2 / 3) AS b FROM x WHERE {early_sql('x')}) SELECT x.*, CASE WHEN u IS NULL THEN 'unknown' WHEN u <= a THEN 'low' WHEN u > b THEN 'high' ELSE 'mid' END AS bucket FROM x, tr"
-ev("L21_downside_ordinal", L21, lambda e: M.tertile(with_vol(e).withColumn("u", F.try_divide(c("mae"), c("vol"))), [], "u", early(e)), l="event_id", d="u", s="bucket")
+ev("L21_downside_ordinal", L21, lambda e: M.tertile(with_vol(e).withColumn("u", ieee_div(c("mae"), c("vol"))), [], "u", early(e)), l="event_id", d="u", s="bucket")
 
 # ---- splits and sampling ----------------------------------------------------------------------------
 POS = "p AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS i, count(*) OVER () AS n FROM ev)"
