@@ -202,3 +202,38 @@ def test_book_processor_emits_slices_in_order(monkeypatch):
     got = list(p.handleInputRows(("a",), iter([mixed[:5], mixed[5:]]), None))
     assert [len(x) for x in got] == [4, 4, 3] and kept == [(10, 1010)]
     pd.testing.assert_frame_equal(pd.concat(got, ignore_index=True), want)
+
+
+def test_a_large_micro_batch_is_sorted_in_runs_on_disk(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(K, "SLICE", 4)
+    monkeypatch.setattr(K, "RUN", 10)
+    monkeypatch.setattr(K, "RUNS", 3)
+    seqs = [*range(60), *[7] * 9, *range(40, 97), None]
+    random.Random(5).shuffle(seqs)
+    columns = lambda part: [part, [0 if x is None else x for x in part], ["delta"] * len(part), part, part, [[1.0, 2.0]] * len(part), [None] * len(part)]
+    made = []
+
+    def batches():
+        for at in range(0, len(seqs), 3):
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns(seqs[at : at + 3]), K.PACKED)], schema=K.PACKED)
+
+    real = K._kept
+    monkeypatch.setattr(K, "_kept", lambda run: made.append(1) or real(run))
+    got = [x for b in K._in_order(batches()) for x in b["seq"].to_pylist()]
+    assert got == sorted((x for x in seqs if x is not None)) + [None] and len(made) > 10
+
+
+def test_timed_books_without_rows_of_messages(spark, tmp_path):
+    rows_ = [("x", i, 1000 * i, "delta" if i % 9 else "snapshot", i, i, [(99 - i % 4, i % 3)], [(101 + i % 5, 1)]) for i in range(1, 40)]
+    source, shape = f"{tmp_path}/in", book_messages(spark, rows_).schema
+    book_messages(spark, rows_).coalesce(1).write.parquet(source)
+    got = {}
+    for emit in (True, False):
+        stream = spark.readStream.schema(shape).parquet(source)
+        C.run_available(K.book_stream(stream, every_ms=7000, late="0 seconds", emit=emit), f"{tmp_path}/out{emit}", f"{tmp_path}/ck{emit}")
+        got[emit] = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out{emit}").orderBy("t", "seq").collect()]
+    assert got[False] and got[False] == [r for r in got[True] if r[3] == "timer"]

@@ -248,6 +248,6 @@ def _(spark, d):
 @query("T2b_timed_books", l="t levels", s="symbol")
 def _(spark, d):
     """Books at every sixth hour by timers of the stream, also where no message arrives."""
-    timed = lambda s, o, ck: C.run_available(B.book_stream(s, every_ms=6 * HOUR, late="0 seconds"), o, ck)
+    timed = lambda s, o, ck: C.run_available(B.book_stream(s, every_ms=6 * HOUR, late="0 seconds", emit=False), o, ck)
     out = in_two_runs(spark, d, messages(spark, d), timed, late_first=False).filter("status = 'timer'")
     return out.withColumn("levels", F.size("bids") + F.size("asks"))

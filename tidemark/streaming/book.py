@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -48,7 +50,7 @@ class Book:
 
     def _prune(self) -> None:
         for side, reverse in ((self.bids, True), (self.asks, False)):
-            for p in sorted(side, reverse=reverse)[self.depth :]:
+            for p in sorted(side, reverse=reverse)[self.depth :] if len(side) > self.depth else ():
                 del side[p]
 
     def levels(self) -> tuple[list, list]:
@@ -82,9 +84,9 @@ def book_rows(messages: DataFrame, depth: int = 50) -> DataFrame:
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-#: Messages whose book rows a worker holds at once.
-SLICE = 1_000
-PACKED = pa.schema([("seq", pa.int64()), ("t", pa.int64()), ("kind", pa.dictionary(pa.int32(), pa.string())), ("first", pa.int64()), ("final", pa.int64()), ("bids", pa.list_(pa.float64())), ("asks", pa.list_(pa.float64()))])
+#: Messages whose book rows a worker holds at once, messages that it sorts in memory, sorted runs that it reads side by side.
+SLICE, RUN, RUNS = 1_000, 100_000, 64
+PACKED = pa.schema([("seq", pa.int64()), ("t", pa.int64()), ("kind", pa.string()), ("first", pa.int64()), ("final", pa.int64()), ("bids", pa.list_(pa.float64())), ("asks", pa.list_(pa.float64()))])
 
 
 def _packed(pdf: pd.DataFrame) -> pa.RecordBatch:
@@ -93,11 +95,62 @@ def _packed(pdf: pd.DataFrame) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(flat.get(f.name, pdf.get(f.name)), f.type, from_pandas=True) for f in PACKED], schema=PACKED)
 
 
-def _unpacked(symbol, table: pa.Table) -> pd.DataFrame:
-    pdf = table.to_pandas().assign(symbol=symbol)
-    for s in ("bids", "asks"):
-        pdf[s] = [None if x is None else [{"p": p, "q": q} for p, q in zip(x[::2], x[1::2])] for x in pdf[s]]
-    return pdf
+def _sorted(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    batch = pa.Table.from_batches(held, PACKED).combine_chunks()
+    order = pc.sort_indices(batch["seq"])
+    for at in range(0, len(batch), SLICE):
+        yield from batch.take(order[at : at + SLICE]).combine_chunks().to_batches()
+
+
+def _kept(run: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The run written to an unnamed local file, which goes with its reader."""
+    file = tempfile.TemporaryFile()
+    with pa.ipc.new_stream(file, PACKED) as out:
+        for batch in run:
+            out.write_batch(batch)
+    file.seek(0)
+    return iter(pa.ipc.open_stream(file))
+
+
+def _merged(runs: list[Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """Sorted runs as one, a slice of each in memory: what does not pass the end of any slice can go."""
+    if len(runs) == 1:
+        yield from runs[0]
+        return
+    order = lambda x: pc.fill_null(x["seq"], np.iinfo(np.int64).max).to_numpy()
+    heads = [next(run, None) for run in runs]
+    while live := [i for i, head in enumerate(heads) if head is not None]:
+        end, ready = min(order(heads[i])[-1] for i in live), []
+        for i in live:
+            n = int(np.searchsorted(order(heads[i]), end, side="right"))
+            ready.append(heads[i].slice(0, n))
+            heads[i] = heads[i].slice(n) if n < len(heads[i]) else next(runs[i], None)
+        yield from _sorted(ready)
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Messages by seq. Above RUN of them they lie in sorted runs on the worker's disk, so memory does not grow with the micro-batch."""
+    runs, held, size = [], [], 0
+    for batch in batches:
+        if size and size + len(batch) > RUN:
+            runs.append(_kept(_sorted(held)))
+            held, size = [], 0
+            if len(runs) == RUNS:
+                runs = [_kept(_merged(runs))]
+        held.append(batch)
+        size += len(batch)
+    yield from _merged([*runs, _sorted(held)])
+
+
+def _apply(book: Book, symbol, batch: pa.RecordBatch, emit: bool) -> pd.DataFrame:
+    """The book after each packed message, as _fold gives it; only the book is changed without emit."""
+    rows, pairs = [], lambda x: list(zip(x[::2], x[1::2])) if x is not None else []
+    for seq, t, kind, first, final, bids, asks in zip(*(x.to_pylist() for x in batch.columns)):
+        status = book.apply(kind, first, final, pairs(bids), pairs(asks))
+        if emit:
+            b, a = book.levels()
+            rows.append((symbol, seq, t, status, [{"p": p, "q": q} for p, q in b], [{"p": p, "q": q} for p, q in a]))
+    return pd.DataFrame(rows, columns=["symbol", "seq", "t", "status", "bids", "asks"])
 
 
 class BookProcessor(StatefulProcessor):
@@ -106,10 +159,11 @@ class BookProcessor(StatefulProcessor):
     Only levels that a batch has changed are written. With every_ms, a timer at each multiple of it emits the book
     as it stands (status "timer", seq of the last update), whether or not messages arrive; timers follow the
     watermark and stop while the book awaits a snapshot. With ttl_ms, a book that nothing has touched for so long is forgotten.
+    Without emit, messages change books but give no rows of their own.
     """
 
-    def __init__(self, depth: int = 50, every_ms: int | None = None, ttl_ms: int | None = None):
-        self.depth, self.every_ms, self.ttl_ms = depth, every_ms, ttl_ms
+    def __init__(self, depth: int = 50, every_ms: int | None = None, ttl_ms: int | None = None, emit: bool = True):
+        self.depth, self.every_ms, self.ttl_ms, self.emit = depth, every_ms, ttl_ms, emit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -125,10 +179,17 @@ class BookProcessor(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         book, _ = self._read()
         old = [dict(book.bids), dict(book.asks)]
-        batch = pa.Table.from_batches([_packed(x) for part in rows for x in (part.iloc[a : a + SLICE] for a in range(0, len(part), SLICE))]).combine_chunks()
-        order = pc.sort_indices(batch["seq"])
-        for at in range(0, len(batch), SLICE):
-            yield _fold(book, _unpacked(key[0], batch.take(order[at : at + SLICE])))
+        times = []
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            for part in rows:
+                times.extend(int(x) for x in (part["t"].min(), part["t"].max()) if not pd.isna(x))
+                yield from (_packed(part.iloc[a : a + SLICE]) for a in range(0, len(part), SLICE))
+
+        for batch in _in_order(packed()):
+            out = _apply(book, key[0], batch, self.emit)
+            if self.emit:
+                yield out
         for side, before, now in zip(self.sides, old, (book.bids, book.asks)):
             for p in before.keys() - now.keys():
                 side.removeKey((p,))
@@ -138,9 +199,9 @@ class BookProcessor(StatefulProcessor):
         if book.last is None:
             self.last.clear()
         else:
-            self.last.update((book.last, pc.max(batch["t"]).as_py()))
+            self.last.update((book.last, max(times, default=None)))
         if self.every_ms is not None and not list(self.handle.listTimers()):
-            self.handle.registerTimer((pc.min(batch["t"]).as_py() // self.every_ms + 1) * self.every_ms)
+            self.handle.registerTimer((min(times) // self.every_ms + 1) * self.every_ms)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at, book = expiredTimerInfo.getExpiryTimeInMs(), self._read()[0]
@@ -155,11 +216,12 @@ class BookProcessor(StatefulProcessor):
         pass
 
 
-def book_stream(messages: DataFrame, depth: int = 50, every_ms: int | None = None, late: str = "1 minute", ttl_ms: int | None = None) -> DataFrame:
+def book_stream(messages: DataFrame, depth: int = 50, every_ms: int | None = None, late: str = "1 minute", ttl_ms: int | None = None, emit: bool = True) -> DataFrame:
     """Streaming form: the same fold, its state kept per symbol between micro-batches (T5), with timed snapshots.
 
     every_ms: emit each book at multiples of it in event time, once the watermark (`late` behind the newest t) has
     passed. ttl_ms: forget books untouched for so long in processing time; not together with every_ms.
+    emit: a row a message; without it the timed books alone.
     """
     if every_ms is not None and ttl_ms is not None:
         raise ValueError("books have timers or a time limit, not both")
@@ -167,7 +229,7 @@ def book_stream(messages: DataFrame, depth: int = 50, every_ms: int | None = Non
     mode = "eventTime" if every_ms is not None else "processingTime" if ttl_ms is not None else "none"
     if every_ms is not None:
         messages = messages.withColumn("_ts", F.timestamp_millis("t")).withWatermark("_ts", late)
-    return messages.groupBy("symbol").transformWithStateInPandas(BookProcessor(depth, every_ms, ttl_ms), OUT, "append", mode)
+    return messages.groupBy("symbol").transformWithStateInPandas(BookProcessor(depth, every_ms, ttl_ms, emit), OUT, "append", mode)
 
 
 def _depth(levels: Column, keep) -> Column:
