@@ -59,7 +59,7 @@ def test_zero(spark, tables, name):
         assert all(map(same, a, b)), (a, b)
 
 
-@pytest.mark.parametrize("name", ["L4_path_range_frame", "L6_net_aware_touch", "L7_touch_summary"])
+@pytest.mark.parametrize("name", ["L4_path_range_frame", "L6_net_aware_touch", "L7_touch_summary", "J12_forward_max_gap"])
 def test_missing_prices_and_users(spark, tables, tmp_path, name):
     con = tables[1].cursor()
     con.execute(f"""COPY (SELECT * REPLACE (CASE WHEN event_id % 13 <> 1 THEN value END AS value, CASE WHEN event_id % 50 < 44 THEN user_id END AS user_id) FROM '{tables[0]}/events.parquet') TO '{tmp_path}/events.parquet' (FORMAT parquet)""")

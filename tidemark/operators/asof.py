@@ -81,8 +81,8 @@ def layered(left: DataFrame, layers: dict[str, tuple[DataFrame, Sequence[str], i
 
 
 def forward_return(rows: DataFrame, keys: Sequence[str], time: str, price: str, horizon: int, max_gap: int) -> DataFrame:
-    """Price at the first row at or after t + horizon, unless it is more than max_gap late."""
+    """Price at the first row at or after t + horizon, unless it is more than max_gap late (J12); a NULL key equals no key."""
     from tidemark.functions.semantics import simple_bps
 
-    out = asof(rows, rows, keys, time, [price], "forward", "exit_", max_gap, offset=horizon)
+    out = asof(rows, rows.dropna(subset=list(keys)), keys, time, [price], "forward", "exit_", max_gap, offset=horizon)
     return out.withColumn("forward_bps", simple_bps(F.col(f"exit_{price}"), F.col(price)))
