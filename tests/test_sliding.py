@@ -3,12 +3,15 @@
 import random
 import time
 
+import duckdb
 import numpy as np
 import pytest
 
 from tidemark.operators.flow import regime_windows
 from tidemark.operators.series import Series
-from tidemark.operators.sliding import extremes, summaries, time_ranges
+from tidemark.operators.sliding import around, extremes, summaries, time_ranges
+from tidemark.plans import ORACLE_SQL, QUERIES
+from tests.test_zero_prices import same
 
 
 def plain(rows, ms):
@@ -83,3 +86,22 @@ def test_first_values_in_blocks_of_time(spark):
     first = lambda k, t, ms: min((r for r in rows if r[0] == k and t - ms <= r[1] <= t), key=lambda r: (r[1], r[2]))[3]
     assert len(got) == 900 and all(got[i] == (first(k, t, 60), first(k, t, 900)) for k, t, i, _ in rows)
     assert out.columns == ["k", "t", "i", "x", "p", "q"]
+
+
+@pytest.mark.parametrize("name", ["L12_instability"])
+def test_labels_over_six_hours_take_blocks_not_frames(spark, tmp_path, name):
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT i AS event_id, CASE WHEN i % 90 <> 3 THEN TIMESTAMP '2024-01-01' + INTERVAL (i // 3 * 7) MINUTE END AS ts, CAST(i % 5 AS BIGINT) AS user_id, CASE WHEN i % 4 > 0 THEN 'e' || i % 4 END AS event_type,
+        CASE WHEN i % 11 = 2 THEN NULL WHEN i % 37 = 5 THEN 'NaN'::DOUBLE WHEN i % 53 = 7 THEN 'Infinity'::DOUBLE ELSE hash(i) % 40 / 2 - 1 END AS value, CASE WHEN i % 17 > 0 THEN '{{"k": ' || hash(i) % 90 || '}}' END AS props FROM range(1500) r(i)) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    df = QUERIES[name](spark, str(tmp_path))
+    assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got, want = df.collect(), con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLE_SQL[name]})").fetchall()
+    assert len(got) == len(want) == 1500
+    for a, b in zip(sorted(map(tuple, got), key=lambda r: r[0]), sorted(want, key=lambda r: r[0])):
+        assert all(map(same, a, b)), (a, b)
+
+
+def test_ranges_of_an_empty_table(spark):
+    none = spark.createDataFrame([], "k string, t long, x double")
+    assert around(none, ["k"], "t", 10, ["x"], "x", "x").collect() == []

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.semantics import ieee_div, log_bps, simple_bps
 from tidemark.operators.series import Series
+from tidemark.operators.sliding import around
 
 c = F.col
 
@@ -123,6 +126,14 @@ def event_labels(s: Series, mid: str, spread: str, depth: str, ms: int, t: str)
     }
 
 
+def instability(df: DataFrame, keys: Sequence[str], t: str, price: str, ms: int) -> DataFrame:
+    """unstable: a wide range, fall or rise over (t, t + ms], or a price far above its median over [t - ms, t]; n rows ahead."""
+    df = around(df, keys, t, ms, [price], median=price)
+    high, low, now = c(f"high_{price}"), c(f"low_{price}"), c(price)
+    wide = (ieee_div(high, low) > 20) | (ieee_div(low, now) < 0.1) | (ieee_div(high, now) > 10) | (now > 3 * c("median"))
+    return df.withColumns({"n": c("n_ahead"), "unstable": (c("n_ahead") > 0) & wide})
+
+
 def gapless_future(df: DataFrame, s: Series, t: str, h: int, max_gap: int) -> DataFrame:
     """ok = the next h rows exist and each step is in (0, max_gap]."""
     df = df.withColumn("_gap", c(t) - s.lag(t))

@@ -10,11 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pandas.api.indexers import BaseIndexer
 
 from tidemark.operators.folds import starts as starts_of
 
@@ -130,3 +132,81 @@ def time_ranges(df: DataFrame, keys: Sequence[str], time: str, price: str, chang
             yield from work(True)
 
     return dealt.mapInArrow(run, T.StructType([*dealt.schema.fields, *shape.fields])).drop("_block", "_own")
+
+
+class _Bounds(BaseIndexer):
+    """Windows [start, end) given row by row."""
+
+    def get_window_bounds(self, num_values=0, min_periods=None, center=None, closed=None, step=None):
+        return self.start, self.end
+
+
+def _codes(x: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The rank of each value (NaN for NULL) and the sorted values; the value NaN sorts above all others."""
+    values, code = x.drop_null(), np.full(len(x), np.nan)
+    known, code[x.is_valid().to_numpy(zero_copy_only=False)] = np.unique(values.to_numpy(zero_copy_only=False), return_inverse=True)
+    return code, pa.array(known, x.type)
+
+
+def _pick(values: pa.Array, at: np.ndarray) -> pa.Array:
+    """values at the places, NULL where a place is NaN."""
+    return values.take(pa.array(at, pa.float64(), from_pandas=True).cast(pa.int64()))
+
+
+def medians(code: np.ndarray, values: pa.Array, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
+    """Medians of the ranges [lo, hi), whose ends do not go back, by an indexable skip list: a row costs its logarithm."""
+    rolled = pd.Series(code).rolling(_Bounds(start=lo.astype(np.int64), end=hi.astype(np.int64)), min_periods=1)
+    a, b = (_pick(values, rolled.quantile(0.5, interpolation=side).to_numpy()) for side in ("lower", "higher"))
+    return pc.if_else(pc.equal(a, b), a, pc.add(pc.multiply(a, 0.5), pc.multiply(b, 0.5)))
+
+
+def around(df: DataFrame, keys: Sequence[str], time: str, ms: int, columns: Sequence[str], timed: str | None = None, median: str | None = None) -> DataFrame:
+    """df with n_ahead and high_<x> and low_<x> of the columns over (t, t + ms] of the same key, at a cost per row that does not grow with the range.
+
+    timed: high_at and low_at, the first times of the extremes of that column (a NULL counts as its highest value). median: the
+    median of a column of doubles over [t - ms, t]. Rows without a time see each other. Rows are dealt by (key, time block) with a
+    rim of one range; a task holds the rows of a block of four ranges.
+    """
+    width, read = 4 * ms, list(dict.fromkeys([*columns, *([timed] if timed else []), *([median] if median else [])]))
+    home = F.floor(c(time) / width)
+    rows = df.withColumn("_block", F.explode_outer(F.sequence(F.floor((c(time) - ms) / width), F.floor((c(time) + ms) / width) if median else home)))
+    rows = rows.withColumn("_own", F.coalesce(c("_block") == home, F.lit(True)))
+    kinds = {x: df.schema[x].dataType for x in read}
+    fields = [T.StructField("n_ahead", T.LongType()), *(T.StructField(f"{side}_{x}", kinds[x]) for x in columns for side in ("high", "low"))]
+    fields += [T.StructField(f"{side}_at", df.schema[time].dataType) for side in ("high", "low")] if timed else []
+    fields += [T.StructField("median", T.DoubleType())] if median else []
+    schema, kept, names = T.StructType([*df.schema.fields, *fields]), df.columns, [f.name for f in fields]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(time).combine_chunks()
+        clock, mine, n = table[time].combine_chunks(), np.flatnonzero(table["_own"].to_numpy()), table.num_rows
+        if clock.null_count:  # a block of its own
+            t, lo, hi, since, until = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, n), np.zeros(n, np.int64), np.full(n, n)
+        else:
+            t = clock.to_numpy()
+            until = np.searchsorted(t, t, "right")
+            lo, hi, since = until, np.searchsorted(t, t + ms, "right"), np.searchsorted(t, t - ms, "left")
+        lo, hi, made = lo[mine], hi[mine], {}
+        made["n_ahead"] = pa.array(hi - lo, pa.int64())
+        ranks = {x: _codes(table[x].combine_chunks()) for x in read}
+        for x in columns:
+            code, values = ranks[x]
+            made |= {f"high_{x}": _pick(values, extremes(code, lo, hi)), f"low_{x}": _pick(values, -extremes(-code, lo, hi))}
+        if timed:
+            code = np.where(np.isnan(ranks[timed][0]), n, ranks[timed][0])
+            for side, sign in (("high", 1.0), ("low", -1.0)):
+                order = np.lexsort((-t, sign * code))  # the last of equal values is the first in time
+                place = np.empty(n)
+                place[order] = np.arange(n)
+                made[f"{side}_at"] = _pick(clock.take(pa.array(order)), extremes(place, lo, hi))
+        if median and len(mine):  # rows of the rim get empty ranges
+            a, b = (np.full(n, until[mine[-1]]) for _ in range(2))
+            a[: mine[0]] = b[: mine[0]] = since[mine[0]]
+            a[mine], b[mine] = since[mine], until[mine]
+            made["median"] = medians(*ranks[median], a, b).take(pa.array(mine))
+        elif median:
+            made["median"] = pa.array([], pa.float64())
+        own = table.take(pa.array(mine)).select(kept)
+        return pa.table([*own.columns, *(made[x] for x in names)], names=[*kept, *names])
+
+    return rows.groupBy(*keys, "_block").applyInArrow(run, schema)
