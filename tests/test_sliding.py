@@ -88,7 +88,7 @@ def test_first_values_in_blocks_of_time(spark):
     assert out.columns == ["k", "t", "i", "x", "p", "q"]
 
 
-@pytest.mark.parametrize("name", ["L12_instability"])
+@pytest.mark.parametrize("name", ["L12_instability", "L13_event_labels"])
 def test_labels_over_six_hours_take_blocks_not_frames(spark, tmp_path, name):
     con = duckdb.connect()
     con.execute(f"""COPY (SELECT i AS event_id, CASE WHEN i % 90 <> 3 THEN TIMESTAMP '2024-01-01' + INTERVAL (i // 3 * 7) MINUTE END AS ts, CAST(i % 5 AS BIGINT) AS user_id, CASE WHEN i % 4 > 0 THEN 'e' || i % 4 END AS event_type,

@@ -114,16 +114,15 @@ def halves(s: Series, high: Column, low: Column, m: int, h: int) -> dict[str, Co
     return {"first_high": F.max(high).over(a), "first_low": F.min(low).over(a), "second_high": F.max(high).over(b), "second_low": F.min(low).over(b), "rows_ahead": F.count(high).over(s.next_n(h))}
 
 
-def event_labels(s: Series, mid: str, spread: str, depth: str, ms: int, t: str) -> dict[str, Column]:
-    """Move, extremes with their times, velocities, spread and depth shocks over (t, t + ms]."""
-    w = s.future_ms(ms)
-    top, bottom = F.max(mid).over(w), F.min(mid).over(w)
-    up, down = simple_bps(top, c(mid)), simple_bps(bottom, c(mid))
-    when_up, when_down = F.max_by(t, F.struct(c(mid), -c(t))).over(w), F.min_by(t, F.struct(c(mid), c(t))).over(w)
-    return {
-        "up_bps": up, "down_bps": down, "up_velocity": ieee_div(up, (when_up - c(t)) / 1000.0), "down_velocity": ieee_div(down, (when_down - c(t)) / 1000.0),
-        "spread_shock": (F.max(spread).over(w) > 2 * c(spread)).cast("int"), "depth_drop": (F.min(depth).over(w) < 0.5 * c(depth)).cast("int"), "rows_ahead": F.count("*").over(w),
-    }
+def event_labels(df: DataFrame, keys: Sequence[str], mid: str, spread: str, depth: str, ms: int, t: str) -> DataFrame:
+    """Move, extremes with their first times, velocities, spread and depth shocks over (t, t + ms]."""
+    df = around(df, keys, t, ms, list(dict.fromkeys([mid, spread, depth])), timed=mid)
+    up, down = simple_bps(c(f"high_{mid}"), c(mid)), simple_bps(c(f"low_{mid}"), c(mid))
+    wide, thin = c(f"high_{spread}"), c(f"low_{depth}")
+    return df.withColumns({
+        "up_bps": up, "down_bps": down, "up_velocity": ieee_div(up, (c("high_at") - c(t)) / 1000.0), "down_velocity": ieee_div(down, (c("low_at") - c(t)) / 1000.0),
+        "spread_shock": F.when(wide > 2 * c(spread), 1).when(wide.isNotNull(), 0), "depth_drop": F.when(thin < 0.5 * c(depth), 1).when(thin.isNotNull(), 0), "rows_ahead": c("n_ahead"),
+    })
 
 
 def instability(df: DataFrame, keys: Sequence[str], t: str, price: str, ms: int) -> DataFrame:
