@@ -62,7 +62,7 @@ def test_equal_neighbours_are_their_own_quantile(spark, tmp_path):
     con.execute(f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + INTERVAL (i // 60) MINUTE AS ts, CAST(i % 3 AS BIGINT) AS user_id, ['view', 'click', 'error'][1 + i // 60 % 3] AS event_type,
         round(exp(hash(i // 60) % 1000003 / 200000), 2) AS value, '{{"k": 1}}' AS props FROM range(3600 * 5) r(i)) TO '{path}' (FORMAT parquet)""")
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{path}'")
-    for name in ("A50_tertile_regime",):
+    for name in ("A50_tertile_regime", "W29_burst_threshold"):
         df = QUERIES[name](spark, str(tmp_path))
         assert sorted(map(tuple, df.collect()), key=key) == sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLE_SQL[name]})").fetchall(), key=key)
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.semantics import fused
 from tidemark.operators.folds import fold
 
 c = F.col
@@ -39,7 +40,8 @@ def rolling_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: i
             low, high = (values.quantile(q, interpolation=side).to_numpy()[-len(new) :] for side in ("lower", "higher"))
             place = q * (seen[x].rolling(n, min_periods=0).count().to_numpy()[-len(new) :] - 1)
             share = place - np.floor(place)
-            out[name] = np.where(share == 0, low, low * (1 - share) + high * share)
+            once = fused(low, 1 - share, high * share)
+            out[name] = np.where(share == 0, low, np.where(np.isnan(once), low * (1 - share) + high * share, once))
         for name, x in ranks.items():
             out[name] = seen[x].rolling(n, min_periods=least).rank(method="average", pct=True).to_numpy()[-len(new) :]
         return out, held.tail(n)
