@@ -43,13 +43,20 @@ def early_sql(source: str = "ev", share: float = 0.6, by: str = "event_id") -> s
     return f"{by} < (SELECT min({by}) + {share}::DOUBLE * (max({by}) - min({by})) FROM {source})"
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x to some decimals as DuckDB rounds doubles: x * 10^digits to a whole number, halves away from 0; x itself where that is not finite."""
+    scale = F.lit(10.0**digits)
+    near = F.round(x * scale) / scale
+    return F.when(F.isnan(near) | (F.abs(near) == float("inf")), x).otherwise(near)
+
+
 def query(name: str, sql: str | None = None, l: str = "", d: str = "", s: str = "", b: str = "", digits: int = 6):  # noqa: E741
     """Register fn(spark, sf_dir) -> DataFrame; sql is wrapped so that both give the same columns."""
 
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = fn(spark, sf_dir)
-            cols = [F.col(x).cast("long").alias(x) for x in l.split()] + [(F.round(F.col(x).cast("double"), digits) + 0.0).alias(x) for x in d.split()]
+            cols = [F.col(x).cast("long").alias(x) for x in l.split()] + [(rounded(F.col(x).cast("double"), digits) + 0.0).alias(x) for x in d.split()]
             return df.select(*cols, *[F.col(x).cast("string").alias(x) for x in s.split()], *[F.col(x).cast("boolean").alias(x) for x in b.split()])
 
         QUERIES[name] = run
